@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +99,36 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root")).union(
         now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("b").alias("v"), F.col("b").alias("root"))
     )
+
+
+class WordIds(dict):
+    """Word -> bucket of its CRC-32 without surrounding punctuation; looked-up words are kept, up to a bound.
+
+    Words that are punctuation alone have bucket 0, which no other word has."""
+
+    #: Stripped from both ends of a word.
+    EDGES = ".,;:!?\"'()[]{}<>|*#$%&+-_=/\\~`^…–—“”„«»"
+
+    def __init__(self, buckets: int, most: int = 400_000):
+        super().__init__()
+        self.buckets, self.most = buckets, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        bare = word.strip(self.EDGES)
+        bucket = 1 + zlib.crc32(bare.encode("utf-8", "surrogatepass")) % (self.buckets - 1) if bare else 0
+        if len(word) <= 64:
+            self[word] = bucket
+        return bucket
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.lower().split() if text else []
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of all texts of an Arrow column, one after the other, and the offsets of each text's first."""
+        each = [self.of(t) for t in texts.to_pylist()]
+        offsets = np.zeros(len(each) + 1, np.int64)
+        np.cumsum([len(x) for x in each], out=offsets[1:])
+        return (np.concatenate(each) if each else np.zeros(0, np.int32)), offsets
