@@ -1,5 +1,69 @@
-"""The corpus pipeline: its stages in order, each one of the operators of veldspar.llm."""
+"""The corpus pipeline: its stages in order, each one of the operators of veldspar.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet into the shared
+folder and reads them again for the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldspar.llm import decontam, ordinal, pieces, secrets, simhash
+from veldspar.llm.common import bounded_broadcast, written
+
+#: SQL can't express the stages (learned models, XXH64, sampling): they are tested against brute-force versions.
+ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows with these ids (a written table); rows without an id stay."""
+    return docs.join(bounded_broadcast(ids.select("doc_id"), 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely toxic than not go."""
+    s = ordinal.Settings()
+    model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), s)
+    return ordinal.score(docs, model, severity_col="_severity", toxic_col="_p_toxic").filter(F.col("_p_toxic") < s.reject_at).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays; of rows with one id, one stays."""
+    found = written(simhash.near_duplicates(docs), "near-duplicates")
+    kept = _without(docs, written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicate-ids"))
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = written(decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    return _without(docs, written(found.select("doc_id").distinct(), "leaking-ids"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in it are replaced by a mark, and n_chars follows."""
+    found = secrets.scan(docs, out_col="_spans").withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
+    return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's sampled segmentations."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("sentence-pieces", sentence_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

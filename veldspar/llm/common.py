@@ -132,3 +132,37 @@ class WordIds(dict):
         offsets = np.zeros(len(each) + 1, np.int64)
         np.cumsum([len(x) for x in each], out=offsets[1:])
         return (np.concatenate(each) if each else np.zeros(0, np.int32)), offsets
+
+
+def minimise(rows: DataFrame, gradient, start: np.ndarray, steps: int = 80, rate: float = 0.2, l2: np.ndarray | float = 1e-3) -> np.ndarray:
+    """Full-batch Adam: every step is a Spark job that sums gradient(parameters, batch) over the partitions of rows.
+
+    gradient returns an array of the parameters' size. The driver holds that array once a partition; rows should be a
+    written table of bounded size, in few partitions. The mean gradient gets l2 * parameters added."""
+    spark, x = rows.sparkSession, start.astype(np.float64).copy()
+    n = rows.count()
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    for t in range(1, steps + 1 if n else 1):
+        shared = spark.sparkContext.broadcast(x)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(shared.value))
+            for batch in batches:
+                total += gradient(shared.value, batch)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+        g = sum(np.frombuffer(r.g) for r in rows.mapInArrow(run, "g binary").toLocalIterator()) / n + l2 * x
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x = x - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        shared.unpersist()
+    return x
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(np.asarray(x, np.float64) / 2))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """The rows of df with the smallest hashes of the key, ``rows`` of them at most: bounded, and the same wherever and
+    however often it runs. Only for fitting a model on labelled rows."""
+    return df.withColumn("_order", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_order", key).limit(rows).drop("_order")
