@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontam, ordinal, pieces, secrets, simhash
+from veldspar.llm import bitslice, chatgrammar, decontam, ordinal, pieces, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return bitslice.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +29,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= s.reject_at).cast("int").alias("toxic"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conflict = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chatgrammar.CONFLICT).alias("text"))
+    return chatgrammar.digest(conversations.union(conflict))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -44,8 +55,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op4_toxicity": op4_toxicity, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "pipeline": pipeline}
+    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secrets": secrets.oracle()}
+    return {"op1_topk": bitslice.oracle(), "op5_chat": chatgrammar.oracle(), "op7_secrets": secrets.oracle()}
