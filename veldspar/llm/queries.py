@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import bitslice, chatgrammar, decontam, ordinal, pieces, secrets, simhash
+from veldspar.llm import arcwarc, bitslice, chatgrammar, decontam, ordinal, pieces, secrets, simhash, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, s = _table(spark, sf_dir, "documents").select("doc_id", "text"), ordinal.Settings()
     scored = ordinal.score(docs, ordinal.fit(docs, _table(spark, sf_dir, "labels"), s))
@@ -35,6 +39,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatgrammar.digest(conversations.union(conflict))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arcwarc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -55,8 +63,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "pipeline": pipeline}
+    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": bitslice.oracle(), "op5_chat": chatgrammar.oracle(), "op7_secrets": secrets.oracle()}
+    return {"op1_topk": bitslice.oracle(), "op5_chat": chatgrammar.oracle(), "op6_warc": arcwarc.oracle(), "op7_secrets": secrets.oracle()}
