@@ -35,8 +35,9 @@ class Settings:
     window: int = 32
     rank: int = 256
     energy: float = 0.95
+    stop_idf: float = 1.5
     power: int = 2
-    min_cosine: float = 0.35
+    min_cosine: float = 0.3
     min_lcs: float = 0.6
     min_answer: float = 0.5
     slice_items: int = 4096
@@ -70,12 +71,13 @@ def word_counts(docs: DataFrame, s: Settings, text_col: str = "text") -> np.ndar
     return out
 
 
-def inverse_frequency(counts: np.ndarray, window: int) -> np.ndarray:
-    """-log of the share of windows that hold the word, if its occurrences were spread evenly; at least one each."""
+def inverse_frequency(counts: np.ndarray, window: int, stop: float = 0.0) -> np.ndarray:
+    """-log of the share of windows that hold the word, if its occurrences were spread evenly; at least one each.
+    Words below ``stop`` (those of very many windows) weigh nothing."""
     share = -np.expm1(-window * np.maximum(counts, 1) / max(int(counts.sum()), 1))
     weight = -np.log(np.clip(share, 1e-12, 1.0)).astype(np.float32)
     weight[0] = 0
-    return np.maximum(weight, 0)
+    return np.where(weight < stop, 0, weight).astype(np.float32)
 
 
 class Slice:
@@ -105,17 +107,18 @@ class Slice:
         self.owner = np.array(owner, np.int64)
         self.passages = rows
         vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int32)
-        self.vocabulary = vocabulary[idf[vocabulary] > 0.7]  # words of half of all windows and more say nothing
+        self.vocabulary = vocabulary[idf[vocabulary] > 0]
         self.idf = idf
 
     def matrix(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(column, TF-IDF) of each passage; columns by the slice's vocabulary."""
+        """(column, TF-IDF) of each passage, of length one; columns by the slice's vocabulary."""
         out = []
         for p in self.passages:
             at = np.searchsorted(self.vocabulary, p)
             ok = (at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, max(len(self.vocabulary) - 1, 0))] == p) if len(self.vocabulary) else np.zeros(len(p), bool)
             col, tf = np.unique(at[ok], return_counts=True)
-            out.append((col, (tf * self.idf[self.vocabulary[col]]).astype(np.float32)))
+            val = (tf * self.idf[self.vocabulary[col]]).astype(np.float32)
+            out.append((col, val / max(float(np.linalg.norm(val)), 1e-9)))
         return out
 
 
@@ -175,8 +178,7 @@ def lcs(mask: dict[int, int], n: int, words: list[int]) -> int:
 def _search(docs: DataFrame, part: Slice, latent: np.ndarray, s: Settings) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rows = part.matrix()
-    norms = np.array([max(float(np.sqrt(np.sum(part.idf[p].astype(np.float64) ** 2))), 1e-9) for p in part.passages])
-    items = np.stack([v @ latent[c] for c, v in rows]) / norms[:, None]
+    items = np.stack([v @ latent[c] for c, v in rows])
     folded = (latent * part.idf[part.vocabulary][:, None]).astype(np.float32)
     row_of = np.full(s.buckets, -1, np.int32)
     row_of[part.vocabulary] = np.arange(len(part.vocabulary), dtype=np.int32)
@@ -211,10 +213,13 @@ def _search(docs: DataFrame, part: Slice, latent: np.ndarray, s: Settings) -> Da
             squared[:-1][joined] += squared[1:][joined]
             limit = s.min_cosine * np.sqrt(np.maximum(squared, 1e-9)).astype(np.float32)
             hits: dict[tuple[int, int], list] = {}
-            for k in range(0, n, 4096):
-                score = latent[k : k + 4096] @ items
-                for b, p in zip(*np.nonzero(score >= limit[k : k + 4096, None]), strict=True):
-                    hits.setdefault((int(doc_of_block[k + b]), int(owner[p])), []).append((k + int(b), float(score[b, p] / limit[k + b] * s.min_cosine)))
+            able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= limit**2 * (1 - 1e-4))  # no cosine is larger than the window's share in the latent space
+            for k in range(0, len(able), 4096):
+                some = able[k : k + 4096]
+                score = latent[some] @ items
+                for b, p in zip(*np.nonzero(score >= limit[some, None]), strict=True):
+                    at = int(some[b])
+                    hits.setdefault((int(doc_of_block[at]), int(owner[p])), []).append((at, float(score[b, p] / limit[at] * s.min_cosine)))
             found = []
             for (d, item), where in sorted(hits.items()):
                 size, best, cosine = len(item_words[item]), (0.0, 0.0), max(c for _, c in where)
@@ -243,7 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
     """(doc_id, item_id, cosine, lcs_ratio, answer_share): the documents that hold a benchmark item, whole or reworded."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    idf = inverse_frequency(word_counts(docs, s, text_col), s.window)
+    idf = inverse_frequency(word_counts(docs, s, text_col), s.window, s.stop_idf)
     ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null").distinct().orderBy("item_id", "text")
     out, held = None, []
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import arcwarc, bitslice, chatgrammar, decontam, ordinal, pieces, secrets, simhash, sitetree
+from veldspar.llm import arcwarc, bitslice, bradleyterry, chatgrammar, decontam, ordinal, pieces, secrets, simhash, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bradleyterry.score(docs, bradleyterry.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "pipeline": pipeline}
+    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
