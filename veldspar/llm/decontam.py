@@ -175,6 +175,68 @@ def lcs(mask: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
+def _hits(batch: pa.RecordBatch, words: WordIds, model: tuple, s: Settings) -> pa.RecordBatch | None:
+    """The documents of a batch (doc_id, text) that hold an item of the slice."""
+    items, folded, row_of, idf2, owner, item_ids, item_words, masks, answers = model
+    half = s.window // 2
+    ids, offsets = words.column(batch.column(1))
+    if not len(ids):
+        return None
+    lengths = np.diff(offsets)
+    blocks = -(-lengths // half)
+    first = np.concatenate(([0], np.cumsum(blocks)))
+    doc_of = np.repeat(np.arange(len(lengths)), lengths)
+    block = first[doc_of] + (np.arange(len(ids)) - offsets[doc_of]) // half
+    n = int(first[-1])
+    squared = np.bincount(block, weights=idf2[ids], minlength=n)
+    latent = np.zeros((n, folded.shape[1]), np.float32)
+    rows = row_of[ids]
+    known = np.flatnonzero(rows >= 0)
+    if not len(known):
+        return None
+    at = block[known]
+    nth = np.arange(len(at)) - np.searchsorted(at, at)
+    order = np.argsort(nth.astype(np.int8), kind="stable")
+    ends = np.cumsum(np.bincount(nth))
+    for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):  # the first known word of each block, the second, ...
+        some = order[lo:hi]
+        latent[at[some]] += folded[rows[known[some]]]
+    doc_of_block = np.repeat(np.arange(len(lengths)), blocks)
+    joined = doc_of_block[:-1] == doc_of_block[1:]
+    latent[:-1][joined] += latent[1:][joined]  # a window is a block and the next of the same document
+    squared[:-1][joined] += squared[1:][joined]
+    limit = s.min_cosine * np.sqrt(np.maximum(squared, 1e-9)).astype(np.float32)
+    hits: dict[tuple[int, int], list] = {}
+    able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= limit**2 * (1 - 1e-4))  # no cosine is larger than the window's share in the latent space
+    for k in range(0, len(able), 4096):
+        some = able[k : k + 4096]
+        score = latent[some] @ items
+        for b, p in zip(*np.nonzero(score >= limit[some, None]), strict=True):
+            at = int(some[b])
+            hits.setdefault((int(doc_of_block[at]), int(owner[p])), []).append((at, float(score[b, p] / limit[at] * s.min_cosine)))
+    found = []
+    for (d, item), where in sorted(hits.items()):
+        size, best, cosine = len(item_words[item]), (0.0, 0.0), max(c for _, c in where)
+        spans: list[list[int]] = []
+        for b, _ in sorted(where):  # the stretch around each candidate, joined where they meet
+            lo = max(0, int(b - first[d]) * half - size)
+            hi = int(b - first[d]) * half + s.window + size
+            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * (size + s.window):
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+        for lo, hi in spans:
+            near = ids[offsets[d] + lo : min(offsets[d] + hi, offsets[d + 1])].tolist()
+            terms = answers[item]
+            best = max(best, (lcs(masks[item], size, near) / size, len(terms.intersection(near)) / len(terms)))
+        if best[0] >= s.min_lcs and best[1] >= s.min_answer:
+            found.append((d, item_ids[item], cosine, *best))
+    if found:
+        d, item, cosine, ratio, share = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(ratio, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_share"])
+    return None
+
+
 def _search(docs: DataFrame, part: Slice, latent: np.ndarray, s: Settings) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rows = part.matrix()
@@ -183,63 +245,12 @@ def _search(docs: DataFrame, part: Slice, latent: np.ndarray, s: Settings) -> Da
     row_of = np.full(s.buckets, -1, np.int32)
     row_of[part.vocabulary] = np.arange(len(part.vocabulary), dtype=np.int32)
     model = sc.broadcast((items.T.astype(np.float32).copy(), folded, row_of, part.idf**2, part.owner, part.item_ids, part.item_words, part.masks, part.answers))
-    half = s.window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, folded, row_of, idf2, owner, item_ids, item_words, masks, answers = model.value
         words = WordIds(s.buckets)
         for batch in pieces(batches, "text", 1 << 20):
-            ids, offsets = words.column(batch.column(1))
-            if not len(ids):
-                continue
-            lengths = np.diff(offsets)
-            blocks = -(-lengths // half)
-            first = np.concatenate(([0], np.cumsum(blocks)))
-            doc_of = np.repeat(np.arange(len(lengths)), lengths)
-            block = first[doc_of] + (np.arange(len(ids)) - offsets[doc_of]) // half
-            n = int(first[-1])
-            squared = np.bincount(block, weights=idf2[ids], minlength=n)
-            latent = np.zeros((n, folded.shape[1]), np.float32)
-            rows = row_of[ids]
-            known = np.flatnonzero(rows >= 0)
-            if not len(known):
-                continue
-            at = block[known]
-            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            latent[at[starts]] = np.add.reduceat(folded[rows[known]], starts, axis=0)
-            doc_of_block = np.repeat(np.arange(len(lengths)), blocks)
-            joined = doc_of_block[:-1] == doc_of_block[1:]
-            latent[:-1][joined] += latent[1:][joined]  # a window is a block and the next of the same document
-            squared[:-1][joined] += squared[1:][joined]
-            limit = s.min_cosine * np.sqrt(np.maximum(squared, 1e-9)).astype(np.float32)
-            hits: dict[tuple[int, int], list] = {}
-            able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= limit**2 * (1 - 1e-4))  # no cosine is larger than the window's share in the latent space
-            for k in range(0, len(able), 4096):
-                some = able[k : k + 4096]
-                score = latent[some] @ items
-                for b, p in zip(*np.nonzero(score >= limit[some, None]), strict=True):
-                    at = int(some[b])
-                    hits.setdefault((int(doc_of_block[at]), int(owner[p])), []).append((at, float(score[b, p] / limit[at] * s.min_cosine)))
-            found = []
-            for (d, item), where in sorted(hits.items()):
-                size, best, cosine = len(item_words[item]), (0.0, 0.0), max(c for _, c in where)
-                spans: list[list[int]] = []
-                for b, _ in sorted(where):  # the stretch around each candidate, joined where they meet
-                    lo = max(0, int(b - first[d]) * half - size)
-                    hi = int(b - first[d]) * half + s.window + size
-                    if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * (size + s.window):
-                        spans[-1][1] = hi
-                    else:
-                        spans.append([lo, hi])
-                for lo, hi in spans:
-                    near = ids[offsets[d] + lo : min(offsets[d] + hi, offsets[d + 1])].tolist()
-                    terms = answers[item]
-                    best = max(best, (lcs(masks[item], size, near) / size, len(terms.intersection(near)) / len(terms)))
-                if best[0] >= s.min_lcs and best[1] >= s.min_answer:
-                    found.append((d, item_ids[item], cosine, *best))
-            if found:
-                d, item, cosine, ratio, share = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(ratio, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_share"])
+            if (found := _hits(batch, words, model.value, s)) is not None:
+                yield found
 
     return docs.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double")
 
