@@ -1,0 +1 @@
+"""Analytics operators for Spark: functions from DataFrame to DataFrame, planned by Catalyst."""
