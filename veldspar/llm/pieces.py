@@ -47,7 +47,7 @@ class Settings:
     samples: int = 2
     alpha: float = 1.0
     seed: int = 17
-    most_words: int = 300_000
+    most_words: int = 150_000
 
 
 _SLOT_BITS, _BASE, _SPREAD, _UNKNOWN = 19, 0x100000001B3, 0x9E3779B97F4A7C15, -11.5
@@ -156,14 +156,21 @@ class Words(dict):
             alive = alive[ids > -2]
         beta = np.full(n + most, -np.inf, np.float64)
         beta[end_of] = 0.0
-        order = np.argsort(room, kind="stable")
+        order = np.argsort(room.astype(np.int32), kind="stable")
         ends = np.cumsum(np.bincount(room))
+        plain, linear = np.zeros(n + most), np.exp(weights)  # shorter words need no logarithms: nothing underflows
+        plain[end_of] = 1.0
         for level in range(1, len(ends)):
             nodes = order[ends[level - 1] : ends[level]]
             reach = min(level, most)
-            x = weights[nodes, :reach] + beta[nodes[:, None] + np.arange(1, reach + 1)]
-            top = x.max(axis=1)
-            beta[nodes] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+            ahead = nodes[:, None] + np.arange(1, reach + 1)
+            if level <= 40:
+                plain[nodes] = np.einsum("ij,ij->i", linear[nodes, :reach], plain[ahead])
+                beta[nodes] = np.log(plain[nodes])
+            else:
+                x = weights[nodes, :reach] + beta[ahead]
+                top = x.max(axis=1)
+                beta[nodes] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
         counts = np.zeros(n, np.int64)
         for _, src, _ in found:
             counts[src] += 1
@@ -209,7 +216,7 @@ class Words(dict):
         split = [self.split(t or "") for t in texts]
         new = set().union(*split).difference(self) if split else set()
         if new:
-            self.add(sorted(new))
+            self.add(list(new))
         return [np.fromiter(map(self.__getitem__, x), np.int32, len(x)) for x in split]
 
     def split(self, text: str) -> list[str]:
@@ -437,7 +444,7 @@ def encode(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _words(s)
         table = pa.array(w.text, pa.large_binary())
-        for batch in text_pieces(batches, "text", 1 << 20):
+        for batch in text_pieces(batches, "text", 1 << 19):
             if len(w) > s.most_words:
                 w.reset()
             keys, texts = batch.column(0), batch.column(1)
