@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.plans import registry
-from veldspar.plans import q_aggregates, q_explore, q_joins, q_windows  # noqa: F401
+from veldspar.plans import q_aggregates, q_explore, q_joins, q_process, q_scalars, q_windows  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

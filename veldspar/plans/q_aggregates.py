@@ -34,7 +34,7 @@ def ag4_box_exact(spark, d):
     return rounded(a.whiskers(measures(spark, d), ["step"], "price"), 6)
 
 
-@query(f"WITH {M}, w AS (SELECT bin AS step, lot, pow(price / 100000, 6) * 1000000 AS price FROM m), {_BOX.replace('FROM m', 'FROM w')} SELECT step, lot, round(price, 6) AS price, side FROM (SELECT *, row_number() OVER (PARTITION BY step, side ORDER BY CASE side WHEN 'high' THEN -price ELSE price END, lot) r FROM (SELECT step, lot, price, CASE WHEN price > fence_high THEN 'high' WHEN price < fence_low THEN 'low' END AS side FROM w JOIN f USING (step)) WHERE side IS NOT NULL) WHERE r <= 20")
+@query(f"WITH {M}, w AS (SELECT bin AS step, lot, pow(price / 100000, 6) * 1000000 AS price FROM m), {_BOX.replace('FROM m', 'FROM w')} SELECT step, lot, round(price, 0) AS price, side FROM (SELECT *, row_number() OVER (PARTITION BY step, side ORDER BY CASE side WHEN 'high' THEN -price ELSE price END, lot) r FROM (SELECT step, lot, price, CASE WHEN price > fence_high THEN 'high' WHEN price < fence_low THEN 'low' END AS side FROM w JOIN f USING (step)) WHERE side IS NOT NULL) WHERE r <= 20")
 def ag4_outliers(spark, d):
     w = measures(spark, d).select(F.col("bin").alias("step"), "lot", (F.pow(F.col("price") / 100000, F.lit(6)) * 1000000).alias("price"))
     return rounded(a.outliers(w, ["step"], "price", ["lot"], 20), 0)
