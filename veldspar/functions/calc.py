@@ -49,8 +49,8 @@ def fragment_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-#: A number in a text.
-NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
+# Fixed value: a number in a text.
+NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 
 
 def canonical_numbers(text: Column) -> Column:

@@ -58,7 +58,7 @@ def sc10_fragment_key(spark, d):
     return table(spark, d, "benchmark").select("item_id", c.fragment_key(F.col("text")).alias("key"))
 
 
-_NUM = "list_transform(regexp_extract_all(text, '\\d+(?:,\\d{3})*(?:\\.\\d+)?'), lambda n: regexp_replace(regexp_replace(regexp_replace(replace(n, ',', ''), '^0+(\\d)', '\\1'), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''))"
+_NUM = "list_transform(regexp_extract_all(text, '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?'), lambda n: regexp_replace(regexp_replace(regexp_replace(replace(n, ',', ''), '^0+(\\d)', '\\1'), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''))"
 
 
 @query(f"SELECT doc_id, array_to_string({_NUM}, ' ') AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')")
