@@ -1,5 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
+The vocabulary holds the words whose log odds of being in a toxic document differ clearly from zero.
+
 P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all thresholds, which are kept in order by
 positive gaps; x marks which words, and beginnings of words, of the
 vocabulary a text holds. The likelihood of the grades is maximised by
@@ -35,6 +37,7 @@ class Settings:
     sample_rows: int = 20_000
     vocabulary: int = 8_192
     top_grade: int = 3
+    least_z: float = 3.0
     marker_odds: float = 20.0
     marker_docs: int = 5
     steps: int = 60
@@ -108,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_col:
         return Model(s.buckets, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (n - toxic + 1))
     table = _word_table(sample, s).withColumn("odds", odds).withColumn("z", F.abs(odds) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5)))
-    top = table.orderBy(F.desc("z"), "bucket").limit(s.vocabulary).collect()
+    top = table.filter(F.col("z") >= s.least_z).orderBy(F.desc("z"), "bucket").limit(s.vocabulary).collect()
     words = np.array(sorted(r.bucket for r in top), np.int64)
     markers = {r.bucket for r in top if r.odds >= np.log(s.marker_odds) and r.toxic >= s.marker_docs}
     marked = np.array([int(w) in markers for w in words])
