@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veldspar.operators import aggregates
 from veldspar.plans import registry
-from veldspar.plans import q_aggregates, q_evidence, q_explore, q_joins, q_lineage, q_process, q_scalars, q_streams, q_verdicts, q_windows  # noqa: F401
+from veldspar.plans import q_aggregates, q_evidence, q_explore, q_joins, q_lineage, q_pixels, q_process, q_scalars, q_streams, q_verdicts, q_windows  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,31 @@ from pyspark.sql import types as T
 LADDER = ("bigint", "double", "timestamp")
 
 
+#: Encodings that Spark's reader knows; others are decoded file by file.
+SPARK_ENCODINGS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
+
+
+def _decoded(spark: SparkSession, path: str, sep: str, encoding: str, null: str) -> DataFrame:
+    """A delimited file with a header in another encoding (CP949, ...): a file must fit a task, a field has no line end."""
+
+    @F.pandas_udf(T.StringType())
+    def text(content):  # noqa: ANN001, ANN202
+        return content.map(lambda x: bytes(x).decode(encoding, "replace"))
+
+    whole = spark.read.format("binaryFile").load(path).select(F.split(text("content"), "\r?\n").alias("lines"))
+    names = whole.select(F.get("lines", F.lit(0)).alias("h")).first().h.split(sep)
+    kinds = ", ".join(f"`{n}` string" for n in names)
+    lines = whole.select(F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")).filter("line <> ''")
+    return lines.select(F.from_csv("line", kinds, {"sep": sep, "nullValue": null}).alias("r")).select("r.*")
+
+
 def load_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", null: str = "", decimal: str = ".", schema: str | None = None) -> DataFrame:
     """A delimited file with a header. With a schema, columns are cast and bad values become null; a decimal comma is
     read where ``decimal`` says so. Without one every column stays text (see demotions)."""
-    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, nullValue=null, multiLine=encoding.upper().startswith("UTF-16"))  # Spark can't cut UTF-16 at line ends
+    if encoding.upper() in SPARK_ENCODINGS:
+        raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, nullValue=null, multiLine=encoding.upper().startswith("UTF-16"))  # Spark can't cut UTF-16 at line ends
+    else:
+        raw = _decoded(spark, path, sep, encoding, null)
     if schema is None:
         return raw
     fields = T._parse_datatype_string(schema).fields
