@@ -34,7 +34,7 @@ def test_stages(spark, sf, tmp_path):
             assert after.columns == columns
         kept[name], docs = after.count(), after
     assert kept["toxicity"] < len(spark.read.parquet(f"{sf}/documents.parquet").collect())
-    assert ordinal.Settings().reject_at == 0.5
+    assert ordinal.Settings().reject_at == 0.6
 
 
 def test_stages_take_repeated_rows_and_nulls(spark, sf):
