@@ -175,10 +175,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary())], ["q_block", "q_ids", "q"])
 
     width = max(1, -(-asked.count() // QUERIES))
-    salts = max(1, 256 // width)  # few query blocks: their copies spread over more tasks
+    salts = max(1, min(blocks.count(), 64 // width))  # few query blocks: their copies spread over more tasks
     q_blocks = written(asked.select(F.pmod(F.xxhash64("id"), F.lit(width)).alias("q_block"), "id", "v").groupBy("q_block").applyInArrow(pack, "q_block long, q_ids binary, q binary"), "queries")
     cells = blocks.select(F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), "ids", "exact", "slices", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("q_block"))
-    paired = cells.join(q_blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")), ["q_block", "salt"])
+    paired = cells.join(q_blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")).hint("merge"), ["q_block", "salt"])  # query blocks grow with the queries: never broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
