@@ -7,7 +7,8 @@
    with all item passages by cosine; the norm is the window's whole TF-IDF norm, so what lies outside of the latent
    space counts against it.
 4. Around each candidate window the longest common subsequence of words with the whole item is taken, and the share
-   of the item's rarest words (its answer terms) that occur there. Both must reach their thresholds.
+   of the item's rarest words (its answer terms) that occur there. Both must reach their thresholds; a subsequence of
+   ``sure_lcs`` of an item of ``sure_words`` words or more is enough by itself.
 
 The benchmark is taken in slices of ``slice_items`` items; a slice and its model have a bounded size and travel with
 the tasks, and a larger benchmark takes more passes over the documents.
@@ -40,6 +41,8 @@ class Settings:
     min_cosine: float = 0.3
     min_lcs: float = 0.6
     min_answer: float = 0.5
+    sure_lcs: float = 0.7
+    sure_words: int = 8
     slice_items: int = 4096
     seed: int = 7
 
@@ -229,7 +232,8 @@ def _hits(batch: pa.RecordBatch, words: WordIds, model: tuple, s: Settings) -> p
             near = ids[offsets[d] + lo : min(offsets[d] + hi, offsets[d + 1])].tolist()
             terms = answers[item]
             best = max(best, (lcs(masks[item], size, near) / size, len(terms.intersection(near)) / len(terms)))
-        if best[0] >= s.min_lcs and best[1] >= s.min_answer:
+        sure = best[0] >= s.sure_lcs and size >= s.sure_words
+        if sure or best[0] >= s.min_lcs and best[1] >= s.min_answer:
             found.append((d, item_ids[item], cosine, *best))
     if found:
         d, item, cosine, ratio, share = zip(*found, strict=True)
