@@ -47,7 +47,7 @@ class Settings:
     samples: int = 2
     alpha: float = 1.0
     seed: int = 17
-    most_words: int = 150_000
+    most_words: int = 100_000
 
 
 _SLOT_BITS, _BASE, _SPREAD, _UNKNOWN = 19, 0x100000001B3, 0x9E3779B97F4A7C15, -11.5
