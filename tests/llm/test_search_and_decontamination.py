@@ -87,3 +87,17 @@ def test_recall_of_whole_texts(spark, sf):
     exact = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in r.text}
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
     assert exact <= got
+
+
+def test_recall_does_not_depend_on_the_number_of_items(spark):
+    rng = random.Random(4)
+    texts = [words(rng, 160) for _ in range(1000)]
+    docs = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    items = []
+    for i in range(3000):
+        d, size = i // 3, rng.randint(16, 50)
+        at = i % 3 * 50 + rng.randint(0, 50 - size)
+        items.append((i, " ".join(texts[d][at : at + size])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert {(i // 3, i) for i, _ in items} <= got

@@ -10,8 +10,10 @@
    of the item's rarest words (its answer terms) that occur there. Both must reach their thresholds; a subsequence of
    ``sure_lcs`` of an item of ``sure_words`` words or more is enough by itself.
 
-The benchmark is taken in slices of ``slice_items`` items; a slice and its model have a bounded size and travel with
-the tasks, and a larger benchmark takes more passes over the documents.
+The benchmark is taken in slices of ``slice_items`` items at most. A slice whose latent space of ``rank`` dimensions
+keeps less than ``kept`` of any passage's squared norm is cut further, so that recall doesn't depend on the benchmark's
+size (an item that fails alone gets a larger rank). A slice and its model have a bounded size; ``pass_slices`` of them
+travel with the tasks, and a larger benchmark takes more passes over the documents.
 
 Nulls and empty texts have no words and match nothing; null ids are kept as null. A repeated row gives its hits once
 a row. Items without words match nothing. Ties don't arise: every hit is returned. Other columns are not read.
@@ -20,11 +22,12 @@ a row. Items without words match nothing. Ties don't arise: every hit is returne
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm.common import WordIds, pieces
@@ -36,6 +39,7 @@ class Settings:
     window: int = 32
     rank: int = 256
     energy: float = 0.95
+    kept: float = 0.7
     stop_idf: float = 1.5
     power: int = 2
     min_cosine: float = 0.3
@@ -44,6 +48,7 @@ class Settings:
     sure_lcs: float = 0.7
     sure_words: int = 8
     slice_items: int = 4096
+    pass_slices: int = 8
     seed: int = 7
 
 
@@ -126,8 +131,8 @@ class Slice:
 
 
 def randomised_svd(matrix: DataFrame, columns: int, s: Settings) -> np.ndarray:
-    """Right singular vectors (columns x rank, float32) of a sparse matrix given as rows (col array<int>, val
-    array<float>). Every product with the matrix and its transpose runs over the partitions; the driver holds columns x
+    """Right singular vectors (columns x rank, float32; the largest first) of a sparse matrix given as rows (col
+    array<int>, val array<float>). Every product with the matrix and its transpose runs over the partitions; the driver holds columns x
     (rank + 16) numbers."""
     width = min(columns, s.rank + 16)
     rng = np.random.default_rng(s.seed)
@@ -160,11 +165,35 @@ def randomised_svd(matrix: DataFrame, columns: int, s: Settings) -> np.ndarray:
         basis = np.linalg.qr(gram(np.ascontiguousarray(basis)))[0].astype(np.float32)
     small = basis.T @ gram(np.ascontiguousarray(basis))  # = (A Q)' (A Q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values)
-    kept = np.maximum(values[order], 0)
-    share = np.cumsum(kept) / max(float(kept.sum()), 1e-12)
-    rank = min(s.rank, int(np.searchsorted(share, s.energy)) + 1, width)
-    return (basis @ vectors[:, order[:rank]]).astype(np.float32)
+    return (basis @ vectors[:, np.argsort(-values)[: s.rank]]).astype(np.float32)
+
+
+def latent_space(spark: SparkSession, part: Slice, s: Settings) -> np.ndarray | None:
+    """The slice's vectors, as many as keep ``energy`` of the whole matrix and ``kept`` of every passage; None if rank
+    is too small for the latter."""
+    matrix = part.matrix()
+    rows = spark.createDataFrame([(c.tolist(), v.tolist()) for c, v in matrix], "col array<int>, val array<float>")
+    vectors = randomised_svd(rows, len(part.vocabulary), s)
+    share = np.cumsum(np.stack([v @ vectors[c] for c, v in matrix if len(c)]) ** 2, axis=1)
+    if share[:, -1].min() < s.kept:
+        return None
+    rank = max(int(np.searchsorted(share.mean(axis=0), s.energy)), int(np.argmax(share.min(axis=0) >= s.kept))) + 1
+    return vectors[:, :rank]
+
+
+def _fitted(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray, s: Settings) -> Iterator[tuple[Slice, np.ndarray]]:
+    """The items in slices with their latent spaces, cut until every passage is kept."""
+    part = Slice(items, idf, s)
+    if not len(part.vocabulary):
+        return
+    if (latent := latent_space(spark, part, s)) is not None:
+        yield part, latent
+    elif len(items) == 1:
+        yield from _fitted(spark, items, idf, replace(s, rank=2 * s.rank))
+    else:
+        n = -(-len(items) // max(2, -(-3 * len(part.passages) // (4 * s.rank))))
+        for k in range(0, len(items), n):
+            yield from _fitted(spark, items[k : k + n], idf, s)
 
 
 def lcs(mask: dict[int, int], n: int, words: list[int]) -> int:
@@ -178,11 +207,10 @@ def lcs(mask: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def _hits(batch: pa.RecordBatch, words: WordIds, model: tuple, s: Settings) -> pa.RecordBatch | None:
-    """The documents of a batch (doc_id, text) that hold an item of the slice."""
-    items, folded, row_of, idf2, owner, item_ids, item_words, masks, answers = model
+def _hits(doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray, idf2: np.ndarray, model: tuple, s: Settings) -> pa.RecordBatch | None:
+    """The documents of a batch, given by their ids and words, that hold an item of the slice."""
+    items, folded, row_of, owner, item_ids, item_words, masks, answers = model
     half = s.window // 2
-    ids, offsets = words.column(batch.column(1))
     if not len(ids):
         return None
     lengths = np.diff(offsets)
@@ -237,24 +265,28 @@ def _hits(batch: pa.RecordBatch, words: WordIds, model: tuple, s: Settings) -> p
             found.append((d, item_ids[item], cosine, *best))
     if found:
         d, item, cosine, ratio, share = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(ratio, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_share"])
+        return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(cosine, pa.float64()), pa.array(ratio, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_share"])
     return None
 
 
-def _search(docs: DataFrame, part: Slice, latent: np.ndarray, s: Settings) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    rows = part.matrix()
-    items = np.stack([v @ latent[c] for c, v in rows])
+def _model(part: Slice, latent: np.ndarray, s: Settings) -> tuple:
+    items = np.stack([v @ latent[c] for c, v in part.matrix()])
     folded = (latent * part.idf[part.vocabulary][:, None]).astype(np.float32)
     row_of = np.full(s.buckets, -1, np.int32)
     row_of[part.vocabulary] = np.arange(len(part.vocabulary), dtype=np.int32)
-    model = sc.broadcast((items.T.astype(np.float32).copy(), folded, row_of, part.idf**2, part.owner, part.item_ids, part.item_words, part.masks, part.answers))
+    return items.T.astype(np.float32).copy(), folded, row_of, part.owner, part.item_ids, part.item_words, part.masks, part.answers
+
+
+def _search(docs: DataFrame, models: list[tuple], idf: np.ndarray, s: Settings) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((idf**2, models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(s.buckets)
+        words, (idf2, models) = WordIds(s.buckets), shared.value
         for batch in pieces(batches, "text", 1 << 20):
-            if (found := _hits(batch, words, model.value, s)) is not None:
-                yield found
+            ids, offsets = words.column(batch.column(1))
+            for model in models:
+                if (found := _hits(batch.column(0), ids, offsets, idf2, model, s)) is not None:
+                    yield found
 
     return docs.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double")
 
@@ -265,20 +297,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     idf = inverse_frequency(word_counts(docs, s, text_col), s.window, s.stop_idf)
     ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null").distinct().orderBy("item_id", "text")
-    out, held = None, []
-
-    def add(out: DataFrame | None) -> DataFrame | None:
-        part = Slice(held, idf, s)
-        if not len(part.vocabulary):
-            return out
-        rows = spark.createDataFrame([(c.tolist(), v.tolist()) for c, v in part.matrix()], "col array<int>, val array<float>")
-        found = _search(texts, part, randomised_svd(rows, len(part.vocabulary), s), s)
-        return found if out is None else out.union(found)
-
-    for row in ordered.toLocalIterator():  # one slice at a time
-        held.append((row.item_id, row.text))
-        if len(held) == s.slice_items:
-            out, held = add(out), []
-    if held:
-        out = add(out)
+
+    def slices() -> Iterator[list[tuple[int, str]]]:
+        held: list[tuple[int, str]] = []
+        for row in ordered.toLocalIterator():
+            held.append((row.item_id, row.text))
+            if len(held) == s.slice_items:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    models = (_model(part, latent, s) for items in slices() for part, latent in _fitted(spark, items, idf, s))
+    out = None
+    while some := list(islice(models, s.pass_slices)):  # one pass over the documents
+        found = _search(texts, some, idf, s)
+        out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double")
