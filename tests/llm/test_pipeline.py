@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from veldspar.llm import decontam, ordinal, secrets, simhash
 
@@ -45,3 +47,15 @@ def test_stages_take_repeated_rows_and_nulls(spark, sf):
     assert corpus_pipeline.secret_scan(spark, docs, sf).count() == 4
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_duplicates_decides_by_row(spark, sf):
+    rng = random.Random(6)
+    text = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0], "en", "s", 1), (None, text[1], "en", "s", 1), (None, text[1], "en", "s", 1), (None, text[2], "en", "s", 1), (3, text[2], "en", "s", 1)]
+    rows += [(5, text[3], "en", "s", 1), (5, text[3], "en", "s", 1), (1, text[4], "en", "s", 1), (7, text[4], "en", "s", 1), (7, text[5], "en", "s", 1), (7, text[5], None, "en", 1)]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    want = sorted([(-1, text[0]), (-1, text[1]), (3, text[2]), (5, text[3]), (1, text[4]), (7, text[5])])
+    for some, kept in ((rows, want), ([r for r in rows if r[0] is None], sorted((-1, t) for t in text[:3]))):
+        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(some, schema), sf).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got) == kept
