@@ -187,3 +187,51 @@ def test_sampling_without_replacement():
         second = sum(r * q / (1 - r) for u, r in p.items() if u != t)
         assert abs(sum(x == t for x in paths[0].values()) / n - q) < 0.012
         assert abs(sum(x == t for x in paths[1].values()) / n - second) < 0.012
+
+
+def plain_segmentations(w, text):
+    """All piece sequences of a text without unknown characters and their probabilities, by recursion over each word."""
+
+    def of_word(word):
+        if not word:
+            return [((), 1.0)]
+        return [((w.vocabulary[word[:k]], *rest), w.weight[w.vocabulary[word[:k]]] * p) for k in range(1, len(word) + 1) if w.vocabulary.get(word[:k], -1) >= 0 for rest, p in of_word(word[k:])]
+
+    out = [((), 1.0)]
+    for word in w.split(text):
+        found = of_word(word)
+        total = sum(p for _, p in found)
+        out = [(a + b, p * q / total) for a, p in out for b, q in found]
+    return dict(out)
+
+
+@pytest.mark.parametrize("text", ["a", "I", "on", "the", "a I", "to be"])
+def test_every_segmentation_comes_out(text):
+    w = pieces.Words(pieces.Settings())
+    want = plain_segmentations(w, text)
+    n = 30
+    seeds = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    got = [{} for _ in range(n)]
+    for who, log_prob, _, threshold, offsets, ids in pieces.sample_batch(w, [text] * n, seeds, len(want) + 2):
+        for i, a, b, x in zip(who.tolist(), offsets[:-1], offsets[1:], log_prob.tolist(), strict=True):
+            assert tuple(ids[a:b].tolist()) not in got[i]
+            got[i][tuple(ids[a:b].tolist())] = math.exp(x)
+        assert np.all(np.isneginf(threshold))
+    for x in got:
+        assert set(x) == set(want) and all(math.isclose(x[p], want[p], rel_tol=1e-9) for p in want)
+
+
+def test_what_taken_paths_leave():
+    w = pieces.Words(pieces.Settings())
+    (number,), = w.numbers(["the"])
+    tables, root = pieces._Tables(w), int(w.root[number])
+    taken, left = [], 1.0
+    rng = __import__("random").Random(3)
+    want = plain_segmentations(w, "the")
+    for _ in range(len(want)):
+        path, log_p = tables.other(root, taken, rng)
+        assert path not in taken
+        taken.append(path)
+        left = sum(p for t, p in want.items() if t not in {tuple(tables.piece[list(x)].tolist()) for x in taken})
+        assert math.isclose(math.exp(tables.log_rest(root, taken)), left, rel_tol=1e-9, abs_tol=1e-300)
+        assert math.isclose(math.exp(log_p), want[tuple(tables.piece[list(path)].tolist())], rel_tol=1e-9)

@@ -109,7 +109,7 @@ class WordIds(dict):
     #: Stripped from both ends of a word.
     EDGES = ".,;:!?\"'()[]{}<>|*#$%&+-_=/\\~`^…–—“”„«»"
 
-    def __init__(self, buckets: int, most: int = 1_000_000):
+    def __init__(self, buckets: int, most: int = 150_000):
         super().__init__()
         self.buckets, self.most = buckets, most
 

@@ -72,7 +72,7 @@ class _Features(dict):
         self.buckets, self.place = buckets, {int(w): i for i, w in enumerate(words)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         at = tuple(self.place[b] for b in _ids(word, self.buckets) if b in self.place)
         if len(word) <= 64:

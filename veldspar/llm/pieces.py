@@ -10,7 +10,9 @@ exact perturbed maximum of its paths, so the first paths that come out are the r
   located at log P(words before i) + log(1 - P(word i)), with a Gumbel variable truncated at its parent's,
 * the set with the largest variable is split next.
 
-No piece of the model crosses a space or a newline, so the lattice is a chain of word lattices, which are kept by word.
+No piece of the model crosses a space or a newline, so the lattice is a chain of word lattices, which are kept by word
+up to ``most_edges`` and forgotten at the end of a task. Masses are sums in logarithms, without differences, so sets of
+very small probability are kept like others.
 Random numbers are hashes of (row key, sample, word, step): partitioning and batches don't change a result.
 
 The model file's path is a parameter; BPE models carry ranks instead of probabilities, so a piece of rank r weighs
@@ -47,7 +49,7 @@ class Settings:
     samples: int = 2
     alpha: float = 1.0
     seed: int = 17
-    most_words: int = 100_000
+    most_edges: int = 1_500_000  # of the kept lattices, at 24 bytes
 
 
 _SLOT_BITS, _BASE, _SPREAD, _UNKNOWN = 19, 0x100000001B3, 0x9E3779B97F4A7C15, -11.5
@@ -90,7 +92,7 @@ class Words(dict):
             for k in range(1, len(piece)):
                 self.vocabulary.setdefault(piece[:k], -1)
         self.longest = max(map(len, self.vocabulary))
-        self.log_weight = np.log(np.maximum(np.array(self.weight), 1e-300)).astype(np.float32)
+        self.log_weight = np.log(np.maximum(np.array(self.weight), 1e-300))
         size = 1 << _SLOT_BITS
         self.keys, self.ids = np.zeros(size, np.uint64), np.full(size, -2, np.int32)
         known = list(self.vocabulary.items())
@@ -102,14 +104,22 @@ class Words(dict):
         self.reset()
 
     def reset(self) -> None:
+        """Forget all words; the room that they took is given back."""
         self.clear()
-        self.n_nodes, self.n_edges, self.n_words = 1, 0, 0
-        self.first, self.root = np.zeros(1 << 16, np.int32), np.zeros(1 << 13, np.int32)
-        self.cum, self.logq = np.zeros(1 << 17, np.float32), np.zeros(1 << 17, np.float32)
-        self.target, self.piece = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32)
+        self.n_nodes, self.n_edges, self.n_words, self.new = 1, 0, 0, []
+        size = self.settings.most_edges * 5 // 4  # memory that isn't written to isn't taken
+        self.first, self.root = np.zeros(size // 2, np.int32), np.zeros(size // 8, np.int32)
+        self.cum, self.logq = np.zeros(size), np.zeros(size)
+        self.target, self.piece = np.zeros(size, np.int32), np.zeros(size, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        """A new word's number; its lattice is still to be built."""
+        self.new.append(word)
+        self[word] = number = self.n_words + len(self.new) - 1
+        return number
 
     def _room(self, nodes: int, edges: int, words: int) -> None:
-        for names, need in ((("first",), self.n_nodes + nodes), (("cum", "logq", "target", "piece"), self.n_edges + edges), (("root",), self.n_words + words)):
+        for names, need in ((("first",), self.n_nodes + nodes + 1), (("cum", "logq", "target", "piece"), self.n_edges + edges), (("root",), self.n_words + words)):
             for name in names:
                 old = getattr(self, name)
                 if need > len(old):
@@ -129,95 +139,101 @@ class Words(dict):
         return ids
 
     def add(self, new: list[str]) -> None:
-        """Build the lattices of new words, all at once."""
+        """Build the lattices of the words that have the next numbers, all at once: nodes are numbered by their distance from the word's end, and
+        log q of an edge, its probability from its node on, is exact to the last digits even where q is close to 1."""
         lengths = np.fromiter(map(len, new), np.int64, len(new))
         chars = np.frombuffer(("\0".join(new) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(chars)  # a slot for each character and one for each word's end
+        n, most = len(chars), self.longest  # a slot for each character and one for each word's end
         end_of = np.cumsum(lengths + 1) - 1
-        room = np.repeat(end_of, lengths + 1) - np.arange(n)
-        most = self.longest
-        weights = np.full((n, most), -np.inf, np.float32)
-        found, h, alive = [], np.zeros(n, np.uint64), np.flatnonzero(room)
+        room = (np.repeat(end_of, lengths + 1) - np.arange(n)).astype(np.int32)
+        plus = chars.astype(np.uint64) + np.uint64(1)
+        alive = np.flatnonzero(room)
+        h, counts, found = np.zeros(len(alive), np.uint64), np.zeros(n, np.int32), []
         for size in range(1, most + 1):
-            alive = alive[room[alive] >= size]
+            if size > 1:
+                fits = room[alive] >= size
+                alive, h = alive[fits], h[fits]
             if not len(alive):
                 break
             with np.errstate(over="ignore"):
-                h[alive] = h[alive] * np.uint64(_BASE) + (chars[alive + size - 1].astype(np.uint64) + np.uint64(1))
-                ids = self._find(h[alive])
-            has = ids >= 0
+                h = h * np.uint64(_BASE) + plus[alive + (size - 1)]
+            ids = self._find(h)
             if size == 1:  # no piece for the character: its bytes, as likely as the rarest pieces
-                ids = np.where(has, ids, -1 - (ids == -2))
-                found.append((1, alive, np.maximum(ids, -1)))
-                weights[alive, 0] = np.where(has, self.log_weight[np.maximum(ids, 0)], _UNKNOWN)
+                found.append((alive, np.maximum(ids, -1)))
+                ids = np.where(ids >= 0, ids, -1 - (ids == -2))
+                counts[alive] = 1
             else:
-                found.append((size, alive[has], ids[has]))
-                weights[alive[has], size - 1] = self.log_weight[ids[has]]
-            alive = alive[ids > -2]
-        beta = np.full(n + most, -np.inf, np.float64)
-        beta[end_of] = 0.0
-        order = np.argsort(room.astype(np.int32), kind="stable")
-        ends = np.cumsum(np.bincount(room))
-        plain, linear = np.zeros(n + most), np.exp(weights)  # shorter words need no logarithms: nothing underflows
-        plain[end_of] = 1.0
-        for level in range(1, len(ends)):
-            nodes = order[ends[level - 1] : ends[level]]
-            reach = min(level, most)
-            ahead = nodes[:, None] + np.arange(1, reach + 1)
-            if level <= 40:
-                plain[nodes] = np.einsum("ij,ij->i", linear[nodes, :reach], plain[ahead])
-                beta[nodes] = np.log(plain[nodes])
-            else:
-                x = weights[nodes, :reach] + beta[ahead]
-                top = x.max(axis=1)
-                beta[nodes] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        counts = np.zeros(n, np.int64)
-        for _, src, _ in found:
-            counts[src] += 1
-        # further bytes of a character without a piece: a chain of nodes with one edge each
-        unknown = found[0][1][found[0][2] < 0] if found else np.zeros(0, np.int64)
-        raw = [chr(c).encode("utf-8", "replace") for c in chars[unknown].tolist()]
-        more = sum(len(r) - 1 for r in raw)
+                has = ids >= 0
+                found.append((alive[has], ids[has]))
+                counts[found[-1][0]] += 1
+            alive, h = alive[ids > -2], h[ids > -2]
+        order = np.argsort(room.astype(np.uint16) if lengths.max(initial=0) < 1 << 16 else room, kind="stable")[len(new) :]
+        levels = np.cumsum(np.bincount(room, minlength=1)) - len(new)  # nodes of levels 0 to k
+        rank = np.zeros(n, np.int32)  # of a slot; the ends are rank 0
+        rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
         total = int(counts.sum())
-        self._room(n + more, total + more, len(new))
-        base, at = self.n_nodes, self.n_edges
-        place = at + np.cumsum(counts) - counts
-        self.first[base : base + n] = place
-        fill = place.copy()
-        source = np.empty(total, np.int64)
-        for size, src, ids in reversed(found):  # longer pieces first: they are the likelier ones
+        place = np.zeros(len(order) + 1, np.int64)
+        np.cumsum(counts[order], out=place[1:])
+        fill = np.zeros(n, np.int64)
+        fill[order] = place[:-1]
+        target, piece, weight = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        for size in range(len(found), 0, -1):  # longer pieces first: they are the likelier ones
+            src, ids = found[size - 1]
             e = fill[src]
             fill[src] += 1
-            self.target[e] = np.where(room[src] == size, 0, base + src + size)
-            self.piece[e] = ids
-            self.logq[e] = weights[src, size - 1] + beta[src + size] - beta[src]
-            source[e - at] = src
+            target[e], piece[e] = rank[src + size], ids
+            weight[e] = self.log_weight[ids] if size > 1 else np.where(ids >= 0, self.log_weight[np.maximum(ids, 0)], _UNKNOWN)
+        beta, cum = np.zeros(len(order) + 1), np.empty(total)
+        for k in range(1, len(levels)):
+            a, b = int(levels[k - 1]), int(levels[k])
+            if a == b:
+                continue
+            start, stop = place[a], place[b]
+            first, each = place[a:b] - start, np.diff(place[a : b + 1])
+            x = weight[start:stop] + beta[target[start:stop]]
+            top = np.maximum.reduceat(x, first)
+            x -= np.repeat(top, each)
+            likely = np.exp(x)
+            whole = np.add.reduceat(likely, first)
+            log_whole = np.log(whole)
+            beta[a + 1 : b + 1] = top + log_whole
+            weight[start:stop] = x - np.repeat(log_whole, each)
+            run = np.cumsum(likely)
+            run -= np.repeat((run - likely)[first], each)
+            cum[start:stop] = run / np.repeat(whole, each)
+            likely[x == 0.0] = 0.0
+            sure = np.flatnonzero((x == 0.0) & (np.repeat(whole, each) < 2.0))  # more than half: from what the others have
+            weight[start + sure] = -np.log1p(np.repeat(np.add.reduceat(likely, first), each)[sure])
+        cum[place[1:] - 1] = 2.0
+        # further bytes of a character without a piece: a chain of nodes with one edge each
+        unknown = found[0][0][found[0][1] < 0] if found else np.zeros(0, np.int64)
+        raw = [chr(c).encode("utf-8", "replace") for c in chars[unknown].tolist()]
+        more = sum(len(r) - 1 for r in raw)
+        self._room(len(order) + more, total + more, len(new))
+        base, at = self.n_nodes - 1, self.n_edges  # rank r is node base + r, rank 0 node 0
+        self.first[base + 1 : base + 1 + len(order)] = at + place[:-1]
         span = slice(at, at + total)
-        q = np.exp(self.logq[span].astype(np.float64))
-        run = np.cumsum(q)
-        self.cum[span] = run - (run - q)[(place - at)[source]] if total else 0
-        last = (place + counts - 1)[counts > 0]
-        self.cum[last] = 2.0
-        node, edge = base + n, at + total
-        for src, r in zip(unknown.tolist(), raw, strict=True):
-            e = int(place[src] + counts[src] - 1)  # the shortest step is the last
+        self.target[span] = np.where(target > 0, base + target, 0)
+        self.piece[span], self.logq[span], self.cum[span] = piece, weight, cum
+        node, edge = base + 1 + len(order), at + total
+        for slot, r in zip(unknown.tolist(), raw, strict=True):
+            e = at + int(place[rank[slot]]) - 1  # the shortest step is the last
             self.piece[e] = self.bytes[r[0]]
             for b in r[1:]:
                 self.first[node], self.target[edge], self.target[e] = edge, self.target[e], node
                 self.piece[edge], self.cum[edge], self.logq[edge] = self.bytes[b], 2.0, 0.0
                 e, node, edge = edge, node + 1, edge + 1
-        roots = np.where(lengths > 0, base + end_of - lengths, 0)
-        self.root[self.n_words : self.n_words + len(new)] = roots
-        self.update(zip(new, range(self.n_words, self.n_words + len(new)), strict=True))
+        self.root[self.n_words : self.n_words + len(new)] = np.where(lengths > 0, base + rank[end_of - lengths], 0)
         self.n_nodes, self.n_edges, self.n_words = node, edge, self.n_words + len(new)
+        self.first[node] = edge  # a node's edges end where those of the next begin
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """The word numbers of each text; words not met before are added."""
-        split = [self.split(t or "") for t in texts]
-        new = set().union(*split).difference(self) if split else set()
-        if new:
-            self.add(list(new))
-        return [np.fromiter(map(self.__getitem__, x), np.int32, len(x)) for x in split]
+        each = [np.array([self[x] for x in self.split(t or "")], np.int32) for t in texts]
+        if self.new:
+            new, self.new = self.new, []
+            self.add(new)
+        return each
 
     def split(self, text: str) -> list[str]:
         return (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ") if text else []
@@ -250,7 +266,7 @@ class _Tables:
         node, key = nodes[alive], keys[alive].copy()
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(alive):
-            u = _uniform(key).astype(np.float32)
+            u = _uniform(key)
             edge = self.first[node]
             late = np.flatnonzero(u > self.cum[edge])
             while len(late):
@@ -269,36 +285,61 @@ class _Tables:
             edges[offsets[who] + t] = edge
         return logp, offsets, edges
 
-    def other(self, root: int, taken: list[tuple[int, ...]], rng: random.Random) -> tuple[tuple[int, ...], float] | None:
-        """A path from root that none of the taken ones is, drawn by its probability; None if none is found.
-
-        Splits by the first taken path: the step at which the new one leaves it, then another edge there, then a free
-        walk; what hits another taken path is drawn again."""
-        path = taken[0]
-        logq = self.logq[list(path)].tolist()
-        leave, before = [], 0.0
-        for x in logq:
-            leave.append(math.exp(before) * -math.expm1(x))
-            before += x
-        if sum(leave) <= 0:
-            return None
-        for _ in range(1000):
-            t = rng.choices(range(len(path)), leave)[0]
-            node = root if t == 0 else int(self.target[path[t - 1]])
-            new, skip = list(path[:t]), path[t]
-            while node:
-                e = last = int(self.first[node])
-                while self.cum[last] < 1.5:
-                    last += 1
-                found = [x for x in range(e, last + 1) if x != skip]
-                if not found:
-                    break
-                new.append(found[0] if len(found) == 1 else rng.choices(found, [math.exp(x) for x in self.logq[found].tolist()])[0])
-                node, skip = int(self.target[new[-1]]), -1
-            else:
-                if tuple(new) not in taken:
-                    return tuple(new), sum(self.logq[new].tolist())
-        return None
+    def edges_of(self, node: int) -> list[tuple[int, float]]:
+        """The edges of a node with their log-probabilities."""
+        a, b = int(self.first[node]), int(self.first[node + 1])
+        return list(zip(range(a, b), self.logq[a:b].tolist(), strict=True))
+
+    def other(self, root: int, taken: list[tuple[int, ...]], rng: random.Random) -> tuple[tuple[int, ...], float]:
+        """A path from root that none of the taken ones is, drawn by its probability, and its log-probability.
+
+        Edges that begin a taken path weigh what the taken paths leave below them; the others all of theirs."""
+        left = _left(self, root, taken)
+        new: list[int] = []
+        node, level = root, left
+        while node:
+            found = self.edges_of(node)
+            logs = [x + (level[e][0] if level and e in level else 0.0) for e, x in found]
+            top = max(logs)
+            e = (found[0] if len(found) == 1 else rng.choices(found, [math.exp(x - top) for x in logs])[0])[0]
+            new.append(e)
+            node, level = int(self.target[e]), level[e][1] if level and e in level else None
+        return tuple(new), float(self.logq[new].sum())
+
+    def log_rest(self, root: int, taken: list[tuple[int, ...]]) -> float:
+        """The log of the mass of all paths from root but for the taken ones: a sum, without differences."""
+        left = _left(self, root, taken)
+        return _log_sum([x + (left[e][0] if e in left else 0.0) for e, x in self.edges_of(root)])
+
+
+def _log_sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in logs))
+
+
+def _left(tables: _Tables, root: int, taken: list[tuple[int, ...]]) -> dict[int, tuple[float, dict]]:
+    """Of the taken paths as a tree: edge -> (log of the share below it that isn't taken, the edges that follow)."""
+    tree: dict[int, dict] = {}
+    for path in taken:
+        at = tree
+        for e in path:
+            at = at.setdefault(e, {})
+    out: dict[int, tuple[float, dict]] = {}
+    todo = [(tree, out, False)]
+    while todo:  # depth first without recursion: words may be long
+        level, result, ready = todo.pop()
+        if not ready:
+            todo.append((level, result, True))
+            for e, below in level.items():
+                result[e] = (0.0, {})
+                todo.append((below, result[e][1], False))
+        else:
+            for e, below in level.items():
+                follow = result[e][1]
+                node = int(tables.target[e])
+                log = _log_sum([y + (follow[x][0] if x in follow else 0.0) for x, y in tables.edges_of(node)]) if node else -math.inf
+                result[e] = (log, follow)
+    return out
 
 
 def _truncated(location: np.ndarray, top: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -343,13 +384,8 @@ def sample_batch(w: Words, texts: list[str | None], seeds: np.ndarray, samples:
         for d in who[parent[who] >= 0].tolist():
             old, at = branches[parent[d]], int(start[d] + cut[d])
             own = old["spent"].get(at) or [path_at(int(parent[d]), at)]
-            rng = random.Random(f"{seeds[d]} {k} {cut[d]}")
-            found = tables.other(int(roots[at]), own, rng)
-            if found is None:
-                has[d] = False
-                old["g"][at] = -np.inf
-                continue
-            changed[at], of_word[at] = found[0], found[1]
+            found = tables.other(int(roots[at]), own, random.Random(f"{seeds[d]} {k} {cut[d]}"))
+            changed[at], of_word[at] = found
             spent[at] = [*own, found[0]]
             old["g"][at] = -np.inf  # what is left of it goes on as a set of the new branch
             copy = slice(int(start[d]), at)
@@ -358,11 +394,11 @@ def sample_batch(w: Words, texts: list[str | None], seeds: np.ndarray, samples:
         before = np.cumsum(of_word) - of_word
         before -= before[start[:-1].clip(0, max(len(words) - 1, 0))][doc] if len(words) else 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = -np.expm1(of_word)
+            rest = np.log(-np.expm1(of_word))
             for at, own in spent.items():
-                rest[at] = 1.0 - sum(math.exp(float(tables.logq[list(p)].astype(np.float64).sum())) for p in own)
+                rest[at] = tables.log_rest(int(roots[at]), own)
             own_word = (position >= np.where(has, cut, count).astype(np.uint64)[doc]) if len(words) else np.zeros(0, bool)
-            location = np.where(own_word & (rest > 1e-6), before + np.log(np.maximum(rest, 1e-300)), -np.inf)
+            location = np.where(own_word, before + rest, -np.inf)
         with np.errstate(over="ignore"):
             g = _truncated(location, top[doc], word_key ^ (np.uint64(k + 1) * np.uint64(0xC2B2AE3D27D4EB4F)))
         total = np.zeros(n_docs)
@@ -403,27 +439,24 @@ def sample_batch(w: Words, texts: list[str | None], seeds: np.ndarray, samples:
     threshold = best()[0]
     for k, b in enumerate(branches):
         who = np.flatnonzero(b["has"])
-        lengths = np.zeros(len(words), np.int64)
-        mine = b["slot"] >= 0
-        lengths[mine] = np.diff(b["offsets"])
-        for at, path in b["changed"].items():
-            lengths[at] = len(path)
-        copied = np.flatnonzero(b["source"] != k)
-        paths = {int(at): path_at(k, int(at)) for at in copied}
-        for at, path in paths.items():
+        lengths, parts = np.zeros(len(words), np.int64), []
+        wanted = b["has"][doc]
+        for j, old in enumerate(branches[: k + 1]):
+            some = np.flatnonzero(wanted & (b["source"] == j) & (old["slot"] >= 0))
+            lengths[some] = np.diff(old["offsets"])[old["slot"][some]]
+            parts.append(some)
+        changed = {at: path for j, old in enumerate(branches[: k + 1]) for at, path in old["changed"].items() if wanted[at] and b["source"][at] == j}
+        for at, path in changed.items():
             lengths[at] = len(path)
-        lengths[~b["has"][doc]] = 0
         place = np.concatenate(([0], np.cumsum(lengths)))
         out = np.empty(int(place[-1]), np.int32)
-        usual = np.flatnonzero(mine & b["has"][doc])
-        spans = np.diff(b["offsets"])[b["slot"][usual]]
-        if len(usual):
-            shift = np.repeat(place[usual] - b["offsets"][b["slot"][usual]], spans)
-            inside = np.repeat(b["offsets"][b["slot"][usual]], spans) + (np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans))
-            out[inside + shift] = tables.piece[b["edges"][inside]]
-        for at, path in {**paths, **b["changed"]}.items():
-            if b["has"][doc[at]]:
-                out[place[at] : place[at + 1]] = tables.piece[list(path)]
+        for some, old in zip(parts, branches, strict=False):
+            if len(some):
+                begin, spans = old["offsets"][old["slot"][some]], lengths[some]
+                inside = np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
+                out[np.repeat(place[some], spans) + inside] = tables.piece[old["edges"][np.repeat(begin, spans) + inside]]
+        for at, path in changed.items():
+            out[place[at] : place[at + 1]] = tables.piece[list(path)]
         by_doc = place[start]
         yield who, b["total"][who], b["top"][who], threshold[who], np.concatenate(([0], np.cumsum(by_doc[who + 1] - by_doc[who]))), out
 
@@ -444,22 +477,25 @@ def encode(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _words(s)
         table = pa.array(w.text, pa.large_binary())
-        for batch in text_pieces(batches, "text", 1 << 19):
-            if len(w) > s.most_words:
-                w.reset()
-            keys, texts = batch.column(0), batch.column(1)
-            with np.errstate(over="ignore"):
-                seeds = np.array([zlib.crc32(str(x).encode()) for x in keys.to_pylist()], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(s.seed)
-            whole = pa.array([b" " + t if t else b"" for t in texts.cast(pa.binary()).to_pylist()], pa.large_binary())
-            for k, (who, log_prob, top, threshold, offsets, ids) in enumerate(sample_batch(w, texts.to_pylist(), seeds, s.samples)):
-                if not len(who):
-                    continue
-                rows = pa.array(who, pa.int64())
-                with np.errstate(over="ignore", divide="ignore"):
-                    gap = log_prob - threshold
-                    inclusion = np.where(gap > 700, 0.0, np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700))))))
-                same = pc.equal(decoded(offsets, ids, table), pc.take(whole, rows))
-                yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(np.full(len(who), k + 1, np.int32)), pa.array(np.diff(offsets)), pa.array(log_prob), pa.array(top), pa.array(inclusion), same, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "pieces"])
+        try:
+            for batch in text_pieces(batches, "text", 1 << 19):
+                if w.n_edges > s.most_edges:
+                    w.reset()
+                keys, texts = batch.column(0), batch.column(1)
+                with np.errstate(over="ignore"):
+                    seeds = np.array([zlib.crc32(str(x).encode()) for x in keys.to_pylist()], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(s.seed)
+                whole = pa.array([b" " + t if t else b"" for t in texts.cast(pa.binary()).to_pylist()], pa.large_binary())
+                for k, (who, log_prob, top, threshold, offsets, ids) in enumerate(sample_batch(w, texts.to_pylist(), seeds, s.samples)):
+                    if not len(who):
+                        continue
+                    rows = pa.array(who, pa.int64())
+                    with np.errstate(over="ignore", divide="ignore"):
+                        gap = log_prob - threshold
+                        inclusion = np.where(gap > 700, 0.0, np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700))))))
+                    same = pc.equal(decoded(offsets, ids, table), pc.take(whole, rows))
+                    yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(np.full(len(who), k + 1, np.int32)), pa.array(np.diff(offsets)), pa.array(log_prob), pa.array(top), pa.array(inclusion), same, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "pieces"])
+        finally:
+            w.reset()  # the worker goes on to other tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
