@@ -87,3 +87,60 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 300)}}
     assert np.all([r == 0 for v, r in found.items() if v <= 50])
+
+
+def shingles(text, width=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
+
+
+def brute_similar(texts, least=0.8):
+    """Group number of each text: components of the pairs with so similar sets of shingles."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randint(0, 1)] = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(0, 1))]
+    return words
+
+
+def test_similar_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "one two", "ONE  two", "one two three four five", "one two three four six"]
+    for size in (12, 40, 150, 600):
+        for _ in range(12):
+            base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(size)]
+            texts += [" ".join(edited(rng, base, rng.randint(0, max(1, size // 40)))) for _ in range(rng.randint(1, 5))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, fp int")
+    got = {r.key: r.group for r in s.similar(df, "doc_id").collect()}
+    assert same_partition([got[i] for i in range(len(texts))], brute_similar(texts))
+    assert s.similar(df.limit(0), "doc_id").count() == 0
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(100)]
+    texts = [" ".join(edited(rng, base, 1)) for _ in range(900)] + [" ".join(rng.choices(base, k=100)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r.group for r in s.similar(df, "doc_id", s=s.Similar(cell=32, heavy=100)).collect()}
+    assert same_partition([got[i] for i in range(len(texts))], brute_similar(texts))

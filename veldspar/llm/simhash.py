@@ -11,11 +11,21 @@ within 4 bits of each other, so a star to the smallest holds the same components
 Nulls: a null text counts as empty; null ids get a fingerprint and, where no other row shares their group, a null
 component. Repeated ids are classed row by row. Empty and white-space texts have fingerprint 0 and link like others.
 An empty table gives an empty result. Only the id and text columns are read, so other columns may have any name.
+
+``similar`` finds texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. Whole-text
+fingerprints of such texts differ in about ten bits, more than a ball can cover, so each text also gets ``samples``
+fingerprints of the ``smallest`` shingle hashes under as many permutations; two texts share one with probability
+similarity ** smallest. Balls around the whole-text fingerprint and equal sample fingerprints give candidates, which
+are verified on the whole sets. In a bucket of up to ``before`` + 1 texts all are compared; in a larger one every text
+with the bucket's smallest, with the smallest of its salt and with ``before`` others of its cell, in another order in
+every bucket, so that a bucket with a third of all texts is neither paired nor gathered in a task. What a large bucket
+leaves out, links over third texts and other buckets make up for: groups are connected components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -24,29 +34,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import components, pieces, written
+from veldspar.llm.common import bounded_broadcast, components, pieces, written
 
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of one text's word shingles, repeats included."""
-    words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white-space bytes
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles in order, repeats included, in blocks; fewer words make one shingle."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     first, last = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, _BLOCK):
         span = slice(at, at + _BLOCK)
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(first[span], last[span], strict=True)], dtype="<u8")
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(first[span], last[span], strict=True)], dtype="<u8")
+
+
+def majority(blocks: Iterator[np.ndarray]) -> int:
+    """Signed 64-bit number whose bits are those that are set in more than half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of one text's word shingles, repeats included."""
+    words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white-space bytes
+    return majority(shingle_hashes(words, width, seed)) if words else 0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp): one row a document, in Arrow batches; nothing is shuffled."""
 
@@ -109,3 +129,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+@dataclass(frozen=True)
+class Similar:
+    width: int = 5
+    similarity: float = 0.8
+    distance: int = 4
+    samples: int = 8
+    smallest: int = 3
+    salts: int = 32
+    cell: int = 256  # texts of a bucket that are ordered together
+    before: int = 12  # of these, how many each text is compared with
+    heavy: int = 512  # partners of one text from which its set is sent in copies
+
+
+def _sketch(text: bytes, s: Similar) -> tuple[int, ...]:
+    """Of a text: hash of its words, whole fingerprint, and the sample fingerprints."""
+    words = text.lower().split()
+    same = np.array([xxhash.xxh64_intdigest(b" ".join(words), 43)], "<u8").view("<i8")[0]
+    if not words:
+        return (int(same), *[0] * (1 + s.samples))
+    h = np.concatenate(list(shingle_hashes(words, s.width)))
+    whole, h = majority(iter([h])), np.unique(h)
+    turned = (h[None, :] ^ (np.arange(1, s.samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) * np.uint64(0xD6E8FEB86659FD93)
+    turned ^= turned >> np.uint64(32)
+    turned *= np.uint64(0xD6E8FEB86659FD93)
+    few = np.partition(turned, s.smallest - 1, axis=1)[:, : s.smallest] if len(h) > s.smallest else turned
+    bits = np.unpackbits(np.ascontiguousarray(few).view(np.uint8).reshape(s.samples, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return (int(same), whole, *np.packbits(bits * 2 > few.shape[1], axis=1, bitorder="little").view("<i8")[:, 0].tolist())
+
+
+def _sets(rows: DataFrame, s: Similar) -> DataFrame:
+    """(same, hashes): the sorted distinct shingle hashes of each text (column text), as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            words = [(t or b"").lower().split() for t in part.column(0).cast(pa.binary()).to_pylist()]
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(w), 43) for w in words], "<u8").view("<i8")
+            sets = [np.unique(np.concatenate(list(shingle_hashes(w, s.width)))) if w else np.zeros(0, np.uint64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([x.tobytes() for x in sets], pa.binary())], ["same", "hashes"])
+
+    return rows.select("text").mapInArrow(run, "same long, hashes binary").dropDuplicates(["same"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, s: Similar) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. The set of a text with very many partners goes out in copies."""
+    heavy = written(pairs.groupBy("b").count().filter(F.col("count") > s.heavy).select("b", F.lit(True).alias("heavy")), "heavy-partners")
+    salted = pairs.join(bounded_broadcast(heavy, 16), "b", "left").select("a", "b", F.when(F.col("heavy"), F.pmod(F.xxhash64("a"), F.lit(s.salts))).otherwise(F.lit(0).cast("long")).alias("salt"))
+    left = salted.join(sets.select(F.col("same").alias("a"), F.col("hashes").alias("x")), "a")
+    copies = sets.withColumnRenamed("same", "b").join(bounded_broadcast(heavy, 16), "b", "left")
+    right = copies.select("b", F.col("hashes").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("heavy"), s.salts - 1).otherwise(0).cast("long"))).alias("salt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= s.similarity * max(len(x), len(y)) else 0
+                keep.append(both >= s.similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, key_col: str, text_col: str = "text", s: Similar = Similar()) -> DataFrame:
+    """(key, group): texts linked by similar pairs have the same group, other texts one of their own.
+
+    key is a long that isn't null; rows with equal keys must have equal texts. Null and empty texts are equal texts; a
+    text of fewer words than ``width`` is one shingle. Texts that differ in letter case (A-Z) or white space are equal."""
+    names = [f"s{i}" for i in range(s.samples)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            rows = np.array([_sketch(t or b"", s) for t in part.column(1).cast(pa.binary()).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], ["key", "same", "fp", *names])
+
+    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    sketches = written(texts.mapInArrow(run, "key long, same long, fp long, " + ", ".join(f"{n} long" for n in names)), "similar-sketches")
+    classes = written(sketches.groupBy("same").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), *[F.min(n).alias(n) for n in names]), "similar-classes")
+
+    turned = F.col("same").bitwiseXOR(F.xxhash64("table"))  # another order in every table, so other texts are the smallest
+    members = classes.select("same", F.posexplode(F.array("fp", *names)).alias("table", "value")).withColumn("salt", F.pmod(F.xxhash64("same"), F.lit(s.salts)))
+    nearest = members.groupBy("table", "value", "salt").agg(F.min(turned).alias("near"), F.count("*").alias("n"))
+    first = nearest.groupBy("table", "value").agg(F.min("near").alias("far"), F.sum("n").alias("n")).filter("n > 1")
+    leaders = nearest.drop("n").join(first, ["table", "value"])
+    cell = F.pmod(F.xxhash64("same", "value"), F.ceil(F.col("n") / s.cell))
+    met = members.join(leaders, ["table", "value", "salt"]).select("same", "table", "value", "near", "far", turned.alias("order"), cell.alias("cell"))
+    before = F.collect_list("order").over(Window.partitionBy("table", "value", "cell").orderBy("order").rowsBetween(-s.before, -1))
+    by_sample = met.select("same", "table", F.array_union(F.array("near", "far"), before).alias("others")).select(F.col("same").alias("a"), F.explode("others").alias("b"), "table").select("a", F.col("b").bitwiseXOR(F.xxhash64("table")).alias("b"))
+
+    of_fp = classes.groupBy("fp").agg(F.min("same").alias("same"))
+    balls = written(links(of_fp.select("fp"), s.distance), "similar-balls")
+    by_ball = balls.join(of_fp.select(F.col("fp").alias("a"), F.col("same").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("same").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = written(by_sample.union(by_ball).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "similar-candidates")
+
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
+    keys = written(classes.join(paired, "same", "left_semi").select("key"), "similar-keys")
+    sets = written(_sets(texts.join(bounded_broadcast(keys, 16), "key", "left_semi"), s), "similar-sets")
+    close = written(_verified(pairs, sets, s), "similar-links")
+    roots = written(components(close), "similar-roots")
+    return sketches.select("key", "same").join(roots.withColumnRenamed("v", "same"), "same", "left").select("key", F.coalesce("root", "same").alias("group"))
