@@ -29,17 +29,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: that with the smallest id (null ids last), of these that with the smallest hash.
+    """One row stays of each group of documents that share 0.8 of their five-word shingles: that with the smallest id
+    (null ids last), of these that with the smallest hash.
 
     Rows are told apart by a hash of all their columns, not by id, so rows with equal or null ids are decided singly."""
     values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a null alone leaves a hash as it is
     keyed = docs.withColumn("_key", F.xxhash64(*values))
-    found = written(simhash.near_duplicates(keyed, id_col="_key").withColumnRenamed("doc_id", "_key"), "near-duplicates")
-    grouped = found.groupBy("_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    found = written(simhash.similar(keyed, "_key").withColumnRenamed("key", "_key"), "near-duplicates")
+    grouped = found.groupBy("_key").agg(F.min("group").alias("group"), F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    sizes = written(grouped.groupBy("component_id").agg(F.sum("n").alias("size")).filter("size > 1"), "near-duplicate-groups")
-    members = written(grouped.join(bounded_broadcast(sizes, 16), "component_id").select("_key", "component_id", "n"), "near-duplicate-rows")
-    ranked = keyed.select("_key", "doc_id").join(bounded_broadcast(members, 32), "_key").groupBy("component_id").agg(F.min(rank).alias("least"))
+    sizes = written(grouped.groupBy("group").agg(F.sum("n").alias("size")).filter("size > 1"), "near-duplicate-groups")
+    members = written(grouped.join(bounded_broadcast(sizes, 16), "group").select("_key", "group", "n"), "near-duplicate-rows")
+    ranked = keyed.select("_key", "doc_id").join(bounded_broadcast(members, 32), "_key").groupBy("group").agg(F.min(rank).alias("least"))
     first = written(ranked.select(F.col("least._key").alias("_key")), "near-duplicate-firsts")
     repeated = written(members.filter("n > 1").join(first, "_key", "left_semi").select("_key"), "near-duplicate-repeats")
     gone = written(members.select("_key").join(first, "_key", "left_anti").union(repeated), "near-duplicate-keys")
