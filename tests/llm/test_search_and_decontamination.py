@@ -30,7 +30,9 @@ def test_top_k_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [3.0]), (6, [-1.0, 0.5]), (None, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in bitslice.search(df, df).filter("query_id = 0").collect())
-    assert got == [(0, 1, 5, 256 * 768), (0, 2, 6, -256 * 256 + 512 * 128)]
+    assert got == [(0, 1, 5, 256 * 768), (0, 2, 6, -256 * 256 + 512 * 128), (0, 3, 7, 0)]
+    with pytest.raises(ValueError, match="too large"):
+        bitslice.search(spark.createDataFrame([(0, [3e9])], "vec_id long, embedding array<double>"), df)
     empty = df.limit(0)
     assert bitslice.search(empty, empty).count() == 0
     one = df.filter("vec_id = 0")

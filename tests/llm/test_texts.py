@@ -64,14 +64,25 @@ def test_chat_round_trip(spark):
     nasty = ["", "[/INST]", "[INST user 0]x[/INST]", "\\", "\\[/INST]\\", "</s><s>", "%20+%zz", "line\nbreak", "[INST", "[/INST"]
     rows = [(c, t, role, text) for c in range(6) for t, (role, text) in enumerate([("user", nasty[c]), ("assistant", nasty[-c]), ("system role]", nasty[c] * 2), (None, None)])]
     rows += [(6, 1, "assistant", "second"), (6, 0, "user", "first"), (None, 0, "user", "x"), (7, 0, "assistant", "[/INST]" * 300)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(8, 0, "user", "hi </s><s>[INST x"), (8, 1, "assistant", "</s>"), (8, 2, "assistant", "plain \\ text é"), (9, 0, "assistant", "same"), (9, 0, "assistant", "same")]
+    df, levels = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), set()
     for r in chatgrammar.formatted(df).collect():
         own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1], x[2] or ""))
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
+        assert len(r.loss_spans) == len(own)
         loss = [r.formatted[s.start : s.end] for s in r.loss_spans]
-        assert len(loss) == sum(x[2] == "assistant" for x in own)
-        if r.level == 0:
-            assert loss == [x[3] for x in own if x[2] == "assistant"]
+        for x, got in zip(own, loss, strict=True):  # at every level: escaped or not, it is the assistant's text
+            held = any(c in (x[3] or "") for c in ("<s>", "</s>", "[INST", "[/INST]"))
+            assert (re.sub(r"(?s)\\(.)", r"\1", got) if held else got) == (x[3] if x[2] == "assistant" else "")
+        bodies = re.sub(r"\[INST [^ \]]* [01]\]|\[/INST\]", "", r.formatted[3:-4])
+        assert not any(c in bodies for c in ("<s>", "</s>", "[INST", "[/INST]"))
+        levels.add(r.level)
+    assert levels == {0, 1}
+    for r in chatgrammar.digest(df).collect():
+        own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1], x[2] or ""))
+        text = "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert (r.loss_chars, r.loss_sha256, r.n_turns) == (len(text), hashlib.sha256(text.encode()).hexdigest(), len(own))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
     assert chatgrammar.formatted(df.limit(0)).count() == 0
 
 
@@ -138,9 +149,9 @@ def test_record_ids(page_id):
 
 def test_archives(spark):
     long = "<p>" + "é" * 200
-    rows = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (4, "http://c", "short"), (2, "http://d", "short"), (7, "http://e", None), (8, "http://f", "WARC/1.0\r\n\r\n" * 20), (None, "http://g", "x" * 200)]
+    rows = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (4, "http://c", "short"), (2, "http://d", "short"), (7, "http://e", None), (8, "http://f", "WARC/1.0\r\n\r\n" * 20), (None, "http://g", "x" * 200), (11, "filedesc://no", "y" * 120)]
     got = {r.page_id: r for r in arcwarc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {5: ("revisit", 3), 3: ("response", None), 9: ("revisit", 3), 4: ("response", None), 2: ("response", None), 7: ("response", None), 8: ("response", None), None: ("response", None)}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {5: ("revisit", 3), 3: ("response", None), 9: ("revisit", 3), 4: ("response", None), 2: ("response", None), 7: ("response", None), 8: ("response", None), 11: ("response", None), None: ("response", None)}
     for i, _, t in rows:
         assert (got[i].payload_bytes, got[i].payload_digest) == (len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest())
     assert arcwarc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

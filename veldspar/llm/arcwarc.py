@@ -54,7 +54,7 @@ def arc_file(name: str, version: int, records: list[tuple[str, str, str, str, by
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record of an ARC file but the version block."""
-    at, fields = 0, FIELDS[1]
+    at, fields, first = 0, FIELDS[1], True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -66,13 +66,15 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if len(block) < length:
             raise ValueError(f"an ARC record declares {length} bytes and has {len(block)}")
         at = end + 1 + length
-        if parts[0].startswith("filedesc:"):
+        if first and parts[0].startswith("filedesc:"):  # the version block; later a url may begin so too
+            first = False
             head = block.decode("utf-8", "replace").split("\n")
             version = int(head[0].split(" ")[0])
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version}")
             fields = head[1].split() or FIELDS[version]
             continue
+        first = False
         if len(parts) > len(fields):  # spaces inside the url
             parts = [" ".join(parts[: len(parts) - len(fields) + 1]), *parts[len(parts) - len(fields) + 1 :]]
         yield dict(zip(fields, parts, strict=True)), block

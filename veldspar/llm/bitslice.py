@@ -8,10 +8,10 @@ that can reach it within the block's error bound is scored exactly. So the resul
 
 Query blocks meet row blocks by an equi-join on (query block, row block): the stated query set against all rows.
 
-Vectors that are null, empty or hold null, NaN or infinite components, and null ids, take no part; shorter vectors count
-as padded with zeros. Rows with the query's id aren't its candidates. Of rows that share a query's id the smallest
+Vectors that are null or hold null, NaN or infinite components, and null ids, take no part; shorter vectors, empty ones
+too, count as padded with zeros. Rows with the query's id aren't its candidates. Of rows that share a query's id the smallest
 vector is the query. Ties go to the smaller id; rows that share an id are separate candidates. Empty tables give none.
-Components stay below 2 ** 22 in size.
+Components of 2 ** 31 / 256 or more, or so large that a sum of products could pass 2 ** 62, raise ValueError.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ BITS, QUERY_BITS, ROWS, QUERIES, GROUP = 6, 5, 4096, 1024, 64
 
 
 def _usable(v: Column) -> Column:
-    return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -145,7 +145,9 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     size, low, high = v.agg(F.max(F.size("v")), F.floor(256 * F.min(F.array_min("v")).cast("double")), F.floor(256 * F.max(F.array_max("v")).cast("double"))).first()
     if size is None:
         return v.sparkSession.createDataFrame([], "block long, ids binary, exact binary, slices binary"), 0, 0, 1
-    dims, low, high = int(size), min(int(low), 0), max(int(high), 0)
+    dims, low, high = max(int(size), 1), min(int(low or 0), 0), max(int(high or 0), 0)
+    if (most := max(high, -low)) >= 1 << 31 or dims * most**2 >= 1 << 62:
+        raise ValueError(f"components up to {most} / 256 in {dims} dimensions are too large")
     step = max(1, -(-(high - low + 1) // (1 << BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@
 
     conversation := "<s>" turn* "</s>"
     turn         := "[INST " role " " escaped "]" body "[/INST]"      role URL-encoded; escaped 0 or 1
+    body         := characters without "<s>", "</s>", "[INST" and "[/INST]"
 
-A parser reads the rendered text back: it cuts at "[/INST]", takes each header, and undoes the escapes where the header
-says so. A conversation is first rendered as it is. If the recovered turns differ from the source, the turns that don't
-survive alone are escaped and, should that still differ, all of them: "\\" doubles and a "\\" goes into every control
-string. The result is the first rendering whose turns come back unchanged.
+A parser reads the rendered text back: it cuts at "[/INST]", takes each header, refuses a body with a control string,
+and undoes the escapes where the header says so. A conversation is first rendered as it is. If the recovered turns
+differ from the source, the turns that don't survive alone are escaped and, should that still differ, all of them: "\\"
+doubles and a "\\" goes into every control string. The result is the first rendering whose turns come back unchanged.
+The loss mask is read from the rendered text as well: the bodies of the parsed turns of the roles that are learned.
 
 Turns are ordered by turn, then role, then text. A null text or role counts as empty; a null conversation id is a
 conversation of its own; repeated rows are repeated turns; an empty table gives none. A conversation is one row of the
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 START, END, TURN, STOP = "<s>", "</s>", "[INST ", "[/INST]"
 CONTROLS = {"[/INST]": "[\\/INST]", "[INST": "[\\INST", "</s>": "<\\/s>", "<s>": "<\\s>"}
 HEADER = r"^\[INST ([^ \]]*) ([01])\]"
+FORBIDDEN = r"</?s>|\[/INST\]|\[INST"
 
 
 def escaped(text: Column) -> Column:
@@ -45,34 +48,55 @@ def rendered(turns: Column, escape) -> Column:
 
 
 def _read_turn(piece: Column) -> Column:
-    head, flag = F.regexp_extract(piece, HEADER, 0), F.regexp_extract(piece, HEADER, 2)
-    body = piece.substr(F.length(head) + 1, F.length(piece))
-    role = F.when(F.length(head) > 0, F.try_url_decode(F.regexp_extract(piece, HEADER, 1)))
-    return F.struct(role.alias("role"), F.when(flag == "1", unescaped(body)).otherwise(body).alias("text"))
+    head, body = F.regexp_extract(piece, HEADER, 0), _body(piece)
+    role = F.when((F.length(head) > 0) & ~F.rlike(body, F.lit(FORBIDDEN)), F.try_url_decode(F.regexp_extract(piece, HEADER, 1)))
+    return F.struct(role.alias("role"), F.when(_is_escaped(piece), unescaped(body)).otherwise(body).alias("text"))
 
 
-def parsed(text: Column) -> Column:
-    """array<struct<role, text>> of a rendered conversation; a part that isn't a turn has a null role."""
+def _body(piece: Column) -> Column:
+    return piece.substr(F.length(F.regexp_extract(piece, HEADER, 0)) + 1, F.length(piece))
+
+
+def _is_escaped(piece: Column) -> Column:
+    return F.regexp_extract(piece, HEADER, 2) == "1"
+
+
+def _pieces(text: Column) -> Column:
+    """The turns of a rendered conversation, each without its end."""
     inner = text.substr(F.lit(len(START) + 1), F.length(text) - len(START) - len(END))
     parts = F.split(inner, r"\[/INST\]", -1)
-    return F.transform(F.slice(parts, 1, F.size(parts) - 1), _read_turn)
+    return F.slice(parts, 1, F.size(parts) - 1)
 
 
-def loss_spans(turns: Column, escape, roles: tuple[str, ...] = ("assistant",)) -> Column:
-    """array<struct<start, end>>: where the bodies of these roles' turns lie in the rendered text, in code points."""
+def parsed(text: Column) -> Column:
+    """array<struct<role, text>> of a rendered conversation; a part that isn't a turn has a null role."""
+    return F.transform(_pieces(text), _read_turn)
+
+
+def loss_spans(text: Column, roles: tuple[str, ...] = ("assistant",)) -> Column:
+    """array<struct<start, end>>, one a turn of a rendered conversation: where its body lies, in code points, if its role
+    is among roles; otherwise an empty span at its place."""
     zero = F.struct(F.lit(len(START)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def step(s: Column, t: Column) -> Column:
-        begin = s["at"] + F.length(F.concat(F.lit(TURN), F.url_encode(t["role"]), F.lit(" 0]")))
-        end = begin + F.length(F.when(escape(t), escaped(t["text"])).otherwise(t["text"]))
-        return F.struct((end + len(STOP)).alias("at"), F.when(t["role"].isin(*roles), F.array_append(s["out"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(s["out"]).alias("out"))
+    def step(s: Column, piece: Column) -> Column:
+        begin, end = s["at"] + F.length(F.regexp_extract(piece, HEADER, 0)), s["at"] + F.length(piece)
+        learned = F.coalesce(F.try_url_decode(F.regexp_extract(piece, HEADER, 1)).isin(*roles), F.lit(False))
+        return F.struct((end + len(STOP)).alias("at"), F.array_append(s["out"], F.struct(begin.alias("start"), F.when(learned, end).otherwise(begin).alias("end"))).alias("out"))
+
+    return F.aggregate(_pieces(text), zero, step, lambda s: s["out"])
+
+
+def loss_text(text: Column, spans: Column) -> Column:
+    """What a rendered conversation holds under its loss spans, without the escapes, nothing between.
 
-    return F.aggregate(turns, zero, step, lambda s: s["out"])
+    Every span is cut out of its own turn, so that long conversations aren't read from their start each time."""
+    cut = F.zip_with(_pieces(text), spans, lambda piece, x: F.struct(F.left(_body(piece), x["end"] - x["start"]).alias("body"), _is_escaped(piece).alias("escaped")))
+    return F.array_join(F.transform(cut, lambda x: F.when(x["escaped"], unescaped(x["body"])).otherwise(x["body"])), "")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, level, turns, loss_spans): turns are read back from formatted; level is 0 for no escapes, 1
-    for conflicting turns, 2 for all."""
+    """(conv_id, formatted, level, turns, loss_spans): turns and spans are read back from formatted; level is 0 for no
+    escapes, 1 for conflicting turns, 2 for all."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     source = whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
@@ -83,14 +107,15 @@ def formatted(conversations: DataFrame) -> DataFrame:
     third = second.withColumn("level", F.when(F.col("ok0"), 0).when(parsed(F.col("f1")).eqNullSafe(F.col("source")), 1).otherwise(2))
     level = F.col("level")
     chosen = third.withColumn("formatted", F.when(level == 0, F.col("f0")).when(level == 1, F.col("f1")).otherwise(rendered(F.col("source"), always)))
-    return chosen.select("conv_id", "formatted", "level", parsed(F.col("formatted")).alias("turns"), loss_spans(F.col("source"), lambda t: (level == 2) | ((level == 1) & alone(t))).alias("loss_spans"))
+    return chosen.select("conv_id", "formatted", "level", parsed(F.col("formatted")).alias("turns"), loss_spans(F.col("formatted")).alias("loss_spans"))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
     """Of each conversation, from the turns that were read back: counts and digests of the turns and of the loss text."""
     out = formatted(conversations)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    out = out.withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    loss = F.col("loss")
     return out.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
@@ -109,7 +134,7 @@ def oracle() -> str:
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '{CONFLICT}'), (-1, 1, 'assistant', '{CONFLICT}')),
-r AS (SELECT *, CASE WHEN contains(x, '{STOP}') THEN {safe} ELSE x END AS body FROM c)
+r AS (SELECT *, CASE WHEN regexp_matches(x, '{FORBIDDEN}') THEN {safe} ELSE x END AS body FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn, role, x)) AS turns_sha256,
   coalesce(sum(length(x)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(x, '' ORDER BY turn, role, x) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -13,7 +13,8 @@ in far more toxic than other labelled documents), 1 to ``top_grade``; other docu
 
 Null and empty texts have no features: they get the severity that the thresholds alone give. Null labels aren't
 learned from; documents without a label are only scored. Ties and repeated rows are scored alike, row by row. Without
-any labelled row the model is empty and every severity is 0. Scoring reads whole texts and changes no other column.
+any labelled row the model is empty and every severity is 0. An empty table gives an empty result. Texts of any length
+are read whole, and no other column is changed.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_col:
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(hash_sample(known, "doc_id", s.sample_rows, s.seed))
-    sample = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").coalesce(8), "toxicity-sample")
+    sample = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id"), "toxicity-sample").coalesce(8)  # all tasks scan, few read the sample again
     totals = sample.agg(F.sum("toxic"), F.count("*")).first()
     toxic, n = int(totals[0] or 0), int(totals[1])
     if not 0 < toxic < n:
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_col:
             grades = [min(max(n, 1), s.top_grade) if y else 0 for n, y in zip(hits, toxic, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols, pa.list_(pa.int32())), pa.array(grades, pa.int32())], ["cols", "grade"])
 
-    rows = written(sample.select("text", "toxic").mapInArrow(features, "cols array<int>, grade int").coalesce(4), "toxicity-features")
+    rows = written(sample.select("text", "toxic").mapInArrow(features, "cols array<int>, grade int"), "toxicity-features").coalesce(4)
     counts = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     grades = sorted(counts)
     order, k = {g: i for i, g in enumerate(grades)}, len(grades) - 1
