@@ -1,9 +1,14 @@
 """Secret scans with DataFrame functions alone: three fixed patterns, and high-entropy strings.
 
-The entropy scan takes runs of base-64 characters as candidates. Each has the narrowest character class that holds it
-(hex, alphanumeric, base64); a window slides over it with a count per symbol, of which a step changes two, and the
-candidate is reported when the largest window entropy reaches the threshold of its class. Candidates without a digit or
-without a letter, those that an allow-list names and those that meet a pattern's span are left out.
+The entropy scan takes runs of base-64 characters as candidates. An allow-list takes whole strings (UUIDs, paths) out,
+and listed parts are cut out of a candidate, however long it is; what remains in one piece of ``WINDOW`` characters or
+more is scanned. A candidate has the narrowest character class that holds it (hex, alphanumeric, base64); a window
+slides over its pieces with a count per symbol, of which a step changes two, and the candidate is reported when the
+largest window entropy of a piece with a digit and a letter reaches the threshold of the class. Candidates that meet a
+pattern's span are left out.
+
+Time is in proportion to the text: the counts lie in a few longs, a text becomes an array of codes once, and spans are
+found by binary search.
 
 Spans are in code points, the end exclusive. A null text counts as empty and has no spans; an empty table gives an
 empty result; repeated rows are scanned one by one; only the text column is read. Ties between spans at one start are
@@ -26,63 +31,121 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|dummy|placeholder|xxxx|0123456789|abcdefghij|^[/_=-]|[/_=-]{3}"
+ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^/([A-Za-z0-9_=-]+/)+"
+ALLOWED_PART = r"(?i)example|dummy|placeholder|xxxx|0123456789|abcdefghij|^[/_=-]+|[/_=-]{3,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
+_CHUNK, _SPANS = 128, "array<struct<start:int,end:int,hit:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often and in whatever lambda body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches; hit is the matched text."""
+    """array<struct<start, end, hit>> of the leftmost non-overlapping matches; hit is the matched text.
+
+    Places are running sums of the gaps and hits, by chunks: an array that grows by one is copied each time."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-    placed = F.aggregate(
-        lengths, zero,
-        lambda s, x: F.struct((s["at"] + x["gap"] + F.length(x["hit"])).alias("at"), F.array_append(s["out"], F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"))).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+
+    def with_hits(hits: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
+
+    def in_chunk(chunk: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+        step = lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(s["out"], F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit"))).alias("out"))
+        return F.aggregate(chunk, zero, step)
+
+    def chunked(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / _CHUNK).cast("int") - 1), lambda k: in_chunk(F.slice(found, k * _CHUNK + 1, _CHUNK)))
+
+    def joined(chunks: Column) -> Column:
+        ends = F.aggregate(chunks, F.array(F.lit(0)), lambda s, c: F.array_append(s, F.element_at(s, -1) + c["at"]))
+        moved = lambda c, at: F.transform(c["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["hit"].alias("hit")))
+        return F.flatten(F.zip_with(chunks, F.slice(ends, 1, F.size(chunks)), moved))
+
+    return F.when(F.rlike(text, F.lit(pattern)), _let(_let(_let(hits, with_hits), chunked), joined)).otherwise(F.array().cast(_SPANS))
 
 
 def _as_kind(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+_BITS, _A_LONG = 5, 12  # bits of a symbol's count, and symbols a long
+
+
 def _bits(x: Column) -> Column:
-    """Largest entropy of a window, from counts that each step changes in two places."""
+    """Largest entropy of a window of x (WINDOW characters or more), from counts of which each step changes two."""
     weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    code = lambda i: F.call_function("locate", F.substring(x, i, F.lit(1)), F.lit(ALPHABET))
+    at = lambda code: ((code % _A_LONG) * _BITS).cast("int")
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), at(code))
+    longs = -(-len(ALPHABET) // _A_LONG)
+
+    def slide(codes: Column) -> Column:
+        count = lambda n, code: F.call_function("shiftright", F.element_at(n, F.floor(code / _A_LONG).cast("int") + 1), at(code)).bitwiseAND(F.lit((1 << _BITS) - 1))
+        changed = lambda n, code, by: F.transform(n, lambda v, k: F.when(k == F.floor(code / _A_LONG), v + by * one(code)).otherwise(v))
+
+        def add(s: Column, i: Column) -> Column:
+            new = F.element_at(codes, i)
+            old = count(s["n"], new)
+            return F.struct(changed(s["n"], new, 1).alias("n"), (s["w"] + weight(old + 1) - weight(old)).alias("w"), s["best"].alias("best"))
+
+        def drop(s: Column, i: Column) -> Column:
+            gone = F.element_at(codes, i)
+            old = count(s["n"], gone)
+            return F.struct(changed(s["n"], gone, -1).alias("n"), (s["w"] + weight(old - 1) - weight(old)).alias("w"), s["best"].alias("best"))
+
+        def step(s: Column, i: Column) -> Column:
+            kept = _let(s, lambda s: F.when(i > WINDOW, drop(s, i - WINDOW)).otherwise(s))
+            both = _let(kept, lambda s: add(s, i))
+            return _let(both, lambda s: F.struct(s["n"].alias("n"), s["w"].alias("w"), F.when(i >= WINDOW, F.least(s["best"], s["w"])).otherwise(s["best"]).alias("best")))
+
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0.0).alias("w"), F.lit(1e9).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda s: s["best"])
+
+    codes = F.transform(F.split(x, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1)
+    return F.log2(F.lit(float(WINDOW))) - _let(codes, slide) / WINDOW
+
+
+def _meets(spans: Column, x: Column) -> Column:
+    """Whether one of the spans (in order, apart from each other) shares a character with x: the last that begins
+    before x's end does, or none. It is found by halving."""
+
+    def before_end(spans: Column) -> Column:
+        half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+        def step(s: Column, _: Column) -> Column:
+            below = F.element_at(spans, half(s) + 1)["start"] < x["end"]
+            return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+        return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), step, lambda s: s["lo"])
+
+    found = lambda n: F.when(n > 0, F.element_at(spans, F.greatest(n, F.lit(1)))["end"] > x["start"]).otherwise(False)
+    return F.when(F.size(spans) > 0, _let(before_end(spans), found)).otherwise(False)
 
-    def step(s: Column, i: Column) -> Column:
-        gone = F.when(i > WINDOW, code(F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        new = code(i)
-        n_gone = F.when(gone > 0, F.element_at(s["n"], F.greatest(gone, F.lit(1)))).otherwise(F.lit(0))
-        less = F.when(gone > 0, weight(n_gone - 1) - weight(n_gone)).otherwise(F.lit(0.0))
-        n_new = F.element_at(s["n"], new) - F.when(gone == new, 1).otherwise(0)
-        total = s["w"] + less + weight(n_new + 1) - weight(n_new)
-        counts = F.transform(s["n"], lambda c, k: c + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == gone, 1).otherwise(0))
-        return F.struct(counts.alias("n"), total.alias("w"), F.when(i >= WINDOW, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("w"), F.lit(1e9).alias("best"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(x)), zero, step, lambda s: s["best"])
-    return F.log2(F.lit(float(WINDOW))) - least / WINDOW
+def _strong(hit: Column) -> Column:
+    least = F.when(hit.rlike("^[0-9a-fA-F]+$"), LEAST_BITS["hex"]).when(hit.rlike("^[0-9a-zA-Z]+$"), LEAST_BITS["alnum"]).otherwise(LEAST_BITS["base64"])
+    parts = F.filter(F.split(hit, ALLOWED_PART, -1), lambda p: (F.length(p) >= WINDOW) & p.rlike("[0-9]") & p.rlike("[A-Za-z]"))
+    return F.when(hit.rlike(ALLOWED), False).otherwise(F.exists(parts, lambda p: F.round(_bits(p), 6) >= least))
 
 
 def spans(text: Column) -> Column:
     """array<struct<start, rank, end, kind>> of all spans of a text, by start, then kind."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     value = lambda x: F.regexp_extract(x["hit"], ASSIGN, 2)
-    assign = _as_kind(F.filter(_placed(text, ASSIGN), lambda x: F.length(value(x)) >= LEAST_ASSIGN), "assign")
-    access = _as_kind(F.filter(_placed(text, ACCESS), lambda x: F.length(x["hit"]) >= LEAST_ACCESS), "access")
-    base = F.concat(assign, access, _as_kind(_placed(text, HEX), "hex"))
+    assign = F.filter(_placed(text, ASSIGN), lambda x: F.length(value(x)) >= LEAST_ASSIGN)
+    access = F.filter(_placed(text, ACCESS), lambda x: F.length(x["hit"]) >= LEAST_ACCESS)
 
-    def strong(x: Column) -> Column:
-        hit = x["hit"]
-        least = F.when(hit.rlike("^[0-9a-fA-F]+$"), LEAST_BITS["hex"]).when(hit.rlike("^[0-9a-zA-Z]+$"), LEAST_BITS["alnum"]).otherwise(LEAST_BITS["base64"])
-        return F.when(~hit.rlike("[0-9]") | ~hit.rlike("[A-Za-z]") | hit.rlike(ALLOWED), False).otherwise(F.round(_bits(hit), 6) >= least)
+    def found(base: Column) -> Column:
+        apart = lambda x: ~(_meets(base["assign"], x) | _meets(base["access"], x) | _meets(base["hex"], x))
+        entropy = F.filter(_placed(text, CANDIDATE), lambda x: apart(x) & _strong(x["hit"]))
+        return F.array_sort(F.concat(*[_as_kind(base[k], k) for k in KINDS[:3]], _as_kind(entropy, "entropy")))
 
-    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    entropy = _as_kind(F.filter(_placed(text, CANDIDATE), lambda x: apart(x) & strong(x)), "entropy")
-    return F.array_sort(F.concat(base, entropy))
+    return _let(F.struct(assign.alias("assign"), access.alias("access"), _placed(text, HEX).alias("hex")), found)
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans") -> DataFrame:
@@ -119,7 +182,8 @@ def oracle() -> str:
     """The same result as DuckDB SQL."""
     q = lambda p: p.replace("'", "''")
     assign = q(ASSIGN.replace("(?i)(password|passwd|secret|token|api_?key)", "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])").replace(r"\x20", " "))
-    bits = f"round(list_max(list_transform(range(1, length(x.h) - {WINDOW - 2}), lambda k: list_aggregate(string_split(substr(x.h, k, {WINDOW}), ''), 'entropy'))), 6)"
+    bits = f"round(list_max(list_transform(range(1, length(p) - {WINDOW - 2}), lambda k: list_aggregate(string_split(substr(p, k, {WINDOW}), ''), 'entropy'))), 6)"
+    parts = f"list_filter(string_split_regex(x.h, '{ALLOWED_PART}'), lambda p: length(p) >= {WINDOW} AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[A-Za-z]'))"
     least = f"CASE WHEN regexp_full_match(x.h, '[0-9a-fA-F]+') THEN {LEAST_BITS['hex']} WHEN regexp_full_match(x.h, '[0-9a-zA-Z]+') THEN {LEAST_BITS['alnum']} ELSE {LEAST_BITS['base64']} END"
     kind = lambda name: f"list_transform({name}, lambda x: {{'s': x.s, 'r': {KINDS.index(name)}, 'e': x.s + length(x.h), 'k': '{name}'}})"
     joined = lambda spans: f"list_aggregate(list_transform({spans}, lambda x: x.k || ':' || x.s || ':' || x.e), 'string_agg', ',')"
@@ -130,7 +194,7 @@ p AS (SELECT doc_id,
   list_filter({_sql_placed(ACCESS)}, lambda x: length(x.h) >= {LEAST_ACCESS}) AS access,
   {_sql_placed(HEX)} AS hex, {_sql_placed(CANDIDATE)} AS candidate FROM d),
 b AS (SELECT doc_id, len(assign) AS n_assign, len(access) AS n_access, len(hex) AS n_hex, candidate, list_concat(list_concat({kind('assign')}, {kind('access')}), {kind('hex')}) AS base FROM p),
-e AS (SELECT *, list_filter(candidate, lambda x: regexp_matches(x.h, '[0-9]') AND regexp_matches(x.h, '[A-Za-z]') AND NOT regexp_matches(x.h, '{ALLOWED}')
-  AND len(list_filter(base, lambda y: y.s < x.s + length(x.h) AND x.s < y.e)) = 0 AND {bits} >= {least}) AS entropy FROM b)
+e AS (SELECT *, list_filter(candidate, lambda x: NOT regexp_matches(x.h, '{ALLOWED}')
+  AND len(list_filter(base, lambda y: y.s < x.s + length(x.h) AND x.s < y.e)) = 0 AND len(list_filter({parts}, lambda p: {bits} >= {least})) > 0) AS entropy FROM b)
 SELECT doc_id, n_assign::BIGINT AS n_assign, n_access::BIGINT AS n_access, n_hex::BIGINT AS n_hex, sha256(coalesce({joined('list_sort(base)')}, '')) AS base_sha256,
   coalesce({joined(f"list_sort(list_concat(base, {kind('entropy')}))")}, '') AS spans FROM e"""
