@@ -2,18 +2,23 @@
 
 The pages of a host are merged into one tree: a node is a path of elements (tag and class or id). For each node the
 pages' presentations (the sequence of child elements) and contents (the text below it) are counted, and the node's
-importance is the normalised entropy of both, weighted by ``gamma``: what every page shows alike has none. Counting is
-two grouped sums, which combine before the shuffle, so that a host with a third of all pages is no hot group. Branches
-of low importance that a good share of a host's pages has are removed from each page.
+importance is the normalised entropy of both, weighted by ``gamma``: what every page shows alike has none. The text of
+a child is part of its parent's, so a node of low importance has no child of high importance. Branches of low
+importance that a good share of a host's pages has are removed from each page; hosts with fewer than ``least_pages``
+pages take the branches of the tree of all hosts. Counting is two grouped sums, which combine before the shuffle, so
+that a host with a third of all pages is no hot group.
 
-Entropy can't tell a menu or an advert that differs from page to page from an article, so elements whose tag, class, id
-or role names a menu, header, footer, sidebar, notice, advert, form or comments go as well, and where a page has an
-article (else a main) element only its inside counts. Plain headings, paragraphs, lists, quotes, tables and code inside
-of an article are never taken for low-importance branches, as pages may be copies of each other.
+Entropy can't tell an advert or a form that differs from page to page from an article. Elements whose tag or role is
+one of these kinds, or whose class or id consists of their names and of words for places, go as well, and where a page
+has an article (else a main) element only its inside counts. Plain headings, paragraphs, lists, quotes, tables and code
+inside of an article are never taken for low-importance branches, as pages may be copies of each other.
 
 Text: character references decoded, white space inside a block one space, trimmed; blocks in page order joined by two
 newlines. A null html or one without text gives an empty string, a null url belongs to the host ''. Repeated pages are
-repeated rows. Any markup is accepted: unclosed and stray tags, broken attributes and unended comments.
+repeated rows; an empty table gives an empty result; other columns aren't read. Any markup is accepted, in time in
+proportion to its length: unclosed and stray tags, broken attributes, unended comments. An element that goes and isn't
+closed ends with the block around it or before the next block. Elements nest up to ``DEEPEST``; deeper ones are taken
+for siblings.
 """
 
 from __future__ import annotations
@@ -41,17 +46,22 @@ class Settings:
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
-DROPPED = frozenset("nav footer aside form header button dialog menu head label fieldset".split()) | RAW
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("noscript template iframe svg math object select".split())
+DROPPED = frozenset("nav footer aside form header button dialog menu head label fieldset".split()) | RAW | FOREIGN
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption section div b i em strong a span u s small sub sup code mark q cite time abbr article main hgroup".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond discussion related recommended share sharing social widget pagination pager toolbar skip login search copyright".split())
+PLACES = frozenset("site page main global top bottom left right wide inner outer wrap wrapper container box block area section panel bar group list item items links link text content col column row post article entry user users reader readers visitor block widget inline sticky fixed js is has the my".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: An end tag or a start tag of the first kind ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPES = frozenset("table td th ul ol dl div section article main body html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+DEEPEST = 512
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
@@ -59,26 +69,63 @@ _WORDS = re.compile(r"[A-Za-z]+")
 @dataclass
 class Block:
     text: str
-    nodes: tuple[int, ...]  # the elements around it, outermost first
-    dropped: bool
+    dropped: bool  # by kind
+    low: bool  # by the style tree
     article: bool
     main: bool
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "article", "main", "plain", "children", "start", "end")
+    __slots__ = ("tag", "path", "dropped", "low", "article", "main", "children", "start", "end")
 
-    def __init__(self, tag: str, path: int, dropped: bool, article: bool, main: bool, plain: bool, start: int):
-        self.tag, self.path, self.dropped, self.article, self.main, self.plain = tag, path, dropped, article, main, plain
+    def __init__(self, tag: str, path: int, dropped: bool, low: bool, article: bool, main: bool, start: int):
+        self.tag, self.path, self.dropped, self.low, self.article, self.main = tag, path, dropped, low, article, main
         self.children: list[str] = []
         self.start, self.end = start, start
 
 
-def parse(html: str | None) -> tuple[list[Node], list[Block]]:
-    """The elements and the text blocks of a page. An element's blocks are start to end - 1."""
+class _Tags:
+    """Where the tags of a page lie; every character is passed once."""
+
+    def __init__(self, html: str):
+        self.html, self.open_quotes = html, set("\"'")
+        self.last: dict[str, int] = {}
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag at this place, -1 if none does; a quote without an end is no quote."""
+        i = at
+        while m := _STOP.search(self.html, i):
+            if m[0] == ">":
+                return m.start()
+            i = m.end()
+            if m[0] in self.open_quotes:
+                close = self.html.find(m[0], i)
+                if close < 0:
+                    self.open_quotes.discard(m[0])
+                    return self.end(at)
+                i = close + 1
+        return self.html.find(">", at)
+
+    def closed_after(self, tag: str, at: int) -> bool:
+        if tag not in self.last:
+            self.last[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", self.html, re.I)), default=-1)
+        return self.last[tag] > at
+
+
+def _named(names: str) -> bool:
+    """Whether a class or id consists of names of noise and words for places, at least one of the former."""
+    for name in names.split():
+        words = _WORDS.findall(name)
+        if any(w in NAMES for w in words) and all(w in NAMES or w in PLACES for w in words):
+            return True
+    return False
+
+
+def parse(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[Node], list[Block]]:
+    """The elements and the text blocks of a page. An element's blocks are start to end - 1; low: paths to remove."""
     html = html or ""
     root = Node("", 0, False, False, False, False, 0)
-    nodes, stack, blocks, held = [root], [root], [], []
+    nodes, stack, blocks, held, tags = [root], [root], [], [], _Tags(html)
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -86,8 +133,17 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
             text = " ".join(references.unescape("".join(held)).split())
             held.clear()
             if text:
-                top = stack[-1]
-                blocks.append(Block(text, tuple(x.path for x in stack if not (x.article and x.plain)), top.dropped, top.article, top.main))
+                top = next(x for x in reversed(stack) if x.tag in BLOCKS or x is root)
+                blocks.append(Block(text, top.dropped, top.low, top.article, top.main))
+
+    def hold(text: str) -> None:
+        """Text of a dropped element inside of a block that isn't is left out of the block."""
+        top = stack[-1]
+        if top.tag not in BLOCKS and top is not root and (top.dropped or top.low):
+            around = next(x for x in reversed(stack) if x.tag in BLOCKS or x is root)
+            if (top.dropped and not around.dropped) or (top.low and not around.low):
+                text = " "
+        held.append(text)
 
     def close(k: int) -> None:
         """End all open elements from number k on."""
@@ -98,17 +154,30 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
         del stack[k:]
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
-            held.append(html[at:])
+        start = html.find("<", at)
+        if start < 0:
+            hold(html[at:])
             break
-        if m.start() > at:
-            held.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if start > at:
+            hold(html[at:start])
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = n if end < 0 else end + 3
             continue
-        if m[1] or m[4]:
+        m = _NAME.match(html, start)
+        end = tags.end(start + 1) if m or html[start + 1 : start + 2] in ("!", "?") else -1
+        if end < 0:  # no tag
+            hold("<")
+            at = start + 1
+            if m:  # nor any further one
+                hold(html[at:])
+                break
+            continue
+        at = end + 1
+        if not m:
+            continue
+        tag = m[1].lower()
+        if html[start + 1] == "/":
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -120,11 +189,11 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
                     flush()
             continue
         if tag == "br" or tag == "wbr":
-            held.append(" " if tag == "br" else "")
+            hold(" " if tag == "br" else "")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            finish = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tags.closed_after(tag, start) else None
+            at = finish.end() if finish else n
             stack[-1].children.append(tag)
             continue
         if tag in VOID:
@@ -133,6 +202,8 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
             stack[-1].children.append(tag)
             continue
         if tag in BLOCKS:
+            while stack[-1].dropped and stack[-1].tag not in BLOCKS and not stack[-2].dropped and not (stack[-1].tag in FOREIGN and tags.closed_after(stack[-1].tag, start)):
+                close(len(stack) - 1)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" and tag not in ("html", "body", "head"):
                     close(k)
@@ -147,9 +218,11 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
                 if stack[k].tag in SCOPES:
                     break
             flush()
+        if len(stack) >= DEEPEST:
+            close(len(stack) - 1)
         above = stack[-1]
         names, role = "", ""
-        for a in _ATTRIBUTE.finditer(m[3] or m[6] or ""):
+        for a in _ATTRIBUTE.finditer(html, m.end(), end):
             value = (a[2] or a[3] or a[4] or "").lower()
             if a[1].lower() == "role":
                 role = value
@@ -157,14 +230,13 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
                 names += " " + value
         article, main = above.article or tag == "article", above.main or tag == "main"
         dropped = above.dropped
-        if not dropped and tag not in ("html", "body", "article", "main") or tag == "article" and above.article:
-            words = set(_WORDS.findall(names))
-            if article and tag not in ("article",):
-                words -= {"header"}  # an article's own heading
-            dropped = dropped or bool(words & NAMES) or role in ROLES or tag in DROPPED and not (tag == "header" and article)
+        if not dropped and (tag not in ("html", "body", "article", "main") or tag == "article" and above.article):
+            own_heading = article and "header" in (tag, *_WORDS.findall(names))
+            dropped = role in ROLES or (tag in DROPPED or _named(names)) and not own_heading
         above.children.append(tag)
         path = zlib.crc32(f"{above.path}/{tag}.{names}".encode("utf-8", "surrogatepass"))
-        node = Node(tag, path, dropped, article, main, tag in PLAIN and not names, len(blocks))
+        plain = tag in PLAIN and not names
+        node = Node(tag, path, dropped, above.low or path in low and not (article and plain), article, main, len(blocks))
         nodes.append(node)
         stack.append(node)
     flush()
@@ -187,16 +259,17 @@ def features(html: str | None) -> dict[int, tuple[int, int]]:
 
 def main_text(html: str | None, low: set[int] | frozenset = frozenset()) -> str:
     """The page's text without the branches in low."""
-    _, blocks = parse(html)
+    _, blocks = parse(html, low)
     if any(b.article for b in blocks):
         blocks = [b for b in blocks if b.article]
     elif any(b.main for b in blocks):
         blocks = [b for b in blocks if b.main]
-    return "\n\n".join(b.text for b in blocks if not b.dropped and low.isdisjoint(b.nodes))
+    return "\n\n".join(b.text for b in blocks if not b.dropped and not b.low)
 
 
 def low_importance(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(host, node): the branches to remove, a written table. pages: host, html."""
+    """(host, low): the branches to remove of each host with enough pages, and of all pages in the row whose host is
+    null; a written table. pages: host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "html"):
@@ -206,13 +279,20 @@ def low_importance(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(p, pa.int64()), pa.array(k, pa.int32()), pa.array(v, pa.int64())], ["host", "node", "kind", "value"])
 
     seen = pages.select("host", "html").mapInArrow(run, "host string, node long, kind int, value long").groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
-    by_kind = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("w"))
-    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("w") / F.col("m")) / F.log("m")).otherwise(1.0)
-    weight = F.when(F.col("kind") == 0, 1 - s.gamma).otherwise(s.gamma)
-    of_node = by_kind.groupBy("host", "node").agg(F.max("m").alias("m"), F.sum(entropy * weight).alias("importance"))
-    size = of_node.filter("node = 0").select("host", F.col("m").alias("pages"))
-    low = of_node.filter((F.col("node") != 0) & (F.col("m") >= s.least_pages) & (F.col("importance") < s.least_importance)).join(size, "host")
-    return written(low.filter(F.col("m") >= s.least_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "site-branches")  # at most 1 / least_share times a page's nodes
+    seen = written(seen, "site-trees")
+    everywhere = seen.groupBy("node", "kind", "value").agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias("host"), "node", "kind", "value", "c")
+
+    def low(counts: DataFrame) -> DataFrame:
+        by_kind = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("w"))
+        entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("w") / F.col("m")) / F.log("m")).otherwise(1.0)
+        weight = F.when(F.col("kind") == 0, 1 - s.gamma).otherwise(s.gamma)
+        of_node = by_kind.groupBy("host", "node").agg(F.max("m").alias("m"), F.sum(entropy * weight).alias("importance"))
+        size = of_node.filter("node = 0").select(F.col("host").alias("h"), F.col("m").alias("pages"))
+        joined = of_node.join(size, F.col("host").eqNullSafe(F.col("h"))).filter((F.col("pages") >= s.least_pages) & (F.col("m") >= s.least_share * F.col("pages")))
+        few = joined.filter((F.col("node") != 0) & (F.col("importance") < s.least_importance))
+        return joined.filter("node = 0").select("host").join(few.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")).withColumnRenamed("host", "g"), F.col("host").eqNullSafe(F.col("g")), "left").select("host", F.coalesce("low", F.array().cast("array<long>")).alias("low"))
+
+    return written(low(seen).union(low(everywhere)), "site-branches")  # at most 1 / least_share times a page's nodes each
 
 
 def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -220,11 +300,12 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     branches = low_importance(whole, s)
-    joined = whole.join(bounded_broadcast(branches, 4096), "host", "left").select("page_id", "url", "html", "low")
+    usual = [int(x) for r in branches.filter("host is null").collect() for x in r.low]  # of one tree
+    joined = whole.join(bounded_broadcast(branches.filter("host is not null"), 4096), "host", "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "html"):
-            texts = [main_text(t, frozenset(low or ())) for t, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            texts = [main_text(t, frozenset(usual if low is None else low)) for t, low in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
