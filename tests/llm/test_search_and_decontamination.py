@@ -103,3 +103,30 @@ def test_recall_does_not_depend_on_the_number_of_items(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
     assert {(i // 3, i) for i, _ in items} <= got
+
+
+def test_items_of_frequent_words_and_without_ids(spark):
+    rng = random.Random(5)
+    common = "to be or not that is the question of a and in".split()
+    docs = [(d, " ".join(rng.choices(common, k=200) + words(rng, 5))) for d in range(60)]
+    item = "to be or not to be that is the question"
+    docs += [(100, f"{docs[0][1]} {item} {docs[1][1]}"), (101, item.upper()), (102, "to be or not to be is the question"), (103, "a of"), (None, item), (104, item), (104, item)]
+    rare = " ".join(words(rng, 30))
+    docs.append((105, f"{docs[2][1]} {rare}"))
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, cosine int")
+    bench = spark.createDataFrame([(1, item), (None, rare), (3, None)], "item_id long, text string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in decontam.leaks(df, bench, decontam.Settings(stop_idf=2.0)).collect()), key=str)
+    assert {x for x in got if x[0] >= 100 or x[0] < 0} == {(100, 1), (101, 1), (102, 1), (-1, 1), (104, 1), (105, None)} and got.count((104, 1)) == 2
+    small = decontam.Settings(stop_idf=2.0, slice_words=12, pass_slices=1)
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in decontam.leaks(df, bench, small).collect()), key=str) == got
+
+
+def test_reworded_items(spark):
+    """Every fifth word of each item changed, every eleventh left out: most are found."""
+    rng = random.Random(6)
+    docs = [(d, " ".join(words(rng, 200))) for d in range(150)]
+    items = [(i, words(rng, rng.randint(20, 60))) for i in range(150)]
+    hold = [(d, f"{t[: len(t) // 2]} {' '.join(words(rng, 1)[0] if k % 5 == 2 else w for k, w in enumerate(items[d][1]) if k % 11 != 7)} {t[len(t) // 2 :]}") for d, t in docs]
+    df, bench = spark.createDataFrame(hold, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert sum((i, i) in got for i in range(150)) >= 0.9 * 150 and all(a == b for a, b in got)

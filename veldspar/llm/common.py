@@ -19,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _own_roots.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-shared-")
         _own_roots[app] = root
@@ -33,7 +35,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # what a writer holds in memory
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,13 +10,17 @@
    of the item's rarest words (its answer terms) that occur there. Both must reach their thresholds; a subsequence of
    ``sure_lcs`` of an item of ``sure_words`` words or more is enough by itself.
 
-The benchmark is taken in slices of ``slice_items`` items at most. A slice whose latent space of ``rank`` dimensions
+Words of very many windows weigh nothing. Items that hold no other word have no latent vector: their candidates are the
+windows that share ``gram`` neighbouring words with them (all of their words, if they have fewer); step 4 follows.
+
+The benchmark is taken in slices of ``slice_items`` items and about ``slice_words`` words at most. A slice whose latent space of ``rank`` dimensions
 keeps less than ``kept`` of any passage's squared norm is cut further, so that recall doesn't depend on the benchmark's
 size (an item that fails alone gets a larger rank). A slice and its model have a bounded size; ``pass_slices`` of them
-travel with the tasks, and a larger benchmark takes more passes over the documents.
+travel with the tasks, and a larger benchmark takes more passes over the documents, whose hits are written one by one.
 
-Nulls and empty texts have no words and match nothing; null ids are kept as null. A repeated row gives its hits once
-a row. Items without words match nothing. Ties don't arise: every hit is returned. Other columns are not read.
+Nulls and empty texts have no words and match nothing; null ids, of documents and items, are kept as null. A repeated
+row gives its hits once a row; equal items are one. Items without words match nothing. Ties don't arise: every hit is
+returned. Texts of any length are read whole; empty tables give no hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import WordIds, pieces
+from veldspar.llm.common import WordIds, pieces, written
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,9 @@ class Settings:
     min_answer: float = 0.5
     sure_lcs: float = 0.7
     sure_words: int = 8
+    gram: int = 4
     slice_items: int = 4096
+    slice_words: int = 200_000
     pass_slices: int = 8
     seed: int = 7
 
@@ -185,6 +191,8 @@ def _fitted(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray,
     """The items in slices with their latent spaces, cut until every passage is kept."""
     part = Slice(items, idf, s)
     if not len(part.vocabulary):
+        if part.item_ids:
+            yield part, np.zeros((0, 1), np.float32)
         return
     if (latent := latent_space(spark, part, s)) is not None:
         yield part, latent
@@ -207,9 +215,29 @@ def lcs(mask: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
+def _gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n neighbouring words."""
+    key = np.zeros(max(len(ids) - n + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k].astype(np.uint64)
+    return key
+
+
+def _grams(part: Slice, s: Settings) -> dict[int, dict[int, list[int]]]:
+    """By size: the word sequences of the items that hold only words without weight, and whose they are."""
+    out: dict[int, dict[int, list[int]]] = {}
+    for k, ids in enumerate(part.item_words):
+        if not (part.idf[ids] > 0).any():
+            n = min(s.gram, len(ids))
+            for key in set(_gram_keys(ids, n).tolist()):
+                out.setdefault(n, {}).setdefault(key, []).append(k)
+    return out
+
+
 def _hits(doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray, idf2: np.ndarray, model: tuple, s: Settings) -> pa.RecordBatch | None:
     """The documents of a batch, given by their ids and words, that hold an item of the slice."""
-    items, folded, row_of, owner, item_ids, item_words, masks, answers = model
+    items, folded, row_of, owner, item_ids, item_words, masks, answers, grams = model
     half = s.window // 2
     if not len(ids):
         return None
@@ -223,12 +251,10 @@ def _hits(doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray, idf2: np.ndar
     latent = np.zeros((n, folded.shape[1]), np.float32)
     rows = row_of[ids]
     known = np.flatnonzero(rows >= 0)
-    if not len(known):
-        return None
     at = block[known]
     nth = np.arange(len(at)) - np.searchsorted(at, at)
     order = np.argsort(nth.astype(np.int8), kind="stable")
-    ends = np.cumsum(np.bincount(nth))
+    ends = np.cumsum(np.bincount(nth, minlength=1))
     for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):  # the first known word of each block, the second, ...
         some = order[lo:hi]
         latent[at[some]] += folded[rows[known[some]]]
@@ -245,6 +271,14 @@ def _hits(doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray, idf2: np.ndar
         for b, p in zip(*np.nonzero(score >= limit[some, None]), strict=True):
             at = int(some[b])
             hits.setdefault((int(doc_of_block[at]), int(owner[p])), []).append((at, float(score[b, p] / limit[at] * s.min_cosine)))
+    for size, keys in grams.items():
+        found_keys = _gram_keys(ids, size)
+        for i in np.flatnonzero(np.isin(found_keys, np.array(list(keys), np.uint64))).tolist():
+            if doc_of[i] == doc_of[i + size - 1]:
+                for item in keys[int(found_keys[i])]:
+                    where = hits.setdefault((int(doc_of[i]), item), [])
+                    if not where or where[-1][0] != int(block[i]):
+                        where.append((int(block[i]), 0.0))
     found = []
     for (d, item), where in sorted(hits.items()):
         size, best, cosine = len(item_words[item]), (0.0, 0.0), max(c for _, c in where)
@@ -270,11 +304,11 @@ def _hits(doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray, idf2: np.ndar
 
 
 def _model(part: Slice, latent: np.ndarray, s: Settings) -> tuple:
-    items = np.stack([v @ latent[c] for c, v in part.matrix()])
+    items = np.stack([v @ latent[c] for c, v in part.matrix()])  # zeros for passages without weight
     folded = (latent * part.idf[part.vocabulary][:, None]).astype(np.float32)
     row_of = np.full(s.buckets, -1, np.int32)
     row_of[part.vocabulary] = np.arange(len(part.vocabulary), dtype=np.int32)
-    return items.T.astype(np.float32).copy(), folded, row_of, part.owner, part.item_ids, part.item_words, part.masks, part.answers
+    return items.T.astype(np.float32).copy(), folded, row_of, part.owner, part.item_ids, part.item_words, part.masks, part.answers, _grams(part, s)
 
 
 def _search(docs: DataFrame, models: list[tuple], idf: np.ndarray, s: Settings) -> DataFrame:
@@ -296,15 +330,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     idf = inverse_frequency(word_counts(docs, s, text_col), s.window, s.stop_idf)
-    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null").distinct().orderBy("item_id", "text")
+    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct().orderBy("item_id", "text")
 
     def slices() -> Iterator[list[tuple[int, str]]]:
         held: list[tuple[int, str]] = []
+        size = 0
         for row in ordered.toLocalIterator():
-            held.append((row.item_id, row.text))
-            if len(held) == s.slice_items:
+            n = len(row.text.split())
+            if held and (len(held) == s.slice_items or size + n > s.slice_words):
                 yield held
-                held = []
+                held, size = [], 0
+            held.append((row.item_id, row.text))
+            size += n
         if held:
             yield held
 
@@ -312,5 +349,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
     out = None
     while some := list(islice(models, s.pass_slices)):  # one pass over the documents
         found = _search(texts, some, idf, s)
+        if out is not None or len(some) == s.pass_slices:  # there may be more passes: their models needn't wait for each other
+            found = written(found, "leaks-of-a-pass")
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_ratio double, answer_share double")
