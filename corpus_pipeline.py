@@ -16,13 +16,14 @@ from veldspar.llm.common import bounded_broadcast, written
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows with these ids (a written table); rows without an id stay."""
-    return docs.join(bounded_broadcast(ids.select("doc_id"), 16), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a hash of all columns: it tells rows apart where ids are null or repeated; equal rows share it."""
+    values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a null alone leaves a hash as it is
+    return docs.withColumn("_key", F.xxhash64(*values))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely toxic than not go."""
+    """Rows whose text reaches the rejection threshold go; null and empty texts stay, each row is decided by itself."""
     s = ordinal.Settings()
     model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), s)
     return ordinal.score(docs, model, severity_col="_severity", toxic_col="_p_toxic").filter(F.col("_p_toxic") < s.reject_at).select(docs.columns)
@@ -33,8 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     (null ids last), of these that with the smallest hash.
 
     Rows are told apart by a hash of all their columns, not by id, so rows with equal or null ids are decided singly."""
-    values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a null alone leaves a hash as it is
-    keyed = docs.withColumn("_key", F.xxhash64(*values))
+    keyed = _keyed(docs)
     found = written(simhash.similar(keyed, "_key").withColumnRenamed("key", "_key"), "near-duplicates")
     grouped = found.groupBy("_key").agg(F.min("group").alias("group"), F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
@@ -50,19 +50,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = written(decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
-    return _without(docs, written(found.select("doc_id").distinct(), "leaking-ids"))
+    """Rows whose text holds a benchmark item go, whatever their ids; null and empty texts stay."""
+    keyed = _keyed(docs)
+    found = written(decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key"), "leaks")
+    gone = written(found.select(F.col("doc_id").alias("_key")).distinct(), "leaking-rows")
+    return keyed.join(bounded_broadcast(gone, 16), "_key", "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in it are replaced by a mark, and n_chars follows."""
+    """Every row stays; secrets in its text are replaced by a mark, and n_chars follows. A null text stays null."""
     found = secrets.scan(docs, out_col="_spans").withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
     return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's sampled segmentations."""
+    """Every row's sampled segmentations; null and empty texts have the empty one."""
     return pieces.encode(docs)
 
 
