@@ -283,10 +283,15 @@ def test_sampling_without_replacement():
 def plain_segmentations(w, text):
     """All piece sequences of a text without unknown characters and their probabilities, by recursion over each word."""
 
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    vocabulary = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if w.weight[i] > 0}
+
     def of_word(word):
         if not word:
             return [((), 1.0)]
-        return [((w.vocabulary[word[:k]], *rest), w.weight[w.vocabulary[word[:k]]] * p) for k in range(1, len(word) + 1) if w.vocabulary.get(word[:k], -1) >= 0 for rest, p in of_word(word[k:])]
+        return [((vocabulary[word[:k]], *rest), w.weight[vocabulary[word[:k]]] * p) for k in range(1, len(word) + 1) if word[:k] in vocabulary for rest, p in of_word(word[k:])]
 
     out = [((), 1.0)]
     for word in w.split(text):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -39,6 +41,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let tasks hand texts to Python in batches of so many rows, in place of Spark's 10,000, unless the cluster's
+    configuration names a number: a task's buffers, in the JVM and in Python, hold a batch each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, rows)
+
+
 def bounded_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
     """df with a broadcast hint if its rows fit limit_bytes, otherwise df as it is (Spark then shuffles the join).
 
@@ -64,6 +74,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             at += step
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: Python workers go on to other tasks beside a JVM of fixed size."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _used(column: pa.Array) -> int:
     """Bytes of the slice's own values."""
     return column.nbytes

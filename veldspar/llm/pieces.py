@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.common import pieces as text_pieces
+from veldspar.llm.common import trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -49,9 +50,10 @@ class Settings:
     samples: int = 2
     alpha: float = 1.0
     seed: int = 17
-    most_edges: int = 1_500_000  # of the kept lattices, at 24 bytes
+    most_edges: int = 1_250_000  # of the kept lattices, at 24 bytes
 
 
+BATCH = 1 << 18  # bytes of text that are sampled together
 _SLOT_BITS, _BASE, _SPREAD, _UNKNOWN = 19, 0x100000001B3, 0x9E3779B97F4A7C15, -11.5
 
 
@@ -74,7 +76,7 @@ class Words(dict):
         super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=s.model)
         self.settings, self.bytes, self.text = s, {}, []
-        self.vocabulary: dict[str, int] = {}
+        vocabulary: dict[str, int] = {}
         self.weight: list[float] = []
         zipf = all(model.get_score(i) <= -1 or model.get_score(i) == 0 for i in range(0, model.get_piece_size(), 97))
         for i in range(model.get_piece_size()):
@@ -88,29 +90,34 @@ class Words(dict):
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or SPACE in piece[1:] or "\n" in piece:
                 continue
             self.weight[i] = (2.7 - score) ** -s.alpha if zipf else math.exp(s.alpha * score)
-            self.vocabulary[piece] = i
+            vocabulary[piece] = i
             for k in range(1, len(piece)):
-                self.vocabulary.setdefault(piece[:k], -1)
-        self.longest = max(map(len, self.vocabulary))
+                vocabulary.setdefault(piece[:k], -1)
+        self.longest = max(map(len, vocabulary))
         self.log_weight = np.log(np.maximum(np.array(self.weight), 1e-300))
         size = 1 << _SLOT_BITS
         self.keys, self.ids = np.zeros(size, np.uint64), np.full(size, -2, np.int32)
-        known = list(self.vocabulary.items())
+        known = list(vocabulary.items())
         for h, (_, k) in zip(_hashes([x for x, _ in known]).tolist(), known, strict=True):
             at = (h * _SPREAD & (1 << 64) - 1) >> 64 - _SLOT_BITS
             while self.ids[at] != -2:
                 at = (at + 1) % size
             self.keys[at], self.ids[at] = h, k
-        self.reset()
+        self.release()
 
     def reset(self) -> None:
-        """Forget all words; the room that they took is given back."""
+        """Forget all words."""
         self.clear()
         self.n_nodes, self.n_edges, self.n_words, self.new = 1, 0, 0, []
-        size = self.settings.most_edges * 5 // 4  # memory that isn't written to isn't taken
+        trim()
+
+    def release(self) -> None:
+        """Give the arrays back; memory that isn't written to isn't taken."""
+        size = self.settings.most_edges * 5 // 4
         self.first, self.root = np.zeros(size // 2, np.int32), np.zeros(size // 8, np.int32)
         self.cum, self.logq = np.zeros(size), np.zeros(size)
         self.target, self.piece = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.reset()
 
     def __missing__(self, word: str) -> int:
         """A new word's number; its lattice is still to be built."""
@@ -478,7 +485,7 @@ def encode(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
         w = _words(s)
         table = pa.array(w.text, pa.large_binary())
         try:
-            for batch in text_pieces(batches, "text", 1 << 19):
+            for batch in text_pieces(batches, "text", BATCH):
                 if w.n_edges > s.most_edges:
                     w.reset()
                 keys, texts = batch.column(0), batch.column(1)
@@ -495,7 +502,7 @@ def encode(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", te
                     same = pc.equal(decoded(offsets, ids, table), pc.take(whole, rows))
                     yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(np.full(len(who), k + 1, np.int32)), pa.array(np.diff(offsets)), pa.array(log_prob), pa.array(top), pa.array(inclusion), same, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "pieces"])
         finally:
-            w.reset()  # the worker goes on to other tasks
+            w.release()  # the worker goes on to other tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
