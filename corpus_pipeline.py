@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm import decontam, ordinal, pieces, secrets, simhash
-from veldspar.llm.common import bounded_broadcast, written
+from veldspar.llm.common import bounded_broadcast, text_batches, written
 
 #: SQL can't express the stages (learned models, XXH64, sampling): they are tested against brute-force versions.
 ORACLE_SQL = None
@@ -24,6 +24,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text reaches the rejection threshold go; null and empty texts stay, each row is decided by itself."""
+    text_batches(spark)
     s = ordinal.Settings()
     model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), s)
     return ordinal.score(docs, model, severity_col="_severity", toxic_col="_p_toxic").filter(F.col("_p_toxic") < s.reject_at).select(docs.columns)
@@ -34,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     (null ids last), of these that with the smallest hash.
 
     Rows are told apart by a hash of all their columns, not by id, so rows with equal or null ids are decided singly."""
+    text_batches(spark)
     keyed = _keyed(docs)
     found = written(simhash.similar(keyed, "_key").withColumnRenamed("key", "_key"), "near-duplicates")
     grouped = found.groupBy("_key").agg(F.min("group").alias("group"), F.count("*").alias("n"))
@@ -51,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a benchmark item go, whatever their ids; null and empty texts stay."""
+    text_batches(spark)
     keyed = _keyed(docs)
     found = written(decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key"), "leaks")
     gone = written(found.select(F.col("doc_id").alias("_key")).distinct(), "leaking-rows")
@@ -65,6 +68,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's sampled segmentations; null and empty texts have the empty one."""
+    text_batches(spark)
     return pieces.encode(docs)
 
 
