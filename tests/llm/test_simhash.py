@@ -142,5 +142,5 @@ def test_a_crowd_of_near_copies_is_one_group(spark):
     base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(100)]
     texts = [" ".join(edited(rng, base, 1)) for _ in range(900)] + [" ".join(rng.choices(base, k=100)) for _ in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.key: r.group for r in s.similar(df, "doc_id", s=s.Similar(cell=32, heavy=100)).collect()}
+    got = {r.key: r.group for r in s.similar(df, "doc_id", s=s.Similar(heavy=100)).collect()}
     assert same_partition([got[i] for i in range(len(texts))], brute_similar(texts))

@@ -16,10 +16,10 @@ An empty table gives an empty result. Only the id and text columns are read, so
 fingerprints of such texts differ in about ten bits, more than a ball can cover, so each text also gets ``samples``
 fingerprints of the ``smallest`` shingle hashes under as many permutations; two texts share one with probability
 similarity ** smallest. Balls around the whole-text fingerprint and equal sample fingerprints give candidates, which
-are verified on the whole sets. In a bucket of up to ``before`` + 1 texts all are compared; in a larger one every text
-with the bucket's smallest, with the smallest of its salt and with ``before`` others of its cell, in another order in
-every bucket, so that a bucket with a third of all texts is neither paired nor gathered in a task. What a large bucket
-leaves out, links over third texts and other buckets make up for: groups are connected components.
+are verified on the whole sets. In a bucket of up to ``before`` + 1 texts all are compared, in one of up to ``crowd``
+each with ``before`` others, in a larger one with the bucket's smallest and the smallest of its salt, in another order
+in every bucket, so that a bucket with a third of all texts is neither paired nor gathered in a task. What a large
+bucket leaves out, links over third texts and other buckets make up for: groups are connected components.
 """
 
 from __future__ import annotations
@@ -139,8 +139,8 @@ class Similar:
     samples: int = 8
     smallest: int = 3
     salts: int = 32
-    cell: int = 256  # texts of a bucket that are ordered together
-    before: int = 12  # of these, how many each text is compared with
+    crowd: int = 24  # texts of a bucket up to which each is compared with ``before`` others
+    before: int = 12
     heavy: int = 512  # partners of one text from which its set is sent in copies
 
 
@@ -214,10 +214,11 @@ def similar(docs: DataFrame, key_col: str, text_col: str = "text", s: Similar =
     nearest = members.groupBy("table", "value", "salt").agg(F.min(turned).alias("near"), F.count("*").alias("n"))
     first = nearest.groupBy("table", "value").agg(F.min("near").alias("far"), F.sum("n").alias("n")).filter("n > 1")
     leaders = nearest.drop("n").join(first, ["table", "value"])
-    cell = F.pmod(F.xxhash64("same", "value"), F.ceil(F.col("n") / s.cell))
-    met = members.join(leaders, ["table", "value", "salt"]).select("same", "table", "value", "near", "far", turned.alias("order"), cell.alias("cell"))
-    before = F.collect_list("order").over(Window.partitionBy("table", "value", "cell").orderBy("order").rowsBetween(-s.before, -1))
-    by_sample = met.select("same", "table", F.array_union(F.array("near", "far"), before).alias("others")).select(F.col("same").alias("a"), F.explode("others").alias("b"), "table").select("a", F.col("b").bitwiseXOR(F.xxhash64("table")).alias("b"))
+    met = members.join(leaders, ["table", "value", "salt"]).select("same", "table", "value", "near", "far", "n", turned.alias("order"))
+    before = F.collect_list("order").over(Window.partitionBy("table", "value").orderBy("order").rowsBetween(-s.before, -1))
+    small = met.filter(F.col("n") <= s.crowd).withColumn("others", before).select("same", "table", F.explode("others").alias("other"))
+    large = met.filter(F.col("n") > s.crowd).select("same", "table", F.explode(F.array("near", "far")).alias("other"))
+    by_sample = small.union(large).select(F.col("same").alias("a"), F.col("other").bitwiseXOR(F.xxhash64("table")).alias("b"))
 
     of_fp = classes.groupBy("fp").agg(F.min("same").alias("same"))
     balls = written(links(of_fp.select("fp"), s.distance), "similar-balls")
