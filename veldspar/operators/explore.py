@@ -106,10 +106,12 @@ def latest(df: DataFrame, order: Column, n: int, by: list[str] | None = None) ->
 
 
 def top_categories(df: DataFrame, column: str, n: int = 12, other: str = "other") -> DataFrame:
-    """Rows per category for the n largest (ties by name) and for all others together."""
+    """Rows per category for the n largest (ties by name; null is a category) and for all others together, in a row of
+    its own even where a category has the name ``other``."""
     counts = df.groupBy(column).agg(F.count("*").alias("c"))
-    top = counts.orderBy(F.desc("c"), column).limit(n).select(F.col(column).alias("_k"))
-    return counts.join(F.broadcast(top), F.col(column).eqNullSafe(F.col("_k")), "left").groupBy(F.when(F.col("_k").isNotNull() | F.col(column).isNull() & F.col("_k").isNotNull(), F.col(column)).otherwise(other).alias("category")).agg(F.sum("c").alias("n"))
+    top = counts.orderBy(F.desc("c"), column).limit(n).select(F.col(column).alias("_k"), F.lit(True).alias("_top"))
+    marked = counts.join(F.broadcast(top), F.col(column).eqNullSafe(F.col("_k")), "left")  # n rows
+    return marked.groupBy(F.col("_top"), F.when(F.col("_top"), F.col(column)).otherwise(other).alias("category")).agg(F.sum("c").alias("n")).drop("_top")
 
 
 def size_regime(rows: int) -> str:

@@ -108,10 +108,11 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """From the occupied cells alone: chi2 = n * (sum of o * o / (r * c) - 1)."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("o"))
-    rows, cols, n = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c")), cells.agg(F.sum("o").alias("n"))
-    full = rows.join(F.broadcast(cols)).join(F.broadcast(n)).join(cells, [a, b], "left").withColumn("e", F.col("r") * F.col("c") / F.col("n"))
-    return full.agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - F.col("e"), F.lit(2)) / F.col("e")).alias("chi2"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"))
+    rows, cols = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
+    sums = cells.join(rows, a).join(cols, b).agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.countDistinct(a).alias("x"), F.countDistinct(b).alias("y"))
+    return sums.select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("x") - 1) * (F.col("y") - 1)).alias("df"))
 
 
 def regression_f(df: DataFrame, x: str, y: str) -> DataFrame:

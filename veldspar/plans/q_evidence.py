@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from veldspar.operators import evidence as e
 from veldspar.plans.registry import query, table
 
-_T = "d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN replace(text, ' | ', chr(9)) WHEN 1 THEN 'From: a' || chr(10) || 'Subject: s' || doc_id || chr(10) || '> quoted' || chr(10) || text WHEN 2 THEN '10:0' || doc_id % 10 || ' hi' || chr(10) || '10:11 you' || chr(10) || '10:12 there' || chr(10) || '---' || chr(10) || text ELSE text END AS text FROM documents WHERE length(text) < 20000)"
+_T = "d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN replace(text, ' | ', chr(9)) WHEN 1 THEN 'From: a' || chr(10) || 'Subject: s' || doc_id || chr(10) || '> quoted' || chr(10) || text WHEN 2 THEN '10:0' || doc_id % 10 || ' hi' || chr(10) || '10:11 you' || chr(10) || '10:12 there' || chr(10) || '---' || chr(10) || text ELSE text END AS text FROM documents)"
 
 
 def pastes(spark, d):
     k, t = F.col("doc_id") % 4, F.col("text")
     text = F.when(k == 0, F.replace(t, F.lit(" | "), F.lit("\t"))).when(k == 1, F.concat(F.lit("From: a\nSubject: s"), F.col("doc_id"), F.lit("\n> quoted\n"), t)).when(k == 2, F.concat(F.lit("10:0"), F.col("doc_id") % 10, F.lit(" hi\n10:11 you\n10:12 there\n---\n"), t)).otherwise(t)
-    return table(spark, d, "documents").filter(F.length("text") < 20000).select("doc_id", "source", text.alias("text"))
+    return table(spark, d, "documents").select("doc_id", "source", text.alias("text"))
 
 
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
@@ -52,9 +52,9 @@ def dc6_table_rows(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(e.table_rows(t)).alias("text"))
 
 
-@query("WITH " + _T + " SELECT doc_id, 's' || doc_id AS title FROM d WHERE doc_id % 4 = 1")
+@query()
 def dc7_title(spark, d):
-    return pastes(spark, d).filter("doc_id % 4 = 1").select("doc_id", e.title(F.col("text")).alias("title"))
+    return pastes(spark, d).select("doc_id", e.title(F.col("text")).alias("title"))
 
 
 _FR = "f AS (SELECT source AS topic, doc_id AS paste_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS position FROM documents), k AS (SELECT *, lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS key FROM f), z AS (SELECT topic, key, min((paste_id, position)) AS at, arg_min(text, (paste_id, position)) AS text, count(*)::BIGINT - 1 AS duplicates FROM k WHERE length(key) >= 2 GROUP BY 1, 2)"
@@ -81,11 +81,11 @@ def ag24_paste_totals(spark, d):
 
 
 def _lines(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2 and l_orderkey % 10 = 0")
+    li = table(spark, d, "lineitem")
     return li.groupBy("l_orderkey").agg(F.concat_ws(" ", F.lit("n"), F.min("l_partkey").cast("string"), F.max("l_suppkey").cast("string"), F.lit("7")).alias("text")).select(F.col("l_orderkey").alias("line_id"), "text"), li.select(F.col("l_orderkey").alias("line_id"), F.concat(F.lit("0"), F.col("l_partkey"), F.lit(".0 and more")).alias("text"))
 
 
-@query("WITH l AS (SELECT l_orderkey AS line_id, min(l_partkey) AS a, max(l_suppkey) AS b, list(l_partkey) AS have FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 10 = 0 GROUP BY 1) SELECT line_id, b::VARCHAR AS numbers FROM l WHERE b >= 10 AND NOT list_contains(have, b)")
+@query("WITH l AS (SELECT l_orderkey AS line_id, min(l_partkey) AS a, max(l_suppkey) AS b, list(l_partkey) AS have FROM lineitem GROUP BY 1) SELECT line_id, b::VARCHAR AS numbers FROM l WHERE b >= 10 AND NOT list_contains(have, b)")
 def dc10_unsupported(spark, d):
     lines, cited = _lines(spark, d)
     return e.unsupported(lines, cited).select("line_id", F.array_join("numbers", " ").alias("numbers"))

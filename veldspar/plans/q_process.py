@@ -64,11 +64,11 @@ def wf10_xbar_r(spark, d):
     return rounded(p.xbar_r(measures(spark, d), "eqp", "lot", "price"), 7)
 
 
-_SEQ = f"x AS (SELECT eqp, price AS v, row_number() OVER (PARTITION BY eqp {_ORD}) AS n, avg(price) OVER (PARTITION BY eqp) AS mu, stddev_samp(price) OVER (PARTITION BY eqp) AS sd FROM m WHERE eqp < 12)"
+_SEQ = f"x AS (SELECT eqp, price AS v, row_number() OVER (PARTITION BY eqp {_ORD}) AS n, avg(price) OVER (PARTITION BY eqp) AS mu, stddev_samp(price) OVER (PARTITION BY eqp) AS sd FROM m)"
 
 
 def _sequence(spark, d):
-    return measures(spark, d).filter("eqp < 12").withColumn("o", F.struct("ts", "lot", "step", "part"))
+    return measures(spark, d).withColumn("o", F.struct("ts", "lot", "step", "part"))
 
 
 @query(f"WITH RECURSIVE {M}, {_SEQ}, r AS (SELECT eqp, n, 0.2 * v + 0.8 * mu AS z, mu, sd FROM x WHERE n = 1 UNION ALL SELECT x.eqp, x.n, 0.2 * v + 0.8 * z, x.mu, x.sd FROM r JOIN x ON x.eqp = r.eqp AND x.n = r.n + 1) SELECT eqp, count(*)::INT AS n, round(arg_max(z, n), 4) AS last, count(*) FILTER (abs(z - mu) > 3 * sd * sqrt(0.2 / 1.8 * (1 - pow(0.8, 2 * n))))::INT AS n_out FROM r GROUP BY 1")
