@@ -41,6 +41,11 @@ def quotes(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), _is_quote))
 
 
+def _once(value: Column, body) -> Column:
+    """body of a value that is computed once, also where lambdas inside of it use the value for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blocks(text: Column) -> Column:
     """array<array<string>>: trimmed lines without quotes, in blocks that blank lines and rules end."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: ~_is_quote(x))
@@ -100,12 +105,15 @@ def packed_blocks(text: Column, limit: int = LONGEST) -> Column:
 def table_rows(text: Column) -> Column:
     """Rows of tab-separated text as "header: value" parts, where the first line is a header: short, not numeric."""
     rows = F.transform(_filled(text), lambda x: F.transform(F.split(x, "\t", -1), lambda c: F.trim(c)))
-    head = F.element_at(rows, 1)
-    headed = (F.size(rows) > 1) & F.forall(head, lambda h: (h != "") & (F.length(h) <= 30) & ~h.rlike(r"^[\d,.\-%\s]+$"))
-    name = lambda i: F.coalesce(F.nullif(F.get(head, i), F.lit("")), F.concat(F.lit("열"), i + 1))
-    named = F.transform(F.slice(rows, 2, F.size(rows)), lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c))), lambda x: x.isNotNull()))
-    plain = F.transform(rows, lambda r: F.filter(r, lambda c: c != ""))
-    return F.filter(F.transform(F.when(headed, named).otherwise(plain), lambda r: F.array_join(r, " · ")), lambda x: x != "")
+
+    def texts(rows: Column, head: Column) -> Column:
+        headed = (F.size(rows) > 1) & F.forall(head, lambda h: (h != "") & (F.length(h) <= 30) & ~h.rlike(r"^[\d,.\-%\s]+$"))
+        name = lambda i: F.coalesce(F.nullif(F.get(head, i), F.lit("")), F.concat(F.lit("열"), i + 1))
+        named = F.transform(F.slice(rows, 2, F.size(rows)), lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c))), lambda x: x.isNotNull()))
+        plain = F.transform(rows, lambda r: F.filter(r, lambda c: c != ""))
+        return F.filter(F.transform(F.when(headed, named).otherwise(plain), lambda r: F.array_join(r, " · ")), lambda x: x != "")
+
+    return _once(rows, lambda rows: _once(F.get(rows, F.lit(0)), lambda head: texts(rows, head)))
 
 
 def title(text: Column) -> Column:
@@ -118,8 +126,8 @@ def title(text: Column) -> Column:
 
 def fragments(pastes: DataFrame) -> DataFrame:
     """(topic, paste_id, position, text) of pastes (topic, paste_id, text)."""
-    t = calc.normalised(F.col("text"))
-    parts = F.when(kind(t) == "table", F.flatten(F.transform(table_rows(t), lambda x: cut(x)))).otherwise(merged(packed_blocks(t)))
+    split = lambda t: F.when(kind(t) == "table", F.flatten(F.transform(table_rows(t), lambda x: cut(x)))).otherwise(merged(packed_blocks(t)))
+    parts = _once(calc.normalised(F.col("text")), split)
     return pastes.select("topic", "paste_id", F.posexplode(parts).alias("position", "text"))
 
 
