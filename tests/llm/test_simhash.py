@@ -144,3 +144,19 @@ def test_a_crowd_of_near_copies_is_one_group(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.key: r.group for r in s.similar(df, "doc_id", s=s.Similar(heavy=100)).collect()}
     assert same_partition([got[i] for i in range(len(texts))], brute_similar(texts))
+
+
+@pytest.mark.parametrize("settings", [s.Similar(), s.Similar(small=2, heavy=8)])
+def test_crowds_that_are_not_one_component(spark, settings):
+    """Copies with so many edits that few pairs are similar, chains among them, and a passage that other texts share."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    texts = [" ".join(edited(rng, base, rng.randint(1, 8))) for _ in range(400)]
+    texts += [" ".join([*passage, *[word() for _ in range(rng.randint(5, 60))]]) for _ in range(200)]
+    texts += [" ".join([*passage, *edited(rng, t.split()[60:], 1)]) for t in texts[400:440]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r.group for r in s.similar(df, "doc_id", s=settings).collect()}
+    expected = brute_similar(texts)
+    assert 100 < len(set(expected)) < 500
+    assert same_partition([got[i] for i in range(len(texts))], expected)

@@ -16,10 +16,10 @@ An empty table gives an empty result. Only the id and text columns are read, so
 fingerprints of such texts differ in about ten bits, more than a ball can cover, so each text also gets ``samples``
 fingerprints of the ``smallest`` shingle hashes under as many permutations; two texts share one with probability
 similarity ** smallest. Balls around the whole-text fingerprint and equal sample fingerprints give candidates, which
-are verified on the whole sets. In a bucket of up to ``before`` + 1 texts all are compared, in one of up to ``crowd``
-each with ``before`` others, in a larger one with the bucket's smallest and the smallest of its salt, in another order
-in every bucket, so that a bucket with a third of all texts is neither paired nor gathered in a task. What a large
-bucket leaves out, links over third texts and other buckets make up for: groups are connected components.
+are verified on the whole sets. In a bucket of up to ``small`` texts all are compared. In a larger one each is first
+compared with the bucket's smallest and the smallest of its salt, in another order in every bucket. What isn't one
+component by that is joined exactly, by a prefix filter on the sets, so a large bucket leaves no link out and is neither
+paired nor gathered in a task.
 """
 
 from __future__ import annotations
@@ -139,17 +139,16 @@ class Similar:
     samples: int = 8
     smallest: int = 3
     salts: int = 32
-    crowd: int = 24  # texts of a bucket up to which each is compared with ``before`` others
-    before: int = 12
+    small: int = 13  # texts of a bucket up to which all are compared at once
     heavy: int = 512  # partners of one text from which its set is sent in copies
 
 
 def _sketch(text: bytes, s: Similar) -> tuple[int, ...]:
-    """Of a text: hash of its words, whole fingerprint, and the sample fingerprints."""
+    """Of a text: hash of its words, number of different shingles, whole fingerprint, and the sample fingerprints."""
     words = text.lower().split()
     same = np.array([xxhash.xxh64_intdigest(b" ".join(words), 43)], "<u8").view("<i8")[0]
     if not words:
-        return (int(same), *[0] * (1 + s.samples))
+        return (int(same), 0, *[0] * (1 + s.samples))
     h = np.concatenate(list(shingle_hashes(words, s.width)))
     whole, h = majority(iter([h])), np.unique(h)
     turned = (h[None, :] ^ (np.arange(1, s.samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) * np.uint64(0xD6E8FEB86659FD93)
@@ -157,7 +156,7 @@ def _sketch(text: bytes, s: Similar) -> tuple[int, ...]:
     turned *= np.uint64(0xD6E8FEB86659FD93)
     few = np.partition(turned, s.smallest - 1, axis=1)[:, : s.smallest] if len(h) > s.smallest else turned
     bits = np.unpackbits(np.ascontiguousarray(few).view(np.uint8).reshape(s.samples, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
-    return (int(same), whole, *np.packbits(bits * 2 > few.shape[1], axis=1, bitorder="little").view("<i8")[:, 0].tolist())
+    return (int(same), len(h), whole, *np.packbits(bits * 2 > few.shape[1], axis=1, bitorder="little").view("<i8")[:, 0].tolist())
 
 
 def _sets(rows: DataFrame, s: Similar) -> DataFrame:
@@ -193,6 +192,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Similar) -> DataFrame:
     return left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _prefixes(loose: DataFrame, s: Similar) -> DataFrame:
+    """(same, root, size, token, at) of loose (same, root, size, hashes): the first hashes of each set in one order of
+    all hashes, rare ones first. Sets that are similar enough share one of these (prefix filter).
+
+    Any order gives all pairs. The counts that it goes by are those of all sets, of the hashes that are frequent enough
+    that 100,000 of them at most are kept."""
+    spark = loose.sparkSession
+    total = loose.agg(F.sum("size")).first()[0] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "hashes"):
+            values, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column(0)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    counted = loose.select("hashes").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, total / 100_000))
+    rows = counted.collect()
+    common = np.array(sorted((r.token, r.n) for r in rows), np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value[:, 0], shared.value[:, 1]
+        for part in pieces(batches, "hashes"):
+            firsts = []
+            for x in part.column(3):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                spot = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                often = np.where(known[spot] == x, counts[spot], 0) if len(known) else np.zeros(len(x), np.int64)
+                firsts.append(x[np.lexsort((x, often))][: len(x) - int(np.ceil(s.similarity * len(x) - 1e-9)) + 1])
+            lengths = [len(x) for x in firsts]
+            of = pa.array(np.repeat(np.arange(len(firsts)), lengths))
+            at = np.concatenate([np.arange(n) for n in lengths]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*[part.column(i).take(of) for i in range(3)], pa.array(np.concatenate(firsts)), pa.array(at)], ["same", "root", "size", "token", "at"])
+
+    return loose.select("same", "root", "size", "hashes").mapInArrow(run, "same long, root long, size long, token long, at long")
+
+
+def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, s: Similar) -> DataFrame:
+    """Pairs (a, b) of texts in large buckets that may be similar enough and aren't in one component yet: all such pairs.
+
+    A pair of one component can't change the components, so buckets that are one component are done. The sets of the
+    others' texts meet by their prefixes; of each pair that meets, one is outside of the prefix's largest component."""
+    placed = written(crowds.join(roots.withColumnRenamed("v", "same"), "same", "left").select("table", "value", "same", "size", F.coalesce("root", "same").alias("root")), "similar-placed")
+    unsettled = written(placed.groupBy("table", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("table", "value"), "similar-unsettled")
+    loose = written(placed.join(bounded_broadcast(unsettled, 16), ["table", "value"], "left_semi").select("same", "size", "root").distinct(), "similar-loose")
+    marks = written(_prefixes(written(sets.join(bounded_broadcast(loose, 24), "same"), "similar-loose-sets"), s), "similar-prefixes")
+    counted = marks.groupBy("token", "root").agg(F.count("*").alias("n"))
+    met = counted.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1")
+    met = written(marks.join(met.select("token", "n", F.col("top.root").alias("top")), "token"), "similar-meetings")
+    salts = F.when(F.col("n") > s.heavy, s.salts).otherwise(1).cast("long")
+    apart = met.filter("root <> top").select("token", F.col("same").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    others = met.select("token", F.col("same").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"), "top", F.pmod(F.xxhash64("same"), salts).alias("salt"))
+    each_once = (F.col("q") == F.col("top")) | (F.col("a") > F.col("b"))
+    enough = F.least(F.col("x") - F.col("i"), F.col("y") - F.col("j")) >= s.similarity / (1 + s.similarity) * (F.col("x") + F.col("y")) - 1e-6
+    pairs = apart.join(others, ["token", "salt"]).filter((F.col("p") != F.col("q")) & each_once & enough)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def similar(docs: DataFrame, key_col: str, text_col: str = "text", s: Similar = Similar()) -> DataFrame:
     """(key, group): texts linked by similar pairs have the same group, other texts one of their own.
 
@@ -203,22 +259,23 @@ def similar(docs: DataFrame, key_col: str, text_col: str = "text", s: Similar =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             rows = np.array([_sketch(t or b"", s) for t in part.column(1).cast(pa.binary()).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], ["key", "same", "fp", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], ["key", "same", "size", "fp", *names])
 
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(texts.mapInArrow(run, "key long, same long, fp long, " + ", ".join(f"{n} long" for n in names)), "similar-sketches")
-    classes = written(sketches.groupBy("same").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), *[F.min(n).alias(n) for n in names]), "similar-classes")
+    sketches = written(texts.mapInArrow(run, "key long, same long, size long, fp long, " + ", ".join(f"{n} long" for n in names)), "similar-sketches")
+    classes = written(sketches.groupBy("same").agg(F.min("key").alias("key"), F.min("size").alias("size"), F.min("fp").alias("fp"), *[F.min(n).alias(n) for n in names]), "similar-classes")
 
     turned = F.col("same").bitwiseXOR(F.xxhash64("table"))  # another order in every table, so other texts are the smallest
-    members = classes.select("same", F.posexplode(F.array("fp", *names)).alias("table", "value")).withColumn("salt", F.pmod(F.xxhash64("same"), F.lit(s.salts)))
+    members = classes.select("same", "size", F.posexplode(F.array("fp", *names)).alias("table", "value")).withColumn("salt", F.pmod(F.xxhash64("same"), F.lit(s.salts)))
     nearest = members.groupBy("table", "value", "salt").agg(F.min(turned).alias("near"), F.count("*").alias("n"))
     first = nearest.groupBy("table", "value").agg(F.min("near").alias("far"), F.sum("n").alias("n")).filter("n > 1")
     leaders = nearest.drop("n").join(first, ["table", "value"])
-    met = members.join(leaders, ["table", "value", "salt"]).select("same", "table", "value", "near", "far", "n", turned.alias("order"))
-    before = F.collect_list("order").over(Window.partitionBy("table", "value").orderBy("order").rowsBetween(-s.before, -1))
-    small = met.filter(F.col("n") <= s.crowd).withColumn("others", before).select("same", "table", F.explode("others").alias("other"))
-    large = met.filter(F.col("n") > s.crowd).select("same", "table", F.explode(F.array("near", "far")).alias("other"))
-    by_sample = small.union(large).select(F.col("same").alias("a"), F.col("other").bitwiseXOR(F.xxhash64("table")).alias("b"))
+    met = members.join(leaders, ["table", "value", "salt"]).select("same", "size", "table", "value", "near", "far", "n", turned.alias("order"))
+    before = F.collect_list("order").over(Window.partitionBy("table", "value").orderBy("order").rowsBetween(-s.small, -1))
+    small = met.filter(F.col("n") <= s.small).withColumn("others", before).select("same", "table", F.explode("others").alias("other"))
+    crowds = written(met.filter(F.col("n") > s.small), "similar-crowds")
+    star = crowds.select("same", "table", F.explode(F.array("near", "far")).alias("other"))
+    by_sample = small.union(star).select(F.col("same").alias("a"), F.col("other").bitwiseXOR(F.xxhash64("table")).alias("b"))
 
     of_fp = classes.groupBy("fp").agg(F.min("same").alias("same"))
     balls = written(links(of_fp.select("fp"), s.distance), "similar-balls")
@@ -230,4 +287,8 @@ def similar(docs: DataFrame, key_col: str, text_col: str = "text", s: Similar =
     sets = written(_sets(texts.join(bounded_broadcast(keys, 16), "key", "left_semi"), s), "similar-sets")
     close = written(_verified(pairs, sets, s), "similar-links")
     roots = written(components(close), "similar-roots")
+    rest = written(_rest(crowds, roots, sets, s), "similar-rest")
+    if not rest.isEmpty():
+        close = close.union(written(_verified(rest, sets, s), "similar-links"))
+        roots = written(components(close), "similar-roots")
     return sketches.select("key", "same").join(roots.withColumnRenamed("v", "same"), "same", "left").select("key", F.coalesce("root", "same").alias("group"))
