@@ -143,6 +143,10 @@ class Similar:
     heavy: int = 512  # partners of one text from which its set is sent in copies
 
 
+#: Columns of 64 parities each.
+PARITIES = [f"odd{i}" for i in range(8)]
+
+
 def _sketch(text: bytes, s: Similar) -> tuple[int, ...]:
     """Of a text: hash of its words, number of different shingles, whole fingerprint, and the sample fingerprints."""
     words = text.lower().split()
@@ -193,8 +197,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Similar) -> DataFrame:
 
 
 def _prefixes(loose: DataFrame, s: Similar) -> DataFrame:
-    """(same, root, size, token, at) of loose (same, root, size, hashes): the first hashes of each set in one order of
-    all hashes, rare ones first. Sets that are similar enough share one of these (prefix filter).
+    """(same, root, size, token, at, parities) of loose (same, root, size, hashes): the first hashes of each set in one
+    order of all hashes, rare ones first. Sets that are similar enough share one of these (prefix filter). The parities
+    say of each of 512 classes of hashes whether the set holds an odd number of them: two sets differ in at least as
+    many hashes as parities (bitmap filter).
 
     Any order gives all pairs. The counts that it goes by are those of all sets, of the hashes that are frequent enough
     that 100,000 of them at most are kept."""
@@ -214,18 +220,20 @@ def _prefixes(loose: DataFrame, s: Similar) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value[:, 0], shared.value[:, 1]
         for part in pieces(batches, "hashes"):
-            firsts = []
+            firsts, odd = [], []
             for x in part.column(3):
                 x = np.frombuffer(x.as_buffer(), np.int64)
+                odd.append(np.packbits(np.bincount(x & 511, minlength=512) & 1).view(np.int64))
                 spot = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
                 often = np.where(known[spot] == x, counts[spot], 0) if len(known) else np.zeros(len(x), np.int64)
                 firsts.append(x[np.lexsort((x, often))][: len(x) - int(np.ceil(s.similarity * len(x) - 1e-9)) + 1])
             lengths = [len(x) for x in firsts]
             of = pa.array(np.repeat(np.arange(len(firsts)), lengths))
             at = np.concatenate([np.arange(n) for n in lengths]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*[part.column(i).take(of) for i in range(3)], pa.array(np.concatenate(firsts)), pa.array(at)], ["same", "root", "size", "token", "at"])
+            parities = [pa.array(np.ascontiguousarray(c)).take(of) for c in np.array(odd).T]
+            yield pa.RecordBatch.from_arrays([*[part.column(i).take(of) for i in range(3)], pa.array(np.concatenate(firsts)), pa.array(at), *parities], ["same", "root", "size", "token", "at", *PARITIES])
 
-    return loose.select("same", "root", "size", "hashes").mapInArrow(run, "same long, root long, size long, token long, at long")
+    return loose.select("same", "root", "size", "hashes").mapInArrow(run, "same long, root long, size long, token long, at long, " + ", ".join(f"{n} long" for n in PARITIES))
 
 
 def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, s: Similar) -> DataFrame:
@@ -241,11 +249,13 @@ def _rest(crowds: DataFrame, roots: DataFrame, sets: DataFrame, s: Similar) -> D
     met = counted.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1")
     met = written(marks.join(met.select("token", "n", F.col("top.root").alias("top")), "token"), "similar-meetings")
     salts = F.when(F.col("n") > s.heavy, s.salts).otherwise(1).cast("long")
-    apart = met.filter("root <> top").select("token", F.col("same").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    others = met.select("token", F.col("same").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"), "top", F.pmod(F.xxhash64("same"), salts).alias("salt"))
+    apart = met.filter("root <> top").select("token", F.col("same").alias("a"), F.col("size").alias("x"), F.col("at").alias("i"), F.col("root").alias("p"), *[F.col(n).alias(f"a_{n}") for n in PARITIES], F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    others = met.select("token", F.col("same").alias("b"), F.col("size").alias("y"), F.col("at").alias("j"), F.col("root").alias("q"), "top", *PARITIES, F.pmod(F.xxhash64("same"), salts).alias("salt"))
     each_once = (F.col("q") == F.col("top")) | (F.col("a") > F.col("b"))
     enough = F.least(F.col("x") - F.col("i"), F.col("y") - F.col("j")) >= s.similarity / (1 + s.similarity) * (F.col("x") + F.col("y")) - 1e-6
-    pairs = apart.join(others, ["token", "salt"]).filter((F.col("p") != F.col("q")) & each_once & enough)
+    differing = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"a_{n}"))) for n in PARITIES), F.lit(0))
+    alike = differing <= (1 - s.similarity) / (1 + s.similarity) * (F.col("x") + F.col("y")) + 1e-6
+    pairs = apart.join(others, ["token", "salt"]).filter((F.col("p") != F.col("q")) & each_once & enough & alike)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
