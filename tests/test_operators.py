@@ -98,3 +98,54 @@ def test_delimited_load(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("이름;값\n가;1,5\n나;x\nNA;2\n".encode("cp949"))
     got = files.load_delimited(spark, str(tmp_path / "a.csv"), sep=";", encoding="cp949", null="NA", decimal=",", schema="`이름` string, `값` double").collect()
     assert [tuple(r) for r in got] == [("가", 1.5), ("나", None), (None, 2.0)]
+
+
+def stmts_of(spark, sql):
+    return lineage.statements(spark.createDataFrame([(1, sql)], "text_id long, sql string"))
+
+
+def test_lineage_of_lists_quotes_and_nested_bodies(spark):
+    sql = 'SELECT x.k, 표.값 FROM a x, "Sch"."Big" AS y , 표 JOIN `d` ON x.k = d.k WHERE f(x.v) > 1; WITH c AS (SELECT sum(coalesce(x, 1)) FROM t WHERE y IN (SELECT y FROM u)), d (p) AS (SELECT p FROM c JOIN generate_series(1, 2) ON 1 = 1) SELECT * FROM d'
+    stmts = stmts_of(spark, sql)
+    assert {(r.pos, r.table_name) for r in lineage.reads(stmts).collect()} == {(0, "a"), (0, "sch.big"), (0, "표"), (0, "d"), (1, "t"), (1, "u")}
+    assert {(r.cte, r.table_name) for r in lineage.cte_closure(stmts).collect()} == {("c", "t"), ("c", "u"), ("d", "t"), ("d", "u")}
+    assert {(r.table_name, r.column_name) for r in lineage.columns_used(stmts).filter("pos = 0").collect()} == {("a", "k"), ("a", "v"), ("표", "값"), ("d", "k")}
+    counted = lineage.counts(stmts).first()
+    assert (counted.queries, counted.tables, counted.joins, counted.writes) == (2, 6, 2, 0)
+
+
+def test_recursive_tables_settle(spark):
+    sql = "WITH RECURSIVE r AS (SELECT 1 FROM s UNION ALL SELECT 1 FROM r JOIN z ON 1 = 1) SELECT * FROM r"
+    assert {(r.cte, r.table_name) for r in lineage.cte_closure(stmts_of(spark, sql)).collect()} == {("r", "s"), ("r", "z")}
+
+
+def test_parameters_come_from_the_last_earlier_producer(spark):
+    producers = spark.createDataFrame([("f", 1, "a"), ("f", 3, "a"), ("f", 5, "a"), ("g", 1, "a")], "file string, seq long, name string")
+    texts = spark.createDataFrame([("f", 5, "{a} {a} {b}"), ("f", 1, "{a}"), ("g", 9, "{a}")], "file string, seq long, sql string")
+    assert {(r.file, r.consumer, r.name, r.producer) for r in lineage.parameter_edges(texts, producers).collect()} == {("f", 5, "a", 3), ("g", 9, "a", 1)}
+
+
+def test_average_ranks(spark):
+    values = [3.0, 1.0, 3.0, None, 2.0, 1.0, 3.0] + [float(i) for i in range(10, 500)]
+    got = {r.v: r.rank for r in verdicts.average_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v", "rank").collect()}
+    ordered = sorted(v for v in values if v is not None)
+    assert got == {v: (2 * ordered.index(v) + ordered.count(v) + 1) / 2 for v in ordered}
+
+
+def test_quotas_by_brute_force(spark):
+    rows = [(None if i % 7 == 0 else f"t{i % 3}", i, i * 37 % 90, i % 5) for i in range(300)]
+    used, expected = {}, set()
+    for t, i, c, f in rows:
+        chars, frags = used.get(t, (0, 0))
+        if c <= 80 and chars + c <= 900 and frags + f <= 60:
+            used[t] = (chars + c, frags + f)
+            expected.add((t, i))
+    df = spark.createDataFrame(rows, "topic string, paste_id long, chars long, frags long").repartition(5)
+    assert {tuple(r) for r in evidence.within_quota(df, 80, 900, 60).collect()} == expected
+
+
+def test_deep_trees_raise(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(5)], "id long, parent long, updated long")
+    assert sorted((r.id, r.depth) for r in windows.session_tree(nodes).collect()) == [(i, i) for i in range(5)]
+    with pytest.raises(RuntimeError):
+        windows.session_tree(nodes, most_depth=3)

@@ -23,8 +23,9 @@ def aggregated(df: DataFrame, by: list[str], column: str, names: list[str]) -> D
 
 def box(df: DataFrame, by: list[str], column: str, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Quartiles, n and the fences 1.5 interquartile ranges out, of each group."""
-    q = (lambda p: F.percentile(column, F.lit(p))) if exact else (lambda p: F.percentile_approx(column, F.lit(p), F.lit(accuracy)).cast("double"))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile(column, shares) if exact else F.percentile_approx(column, shares, F.lit(accuracy))
+    out = df.groupBy(*by).agg(F.count(column).alias("n"), q.alias("_q")).select(*by, "n", *[F.col("_q")[i].cast("double").alias(f"q{i + 1}") for i in range(3)])
     return out.withColumns({"fence_low": 2.5 * F.col("q1") - 1.5 * F.col("q3"), "fence_high": 2.5 * F.col("q3") - 1.5 * F.col("q1")})
 
 

@@ -4,6 +4,7 @@ Folds over a document's lines are ordered aggregates over one array, so a docume
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,15 +147,22 @@ def paste_totals(frags: DataFrame, pastes: DataFrame) -> DataFrame:
 
 def within_quota(pastes: DataFrame, paste_limit: int = PASTE_LIMIT, topic_limit: int = TOPIC_LIMIT, count_limit: int = FRAGMENT_LIMIT) -> DataFrame:
     """(topic, paste_id) that the quotas admit, in order of arrival: a refused paste doesn't count for later ones. A
-    topic's ids and sizes are folded in one array. pastes: topic, paste_id, chars, frags."""
-    order = F.array_sort(F.collect_list(F.struct("paste_id", "chars", "frags")))
-    zero = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("frags"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s: Column, p: Column) -> Column:
-        ok = (p["chars"] <= paste_limit) & (s["chars"] + p["chars"] <= topic_limit) & (s["frags"] + p["frags"] <= count_limit)
-        return F.struct((s["chars"] + F.when(ok, p["chars"]).otherwise(0)).alias("chars"), (s["frags"] + F.when(ok, p["frags"]).otherwise(0)).alias("frags"), F.when(ok, F.array_append(s["ids"], p["paste_id"])).otherwise(s["ids"]).alias("ids"))
-
-    return pastes.groupBy("topic").agg(order.alias("p")).select("topic", F.explode(F.aggregate("p", zero, step, lambda s: s["ids"])).alias("paste_id"))
+    topic is sorted and streamed through a task that holds two sums. pastes: topic, paste_id, chars, frags (null: 0)."""
+    sized = pastes.select("topic", "paste_id", F.coalesce(F.col("chars").cast("long"), F.lit(0).cast("long")).alias("chars"), F.coalesce(F.col("frags").cast("long"), F.lit(0).cast("long")).alias("frags"))
+
+    def run(batches):
+        topic, started, used, held = None, False, 0, 0
+        for batch in batches:
+            keep = []
+            for t, chars, frags in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if not started or t != topic:
+                    topic, started, used, held = t, True, 0, 0
+                ok = chars <= paste_limit and used + chars <= topic_limit and held + frags <= count_limit
+                used, held = (used + chars, held + frags) if ok else (used, held)
+                keep.append(ok)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return sized.repartition("topic").sortWithinPartitions("topic", "paste_id", "chars", "frags").mapInArrow(run, sized.select("topic", "paste_id").schema)
 
 
 def unsupported(lines: DataFrame, cited: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lineage over a corpus of SQL texts: edge tables by regular expressions, then joins.
 
-Literals and comments are blanked first. Extraction is by clause patterns, not by a grammar: parenthesised joins and
-quoted names with dots are missed.
+Literals and comments are blanked first. Extraction is by clause patterns, not by a grammar: parenthesised joins are
+missed, and a quoted name that holds a dot isn't told from a qualified one. Names are lower-cased and lose their quotes.
 """
 
 from __future__ import annotations
@@ -9,15 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.sources.scratch import shared_folder
+
 # Patterns of names and clauses.
-NAME = r"[A-Za-z_][\w.]*"
+WORD = r"[\p{L}_][\p{L}\p{N}_$]*+"
+PART = rf'(?:"[^"]++"|`[^`]++`|\[[^\]]++\]|{WORD})'
+NAME = rf"{PART}(?:\.{PART})*+"
+NO_ALIAS = r"(?!(?:ON|USING|WHERE|JOIN|LEFT|RIGHT|FULL|INNER|OUTER|CROSS|NATURAL|GROUP|ORDER|HAVING|LIMIT|UNION|EXCEPT|INTERSECT|SET|WHEN|QUALIFY|WINDOW|FOR)\b)"
+ITEM = rf"{NAME}(?!\s*\()(?:(?:\s+AS)?\s+{NO_ALIAS}{PART})?"
 BLANK = r"(?s)'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/"
-READS = rf"(?i)\b(?:FROM|JOIN|USING)\s+({NAME})"
+READS = rf"(?i)\b(?:FROM|JOIN|USING)\s+({ITEM}(?:\s*,\s*{ITEM})*+)"
 WRITES = rf"(?i)^\s*(?:INSERT\s+(?:INTO|OVERWRITE)(?:\s+TABLE)?|CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+({NAME})"
-CTES = r"(?i)(?:\bWITH(?:\s+RECURSIVE)?|\)\s*,)\s+(\w+)\s+AS\s*\("
+CTES = rf"(?i)(?:\bWITH(?:\s+RECURSIVE)?\s+|\)\s*,\s*)({PART})(?:\s*\([^()]*+\))?\s+AS\s*\("
 JOINS = rf"(?i)\b((?:LEFT|RIGHT|FULL|INNER|CROSS)?(?:\s+OUTER)?\s*JOIN)\s+({NAME})"
-ALIASES = rf"(?i)\b(?:FROM|JOIN)\s+({NAME})(?:\s+AS)?\s+(?!ON\b|WHERE\b|JOIN\b|LEFT\b|RIGHT\b|FULL\b|INNER\b|CROSS\b|GROUP\b|ORDER\b|LIMIT\b)(\w+)"
+ALIASED = rf"(?i)^({NAME})(?:\s+AS)?\s+({PART})$"
 KEYWORDS = ("select", "where", "group", "order", "on", "set", "values", "lateral", "unnest")
+
+
+def _nested(depth: int = 6) -> str:
+    """Pattern of text whose parentheses are balanced, up to ``depth`` deep."""
+    body = r"[^()]*+"
+    for _ in range(depth):
+        body = rf"[^()]*+(?:\({body}\)[^()]*+)*+"
+    return body
+
+
+CTE_BODIES = rf"(?i)({PART}(?:\s*\([^()]*+\))?\s+AS\s*\({_nested()}\))"
 STATEMENTS = "text_id, pos, sql"
 
 
@@ -41,66 +58,104 @@ def _all(sql: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(sql, F.lit(pattern), F.lit(group))
 
 
+def _name(x: Column) -> Column:
+    return F.lower(F.translate(x, '"`[]', ""))
+
+
+def _sources(sql: Column) -> Column:
+    """The entries of FROM lists, JOIN and USING, with their aliases."""
+    return F.flatten(F.transform(_all(sql, READS), lambda items: F.split(items, r"\s*,\s*")))
+
+
+def _read_names(sql: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(_sources(sql), lambda i: _name(F.regexp_extract(i, rf"^({NAME})", 1))), lambda n: ~n.isin(*KEYWORDS)))
+
+
+def _cte_names(sql: Column) -> Column:
+    return F.array_distinct(F.transform(_all(sql, CTES), _name))
+
+
+def _statement_reads(sql: Column) -> Column:
+    """Names that a statement reads; CTE names and a delete's target aren't reads."""
+    return F.array_except(_read_names(F.regexp_replace(sql, r"(?i)^\s*DELETE\s+FROM\s+", "DELETE ")), _cte_names(sql))
+
+
+def _write_name(sql: Column) -> Column:
+    return _name(F.regexp_extract(sql, WRITES, 1))
+
+
 def cte_names(stmts: DataFrame) -> DataFrame:
-    return stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), CTES)).alias("n")).select("text_id", "pos", F.lower("n").alias("table_name")).distinct()
+    return stmts.select("text_id", "pos", F.explode(_cte_names(F.col("sql"))).alias("table_name"))
 
 
 def reads(stmts: DataFrame) -> DataFrame:
-    """(text_id, pos, table_name) that a statement reads; CTE names and a delete's target aren't reads."""
-    body = F.regexp_replace("sql", r"(?i)^\s*DELETE\s+FROM\s+", "DELETE ")
-    names = stmts.select("text_id", "pos", F.explode(_all(body, READS)).alias("n")).select("text_id", "pos", F.lower("n").alias("table_name")).filter(~F.col("table_name").isin(*KEYWORDS)).distinct()
-    return names.join(cte_names(stmts), ["text_id", "pos", "table_name"], "left_anti")
+    """(text_id, pos, table_name) that a statement reads, in one projection."""
+    return stmts.select("text_id", "pos", F.explode(_statement_reads(F.col("sql"))).alias("table_name"))
 
 
 def writes(stmts: DataFrame) -> DataFrame:
-    return stmts.select("text_id", "pos", F.lower(F.regexp_extract("sql", WRITES, 1)).alias("table_name")).filter("table_name <> ''")
+    return stmts.select("text_id", "pos", _write_name(F.col("sql")).alias("table_name")).filter("table_name <> ''")
 
 
 def cte_reads(stmts: DataFrame) -> DataFrame:
     """(text_id, pos, cte, table_name): what each CTE's body names; a CTE among them stands for its own reads, which
     cte_closure resolves."""
-    body = _all(F.col("sql"), r"(?i)(\w+\s+AS\s*\([^()]*\))")
-    parts = stmts.select("text_id", "pos", F.explode(body).alias("b"))
-    return parts.select("text_id", "pos", F.lower(F.regexp_extract("b", r"^(\w+)", 1)).alias("cte"), F.explode(_all(F.col("b"), READS)).alias("n")).select("text_id", "pos", "cte", F.lower("n").alias("table_name")).distinct()
+    parts = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), CTE_BODIES)).alias("b"))
+    return parts.select("text_id", "pos", _name(F.regexp_extract("b", rf"^({PART})", 1)).alias("cte"), F.explode(_read_names(F.col("b"))).alias("table_name")).distinct()
 
 
-def cte_closure(stmts: DataFrame, depth: int = 8) -> DataFrame:
-    """cte_reads with CTEs replaced by what they read, transitively."""
-    direct = cte_reads(stmts)
-    inner = direct.select("text_id", "pos", F.col("cte").alias("table_name"), F.col("table_name").alias("_t"))
-    out = direct
-    for _ in range(depth):
-        deeper = out.join(inner, ["text_id", "pos", "table_name"]).select("text_id", "pos", "cte", F.col("_t").alias("table_name"))
-        kept = out.join(inner.select("text_id", "pos", "table_name").distinct(), ["text_id", "pos", "table_name"], "left_anti").select("text_id", "pos", "cte", "table_name")
-        if deeper.isEmpty():
-            break
-        out = kept.union(deeper).distinct()
-    return out
+def cte_closure(stmts: DataFrame, most_rounds: int = 30) -> DataFrame:
+    """cte_reads with CTEs replaced by what they read, transitively; a recursive CTE doesn't read itself. The paths
+    double in length each round, each a written table."""
+    spark, keys = stmts.sparkSession, ["text_id", "pos"]
+
+    def written(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "ctes")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    out = written(cte_reads(stmts))
+    ctes = out.select(*keys, F.col("cte").alias("table_name")).distinct()
+    n = out.count()
+    for _ in range(most_rounds):
+        steps = out.select(*keys, F.col("cte").alias("table_name"), F.col("table_name").alias("_t"))
+        more = written(out.union(out.join(steps, [*keys, "table_name"]).select(*keys, "cte", F.col("_t").alias("table_name"))).distinct())
+        was, n = n, more.count()
+        if n == was:
+            return out.join(ctes, [*keys, "table_name"], "left_anti").select(*keys, "cte", "table_name")
+        out = more
+    raise RuntimeError(f"common table expressions did not settle in {most_rounds} rounds")
 
 
 def joins(stmts: DataFrame) -> DataFrame:
     """(text_id, pos, kind, table_name): LEFT OUTER JOIN is LEFT, a bare JOIN is INNER."""
     hit = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), JOINS, 0)).alias("h"))
     k = F.upper(F.trim(F.regexp_replace(F.regexp_extract("h", JOINS, 1), r"(?i)\bOUTER\b|\bJOIN\b", "")))
-    return hit.select("text_id", "pos", F.when(k == "", "INNER").otherwise(k).alias("kind"), F.lower(F.regexp_extract("h", JOINS, 2)).alias("table_name"))
+    return hit.select("text_id", "pos", F.when(k == "", "INNER").otherwise(k).alias("kind"), _name(F.regexp_extract("h", JOINS, 2)).alias("table_name"))
+
+
+def _predicates(sql: Column) -> Column:
+    """The AND parts of WHERE and ON clauses; the AND of BETWEEN is left as a control character."""
+    clause = _all(sql, r"(?i)\b(?:WHERE|ON)\s+(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\b(?:LEFT|RIGHT|FULL|INNER|CROSS)\b|\bJOIN\b|$)")
+    guarded = F.transform(clause, lambda c: F.regexp_replace(c, r"(?i)\b(BETWEEN\s+\S+)\s+AND\b", "$1 \x1d"))
+    return F.flatten(F.transform(guarded, lambda c: F.split(c, r"(?i)\s+AND\s+")))
 
 
 def predicates(stmts: DataFrame) -> DataFrame:
     """(text_id, pos, kind, text): the AND parts of WHERE and ON; join (two qualified sides of different aliases), sub,
     or, filter. The AND of BETWEEN doesn't split."""
-    clause = _all(F.col("sql"), r"(?i)\b(?:WHERE|ON)\s+(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\b(?:LEFT|RIGHT|FULL|INNER|CROSS)\b|\bJOIN\b|$)")
-    guarded = F.transform(clause, lambda c: F.regexp_replace(c, r"(?i)\b(BETWEEN\s+\S+)\s+AND\b", "$1 \x1d"))
-    parts = stmts.select("text_id", "pos", F.explode(F.flatten(F.transform(guarded, lambda c: F.split(c, r"(?i)\s+AND\s+")))).alias("p")).select("text_id", "pos", F.trim(F.replace("p", F.lit("\x1d"), F.lit("AND"))).alias("text"))
+    parts = stmts.select("text_id", "pos", F.explode(_predicates(F.col("sql"))).alias("p")).select("text_id", "pos", F.trim(F.replace("p", F.lit("\x1d"), F.lit("AND"))).alias("text"))
     sides = F.regexp_extract("text", r"^(\w+)\.\w+\s*=\s*\w+\.\w+$", 1), F.regexp_extract("text", r"^\w+\.\w+\s*=\s*(\w+)\.\w+$", 1)
     k = F.when((sides[0] != "") & (sides[0] != sides[1]), "join").when(F.col("text").rlike(r"(?i)\(\s*select\b"), "sub").when(F.col("text").rlike(r"(?i)\bor\b"), "or").otherwise("filter")
     return parts.select("text_id", "pos", k.alias("kind"), "text")
 
 
 def columns_used(stmts: DataFrame) -> DataFrame:
-    """(text_id, pos, table_name, column_name) by alias."""
-    hit = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), ALIASES, 0)).alias("h"))
-    aliases = hit.select("text_id", "pos", F.lower(F.regexp_extract("h", ALIASES, 1)).alias("table_name"), F.lower(F.regexp_extract("h", ALIASES, 2)).alias("alias")).distinct()
-    refs = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), r"\b([A-Za-z_]\w*\.[A-Za-z_]\w*)", 1)).alias("r")).select("text_id", "pos", F.lower(F.substring_index("r", ".", 1)).alias("alias"), F.lower(F.substring_index("r", ".", -1)).alias("column_name")).distinct()
+    """(text_id, pos, table_name, column_name): qualified columns by the alias or the name of a table."""
+    item = F.explode(_sources(F.col("sql"))).alias("h")
+    hit = stmts.select("text_id", "pos", item).select("text_id", "pos", _name(F.regexp_extract("h", rf"^({NAME})", 1)).alias("table_name"), _name(F.regexp_extract("h", ALIASED, 2)).alias("alias"))
+    aliases = hit.withColumn("alias", F.when(F.col("alias") == "", F.substring_index("table_name", ".", -1)).otherwise(F.col("alias"))).distinct()
+    refs = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), rf"({PART}\.{PART})")).alias("r")).select("text_id", "pos", _name(F.substring_index("r", ".", 1)).alias("alias"), _name(F.substring_index("r", ".", -1)).alias("column_name")).distinct()
     return refs.join(aliases, ["text_id", "pos", "alias"]).select("text_id", "pos", "table_name", "column_name").distinct()
 
 
@@ -124,9 +179,11 @@ def roles(stmts: DataFrame) -> DataFrame:
 def parameter_edges(texts: DataFrame, producers: DataFrame) -> DataFrame:
     """(producer, consumer, name): a placeholder {name} is fed by the last earlier producer of that name. producers:
     file, seq, name; texts: file, seq, sql."""
-    holes = texts.select("file", F.col("seq").alias("consumer"), F.explode(F.array_distinct(_all(F.col("sql"), r"\{(\w+)\}"))).alias("name"))
-    pairs = holes.join(producers.withColumnRenamed("seq", "producer"), ["file", "name"]).filter("producer < consumer")
-    return pairs.groupBy("file", "consumer", "name").agg(F.max("producer").alias("producer"))
+    fed = producers.select("file", "seq", F.lit(True).alias("feeds"), "name")
+    holes = texts.select("file", "seq", F.lit(False).alias("feeds"), F.explode(F.array_distinct(_all(F.col("sql"), r"\{(\w+)\}"))).alias("name")).distinct()
+    before = Window.partitionBy("file", "name").orderBy("seq", "feeds").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("feeds"), F.col("seq")), ignorenulls=True).over(before)
+    return holes.unionByName(fed).withColumn("producer", last).filter("not feeds and producer is not null").select("file", F.col("seq").alias("consumer"), "name", "producer")
 
 
 def merges(code: DataFrame) -> DataFrame:
@@ -146,10 +203,9 @@ def inputs_outputs(code: DataFrame) -> DataFrame:
 
 
 def summary(stmts: DataFrame) -> DataFrame:
-    """(table_name, read_by, written_by): the texts that read and write each table, as lists."""
-    both = reads(stmts).select("table_name", "text_id", F.lit("r").alias("k")).union(writes(stmts).select("table_name", "text_id", F.lit("w"))).distinct()
-    ids = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("text_id")))), lambda x: x.cast("string")), ",")
-    return both.groupBy("table_name").agg(ids("r").alias("read_by"), ids("w").alias("written_by"))
+    """(table_name, text_id, read, written): one row for each table of each text, whatever their number."""
+    both = reads(stmts).select("table_name", "text_id", F.lit(True).alias("r")).union(writes(stmts).select("table_name", "text_id", F.lit(False)))
+    return both.groupBy("table_name", "text_id").agg(F.bool_or("r").alias("read"), F.bool_or(~F.col("r")).alias("written"))
 
 
 def finished_calls(calls: DataFrame) -> DataFrame:
@@ -160,13 +216,11 @@ def finished_calls(calls: DataFrame) -> DataFrame:
 
 
 def counts(stmts: DataFrame) -> DataFrame:
-    """Per text: statements, tables, joins, predicates and writes."""
-    per = lambda df, name: df.groupBy("text_id").agg(F.count("*").alias(name))
-    tables = reads(stmts).select("text_id", "table_name").union(writes(stmts).select("text_id", "table_name")).distinct()
-    out = per(stmts, "queries")
-    for part in (per(tables, "tables"), per(joins(stmts), "joins"), per(predicates(stmts), "predicates"), per(writes(stmts), "writes")):
-        out = out.join(part, "text_id", "left")
-    return out.fillna(0)
+    """Per text: statements, tables, joins, predicates and writes; one projection and one grouping."""
+    sql, target = F.col("sql"), _write_name(F.col("sql"))
+    written = F.when(target != "", F.array(target)).otherwise(F.array().cast("array<string>"))
+    each = stmts.select("text_id", F.array_union(_statement_reads(sql), written).alias("t"), F.size(_all(sql, JOINS, 0)).alias("j"), F.size(_predicates(sql)).alias("p"), F.size(written).alias("w"))
+    return each.groupBy("text_id").agg(F.count("*").alias("queries"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).cast("long").alias("tables"), F.sum("j").alias("joins"), F.sum("p").alias("predicates"), F.sum("w").alias("writes"))
 
 
 def last_access(accesses: DataFrame) -> DataFrame:

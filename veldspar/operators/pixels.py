@@ -101,6 +101,8 @@ def components(marked: DataFrame, reach: int = 1, width: int = 1 << 20, most_rou
         now = after.drop("changed")
         if not after.filter("changed").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return marked.withColumn("p", at).join(now.withColumnRenamed("label", "component"), ["image", "cluster", "p"]).drop("p")
 
 

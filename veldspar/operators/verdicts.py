@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from veldspar.sources.scratch import shared_folder
+
 
 @F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
@@ -46,15 +50,34 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None or a != a or b != b or b <= 0 else t_two_sided(abs(a), b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-def permutation_test(lots: DataFrame, group: str, value: str, lot: str, rounds: int = 2000, seed: int = 7) -> DataFrame:
+def permutation_test(lots: DataFrame, group: str, value: str, lot: str, rounds: int = 2000, seed: int = 7, most_lots: int = 1_000_000) -> DataFrame:
     """Lots of two groups, A and B: how many of ``rounds`` random assignments of the lots to groups of these sizes differ
-    as much in their means. Assignments are ranks of hashes of (seed, round, lot), so they depend on nothing else. Runs
-    on the lot table alone: rounds x lots rows."""
-    sizes = lots.agg(F.count_if(F.col(group) == "A").alias("n_a"), F.count("*").alias("n"), (F.avg(F.when(F.col(group) == "A", F.col(value))) - F.avg(F.when(F.col(group) == "B", F.col(value)))).alias("observed"))
-    spread = lots.select(lot, value).join(F.broadcast(lots.sparkSession.range(rounds).withColumnRenamed("id", "round")))
-    order = F.row_number().over(Window.partitionBy("round").orderBy(F.xxhash64(F.lit(seed), "round", lot), lot))
-    one = spread.withColumn("k", order).join(F.broadcast(sizes)).groupBy("round").agg(F.avg(F.when(F.col("k") <= F.col("n_a"), F.col(value))).alias("a"), F.avg(F.when(F.col("k") > F.col("n_a"), F.col(value))).alias("b"), F.first("observed").alias("observed"))
-    return one.agg(F.first("observed").alias("observed"), F.count_if(F.abs(F.col("a") - F.col("b")) >= F.abs("observed") - 1e-9).alias("as_large"), F.count("*").alias("rounds")).withColumn("p_value", (F.col("as_large") + 1) / (F.col("rounds") + 1))
+    as much in their means. A round's assignment follows from the seed, the round and the lots' order alone. Lots are
+    few next to rows: up to ``most_lots`` go to the tasks, each of which does some rounds; more raise an error. Lots
+    without a value take part and don't count in the means."""
+    spark = lots.sparkSession
+    kept = lots.select(F.col(lot).alias("lot"), F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
+    table = kept.orderBy("lot", "g", "x").limit(most_lots + 1).toPandas()
+    if len(table) > most_lots:
+        raise ValueError(f"more than {most_lots} lots")
+    x, n_a = table["x"].to_numpy(np.float64), int((table["g"] == "A").sum())
+    mean = lambda v: float(np.nanmean(v)) if len(v) and not np.isnan(v).all() else None
+    sides = [mean(x[(table["g"] == side).to_numpy()]) for side in "AB"]
+    observed = None if None in sides else sides[0] - sides[1]
+    shared = spark.sparkContext.broadcast(x)
+
+    def run(batches):
+        for batch in batches:
+            large = 0
+            for k in batch.column(0).to_pylist():
+                turned = np.random.default_rng([seed, k]).permutation(shared.value)
+                a, b = mean(turned[:n_a]), mean(turned[n_a:])
+                large += a is not None and b is not None and abs(a - b) >= abs(observed) - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array([large], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["large", "n"])
+
+    done = spark.range(rounds if observed is not None else 0).mapInArrow(run, "large long, n long")
+    as_large, n = F.coalesce(F.sum("large"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    return done.agg(F.lit(observed).cast("double").alias("observed"), as_large.alias("as_large"), n.alias("rounds")).withColumn("p_value", (F.col("as_large") + 1) / (F.col("rounds") + 1))
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -88,13 +111,19 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return s.select("n", "k", msb.alias("ms_between"), msw.alias("ms_within"), (msb / msw).alias("f"), ((msb - msw) / (msb + (n0 - 1) * msw)).alias("icc"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks with ties averaged. Ranks come from the table of distinct values (grouped, then summed in order), so that no
-    window holds all rows; the distinct values of a rounded measure are few."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
-    return df.join(ranks.drop("_c"), [*keys, value])
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Ranks with ties averaged; rows without a value go. Distinct values are counted and dealt by range, summed in order
+    within each range, and each range adds the sizes of those before it, so no task holds all values."""
+    spark = df.sparkSession
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    path = shared_folder(spark, "ranks")
+    counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.schema(f"`{value}` {df.schema[value].dataType.simpleString()}, _c long, _part int").parquet(path)
+    sizes = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))  # a row a range
+    earlier = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    w = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.join(F.broadcast(earlier), "_part").withColumn(name, F.col("_before") + F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
+    return df.join(ranks.select(value, name), value)
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:

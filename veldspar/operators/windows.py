@@ -135,9 +135,10 @@ def free_slots(events: DataFrame, first: str, last: str, open_hour: int = 9, clo
     return gaps.filter(F.unix_timestamp("slot_end") - F.unix_timestamp("slot_start") >= minutes * 60).select(owner, "slot_start", "slot_end")
 
 
-def session_tree(nodes: DataFrame, most_depth: int = 50) -> DataFrame:
+def session_tree(nodes: DataFrame, most_depth: int = 1000) -> DataFrame:
     """(id, depth, place): roots, then children, the newest first; place is the order of display. nodes: id, parent,
-    updated (long). One join a level, each written to the shared folder, until a level is empty."""
+    updated (long). One join a level, each written to the shared folder, until a level is empty; nodes of a cycle have no
+    root and aren't listed. A deeper tree than ``most_depth`` raises an error."""
     key = lambda: F.concat(F.lpad((F.lit(10**15) - F.col("updated")).cast("string"), 16, "0"), F.lpad(F.col("id").cast("string"), 12, "0"))
     ids = nodes.select(F.col("id").alias("parent"))
     level = nodes.filter("parent is null").union(nodes.filter("parent is not null").join(ids, "parent", "left_anti").select(nodes.columns)).select("id", F.lit(0).alias("depth"), key().alias("path"))
@@ -151,11 +152,11 @@ def session_tree(nodes: DataFrame, most_depth: int = 50) -> DataFrame:
     level = written(level)
     out = level
     for depth in range(1, most_depth):
-        level = nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("_p")), "parent").select("id", F.lit(depth).alias("depth"), F.concat("_p", key()).alias("path"))
+        level = written(nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("_p")), "parent").select("id", F.lit(depth).alias("depth"), F.concat("_p", key()).alias("path")))
         if level.isEmpty():
-            break
+            return out
         out = out.union(level)
-    return out
+    raise RuntimeError(f"the tree is deeper than {most_depth}")
 
 
 def commonality(df: DataFrame, bad: Column, keys: list[str], lot: str) -> DataFrame:

@@ -99,9 +99,9 @@ def ln14_inputs_outputs(spark, d):
     return g.inputs_outputs(_code(spark, d))
 
 
-@query(f"WITH {_S}, b AS (SELECT DISTINCT table_name, text_id, x FROM (SELECT table_name, text_id, 'r' AS x FROM r UNION ALL SELECT table_name, text_id, 'w' FROM w)) SELECT table_name, md5(coalesce(string_agg(text_id::VARCHAR, ',' ORDER BY text_id) FILTER (x = 'r'), '')) AS read_by, md5(coalesce(string_agg(text_id::VARCHAR, ',' ORDER BY text_id) FILTER (x = 'w'), '')) AS written_by FROM b GROUP BY 1")
+@query(f"WITH {_S} SELECT table_name, text_id, bool_or(x) AS read, bool_or(NOT x) AS written FROM (SELECT table_name, text_id, true AS x FROM r UNION ALL SELECT table_name, text_id, false FROM w) GROUP BY 1, 2")
 def ln15_summary(spark, d):
-    return g.summary(stmts(spark, d)).select("table_name", F.md5("read_by").alias("read_by"), F.md5("written_by").alias("written_by"))
+    return g.summary(stmts(spark, d))
 
 
 @query("WITH e AS (SELECT event_id AS call_id, ts, CASE WHEN event_type <> 'error' THEN ts + to_microseconds((value * 1000)::BIGINT) END AS ended, max(ts) OVER (PARTITION BY user_id) AS run_end, event_type <> 'view' AS ok FROM events) SELECT call_id, round((epoch_us(coalesce(ended, run_end)) - epoch_us(ts)) / 1000, 3) AS ms, ended IS NULL OR NOT ok AS failed FROM e")
