@@ -39,12 +39,16 @@ def edited(df: DataFrame, rename: dict | None = None, cast: dict | None = None,
 
 
 def profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """One row a numeric column: rows, missing share, min, max, mean, sd, quartiles, distinct values. One scan; the three
-    quartiles of a column share one aggregate."""
+    """One row a numeric column: rows, missing share, min, max, mean, sd, quartiles, distinct values. The three quartiles
+    of a column share one aggregate; exact distinct values are counted apart, each value once a task."""
     quartiles = lambda c: (F.percentile if exact else F.percentile_approx)(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    distinct = F.countDistinct if exact else F.approx_count_distinct
-    one = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), (F.count_if(F.col(c).isNull()) / F.count("*")).alias("missing"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"), *[quartiles(c)[i].cast("double").alias(f"q{i + 1}") for i in range(3)], distinct(c).alias("n_distinct")).alias(c) for c in columns]
-    return df.agg(*one).select(F.explode(F.array(*columns)).alias("p")).select("p.*")
+    one = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), (F.count_if(F.col(c).isNull()) / F.count("*")).alias("missing"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"), *[quartiles(c)[i].cast("double").alias(f"q{i + 1}") for i in range(3)], F.approx_count_distinct(c).alias("n_distinct")).alias(c) for c in columns]
+    rows = df.agg(*one).select(F.explode(F.array(*columns)).alias("p")).select("p.*")
+    if not exact:
+        return rows
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p")).select("p.*")
+    counted = values.filter("v is not null").distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+    return rows.drop("n_distinct").join(F.broadcast(counted), "column_name", "left").fillna(0, ["n_distinct"])  # a row a column
 
 
 def roles(df: DataFrame, columns: list[str]) -> DataFrame:
