@@ -100,7 +100,10 @@ def px11_round_parts(spark, d):
     return p.round_parts(parts(spark, d))
 
 
-@query(f"{_R}, {_GEO}, ho AS (SELECT * FROM ge WHERE (x1 - x0 + 1) / (y1 - y0 + 1) BETWEEN 0.85 AND 1.18 AND area / ((x1 - x0 + 1) * (y1 - y0 + 1)) < 0.5) SELECT image, component, round(count(DISTINCT floor(((degrees(atan2(y - (y0 + y1) / 2, x - (x0 + x1) / 2)) + 360) % 360) / 5)) / 72, 6) AS covered FROM cc JOIN ho USING (image, cluster, component) GROUP BY 1, 2 HAVING count(DISTINCT floor(((degrees(atan2(y - (y0 + y1) / 2, x - (x0 + x1) / 2)) + 360) % 360) / 5)) / 72 >= 0.1")
+_RINGS = "ho AS (SELECT * FROM ge WHERE (x1 - x0 + 1) / (y1 - y0 + 1) BETWEEN 0.85 AND 1.18 AND area / ((x1 - x0 + 1) * (y1 - y0 + 1)) < 0.5), ri AS (SELECT image, component, round(count(DISTINCT floor(((degrees(atan2(y - (y0 + y1) / 2, x - (x0 + x1) / 2)) + 360) % 360) / 5)) / 72, 6) AS covered FROM cc JOIN ho USING (image, cluster, component) GROUP BY 1, 2 HAVING count(DISTINCT floor(((degrees(atan2(y - (y0 + y1) / 2, x - (x0 + x1) / 2)) + 360) % 360) / 5)) / 72 >= 0.1)"
+
+
+@query(f"{_R}, {_GEO}, {_RINGS} SELECT * FROM ri")
 def px12_rings(spark, d):
     return rounded(p.rings(parts(spark, d), 0.1), 6)
 
@@ -162,7 +165,7 @@ def px22_slopes(spark, d):
     return rounded(p.slopes(marked(spark, d), 4), 4)
 
 
-@query(f"{_R}, {_EXT}, li AS (SELECT image, count(*)::BIGINT AS lines FROM ex GROUP BY 1) SELECT image, cluster, count(DISTINCT component)::BIGINT AS points, coalesce(any_value(lines), 0)::BIGINT AS lines, CASE WHEN coalesce(any_value(lines), 0) > 0 THEN 'chart' ELSE 'unknown' END AS kind FROM cc LEFT JOIN li USING (image) GROUP BY 1, 2")
+@query(f"{_R}, {_GEO}, {_EXT}, {_RINGS}, li AS (SELECT image, count(*)::BIGINT AS lines FROM ex GROUP BY 1), wa AS (SELECT DISTINCT image AS wafer FROM ri) SELECT image, cluster, count(DISTINCT component)::BIGINT AS points, coalesce(any_value(lines), 0)::BIGINT AS lines, CASE WHEN any_value(wafer) IS NOT NULL THEN 'wafer' WHEN coalesce(any_value(lines), 0) > 0 THEN 'chart' ELSE 'unknown' END AS kind FROM cc LEFT JOIN li USING (image) LEFT JOIN wa ON wafer = image GROUP BY 1, 2")
 def px23_legend(spark, d):
-    m = marked(spark, d)
-    return p.legend(p.geometry(parts(spark, d)), p.line_extent(m, 3), m.limit(0).select("image"))
+    found = parts(spark, d)
+    return p.legend(p.geometry(found), p.line_extent(marked(spark, d), 3), p.rings(found, 0.1))
