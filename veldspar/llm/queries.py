@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import arcwarc, bitslice, bradleyterry, chatgrammar, decontam, ordinal, pieces, secrets, simhash, sitetree
+from veldspar.llm import arcwarc, bitslice, bradleyterry, chatgrammar, decontam, hardneg, ordinal, pieces, secrets, simhash, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradleyterry.score(docs, bradleyterry.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,8 +73,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "op10_quality": op10_quality, "pipeline": pipeline}
+    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "op10_quality": op10_quality, "op11_hard_negatives": op11_hard_negatives, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": bitslice.oracle(), "op5_chat": chatgrammar.oracle(), "op6_warc": arcwarc.oracle(), "op7_secrets": secrets.oracle()}
+    return {"op1_topk": bitslice.oracle(), "op5_chat": chatgrammar.oracle(), "op6_warc": arcwarc.oracle(), "op7_secrets": secrets.oracle(), "op11_hard_negatives": hardneg.oracle()}
