@@ -283,8 +283,8 @@ def oracle() -> str:
     white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, {white}), '{upper}', '{lower}') AS key FROM l),
 c AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.owner AS gone FROM k LEFT JOIN c ON k.key = c.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(array_to_string(list(line ORDER BY at) FILTER (NOT gone), chr(10)), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(array_to_string(list(line ORDER BY pos) FILTER (NOT gone), chr(10)), '')) AS kept_sha256 FROM m GROUP BY doc_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import arcwarc, bitslice, bradleyterry, chatgrammar, decontam, hardneg, linehash, ordinal, pieces, secrets, simhash, sitetree
+from veldspar.llm import aligned, arcwarc, bitslice, bradleyterry, chatgrammar, decontam, hardneg, linehash, ordinal, pieces, secrets, simhash, sitetree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linehash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned.digest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "op10_quality": op10_quality, "op11_hard_negatives": op11_hard_negatives, "op12_line_dedup": op12_line_dedup, "pipeline": pipeline}
+    return {"op1_topk": op1_topk, "op2_decontamination": op2_decontamination, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_warc": op6_warc, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_sentencepiece": op9_sentencepiece, "op10_quality": op10_quality, "op11_hard_negatives": op11_hard_negatives, "op12_line_dedup": op12_line_dedup, "op13_alignment": op13_alignment, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
