@@ -61,3 +61,13 @@ def test_near_duplicates_decides_by_row(spark, sf):
     for some, kept in ((rows, want), ([r for r in rows if r[0] is None], sorted((-1, t) for t in text[:3]))):
         got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(some, schema), sf).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got) == kept
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    rows = [(1, "a plain text of some words here", "en", "s", 31, "mine", "x", "keep", "p", 1, 2), (2, "password=hunter2hunter2", "en", "s", 23, "mine", "x", "keep", "p", 1, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, _Severity string, _spans string, _p_toxic string, key int, other int"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in got.collect()} == {rows[0][5:]}, name

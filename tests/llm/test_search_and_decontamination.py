@@ -130,3 +130,31 @@ def test_reworded_items(spark):
     df, bench = spark.createDataFrame(hold, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
     assert sum((i, i) in got for i in range(150)) >= 0.9 * 150 and all(a == b for a, b in got)
+
+
+def test_items_of_common_words_among_rare_ones(spark):
+    """Ten words of little weight, word for word, in windows whose other words weigh much."""
+    rng = random.Random(9)
+    common, docs = words(rng, 12), []
+    for d in range(400):
+        text = [f"rare{d}x{k}" for k in range(200)]
+        for w in common:
+            if rng.random() < 0.9:
+                text[rng.randint(0, 199)] = w
+        docs.append(text)
+    items = [(i, " ".join(rng.choice(common) for _ in range(10))) for i in range(50)]
+    for i, text in items:
+        docs[i][80:80] = text.split()
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i in range(50)} <= found
+    assert all(d < 50 for d, _ in found)
+
+
+def test_svd_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    dense = (rng.standard_normal((60, 5)) @ rng.standard_normal((5, 40))).astype(np.float32)
+    rows = spark.createDataFrame([(list(range(40)), r.tolist()) for r in dense], "col array<int>, val array<float>")
+    found = decontam.randomised_svd(rows, 40, decontam.Settings(rank=5))
+    want = np.linalg.svd(dense)[2][:5].T
+    assert np.allclose(np.abs(np.sum(found * want, axis=0)), 1, atol=1e-3)

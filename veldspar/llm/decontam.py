@@ -11,7 +11,9 @@
    ``sure_lcs`` of an item of ``sure_words`` words or more is enough by itself.
 
 Words of very many windows weigh nothing. Items that hold no other word have no latent vector: their candidates are the
-windows that share ``gram`` neighbouring words with them (all of their words, if they have fewer); step 4 follows.
+windows that share ``gram`` neighbouring words with them (all of their words, if they have fewer); step 4 follows. Items
+whose words weigh little may stay below the cosine among words of great weight: items that ``heavy`` of all words' weights around
+them could hide are sought by their ``light_grams`` rarest sequences of ``gram`` words as well.
 
 The benchmark is taken in slices of ``slice_items`` items and about ``slice_words`` words at most. A slice whose latent space of ``rank`` dimensions
 keeps less than ``kept`` of any passage's squared norm is cut further, so that recall doesn't depend on the benchmark's
@@ -52,6 +54,8 @@ class Settings:
     sure_lcs: float = 0.7
     sure_words: int = 8
     gram: int = 4
+    heavy: float = 0.95
+    light_grams: int = 3
     slice_items: int = 4096
     slice_words: int = 200_000
     pass_slices: int = 8
@@ -97,8 +101,8 @@ def inverse_frequency(counts: np.ndarray, window: int, stop: float = 0.0) -> np.
 class Slice:
     """A slice of the benchmark: its words, passages and latent model. Bounded by Settings.slice_items."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, s: Settings):
-        words = WordIds(s.buckets)
+    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, s: Settings, heavy: float = 0.0):
+        words, self.heavy = WordIds(s.buckets), heavy
         self.settings, self.item_ids, self.item_words, self.answers, self.masks, owner, rows = s, [], [], [], [], [], []
         for item_id, text in items:
             ids = words.of(text)
@@ -187,9 +191,9 @@ def latent_space(spark: SparkSession, part: Slice, s: Settings) -> np.ndarray |
     return vectors[:, :rank]
 
 
-def _fitted(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray, s: Settings) -> Iterator[tuple[Slice, np.ndarray]]:
+def _fitted(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray, s: Settings, heavy: float) -> Iterator[tuple[Slice, np.ndarray]]:
     """The items in slices with their latent spaces, cut until every passage is kept."""
-    part = Slice(items, idf, s)
+    part = Slice(items, idf, s, heavy)
     if not len(part.vocabulary):
         if part.item_ids:
             yield part, np.zeros((0, 1), np.float32)
@@ -197,11 +201,11 @@ def _fitted(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray,
     if (latent := latent_space(spark, part, s)) is not None:
         yield part, latent
     elif len(items) == 1:
-        yield from _fitted(spark, items, idf, replace(s, rank=2 * s.rank))
+        yield from _fitted(spark, items, idf, replace(s, rank=2 * s.rank), heavy)
     else:
         n = -(-len(items) // max(2, -(-3 * len(part.passages) // (4 * s.rank))))
         for k in range(0, len(items), n):
-            yield from _fitted(spark, items[k : k + n], idf, s)
+            yield from _fitted(spark, items[k : k + n], idf, s, heavy)
 
 
 def lcs(mask: dict[int, int], n: int, words: list[int]) -> int:
@@ -224,14 +228,41 @@ def _gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def _grams(part: Slice, s: Settings) -> dict[int, dict[int, list[int]]]:
-    """By size: the word sequences of the items that hold only words without weight, and whose they are."""
-    out: dict[int, dict[int, list[int]]] = {}
+def _is_light(passage: np.ndarray, part: Slice, s: Settings) -> bool:
+    """Whether the passage's cosine with a window that holds it may stay below the threshold."""
+    _, tf = np.unique(passage, return_counts=True)
+    weight = part.idf[passage].astype(np.float64)
+    own = float(((tf * part.idf[np.unique(passage)]) ** 2).sum()) * (1.0 if len(passage) <= s.window // 2 else 0.5)  # a longer one may be cut by the windows
+    return s.kept * own <= s.min_cosine**2 * (float((weight**2).sum()) + (s.window - min(len(passage), s.window // 2)) * part.heavy)
+
+
+def _grams(part: Slice, s: Settings) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[int]]]]:
+    """By size: word sequences of the items that the cosine may miss, and whose they are; before that, which values of
+    the first 16 bits occur, and all numbers in order."""
+    light = np.ones(len(part.item_words), bool)
+    for k, p in zip(part.owner.tolist(), part.passages, strict=True):
+        light[k] &= _is_light(p, part, s)
+    found: dict[int, dict[int, list[int]]] = {}
     for k, ids in enumerate(part.item_words):
-        if not (part.idf[ids] > 0).any():
-            n = min(s.gram, len(ids))
-            for key in set(_gram_keys(ids, n).tolist()):
-                out.setdefault(n, {}).setdefault(key, []).append(k)
+        if not light[k]:
+            continue
+        n = min(s.gram, len(ids))
+        keys = _gram_keys(ids, n)
+        if (part.idf[ids] > 0).any():  # others have grams of frequent words only
+            weight = np.convolve(part.idf[ids], np.ones(n), "valid")
+            apart: list[int] = []
+            for i in np.argsort(-weight, kind="stable").tolist():
+                if len(apart) < s.light_grams and all(abs(i - j) >= n for j in apart):
+                    apart.append(i)
+            keys = keys[apart]
+        for key in set(keys.tolist()):
+            found.setdefault(n, {}).setdefault(key, []).append(k)
+    out = {}
+    for n, keys in found.items():
+        ordered = np.array(sorted(keys), np.uint64)
+        some = np.zeros(1 << 16, bool)
+        some[(ordered >> np.uint64(48)).astype(np.int64)] = True
+        out[n] = some, ordered, keys
     return out
 
 
@@ -271,9 +302,10 @@ def _hits(doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray, idf2: np.ndar
         for b, p in zip(*np.nonzero(score >= limit[some, None]), strict=True):
             at = int(some[b])
             hits.setdefault((int(doc_of_block[at]), int(owner[p])), []).append((at, float(score[b, p] / limit[at] * s.min_cosine)))
-    for size, keys in grams.items():
+    for size, (some, ordered, keys) in grams.items():
         found_keys = _gram_keys(ids, size)
-        for i in np.flatnonzero(np.isin(found_keys, np.array(list(keys), np.uint64))).tolist():
+        at = np.flatnonzero(some[(found_keys >> np.uint64(48)).astype(np.int64)])
+        for i in at[np.isin(found_keys[at], ordered)].tolist():
             if doc_of[i] == doc_of[i + size - 1]:
                 for item in keys[int(found_keys[i])]:
                     where = hits.setdefault((int(doc_of[i]), item), [])
@@ -329,7 +361,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
     """(doc_id, item_id, cosine, lcs_ratio, answer_share): the documents that hold a benchmark item, whole or reworded."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    idf = inverse_frequency(word_counts(docs, s, text_col), s.window, s.stop_idf)
+    counts = word_counts(docs, s, text_col)
+    idf = inverse_frequency(counts, s.window, s.stop_idf)
+    by_weight = np.argsort(idf, kind="stable")
+    heavy = float(idf[by_weight[min(len(idf) - 1, int(np.searchsorted(np.cumsum(counts[by_weight]), s.heavy * counts.sum())))]]) ** 2
     ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct().orderBy("item_id", "text")
 
     def slices() -> Iterator[list[tuple[int, str]]]:
@@ -345,7 +380,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_co
         if held:
             yield held
 
-    models = (_model(part, latent, s) for items in slices() for part, latent in _fitted(spark, items, idf, s))
+    models = (_model(part, latent, s) for items in slices() for part, latent in _fitted(spark, items, idf, s, heavy))
     out = None
     while some := list(islice(models, s.pass_slices)):  # one pass over the documents
         found = _search(texts, some, idf, s)

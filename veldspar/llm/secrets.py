@@ -36,7 +36,7 @@ ALLOWED_PART = r"(?i)example|dummy|placeholder|xxxx|0123456789|abcdefghij|^[/_=-
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
-_CHUNK, _SPANS = 128, "array<struct<start:int,end:int,hit:string>>"
+_CHUNK, _PIECE, _SPANS = 128, 512, "array<struct<start:int,end:int,hit:string>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -153,12 +153,36 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans")
     return docs.withColumn(out_col, spans(F.col(text_col)))
 
 
+_CUTS = "array<struct<from:int,to:int>>"
+
+
+def _gaps(found: Column, length: Column) -> Column:
+    """array<struct<from, to>>: what no span covers, in order, the last one up to length; found is ordered by start."""
+
+    def in_chunk(state: Column, chunk: Column) -> Column:
+        zero = F.struct(state["at"].alias("at"), F.array().cast(_CUTS).alias("out"))
+        gap = lambda s, x: F.when(x["start"] >= s["at"], F.array_append(s["out"], F.struct(s["at"].alias("from"), x["start"].alias("to")))).otherwise(s["out"])
+        step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), gap(s, x).alias("out")))
+        return _let(F.aggregate(chunk, zero, step), lambda c: F.struct(c["at"].alias("at"), F.array_append(state["out"], c["out"]).alias("out")))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / _CHUNK).cast("int") - 1), lambda k: F.slice(found, k * _CHUNK + 1, _CHUNK))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_CUTS}>").alias("out"))
+    return F.aggregate(chunks, zero, in_chunk, lambda s: F.array_append(F.flatten(s["out"]), F.struct(s["at"].alias("from"), length.alias("to"))))
+
+
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by the mark; null stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.when(x["start"] >= s["at"], F.concat(text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise("")).alias("out")))
-    done = F.aggregate(found, zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with every span, or run of overlapping spans, replaced by the mark; null stays null.
+
+    What is kept is cut out of pieces of the text, as a search for a character begins at the first one."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def cut(pieces: Column) -> Column:
+        first = lambda g: F.floor(g["from"] / _PIECE).cast("int")
+        near = lambda g: F.array_join(F.slice(pieces, first(g) + 1, F.ceil(g["to"] / _PIECE).cast("int") - first(g)), "")
+        kept = lambda g: F.when(g["to"] > g["from"], near(g).substr(g["from"] % _PIECE + 1, g["to"] - g["from"])).otherwise("")
+        return F.array_join(F.transform(_gaps(found, F.length(text)), kept), mark)
+
+    return F.when(F.size(found) > 0, _let(pieces, cut)).otherwise(text)
 
 
 def _joined(found: Column) -> Column:
