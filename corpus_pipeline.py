@@ -16,18 +16,28 @@ from veldspar.llm.common import bounded_broadcast, text_batches, written
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a hash of all columns: it tells rows apart where ids are null or repeated; equal rows share it."""
-    values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a null alone leaves a hash as it is
-    return docs.withColumn("_key", F.xxhash64(*values))
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of all columns, and its name: it tells rows apart where ids are null or repeated; equal rows share it."""
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]  # a null alone leaves a hash as it is
+    key = _free(docs, "_key")
+    return docs.withColumn(key, F.xxhash64(*values)), key
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text reaches the rejection threshold go; null and empty texts stay, each row is decided by itself."""
+    """Rows whose text reaches the rejection threshold go; null and empty texts stay. Each row is decided by itself, so equal
+    rows stay or go together; texts of any length are read whole."""
     text_batches(spark)
-    s = ordinal.Settings()
+    s, severity, toxic = ordinal.Settings(), _free(docs, "_severity"), _free(docs, "_p_toxic")
     model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), s)
-    return ordinal.score(docs, model, severity_col="_severity", toxic_col="_p_toxic").filter(F.col("_p_toxic") < s.reject_at).select(docs.columns)
+    return ordinal.score(docs, model, severity_col=severity, toxic_col=toxic).filter(F.col(toxic) < s.reject_at).select(_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,42 +46,48 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a hash of all their columns, not by id, so rows with equal or null ids are decided singly."""
     text_batches(spark)
-    keyed = _keyed(docs)
-    found = written(simhash.similar(keyed, "_key").withColumnRenamed("key", "_key"), "near-duplicates")
-    grouped = found.groupBy("_key").agg(F.min("group").alias("group"), F.count("*").alias("n"))
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    keyed, key = _keyed(docs)
+    found = written(simhash.similar(keyed, key), "near-duplicates")
+    grouped = found.groupBy("key").agg(F.min("group").alias("group"), F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     sizes = written(grouped.groupBy("group").agg(F.sum("n").alias("size")).filter("size > 1"), "near-duplicate-groups")
-    members = written(grouped.join(bounded_broadcast(sizes, 16), "group").select("_key", "group", "n"), "near-duplicate-rows")
-    ranked = keyed.select("_key", "doc_id").join(bounded_broadcast(members, 32), "_key").groupBy("group").agg(F.min(rank).alias("least"))
-    first = written(ranked.select(F.col("least._key").alias("_key")), "near-duplicate-firsts")
-    repeated = written(members.filter("n > 1").join(first, "_key", "left_semi").select("_key"), "near-duplicate-repeats")
-    gone = written(members.select("_key").join(first, "_key", "left_anti").union(repeated), "near-duplicate-keys")
-    single = keyed.join(bounded_broadcast(gone, 16), "_key", "left_anti")
-    one_of_equal = keyed.join(bounded_broadcast(repeated, 16), "_key", "left_semi").dropDuplicates(["_key"])
-    return single.select(docs.columns).union(one_of_equal.select(docs.columns))
+    members = written(grouped.join(bounded_broadcast(sizes, 16), "group").select("key", "group", "n"), "near-duplicate-rows")
+    ranked = keyed.select(F.col(key).alias("key"), "doc_id").join(bounded_broadcast(members, 32), "key").groupBy("group").agg(F.min(rank).alias("least"))
+    first = written(ranked.select(F.col("least.key").alias("key")), "near-duplicate-firsts")
+    repeated = written(members.filter("n > 1").join(first, "key", "left_semi").select("key"), "near-duplicate-repeats")
+    gone = written(members.select("key").join(first, "key", "left_anti").union(repeated), "near-duplicate-keys")
+    single = keyed.join(bounded_broadcast(gone.withColumnRenamed("key", key), 16), key, "left_anti")
+    one_of_equal = keyed.join(bounded_broadcast(repeated.withColumnRenamed("key", key), 16), key, "left_semi").dropDuplicates([key])
+    return single.select(_columns(docs)).union(one_of_equal.select(_columns(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a benchmark item go, whatever their ids; null and empty texts stay."""
     text_batches(spark)
-    keyed = _keyed(docs)
-    found = written(decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key"), "leaks")
-    gone = written(found.select(F.col("doc_id").alias("_key")).distinct(), "leaking-rows")
-    return keyed.join(bounded_broadcast(gone, 16), "_key", "left_anti").select(docs.columns)
+    keyed, key = _keyed(docs)
+    found = written(decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key), "leaks")
+    gone = written(found.select(F.col("doc_id").alias(key)).distinct(), "leaking-rows")
+    return keyed.join(bounded_broadcast(gone, 16), key, "left_anti").select(_columns(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays; secrets in its text are replaced by a mark, and n_chars follows. A null text stays null."""
-    found = secrets.scan(docs, out_col="_spans").withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
-    return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Every row stays, equal rows too; secrets in its text are replaced by a mark, and n_chars follows. A null text stays
+    null. Time is in proportion to a text's length and number of secrets."""
+    spans = _free(docs, "_spans")
+    found = secrets.scan(docs, out_col=spans).withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
+    return found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(_columns(docs))
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's sampled segmentations; null and empty texts have the empty one."""
+    """Every row's sampled segmentations, equal rows' too; null and empty texts have the empty one. Whole texts are encoded."""
     text_batches(spark)
     return pieces.encode(docs)
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 STAGES = [
     ("toxicity", toxicity),
     ("near-duplicates", near_duplicates),
