@@ -1,7 +1,8 @@
-"""Lineage over a corpus of SQL texts: edge tables by regular expressions, then joins.
+"""Lineage over a corpus of SQL texts: statements, their parts by bracket level and clause (sqlparts), then filters and joins.
 
-Literals and comments are blanked first. Extraction is by clause patterns, not by a grammar: parenthesised joins are
-missed, and a quoted name that holds a dot isn't told from a qualified one. Names are lower-cased and lose their quotes.
+A statement's parts are an array beside it, so most operators are one projection. Names are lower-cased and lose their
+quotes; a quoted name that holds a dot isn't told from a qualified one. Brackets may be nested as deep as they like. A
+statement must fit a task. Null texts have no statements.
 """
 
 from __future__ import annotations
@@ -9,33 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.operators.sqlparts import parts_of, statements_of
 from veldspar.sources.scratch import shared_folder
 
 # Patterns of names and clauses.
 WORD = r"[\p{L}_][\p{L}\p{N}_$]*+"
-PART = rf'(?:"[^"]++"|`[^`]++`|\[[^\]]++\]|{WORD})'
-NAME = rf"{PART}(?:\.{PART})*+"
-NO_ALIAS = r"(?!(?:ON|USING|WHERE|JOIN|LEFT|RIGHT|FULL|INNER|OUTER|CROSS|NATURAL|GROUP|ORDER|HAVING|LIMIT|UNION|EXCEPT|INTERSECT|SET|WHEN|QUALIFY|WINDOW|FOR)\b)"
-ITEM = rf"{NAME}(?!\s*\()(?:(?:\s+AS)?\s+{NO_ALIAS}{PART})?"
-BLANK = r"(?s)'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/"
-READS = rf"(?i)\b(?:FROM|JOIN|USING)\s+({ITEM}(?:\s*,\s*{ITEM})*+)"
-WRITES = rf"(?i)^\s*(?:INSERT\s+(?:INTO|OVERWRITE)(?:\s+TABLE)?|CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+({NAME})"
-CTES = rf"(?i)(?:\bWITH(?:\s+RECURSIVE)?\s+|\)\s*,\s*)({PART})(?:\s*\([^()]*+\))?\s+AS\s*\("
-JOINS = rf"(?i)\b((?:LEFT|RIGHT|FULL|INNER|CROSS)?(?:\s+OUTER)?\s*JOIN)\s+({NAME})"
-ALIASED = rf"(?i)^({NAME})(?:\s+AS)?\s+({PART})$"
-KEYWORDS = ("select", "where", "group", "order", "on", "set", "values", "lateral", "unnest")
-
-
-def _nested(depth: int = 6) -> str:
-    """Pattern of text whose parentheses are balanced, up to ``depth`` deep."""
-    body = r"[^()]*+"
-    for _ in range(depth):
-        body = rf"[^()]*+(?:\({body}\)[^()]*+)*+"
-    return body
-
-
-CTE_BODIES = rf"(?i)({PART}(?:\s*\([^()]*+\))?\s+AS\s*\({_nested()}\))"
-STATEMENTS = "text_id, pos, sql"
+NAMED = rf'(?:"[^"]++"|`[^`]++`|\[[^\]]++\]|\$?\{{[^{{}}]++\}}|{WORD})'
+NAME = rf"{NAMED}(?:\.{NAMED})*+"
+BLANK = r"(?s)'[^']*'|--[^\n]*|/\*.*?\*/"
+WRITES = rf"(?i)^\s*(?:FROM\s.*?\bINSERT\s+(?:INTO|OVERWRITE)(?:\s+TABLE)?|(?:WITH\s.*?\)\s*)?(?:INSERT\s+(?:INTO|OVERWRITE)(?:\s+TABLE)?|CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?|UPDATE|DELETE\s+FROM|MERGE\s+INTO))\s+({NAME})"
+EXPLAINED = r"(?i)^EXPLAIN\s+(?:(?:ANALYZE|VERBOSE|EXTENDED|FORMATTED|COST|CODEGEN|PLAN\s+FOR)\s+)*"
+TESTS = ("where", "on", "having", "qualify")
 
 
 def blanked(sql: Column) -> Column:
@@ -43,12 +28,14 @@ def blanked(sql: Column) -> Column:
 
 
 def statements(texts: DataFrame) -> DataFrame:
-    """(text_id, pos, sql) of texts (text_id, sql): statements between semicolons outside of strings and comments."""
-    parts = texts.select("text_id", F.posexplode(F.split(blanked(F.col("sql")), ";")).alias("pos", "sql"))
-    return parts.select("text_id", "pos", F.trim(F.regexp_replace("sql", r"\s+", " ")).alias("sql")).filter("sql <> ''")
+    """(text_id, pos, sql) of texts (text_id, sql): statements between semicolons outside of strings and comments, which are
+    dropped; white space outside of strings is one space."""
+    return texts.select("text_id", F.posexplode(statements_of(F.col("sql"))).alias("pos", "sql"))
 
 
 def kind(sql: Column) -> Column:
+    """select, insert, create, update, delete, merge, drop, truncate or other; an explained statement has its own kind."""
+    sql = F.regexp_replace(blanked(sql), EXPLAINED, "")
     first = F.lower(F.regexp_extract(sql, r"(?i)^\(*\s*(\w+)", 1))
     body = F.lower(F.regexp_extract(sql, r"(?i)\)\s*(select|insert|update|delete|merge)\b", 1))
     return F.when(first == "with", F.when(body == "", "select").otherwise(body)).when(first.isin("select", "insert", "create", "update", "delete", "merge", "drop", "truncate"), first).otherwise("other")
@@ -62,35 +49,40 @@ def _name(x: Column) -> Column:
     return F.lower(F.translate(x, '"`[]', ""))
 
 
-def _sources(sql: Column) -> Column:
-    """The entries of FROM lists, JOIN and USING, with their aliases."""
-    return F.flatten(F.transform(_all(sql, READS), lambda items: F.split(items, r"\s*,\s*")))
+def with_parts(stmts: DataFrame) -> DataFrame:
+    """stmts with their parts as an array (column parts), read once for all that is done with them."""
+    return stmts.withColumn("parts", parts_of(F.col("sql")))
 
 
-def _read_names(sql: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(_sources(sql), lambda i: _name(F.regexp_extract(i, rf"^({NAME})", 1))), lambda n: ~n.isin(*KEYWORDS)))
+def _tables(parts: Column) -> Column:
+    """The parts that are tables of FROM lists, JOIN and USING."""
+    return F.filter(parts, lambda x: (x["clause"] == "from") & (x["kind"] == "table"))
 
 
-def _cte_names(sql: Column) -> Column:
-    return F.array_distinct(F.transform(_all(sql, CTES), _name))
+def _cte_names(parts: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(parts, lambda x: x["clause"] == "cte"), lambda x: x["source"]))
 
 
-def _statement_reads(sql: Column) -> Column:
+def _read_names(parts: Column) -> Column:
     """Names that a statement reads; CTE names and a delete's target aren't reads."""
-    return F.array_except(_read_names(F.regexp_replace(sql, r"(?i)^\s*DELETE\s+FROM\s+", "DELETE ")), _cte_names(sql))
+    return F.array_except(F.transform(_tables(parts), lambda x: x["source"]), _cte_names(parts))
 
 
 def _write_name(sql: Column) -> Column:
-    return _name(F.regexp_extract(sql, WRITES, 1))
+    return _name(F.regexp_extract(F.regexp_replace(blanked(sql), EXPLAINED, ""), WRITES, 1))
+
+
+def _joined(parts: Column) -> Column:
+    return F.filter(parts, lambda x: (x["clause"] == "from") & (x["lead"] != "") & (x["lead"] != "LATERAL VIEW"))
 
 
 def cte_names(stmts: DataFrame) -> DataFrame:
-    return stmts.select("text_id", "pos", F.explode(_cte_names(F.col("sql"))).alias("table_name"))
+    return with_parts(stmts).select("text_id", "pos", F.explode(_cte_names(F.col("parts"))).alias("table_name"))
 
 
 def reads(stmts: DataFrame) -> DataFrame:
     """(text_id, pos, table_name) that a statement reads, in one projection."""
-    return stmts.select("text_id", "pos", F.explode(_statement_reads(F.col("sql"))).alias("table_name"))
+    return with_parts(stmts).select("text_id", "pos", F.explode(_read_names(F.col("parts"))).alias("table_name"))
 
 
 def writes(stmts: DataFrame) -> DataFrame:
@@ -100,8 +92,8 @@ def writes(stmts: DataFrame) -> DataFrame:
 def cte_reads(stmts: DataFrame) -> DataFrame:
     """(text_id, pos, cte, table_name): what each CTE's body names; a CTE among them stands for its own reads, which
     cte_closure resolves."""
-    parts = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), CTE_BODIES)).alias("b"))
-    return parts.select("text_id", "pos", _name(F.regexp_extract("b", rf"^({PART})", 1)).alias("cte"), F.explode(_read_names(F.col("b"))).alias("table_name")).distinct()
+    inside = F.filter(_tables(F.col("parts")), lambda x: x["cte"].isNotNull())
+    return with_parts(stmts).select("text_id", "pos", F.explode(inside).alias("p")).select("text_id", "pos", "p.cte", F.col("p.source").alias("table_name")).distinct()
 
 
 def cte_closure(stmts: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -128,40 +120,55 @@ def cte_closure(stmts: DataFrame, most_rounds: int = 30) -> DataFrame:
 
 
 def joins(stmts: DataFrame) -> DataFrame:
-    """(text_id, pos, kind, table_name): LEFT OUTER JOIN is LEFT, a bare JOIN is INNER."""
-    hit = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), JOINS, 0)).alias("h"))
-    k = F.upper(F.trim(F.regexp_replace(F.regexp_extract("h", JOINS, 1), r"(?i)\bOUTER\b|\bJOIN\b", "")))
-    return hit.select("text_id", "pos", F.when(k == "", "INNER").otherwise(k).alias("kind"), _name(F.regexp_extract("h", JOINS, 2)).alias("table_name"))
+    """(text_id, pos, kind, table_name): LEFT OUTER JOIN is LEFT, a bare JOIN is INNER, a comma is CROSS, USING of a merge or delete
+    is USING; LEFT SEMI, LEFT ANTI, NATURAL and so on as written. table_name is null for a subquery."""
+    hit = with_parts(stmts).select("text_id", "pos", F.explode(_joined(F.col("parts"))).alias("p"))
+    return hit.select("text_id", "pos", F.when(F.col("p.lead") == ",", "CROSS").otherwise(F.col("p.lead")).alias("kind"), F.col("p.source").alias("table_name"))
 
 
-def _predicates(sql: Column) -> Column:
-    """The AND parts of WHERE and ON clauses; the AND of BETWEEN is left as a control character."""
-    clause = _all(sql, r"(?i)\b(?:WHERE|ON)\s+(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\b(?:LEFT|RIGHT|FULL|INNER|CROSS)\b|\bJOIN\b|$)")
-    guarded = F.transform(clause, lambda c: F.regexp_replace(c, r"(?i)\b(BETWEEN\s+\S+)\s+AND\b", "$1 \x1d"))
-    return F.flatten(F.transform(guarded, lambda c: F.split(c, r"(?i)\s+AND\s+")))
+def _tests(parts: Column) -> Column:
+    return F.filter(parts, lambda x: x["clause"].isin(*TESTS))
 
 
 def predicates(stmts: DataFrame) -> DataFrame:
-    """(text_id, pos, kind, text): the AND parts of WHERE and ON; join (two qualified sides of different aliases), sub,
-    or, filter. The AND of BETWEEN doesn't split."""
-    parts = stmts.select("text_id", "pos", F.explode(_predicates(F.col("sql"))).alias("p")).select("text_id", "pos", F.trim(F.replace("p", F.lit("\x1d"), F.lit("AND"))).alias("text"))
-    sides = F.regexp_extract("text", r"^(\w+)\.\w+\s*=\s*\w+\.\w+$", 1), F.regexp_extract("text", r"^\w+\.\w+\s*=\s*(\w+)\.\w+$", 1)
-    k = F.when((sides[0] != "") & (sides[0] != sides[1]), "join").when(F.col("text").rlike(r"(?i)\(\s*select\b"), "sub").when(F.col("text").rlike(r"(?i)\bor\b"), "or").otherwise("filter")
-    return parts.select("text_id", "pos", k.alias("kind"), "text")
+    """(text_id, pos, kind, text): the AND parts of WHERE, ON, HAVING and QUALIFY; the AND of BETWEEN and of CASE doesn't split.
+    join (two qualified sides of different aliases), sub (a query inside), filter; or: a clause whose parts an OR joins, whole."""
+    side = r'((?:[\p{L}_][\p{L}\p{N}_$]*|"[^"]+"|`[^`]+`)(?:\s*\.\s*(?:[\p{L}_][\p{L}\p{N}_$]*|"[^"]+"|`[^`]+`))*)\s*\.\s*(?:[\p{L}_][\p{L}\p{N}_$]*|"[^"]+"|`[^`]+`)(?:\s*\(\+\))?'
+    both = rf"^{side}\s*=\s*{side}$"
+    hit = with_parts(stmts).select("text_id", "pos", F.explode(_tests(F.col("parts"))).alias("p"))
+    sides = [_name(F.regexp_extract("p.text", both, k)) for k in (1, 2)]
+    k = F.when(F.col("p.kind") == "or", "or").when((sides[0] != "") & (sides[0] != sides[1]), "join").when(F.col("p.nested"), "sub").otherwise("filter")
+    return hit.select("text_id", "pos", k.alias("kind"), F.col("p.text").alias("text"))
 
 
 def columns_used(stmts: DataFrame) -> DataFrame:
-    """(text_id, pos, table_name, column_name): qualified columns by the alias or the name of a table."""
-    item = F.explode(_sources(F.col("sql"))).alias("h")
-    hit = stmts.select("text_id", "pos", item).select("text_id", "pos", _name(F.regexp_extract("h", rf"^({NAME})", 1)).alias("table_name"), _name(F.regexp_extract("h", ALIASED, 2)).alias("alias"))
-    aliases = hit.withColumn("alias", F.when(F.col("alias") == "", F.substring_index("table_name", ".", -1)).otherwise(F.col("alias"))).distinct()
-    refs = stmts.select("text_id", "pos", F.explode(_all(F.col("sql"), rf"({PART}\.{PART})")).alias("r")).select("text_id", "pos", _name(F.substring_index("r", ".", 1)).alias("alias"), _name(F.substring_index("r", ".", -1)).alias("column_name")).distinct()
-    return refs.join(aliases, ["text_id", "pos", "alias"]).select("text_id", "pos", "table_name", "column_name").distinct()
+    """(text_id, pos, table_name, column_name): a qualified column belongs to the nearest source of that alias or name, of its own query
+    or one around it; a bare one to the only source of its query, a JOIN's USING columns to the joined table. A star is a column."""
+    each = with_parts(stmts).select("text_id", "pos", "parts", F.explode("parts").alias("p"))
+    parent = F.map_from_entries(F.array_distinct(F.transform("parts", lambda x: F.struct(x["query"], x["parent"]))))
+    outer = lambda s: F.coalesce(F.element_at(F.col("parent"), F.element_at(s, -1)), F.lit(-1))
+    around = F.aggregate(F.sequence(F.lit(1), F.size("parent")), F.array("query"), lambda s, _: F.when(outer(s) >= 0, F.array_append(s, outer(s))).otherwise(s))  # the query and those around it
+    keyed = F.when(F.col("p.clause") == "keys", F.element_at("parts", F.col("p.nth"))["source"])  # nth counts from 0: the part before
+    star = F.when((F.col("p.clause") == "select") & (F.col("p.text") == "*"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
+    rows = each.filter("p.clause not in ('from', 'cte')").select("text_id", "pos", F.col("p.query").alias("query"), keyed.alias("keyed"), parent.alias("parent"), F.concat("p.names", star).alias("refs"))
+    refs = rows.select("text_id", "pos", "query", "keyed", around.alias("around"), F.explode("refs").alias("ref"))
+    before = F.expr("left(ref, length(ref) - length(substring_index(ref, '.', -1)) - 1)")
+    refs = refs.select("text_id", "pos", "query", "keyed", "around", F.substring_index("ref", ".", -1).alias("column_name"), F.when(F.col("ref").contains("."), before).alias("alias")).distinct()
+    qualified = refs.filter("alias is not null").select("text_id", "pos", "query", "column_name", "alias", F.posexplode("around").alias("up", "at"))
+    sources = each.filter("p.clause = 'from'").select("text_id", "pos", F.col("p.query").alias("at"), F.col("p.source").alias("table_name"), F.col("p.alias").alias("own"))
+    names = F.array_distinct(F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.filter(F.array("table_name", F.substring_index("table_name", ".", -1)), lambda x: x.isNotNull())))
+    named = sources.select("text_id", "pos", "at", "table_name", F.explode(names).alias("alias"))
+    nearest = qualified.join(named, ["text_id", "pos", "at", "alias"]).groupBy("text_id", "pos", "query", "column_name", "alias").agg(F.min_by("table_name", "up").alias("table_name"))
+    only = sources.groupBy("text_id", "pos", "at").agg(F.max("table_name").alias("table_name"), F.count("*").alias("n")).filter("n = 1")
+    bare = refs.filter("alias is null and keyed is null").withColumnRenamed("query", "at").join(only, ["text_id", "pos", "at"])
+    columns = ["text_id", "pos", "table_name", "column_name"]
+    found = nearest.select(columns).union(bare.select(columns)).union(refs.filter("keyed is not null").select("text_id", "pos", F.col("keyed").alias("table_name"), "column_name"))
+    return found.filter("table_name is not null").distinct()
 
 
 def flags(stmts: DataFrame) -> DataFrame:
-    s = F.col("sql")
-    return stmts.select("text_id", "pos", s.rlike(r"(?i)\bselect\s+(?:distinct\s+)?(?:\w+\.)?\*").alias("star"), s.rlike(r"(?i)\b(?:sum|count|avg|min|max|stddev|median)\s*\(").alias("aggregate"), s.rlike(r"(?i)\bover\s*\(").alias("window"), s.rlike(r"(?i)\bselect\s+distinct\b").alias("distinct"), s.rlike(r"(?i)\blimit\s+\d+|\bselect\s+top\b").alias("limit"))
+    s = blanked(F.col("sql"))
+    return stmts.select("text_id", "pos", s.rlike(r"(?i)\bselect\s+(?:distinct\s+)?(?:\w+\.)?\*").alias("star"), s.rlike(r"(?i)\b(?:sum|count|avg|min|max|stddev|median)\s*\(").alias("aggregate"), s.rlike(r"(?i)\bover\s*\(").alias("window"), s.rlike(r"(?i)\bselect\s+distinct\b").alias("distinct"), s.rlike(r"(?i)\blimit\s+\d+|\bselect\s+top\b|\bfetch\s+(?:first|next)\b").alias("limit"))
 
 
 def graph(stmts: DataFrame) -> DataFrame:
@@ -216,11 +223,20 @@ def finished_calls(calls: DataFrame) -> DataFrame:
 
 
 def counts(stmts: DataFrame) -> DataFrame:
-    """Per text: statements, tables, joins, predicates and writes; one projection and one grouping."""
-    sql, target = F.col("sql"), _write_name(F.col("sql"))
+    """Per text: statements, tables, joins, predicates, writes and different parameters; one projection and one grouping."""
+    parts, target = F.col("parts"), _write_name(F.col("sql"))
     written = F.when(target != "", F.array(target)).otherwise(F.array().cast("array<string>"))
-    each = stmts.select("text_id", F.array_union(_statement_reads(sql), written).alias("t"), F.size(_all(sql, JOINS, 0)).alias("j"), F.size(_predicates(sql)).alias("p"), F.size(written).alias("w"))
-    return each.groupBy("text_id").agg(F.count("*").alias("queries"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).cast("long").alias("tables"), F.sum("j").alias("joins"), F.sum("p").alias("predicates"), F.sum("w").alias("writes"))
+    each = with_parts(stmts).select("text_id", F.array_union(_read_names(parts), written).alias("t"), F.size(_joined(parts)).alias("j"), F.size(_tests(parts)).alias("p"), F.size(written).alias("w"), F.array_distinct(_all(F.col("sql"), r"\{(\w+)\}")).alias("h"))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    return each.groupBy("text_id").agg(F.count("*").alias("queries"), distinct("t").alias("tables"), F.sum("j").alias("joins"), F.sum("p").alias("predicates"), F.sum("w").alias("writes"), distinct("h").alias("params"))
+
+
+def code_counts(code: DataFrame) -> DataFrame:
+    """Per text of data-frame code: merges, inputs and outputs."""
+    sides = inputs_outputs(code).select("text_id", "side").union(merges(code).select("text_id", F.lit("merge")))
+    n = lambda side: F.count_if(F.col("side") == side)
+    found = sides.groupBy("text_id").agg(n("merge").alias("merges"), n("input").alias("inputs"), n("output").alias("outputs"))
+    return code.select("text_id").distinct().join(found, "text_id", "left").na.fill(0, ["merges", "inputs", "outputs"])
 
 
 def last_access(accesses: DataFrame) -> DataFrame:
