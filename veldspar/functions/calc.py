@@ -40,8 +40,8 @@ def nice_ceiling(x: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Line ends to \\n, zero-width characters out, no-break spaces to spaces."""
-    return F.translate(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[​-‍⁠﻿]", ""), " ", " ")
+    """Line ends to \\n, zero-width characters and soft hyphens out, no-break spaces to spaces."""
+    return F.translate(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[\u00ad\u200b-\u200d\u2060\ufeff]", ""), " ", " ")
 
 
 def fragment_key(text: Column) -> Column:

@@ -265,7 +265,8 @@ def over_budget(docs: DataFrame, owner: str, chars: int) -> DataFrame:
     return docs.groupBy(owner).agg(F.sum(F.length("text")).alias("chars")).withColumn("over", F.col("chars") > chars)
 
 
-MARKERS = {"private ip": r"\b(?:10\.\d{1,3}|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.\d{1,3}\.\d{1,3}\b", "placeholder": r"\{\{[A-Z_]+\}\}"}
+# Private addresses, with no digit or dot before and no digit or further number behind, and placeholders.
+MARKERS = {"private ip": r"(?<![\d.])(?:10\.\d{1,3}|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.\d{1,3}\.\d{1,3}(?!\d|\.\d)", "placeholder": r"\{\{[A-Z_]+\}\}"}
 
 
 def markers(texts: DataFrame, phrase: str, key: str = "doc_id") -> DataFrame:

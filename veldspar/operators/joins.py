@@ -39,16 +39,44 @@ def union_rows(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def overlaps(events: DataFrame, proposed: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def overlaps(events: DataFrame, proposed: DataFrame, unit_seconds: int = 1) -> DataFrame:
     """(proposed_id, event_id) with proposed.start < event.end and event.start < proposed.end. Both tables have id,
-    start, end; intervals meet by the buckets they touch, and a pair counts at the first bucket they share."""
-
-    def buckets(df: DataFrame, p: str) -> DataFrame:
-        n = lambda c: F.floor(F.unix_micros(c) / (bucket_seconds * 1_000_000)).cast("long")
-        return df.filter("start < end").select(F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(F.sequence(n("start"), n("end"))).alias("bucket"), n("start").alias(f"{p}_bucket"))
-
-    pairs = buckets(proposed, "proposed").join(buckets(events, "event"), "bucket")
-    return pairs.filter((F.col("proposed_start") < F.col("event_end")) & (F.col("event_start") < F.col("proposed_end")) & (F.col("bucket") == F.greatest("proposed_bucket", "event_bucket"))).select("proposed_id", "event_id")
+    start, end; empty intervals overlap nothing.
+
+    Of two intervals that overlap, one holds the other's start. An interval is the union of at most two aligned blocks of
+    each size 1, 2, 4, ... units; a moment lies in one block of each size. So they meet by equal blocks, once, and nearly
+    every meeting is a result, however many intervals a day has."""
+    u = unit_seconds * 1_000_000
+    unit = lambda c: F.floor(F.unix_micros(c) / u).cast("long")
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        return df.filter("start < end").select(F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
+
+    def blocks(df: DataFrame, p: str) -> DataFrame:
+        first, behind = unit(f"{p}_start"), F.floor((F.unix_micros(f"{p}_end") - 1) / u).cast("long") + 1
+        size = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v)
+
+        def at(v: Column) -> Column:
+            low, high = F.floor((F.col("_a") + size(v) - 1) / size(v)).cast("long"), F.floor(F.col("_b") / size(v)).cast("long")
+            odd = lambda x: F.pmod(x, F.lit(2)) == 1
+            both = F.array(F.when((low < high) & odd(low), low), F.when((low < high) & odd(high), high - 1))
+            return F.transform(F.filter(both, lambda x: x.isNotNull()), lambda x: F.struct(v.alias("level"), x.alias("block")))
+
+        levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("_b") - F.col("_a"))).cast("int"))
+        cut = df.withColumns({"_a": first, "_b": behind})
+        return cut.select(*df.columns, F.explode(F.flatten(F.transform(levels, at))).alias("_x")).select(*df.columns, "_x.level", "_x.block")
+
+    def moments_of(df: DataFrame, p: str, most: int) -> DataFrame:
+        level = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("level"))
+        return level.withColumn("block", F.floor(unit(f"{p}_start") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))).cast("long"))
+
+    e, p = named(events, "event"), named(proposed, "proposed")
+    longest = e.select(F.unix_micros("event_end") - F.unix_micros("event_start")).union(p.select(F.unix_micros("proposed_end") - F.unix_micros("proposed_start"))).toDF("d").agg(F.max("d")).first()[0] or 0
+    most = (longest // u + 2).bit_length()
+    keys = ["level", "block"]
+    inside = moments_of(p, "proposed", most).join(blocks(e, "event"), keys).filter((F.col("event_start") <= F.col("proposed_start")) & (F.col("proposed_start") < F.col("event_end")))
+    around = blocks(p, "proposed").join(moments_of(e, "event", most), keys).filter((F.col("proposed_start") < F.col("event_start")) & (F.col("event_start") < F.col("proposed_end")))
+    return inside.select("proposed_id", "event_id").union(around.select("proposed_id", "event_id"))
 
 
 def seasons(days: DataFrame, ranges: DataFrame, day: str = "day") -> DataFrame:

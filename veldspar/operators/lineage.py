@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.operators.sqlparts import parts_of, statements_of
+from veldspar.operators.sqlparts import with_parts, with_statements
 from veldspar.sources.scratch import shared_folder
 
 # Patterns of names and clauses.
@@ -30,7 +30,7 @@ def blanked(sql: Column) -> Column:
 def statements(texts: DataFrame) -> DataFrame:
     """(text_id, pos, sql) of texts (text_id, sql): statements between semicolons outside of strings and comments, which are
     dropped; white space outside of strings is one space."""
-    return texts.select("text_id", F.posexplode(statements_of(F.col("sql"))).alias("pos", "sql"))
+    return with_statements(texts)
 
 
 def kind(sql: Column) -> Column:
@@ -49,11 +49,6 @@ def _name(x: Column) -> Column:
     return F.lower(F.translate(x, '"`[]', ""))
 
 
-def with_parts(stmts: DataFrame) -> DataFrame:
-    """stmts with their parts as an array (column parts), read once for all that is done with them."""
-    return stmts.withColumn("parts", parts_of(F.col("sql")))
-
-
 def _tables(parts: Column) -> Column:
     """The parts that are tables of FROM lists, JOIN and USING."""
     return F.filter(parts, lambda x: (x["clause"] == "from") & (x["kind"] == "table"))
@@ -143,15 +138,15 @@ def predicates(stmts: DataFrame) -> DataFrame:
 
 def columns_used(stmts: DataFrame) -> DataFrame:
     """(text_id, pos, table_name, column_name): a qualified column belongs to the nearest source of that alias or name, of its own query
-    or one around it; a bare one to the only source of its query, a JOIN's USING columns to the joined table. A star is a column."""
-    each = with_parts(stmts).select("text_id", "pos", "parts", F.explode("parts").alias("p"))
-    parent = F.map_from_entries(F.array_distinct(F.transform("parts", lambda x: F.struct(x["query"], x["parent"]))))
-    outer = lambda s: F.coalesce(F.element_at(F.col("parent"), F.element_at(s, -1)), F.lit(-1))
-    around = F.aggregate(F.sequence(F.lit(1), F.size("parent")), F.array("query"), lambda s, _: F.when(outer(s) >= 0, F.array_append(s, outer(s))).otherwise(s))  # the query and those around it
+    or one around it; a bare one to the only source of its query, a JOIN's USING columns to the joined table. A star is a column. The
+    parts are written once, as five branches read them."""
+    path = shared_folder(stmts.sparkSession, "parts")
+    kept = with_parts(stmts).select("text_id", "pos", "parts")
+    kept.write.parquet(path)
+    each = stmts.sparkSession.read.schema(kept.schema).parquet(path).select("text_id", "pos", "parts", F.explode("parts").alias("p"))
     keyed = F.when(F.col("p.clause") == "keys", F.element_at("parts", F.col("p.nth"))["source"])  # nth counts from 0: the part before
     star = F.when((F.col("p.clause") == "select") & (F.col("p.text") == "*"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
-    rows = each.filter("p.clause not in ('from', 'cte')").select("text_id", "pos", F.col("p.query").alias("query"), keyed.alias("keyed"), parent.alias("parent"), F.concat("p.names", star).alias("refs"))
-    refs = rows.select("text_id", "pos", "query", "keyed", around.alias("around"), F.explode("refs").alias("ref"))
+    refs = each.filter("p.clause not in ('from', 'cte')").select("text_id", "pos", F.col("p.query").alias("query"), keyed.alias("keyed"), F.col("p.around").alias("around"), F.explode(F.concat("p.names", star)).alias("ref"))
     before = F.expr("left(ref, length(ref) - length(substring_index(ref, '.', -1)) - 1)")
     refs = refs.select("text_id", "pos", "query", "keyed", "around", F.substring_index("ref", ".", -1).alias("column_name"), F.when(F.col("ref").contains("."), before).alias("alias")).distinct()
     qualified = refs.filter("alias is not null").select("text_id", "pos", "query", "column_name", "alias", F.posexplode("around").alias("up", "at"))

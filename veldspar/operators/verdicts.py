@@ -102,8 +102,9 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way F with its mean squares, and the lot variance share (ICC) that follows from them."""
-    g = moments(df, [group], value)
+    """One-way F with its mean squares, and the lot variance share (ICC) that follows from them. Rows without a value or a group
+    don't count."""
+    g = moments(df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()), [group], value)
     s = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("mean")).alias("sm"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("smm"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ssw"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     msb = (F.col("smm") - F.col("sm") * F.col("sm") / F.col("n")) / (F.col("k") - 1)
     msw = F.col("ssw") / (F.col("n") - F.col("k"))
@@ -127,8 +128,9 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H, without and with the correction for ties."""
-    r = average_ranks(df.select(group, value), value, "_r")
+    """Kruskal-Wallis H, without and with the correction for ties. Rows without a value or a group don't count."""
+    df = df.select(group, value).filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    r = average_ranks(df, value, "_r")
     g = r.groupBy(group).agg(F.count("*").alias("n"), F.sum("_r").alias("s"))
     s = g.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("x"))
     ties = df.groupBy(value).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
@@ -137,8 +139,8 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """From the occupied cells alone: chi2 = n * (sum of o * o / (r * c) - 1)."""
-    cells = df.groupBy(a, b).agg(F.count("*").alias("o"))
+    """From the occupied cells alone: chi2 = n * (sum of o * o / (r * c) - 1). Rows without one of the categories don't count."""
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
     sums = cells.join(rows, a).join(cols, b).agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.countDistinct(a).alias("x"), F.countDistinct(b).alias("y"))
     return sums.select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("x") - 1) * (F.col("y") - 1)).alias("df"))

@@ -157,6 +157,6 @@ def dc22_size_budget(spark, d):
     return e.over_budget(table(spark, d, "documents"), "source", 100000)
 
 
-@query("SELECT doc_id, 'private ip' AS rule, list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\b(?:10\\.\\d{1,3}|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\.\\d{1,3}\\.\\d{1,3}\\b')), true)::BIGINT AS line FROM documents WHERE regexp_matches(text, '\\b(?:10\\.\\d{1,3}|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\.\\d{1,3}\\.\\d{1,3}\\b') UNION ALL SELECT doc_id, 'phrase', 0 FROM documents WHERE NOT contains(text, 'the')")
+@query("SELECT doc_id, 'private ip' AS rule, list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?:^|[^0-9.])(?:10\\.\\d{1,3}|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\.\\d{1,3}\\.\\d{1,3}(?:$|[^0-9.]|\\.(?:$|[^0-9]))')), true)::BIGINT AS line FROM documents WHERE regexp_matches(text, '(?:^|[^0-9.])(?:10\\.\\d{1,3}|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\.\\d{1,3}\\.\\d{1,3}(?:$|[^0-9.]|\\.(?:$|[^0-9]))') UNION ALL SELECT doc_id, 'phrase', 0 FROM documents WHERE NOT contains(text, 'the')")
 def dc23_markers(spark, d):
     return e.markers(table(spark, d, "documents"), "the")

@@ -54,6 +54,30 @@ def svc_kruskal(spark, d):
     return rounded(v.kruskal(groups(spark, d), "grp", "qty"))
 
 
+#: A seventh of the rows has no value, a fifth of the lots no group.
+_HOLES = "o AS (SELECT CASE WHEN lot % 5 > 0 THEN grp END AS grp, CASE WHEN (lot + step) % 7 > 0 THEN qty END AS qty, CASE WHEN (lot + step) % 7 > 0 THEN bin END AS bin FROM g), gq AS (SELECT grp, qty FROM o WHERE grp IS NOT NULL AND qty IS NOT NULL), gb AS (SELECT grp, bin FROM o WHERE grp IS NOT NULL AND bin IS NOT NULL)"
+
+
+def _holes(spark, d):
+    x = F.col("lot") + F.col("step")
+    return groups(spark, d).select(F.when(F.col("lot") % 5 > 0, F.col("grp")).alias("grp"), *[F.when(x % 7 > 0, F.col(c)).alias(c) for c in ("qty", "bin")])
+
+
+@query(f"WITH {M}, {_G}, {_HOLES}, r AS (SELECT grp, qty, rank() OVER (ORDER BY qty) + (count(*) OVER (PARTITION BY qty) - 1) / 2 AS r FROM gq), s AS (SELECT count(*)::DOUBLE AS n, sum(r) AS s FROM r GROUP BY grp), t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS c FROM gq GROUP BY qty)), h AS (SELECT 12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1) AS h, sum(n) AS n FROM s) SELECT round(h, 4) AS h, round(h / (1 - ties / (n * n * n - n)), 4) AS h_corrected FROM h, t")
+def svc_kruskal_nulls(spark, d):
+    return rounded(v.kruskal(_holes(spark, d), "grp", "qty"))
+
+
+@query(f"WITH {M}, {_G}, {_HOLES}, c AS (SELECT grp, bin, count(*) AS o FROM gb GROUP BY 1, 2), e AS (SELECT a.grp, b.bin, r * c::DOUBLE / (SELECT count(*) FROM gb) AS e FROM (SELECT grp, count(*) AS r FROM gb GROUP BY 1) a, (SELECT bin, count(*) AS c FROM gb GROUP BY 1) b) SELECT round(sum(pow(coalesce(o, 0) - e, 2) / e), 6) AS chi2, ((count(DISTINCT grp) - 1) * (count(DISTINCT bin) - 1))::BIGINT AS df FROM e LEFT JOIN c USING (grp, bin)")
+def svc_chi_square_nulls(spark, d):
+    return rounded(v.chi_square(_holes(spark, d), "grp", "bin"), 6)
+
+
+@query(f"WITH {M}, {_G}, {_HOLES}, q AS (SELECT grp, count(*) AS n, avg(qty) AS mean, var_samp(qty) AS var FROM gq GROUP BY 1) SELECT sum(n)::BIGINT AS n, count(*)::BIGINT AS k, round((sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n)) / (count(*) - 1) / (sum((n - 1) * var) / (sum(n) - count(*))), 4) AS f FROM q")
+def svc_anova_nulls(spark, d):
+    return v.anova(_holes(spark, d), "grp", "qty").select("n", "k", F.round("f", 4).alias("f"))
+
+
 @query(f"WITH {M}, {_G}, c AS (SELECT grp, bin, count(*) AS o FROM g GROUP BY 1, 2), e AS (SELECT a.grp, b.bin, r * c::DOUBLE / (SELECT count(*) FROM g) AS e FROM (SELECT grp, count(*) AS r FROM g GROUP BY 1) a, (SELECT bin, count(*) AS c FROM g GROUP BY 1) b) SELECT round(sum(pow(coalesce(o, 0) - e, 2) / e), 6) AS chi2, ((count(DISTINCT grp) - 1) * (count(DISTINCT bin) - 1))::BIGINT AS df FROM e LEFT JOIN c USING (grp, bin)")
 def svc_chi_square(spark, d):
     return rounded(v.chi_square(groups(spark, d), "grp", "bin"), 6)
@@ -71,7 +95,7 @@ def svc_spearman(spark, d):
 
 @query(f"WITH {M}, {_G}, {_AN.replace('chamber', 'lot')} SELECT round((msb - msw) / (msb + (n0 - 1) * msw), 6) AS icc FROM z")
 def svd_icc(spark, d):
-    return rounded(v.anova(groups(spark, d).filter("x is not null"), "lot", "x").select("icc"), 6)
+    return rounded(v.anova(groups(spark, d), "lot", "x").select("icc"), 6)
 
 
 @query(f"WITH {M}, {_G}, {_WELCH.format(t='l')} SELECT round(diff, 3) AS diff, round((diff + 2000) / (diff / t), 4) AS t_low, round((diff - 2000) / (diff / t), 4) AS t_high, round(df, 3) AS df FROM w")
