@@ -5,27 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.operators.scans import exact_quantiles
+
 #: The aggregate set by name.
 AGGREGATES = {
-    "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": F.median, "sd": F.stddev, "var": F.variance, "unique": F.countDistinct,
-    "se": lambda c: F.stddev(c) / F.sqrt(F.count(c)), "q1": lambda c: F.percentile(c, F.lit(0.25)), "q3": lambda c: F.percentile(c, F.lit(0.75)),
-    "p10": lambda c: F.percentile(c, F.lit(0.1)), "p90": lambda c: F.percentile(c, F.lit(0.9)),
+    "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "sd": F.stddev, "var": F.variance, "unique": F.countDistinct, "se": lambda c: F.stddev(c) / F.sqrt(F.count(c)),
 }
 
+#: Quantiles by name; p and a number is that percentile, as p10 or p99.5.
+QUANTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+NAMES = [*AGGREGATES, *QUANTILES, "p10", "p90"]
+
+
+def percentile(name: str) -> float | None:
+    """The share that a name stands for, if it is a quantile's."""
+    if name in QUANTILES or name in AGGREGATES:
+        return QUANTILES.get(name)
+    share = float(name[1:]) / 100 if name[:1] == "p" and name[1:].replace(".", "", 1).isdigit() else -1.0
+    if not 0 <= share <= 1:
+        raise ValueError(f"no aggregate is called {name}")
+    return share
+
 
 def group_means(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
 def aggregated(df: DataFrame, by: list[str], column: str, names: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*[AGGREGATES[n](column).alias(n) for n in names])
+    """The named aggregates of each group; quantiles are exact and held by no single task."""
+    shares = {n: p for n in names if (p := percentile(n)) is not None}
+    plain = df.groupBy(*by).agg(*[AGGREGATES[n](column).alias(n) for n in names if n not in shares] or [F.count("*").alias("_rows")])
+    if not shares:
+        return plain
+    q = exact_quantiles(df, by, column, list(shares.values())).select(*[F.col(b).alias(f"_q_{b}") for b in by], *[F.col("q")[i].alias(n) for i, n in enumerate(shares)])
+    same = [F.col(b).eqNullSafe(F.col(f"_q_{b}")) for b in by] or [F.lit(True)]
+    return plain.join(q, same, "left").select(*by, *[F.col(f"`{n}`") for n in names])
 
 
 def box(df: DataFrame, by: list[str], column: str, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Quartiles, n and the fences 1.5 interquartile ranges out, of each group."""
     shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(column, shares) if exact else F.percentile_approx(column, shares, F.lit(accuracy))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), q.alias("_q")).select(*by, "n", *[F.col("_q")[i].cast("double").alias(f"q{i + 1}") for i in range(3)])
+    if exact:
+        out = exact_quantiles(df, by, column, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
+    else:
+        out = df.groupBy(*by).agg(F.count(column).alias("n"), F.percentile_approx(column, shares, F.lit(accuracy)).alias("_q"))
+    out = out.select(*by, "n", *[F.col("_q")[i].cast("double").alias(f"q{i + 1}") for i in range(3)])
     return out.withColumns({"fence_low": 2.5 * F.col("q1") - 1.5 * F.col("q3"), "fence_high": 2.5 * F.col("q3") - 1.5 * F.col("q1")})
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.operators.scans import exact_quantiles
+
 
 def all_of(*parts: Column) -> Column:
     """The AND of a set of filter fragments; true for none."""
@@ -39,23 +43,26 @@ def edited(df: DataFrame, rename: dict | None = None, cast: dict | None = None,
 
 
 def profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """One row a numeric column: rows, missing share, min, max, mean, sd, quartiles, distinct values. The three quartiles
-    of a column share one aggregate; exact distinct values are counted apart, each value once a task."""
-    quartiles = lambda c: (F.percentile if exact else F.percentile_approx)(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), (F.count_if(F.col(c).isNull()) / F.count("*")).alias("missing"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"), *[quartiles(c)[i].cast("double").alias(f"q{i + 1}") for i in range(3)], F.approx_count_distinct(c).alias("n_distinct")).alias(c) for c in columns]
+    """One row a numeric column: its type, rows, missing share, min, max, mean, sd, quartiles, distinct values. Exact quartiles and distinct
+    values come from the counted values of all columns, dealt by range, so no task holds a column."""
+    kinds = dict(df.dtypes)
+    quartiles = lambda c: F.array(*[F.lit(None).cast("double")] * 3) if exact else F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    one = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("kind"), F.count("*").alias("n"), (F.count_if(F.col(c).isNull()) / F.count("*")).alias("missing"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"), *[quartiles(c)[i].cast("double").alias(f"q{i + 1}") for i in range(3)], F.approx_count_distinct(c).alias("n_distinct")).alias(c) for c in columns]
     rows = df.agg(*one).select(F.explode(F.array(*columns)).alias("p")).select("p.*")
     if not exact:
         return rows
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p")).select("p.*")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")).select("p.*")
     counted = values.filter("v is not null").distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
-    return rows.drop("n_distinct").join(F.broadcast(counted), "column_name", "left").fillna(0, ["n_distinct"])  # a row a column
+    found = exact_quantiles(values, ["column_name"], "v", [0.25, 0.5, 0.75]).select("column_name", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    plain = rows.drop("n_distinct", "q1", "q2", "q3").join(F.broadcast(counted), "column_name", "left").join(F.broadcast(found), "column_name", "left")  # a row a column
+    return plain.fillna(0, ["n_distinct"]).select(*rows.columns)
 
 
 def roles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, role): key, time, bin, coordinate, category or measure, by type and number of values."""
+    """(column_name, role): key, time, coordinate, spec, bin, category or measure, by type, name and number of values."""
     kinds = dict(df.dtypes)
     counts = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"d_{c}") for c in columns])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.when(F.lit(kinds[c] in ("timestamp", "date")), "time").when(F.lit(c.lower().endswith(("_x", "_y"))), "coordinate").when(F.lit("bin" in c.lower()), "bin").when(F.col(f"d_{c}") >= 0.95 * F.col("n"), "key").when(F.lit(kinds[c] == "string") | (F.col(f"d_{c}") <= 50), "category").otherwise("measure").alias("role")) for c in columns]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.when(F.lit(kinds[c] in ("timestamp", "date")), "time").when(F.lit(c.lower().endswith(("_x", "_y"))), "coordinate").when(F.lit(bool(re.search(r"(^|_)(spec|lsl|usl|target)(_|$)", c.lower()))), "spec").when(F.lit("bin" in c.lower()), "bin").when(F.col(f"d_{c}") >= 0.95 * F.col("n"), "key").when(F.lit(kinds[c] == "string") | (F.col(f"d_{c}") <= 50), "category").otherwise("measure").alias("role")) for c in columns]
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.operators.scans import clamped_sums, decayed
+
 
 def die_map(df: DataFrame, keys: list[str], value: str, bad: Column) -> DataFrame:
     """Mean and defect rate of each die position (of each wafer, if its key is given)."""
@@ -72,34 +74,23 @@ def xbar_r(df: DataFrame, key: str, subgroup: str, value: str) -> DataFrame:
     return sums.join(F.broadcast(table), "size").select(key, "size", "subgroups", "centre", "r_bar", (F.col("centre") - F.col("a2") * F.col("r_bar")).alias("lcl"), (F.col("centre") + F.col("a2") * F.col("r_bar")).alias("ucl"), (F.col("d3") * F.col("r_bar")).alias("r_lcl"), (F.col("d4") * F.col("r_bar")).alias("r_ucl"))
 
 
-def _ordered(order: str, value: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda s: s["v"])
-
-
 def ewma(df: DataFrame, key: str, order: str, value: str, weight: float = 0.2, width: float = 3.0) -> DataFrame:
-    """Points outside of the EWMA limits per key. An exact recursion over a key's history, which must fit a task."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(key).agg(_ordered(order, value).alias("v"), F.avg(value).alias("mu"), F.coalesce(F.stddev(value), F.lit(0.0)).alias("sd"))
-    zero = F.struct(F.col("mu").alias("z"), F.lit(1.0).alias("p"), F.lit(0).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        z, p = weight * x + (1 - weight) * s["z"], s["p"] * (1 - weight) ** 2
-        limit = width * F.col("sd") * F.sqrt(weight / (2 - weight) * (1 - p))
-        return F.struct(z.alias("z"), p.alias("p"), (s["out"] + F.when(F.abs(z - F.col("mu")) > limit, 1).otherwise(0)).alias("out"))
-
-    return g.select(key, F.size("v").alias("n"), F.aggregate("v", zero, step, lambda s: F.struct(s["z"].alias("z"), s["out"].alias("out"))).alias("e")).select(key, "n", F.col("e.z").alias("last"), F.col("e.out").alias("n_out"))
+    """(key, n, last, n_out): the last EWMA of each key, from its mean, and its points outside of the limits. Exact, by stretches of a key's
+    order; rows without a value or key don't count."""
+    some = df.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    stats = some.groupBy(key).agg(F.avg("_v").alias("_mu"), F.coalesce(F.stddev("_v"), F.lit(0.0)).alias("_sd"))
+    z = decayed(some.join(stats, key), key, "_o", "_v", "_mu", 1 - weight)
+    limit = width * F.col("_sd") * F.sqrt(weight / (2 - weight) * (1 - F.pow(F.lit(1 - weight), 2 * F.col("_n"))))
+    return z.groupBy(key).agg(F.count("*").cast("int").alias("n"), F.max_by("_z", "_n").alias("last"), F.count_if(F.abs(F.col("_z") - F.col("_mu")) > limit).cast("int").alias("n_out"))
 
 
 def cusum(df: DataFrame, key: str, order: str, value: str, k: float = 0.5, h: float = 5.0) -> DataFrame:
-    """Largest upper and lower CUSUM of standardised values per key, and whether one passes h."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(key).agg(_ordered(order, value).alias("v"), F.avg(value).alias("mu"), F.stddev(value).alias("sd")).filter("sd > 0")
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("up", "down", "up_most", "down_most")])
-
-    def step(s: Column, x: Column) -> Column:
-        z = (x - F.col("mu")) / F.col("sd")
-        up, down = F.greatest(F.lit(0.0), s["up"] + z - k), F.greatest(F.lit(0.0), s["down"] - z - k)
-        return F.struct(up.alias("up"), down.alias("down"), F.greatest(s["up_most"], up).alias("up_most"), F.greatest(s["down_most"], down).alias("down_most"))
-
-    return g.select(key, F.aggregate("v", zero, step).alias("c")).select(key, F.col("c.up_most").alias("up"), F.col("c.down_most").alias("down"), ((F.col("c.up_most") > h) | (F.col("c.down_most") > h)).alias("alarm"))
+    """Largest upper and lower CUSUM of standardised values per key, and whether one passes h. Exact, by stretches of a key's order; rows
+    without a value or key don't count, nor do keys whose values don't vary."""
+    some = df.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    stats = some.groupBy(key).agg(F.avg("_v").alias("_mu"), F.stddev("_v").alias("_sd")).filter("_sd > 0")
+    z = (F.col("_v") - F.col("_mu")) / F.col("_sd")
+    return clamped_sums(some.join(stats, key), key, "_o", {"up": z - k, "down": -z - k}).withColumn("alarm", (F.col("up") > h) | (F.col("down") > h))
 
 
 def western_electric(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from veldspar.operators.scans import exact_quantiles
 from veldspar.sources.scratch import shared_folder
 
 
@@ -140,9 +141,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """From the occupied cells alone: chi2 = n * (sum of o * o / (r * c) - 1). Rows without one of the categories don't count."""
-    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
-    rows, cols = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
-    sums = cells.join(rows, a).join(cols, b).agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.countDistinct(a).alias("x"), F.countDistinct(b).alias("y"))
+    cells = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_a is not null and _b is not null").groupBy("_a", "_b").agg(F.count("*").alias("_o"))
+    rows, cols = cells.groupBy("_a").agg(F.sum("_o").alias("_r")), cells.groupBy("_b").agg(F.sum("_o").alias("_c"))
+    sums = cells.join(rows, "_a").join(cols, "_b").agg(F.sum("_o").alias("n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("s"), F.countDistinct("_a").alias("x"), F.countDistinct("_b").alias("y"))
     return sums.select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("x") - 1) * (F.col("y") - 1)).alias("df"))
 
 
@@ -194,7 +195,8 @@ def stratified(df: DataFrame, stratum: str, group: str, value: str) -> DataFrame
 
 def replication(df: DataFrame, time: str, group: str, value: str, share: float = 0.7) -> DataFrame:
     """Welch's test on the last 30 % of the period, with the direction before it."""
-    cut = df.agg(F.percentile(F.unix_timestamp(time), F.lit(share)).alias("cut"))
+    times = df.select(F.unix_timestamp(time).alias("t"))
+    cut = exact_quantiles(times, [], "t", [share]).select(F.col("q")[0].alias("cut"))
     part = df.join(F.broadcast(cut)).withColumn("tail", F.unix_timestamp(time) > F.col("cut"))
     head = welch(part.filter("not tail"), group, value).select(F.col("diff").alias("head_diff"))
     return welch(part.filter("tail"), group, value).join(F.broadcast(head)).withColumn("replicated", (F.signum("diff") == F.signum("head_diff")) & (F.col("p_value") < 0.05))

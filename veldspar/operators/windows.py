@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.operators.scans import decayed
+
 from veldspar.sources.scratch import shared_folder
 
 _ALL = (Window.unboundedPreceding, Window.currentRow)
@@ -83,10 +85,12 @@ def transitions(df: DataFrame, state: str, keys: list[str], order: list[str]) ->
 
 
 def smoothed(df: DataFrame, key: str, order: str, value: str, keep: float = 0.7) -> DataFrame:
-    """keep * old + (1 - keep) * new at the end of each key's ordered values. A key's values must fit a task."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value].cast("double"))
-    fold = F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), lambda s, x: keep * s + (1 - keep) * x)
-    return df.filter(F.col(value).isNotNull()).groupBy(key).agg(values.alias("v")).select(key, fold.alias("smoothed"))
+    """keep * old + (1 - keep) * new at the end of each key's ordered values, from the first of them. Exact, by stretches of a key's order; rows
+    without a value or key don't count."""
+    some = df.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    first = some.groupBy(key).agg(F.min_by("_v", "_o").alias("_first"))
+    z = decayed(some.join(first, key), key, "_o", "_v", "_first", keep)
+    return z.groupBy(key).agg(F.max_by("_z", "_n").alias("smoothed"))
 
 
 def completions(df: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def ag2_many_means(spark, d):
     return rounded(a.group_means(measures(spark, d), ["step"], _MANY))
 
 
-@query(f"WITH {M} SELECT chamber, round(sum(price), 5) AS sum, round(avg(price), 5) AS avg, count(price)::BIGINT AS count, min(price) AS min, max(price) AS max, round(median(price), 5) AS median, round(stddev_samp(price), 5) AS sd, round(var_samp(price), 0) AS var, count(DISTINCT price)::BIGINT AS unique, round(stddev_samp(price) / sqrt(count(price)), 5) AS se, round(quantile_cont(price, 0.25), 5) AS q1, round(quantile_cont(price, 0.75), 5) AS q3, round(quantile_cont(price, 0.1), 5) AS p10, round(quantile_cont(price, 0.9), 5) AS p90 FROM m GROUP BY 1")
+@query(f"WITH {M} SELECT chamber, round(sum(price), 2) AS sum, round(avg(price), 5) AS avg, count(price)::BIGINT AS count, min(price) AS min, max(price) AS max, round(median(price), 5) AS median, round(stddev_samp(price), 5) AS sd, round(var_samp(price), 0) AS var, count(DISTINCT price)::BIGINT AS unique, round(stddev_samp(price) / sqrt(count(price)), 5) AS se, round(quantile_cont(price, 0.25), 5) AS q1, round(quantile_cont(price, 0.75), 5) AS q3, round(quantile_cont(price, 0.1), 5) AS p10, round(quantile_cont(price, 0.9), 5) AS p90 FROM m GROUP BY 1")
 def ag3_aggregate_set(spark, d):
-    return rounded(rounded(a.aggregated(measures(spark, d), ["chamber"], "price", list(a.AGGREGATES)), 5), 0, "var")
+    return rounded(rounded(rounded(a.aggregated(measures(spark, d), ["chamber"], "price", a.NAMES), 5), 0, "var"), 2, "sum")
 
 
 _BOX = "b AS (SELECT step, count(price)::BIGINT AS n, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS q2, quantile_cont(price, 0.75) AS q3 FROM m GROUP BY 1), f AS (SELECT *, 2.5 * q1 - 1.5 * q3 AS fence_low, 2.5 * q3 - 1.5 * q1 AS fence_high FROM b)"

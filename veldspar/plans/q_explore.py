@@ -71,7 +71,7 @@ def pf3_column_edits(spark, d):
     return x.edited(o, rename={"o_orderkey": "id", "o_orderstatus": "status", "o_totalprice": "price"}, cast={"o_totalprice": "bigint"}, replace={"o_orderstatus": {"F": "done", "O": "open"}}, drop=("o_orderpriority",))
 
 
-_P = "SELECT '{c}' AS column_name, count(*)::BIGINT AS n, round(count(*) FILTER ({c} IS NULL) / count(*), 4) AS missing, round(min({c})::DOUBLE, 4) AS low, round(max({c})::DOUBLE, 4) AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS q2, round(quantile_cont({c}, 0.75), 4) AS q3, count(DISTINCT {c})::BIGINT AS n_distinct FROM m"
+_P = "SELECT '{c}' AS column_name, 'double' AS kind, count(*)::BIGINT AS n, round(count(*) FILTER ({c} IS NULL) / count(*), 4) AS missing, round(min({c})::DOUBLE, 4) AS low, round(max({c})::DOUBLE, 4) AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS q2, round(quantile_cont({c}, 0.75), 4) AS q3, count(DISTINCT {c})::BIGINT AS n_distinct FROM m"
 
 
 @query(f"WITH {M} " + " UNION ALL ".join(_P.format(c=c) for c in ("price", "qty", "disc")))

@@ -43,7 +43,7 @@ def st1_usage_stream(spark, d):
     return spark.read.parquet(out)
 
 
-@query()
+@query("WITH e AS (SELECT user_id AS session, event_id AS seq, sum(round(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS total, min(ts) OVER (PARTITION BY user_id) AS created FROM events) SELECT session, seq, greatest(0, total - coalesce(lag(total) OVER (PARTITION BY session ORDER BY seq), CASE WHEN created >= TIMESTAMP '2024-01-01' - INTERVAL 5 SECOND THEN 0 ELSE total END))::BIGINT AS delta FROM e")
 def st2_token_deltas_stream(spark, d):
     by = Window.partitionBy("user_id")
     e = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.sum(F.round("value").cast("long")).over(by.orderBy("event_id")).alias("total"), F.min("ts").over(by).alias("created"))
@@ -144,7 +144,7 @@ def st8_busy_timeout_stream(spark, d):
     return spark.read.parquet(out)
 
 
-@query()
+@query("SELECT DISTINCT event_type AS topic, user_id::VARCHAR AS key FROM events")
 def st9_dedup_stream(spark, d):
     e = table(spark, d, "events").select("ts", F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("key"))
     src, out = t.as_stream(e, shared_folder(spark, "st9"), "ts"), shared_folder(spark, "st9-out")
@@ -265,9 +265,9 @@ def io5_log_follow(spark, d):
     return spark.read.parquet(out).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{_USAGE} HAVING time_bucket(INTERVAL 10 SECOND, ts) + INTERVAL 10 SECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)")
 def io10_usage_sink(spark, d):
     """Windows that the watermark has closed, appended to Parquet files."""
     src, out = t.as_stream(events(spark, d), shared_folder(spark, "io10"), "ts"), shared_folder(spark, "io10-out")
-    t.run_to_end(t.usage(src, "1 hour"), out, shared_folder(spark, "io10-check"))
+    t.run_to_end(t.usage(src, late="1 hour"), out, shared_folder(spark, "io10-check"))
     return spark.read.parquet(out)
