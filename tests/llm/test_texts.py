@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import html
 import math
@@ -226,7 +227,7 @@ def test_arc_versions(version):
     records = [("http://a.com/x y", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhi\nthere"), ("http://b", "0.0.0.0", "19990101000000", "text/plain", b"")]
     read = list(arcwarc.arc_records(arcwarc.arc_file("f.arc", version, records)))
     assert [(f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], b) for f, b in read] == records
-    warc = arcwarc.to_warc(*read[0], None) + arcwarc.END
+    warc = arcwarc.to_warc(*read[0], arcwarc.stored_id('f.arc', 0), None) + arcwarc.END
     (fields, block), = arcwarc.warc_records(warc)
     assert block == records[0][4] and fields["WARC-Date"] == "2020-01-02T03:04:05Z" and fields["WARC-Type"] == "response"
     assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"hi\nthere").hexdigest()
@@ -238,6 +239,50 @@ def test_arc_cut_short():
         list(arcwarc.arc_records(data[:-4]))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_records_from_parts_of_any_size(size):
+    rng = random.Random(size)
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + bytes(rng.choices(b"\r\nWAx/1", k=rng.randint(0, 60))) for _ in range(30)]
+    arc = arcwarc.arc_file("f.arc", 2, [(f"http://a/{i}", "0.0.0.0", "2020", "text/html", b) for i, b in enumerate(blocks)])
+    cut = lambda data: (data[i : i + size] for i in range(0, len(data), size))
+    read = list(arcwarc.arc_records(cut(arc)))
+    assert [b for _, b in read] == blocks
+    warc = b"".join(arcwarc.to_warc(f, b, arcwarc.stored_id("f", k), None) + arcwarc.END for k, (f, b) in enumerate(read))
+    assert [b for _, b in arcwarc.warc_records(cut(warc))] == blocks
+    with pytest.raises(ValueError):
+        list(arcwarc.warc_records(cut(warc[: warc.rindex(b"HTTP") + 3])))
+
+
+@pytest.mark.parametrize(("date", "stamp"), [("20200102030405", "2020-01-02T03:04:05Z"), ("202002", "2020-02-01T00:00:00Z"), ("1999", "1999-01-01T00:00:00Z"), ("20200102030405999", "2020-01-02T03:04:05Z")])
+def test_short_dates(date, stamp):
+    assert arcwarc.timestamp(date) == stamp
+
+
+def test_stored_archives(spark, tmp_path):
+    """Plain, compressed and many-member ARC files of both versions, with binary payloads and equal ones across files."""
+    same, rng = b"s" * 150, random.Random(1)
+    answer = lambda payload, end=b"\r\n\r\n": b"HTTP/1.0 200 OK\r\nContent-Type: x" + end + payload
+    noise = bytes(rng.choices(range(256), k=5000)) + b"\r\n\r\n\r\n\r\nWARC/1.0\r\n\r\n" * 3
+    files = {
+        "a.arc": (1, [("http://a/1", "1.1.1.1", "20010101000000", "text/html", answer(same)), ("dns:a", "1.1.1.1", "2001", "text/dns", b"a. 10 IN A 1.1.1.1")]),
+        "b.arc.gz": (2, [("http://b/1", "2.2.2.2", "20000101", "text/html", answer(same)), ("http://b/2 x", "2.2.2.2", "20000102", "image/png", answer(noise, b"\n\n"))]),
+        "c.arc.gz": (1, [("http://c/1", "3.3.3.3", "20020101000000", "text/html", answer(noise)), ("http://c/2", "3.3.3.3", "20020101000000", "text/html", b""), ("http://c/3", "3.3.3.3", "20020101000000", "t", answer(b"tiny"))]),
+    }
+    (tmp_path / "in").mkdir()
+    for name, (version, records) in files.items():
+        data = arcwarc.arc_file(name, version, records)
+        half = len(data) // 2  # two gzip members
+        (tmp_path / "in" / name).write_bytes(gzip.compress(data[:half]) + gzip.compress(data[half:]) if name.endswith("gz") else data)
+    arcwarc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {r.url: r for r in arcwarc.read_archives(spark, str(tmp_path / "out")).collect()}
+    assert {u: r.record_type for u, r in got.items()} == {"http://a/1": "revisit", "dns:a": "resource", "http://b/1": "response", "http://b/2 x": "response", "http://c/1": "revisit", "http://c/2": "resource", "http://c/3": "response"}
+    assert got["http://a/1"].refers_to_record == got["http://b/1"].record and got["http://c/1"].refers_to_record == got["http://b/2 x"].record
+    assert (got["http://b/2 x"].payload_bytes, got["http://b/2 x"].payload_digest) == (len(noise), hashlib.sha256(noise).hexdigest()) and got["http://c/1"].payload_digest == got["http://b/2 x"].payload_digest
+    assert got["dns:a"].warc_date == "2001-01-01T00:00:00Z" and len({r.record for r in got.values()}) == 7 and all(r.page_id is None for r in got.values())
+    with pytest.raises(ValueError, match="compressed"):
+        arcwarc.convert(spark, str(tmp_path / "in"), str(tmp_path / "never"), largest=10)
+
+
 @pytest.mark.parametrize("page_id", [0, 1, -1, 2**62, -(2**63), 2**63 - 1])
 def test_record_ids(page_id):
     assert arcwarc.page_of(arcwarc.record_id(page_id, "")) == page_id
@@ -252,6 +297,10 @@ def test_archives(spark):
     for i, _, t in rows:
         assert (got[i].payload_bytes, got[i].payload_digest) == (len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest())
     assert arcwarc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    # repeated rows, columns with the operator's own names, a page of 3 MB among many in one file
+    many = [(i, "u", "long " * 600_000 if i == 7 else f"page {i}" * 20, "x", 1.5) for i in range(40)] + [(7, "u", "long " * 600_000, "y", None)]
+    again = arcwarc.archived(spark.createDataFrame(many, "page_id long, url string, html string, digest string, original double").coalesce(1)).collect()
+    assert sorted(r.page_id for r in again) == sorted(m[0] for m in many) and {r.record_type for r in again} == {"response"} and max(r.payload_bytes for r in again) == 3_000_000
 
 
 # --- pieces
