@@ -156,10 +156,33 @@ def test_main_text(page, text):
     assert sitetree.main_text(page) == text
 
 
-@pytest.mark.parametrize("part", ["<a ", "<div>x", "<", "<a \"", "<a '>\"", "<div></p>", "<b><div><i></b>", "<object>", "<!--", "</x>", "<p class=ad>"])
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div id='content' class='right-sidebar'><article><p>text</p><div class='comments'>long comments, longer than the text</div></article></div>", "text"),
+        ("<div class='has-sidebar main'><p>text</p><div class='sidebar'>no</div></div>", "text"), ("<div class='page-header'><h1>Title</h1></div><p>text</p>", "Title\n\ntext"), ("<div class='site-header'>no</div><p>text</p>", "text"),
+        ("<p>a <span hidden>no</span> b</p><div aria-hidden='true'><p>no</div><p style='color:red; display: none'>no</p><p title='hidden'>c</p>", "a b\n\nc"),
+        ("<div>" * 600 + "<nav><p>MENU</p></nav><p>text</p>" + "</div>" * 600 + "<p>end", "text\n\nend"), ("<div class=ad>" * 3000 + "<article><p>text", "text"),
+        ("<x-app class='sidebar wrap'><article><p>a text that is long enough to be the article of this page</p></article></x-app><div class='related'><article>other</article></div>", "a text that is long enough to be the article of this page"),
+        ("<article><p>own words here, a good many of them in fact</p></article><div class='comments'><article>I</article><article>me too</article></div>", "own words here, a good many of them in fact"),
+        ("<div class='sidebar'><p>all the text there is</p></div>", "all the text there is"), ("<div class='sidebar'><p>links</p></div><div><p>the text of the page</p></div>", "the text of the page"),
+    ],
+)
+def test_names_are_a_prior(page, text):
+    assert sitetree.main_text(page) == text
+
+
+def test_low_branches_around_an_article_stay(spark):
+    """Pages of one host that are copies of each other: the branch around the article is alike everywhere."""
+    page = "<body><div class='w1'><div class='m2'>Menu words</div><article><p>The one text of this host</p></article></div></body>"
+    rows = [(i, f"http://a.com/{i}", page) for i in range(20)]
+    assert {r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The one text of this host"}
+
+
+@pytest.mark.parametrize("part", ["<div>x</b></p>", "<a class='sidebar'>x", "<li>x<ul>", "<a ", "<div>x", "<", "<a \"", "<a '>\"", "<div></p>", "<b><div><i></b>", "<object>", "<!--", "</x>", "<p class=ad>"])
 def test_broken_markup_takes_linear_time(part):
     began = time.time()
-    sitetree.main_text(part * (1_000_000 // len(part)))
+    sitetree.features(part * (1_000_000 // len(part)))
     assert time.time() - began < 20
 
 

@@ -8,8 +8,10 @@ importance that a good share of a host's pages has are removed from each page; h
 pages take the branches of the tree of all hosts. Counting is two grouped sums, which combine before the shuffle, so
 that a host with a third of all pages is no hot group.
 
-Entropy can't tell an advert or a form that differs from page to page from an article. Elements whose tag or role is
-one of these kinds, or whose class or id consists of their names and of words for places, go as well, and where a page
+Entropy can't tell an advert or a form that differs from page to page from an article. Elements whose tag or role says so
+go as well, and hidden ones. A class or id that consists of names of noise and of words for places is only a prior: the
+element goes unless nearly all of the page's article (else of its main element, else of its text) lies inside. Nor does
+a branch of low importance go that holds the article or main element. Where a page
 has an article (else a main) element only its inside counts. Plain headings, paragraphs, lists, quotes, tables and code
 inside of an article are never taken for low-importance branches, as pages may be copies of each other.
 
@@ -17,8 +19,7 @@ Text: character references decoded, white space inside a block one space, trimme
 newlines. A null html or one without text gives an empty string, a null url belongs to the host ''. Repeated pages are
 repeated rows; an empty table gives an empty result; other columns aren't read. Any markup is accepted, in time in
 proportion to its length: unclosed and stray tags, broken attributes, unended comments. An element that goes and isn't
-closed ends with the block around it or before the next block. Elements nest up to ``DEEPEST``; deeper ones are taken
-for siblings.
+closed ends with the block around it or before the next block. Elements nest as deep as they like.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +47,10 @@ class Settings:
     least_share: float = 0.25
 
 
+#: A named element stays if less than this share of the article's characters lies outside of it.
+LEAST_REST = 0.1
+
+
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -53,16 +60,17 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption section div b i em strong a span u s small sub sup code mark q cite time abbr article main hgroup".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond discussion related recommended share sharing social widget pagination pager toolbar skip login search copyright".split())
 PLACES = frozenset("site page main global top bottom left right wide inner outer wrap wrapper container box block area section panel bar group list item items links link text content col column row post article entry user users reader readers visitor block widget inline sticky fixed js is has the my".split())
+OWNERS = frozenset("page post article entry content story section".split())
+MODIFIERS = frozenset("has with no".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: An end tag or a start tag of the first kind ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPES = frozenset("table td th ul ol dl div section article main body html".split())
 
-DEEPEST = 512
-
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
@@ -76,13 +84,25 @@ class Block:
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "low", "article", "main", "children", "start", "end")
+    """An element. dropped: it or one around it is of a kind that goes; named, lowly: the nearest element, itself
+    included, that goes by its name or by the style tree unless it holds the article; block: the nearest block."""
+
+    __slots__ = ("tag", "path", "dropped", "named", "lowly", "article", "main", "block", "outer", "gone", "children", "start", "end")
 
-    def __init__(self, tag: str, path: int, dropped: bool, low: bool, article: bool, main: bool, start: int):
-        self.tag, self.path, self.dropped, self.low, self.article, self.main = tag, path, dropped, low, article, main
+    def __init__(self, tag: str, path: int, dropped: bool, article: bool, main: bool, above: Node | None, start: int):
+        self.tag, self.path, self.dropped, self.article, self.main = tag, path, dropped, article, main
+        self.named, self.lowly = (above.named, above.lowly) if above else (None, None)
+        self.block = self if above is None or tag in BLOCKS else above.block
+        self.outer: list[tuple[str, Node | None]] = []
+        self.gone: dict[str, bool] = {}
         self.children: list[str] = []
         self.start, self.end = start, start
 
+    def mark(self, kind: str) -> None:
+        """Let this element go by its name or by the style tree ("named" or "lowly") if nothing speaks against it."""
+        self.outer.append((kind, getattr(self, kind)))
+        setattr(self, kind, self)
+
 
 class _Tags:
     """Where the tags of a page lie; every character is passed once."""
@@ -116,6 +136,8 @@ def _named(names: str) -> bool:
     """Whether a class or id consists of names of noise and words for places, at least one of the former."""
     for name in names.split():
         words = _WORDS.findall(name)
+        if words and (words[0] in MODIFIERS or "header" in words and OWNERS.intersection(words)):
+            continue
         if any(w in NAMES for w in words) and all(w in NAMES or w in PLACES for w in words):
             return True
     return False
@@ -124,8 +146,10 @@ def _named(names: str) -> bool:
 def parse(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[Node], list[Block]]:
     """The elements and the text blocks of a page. An element's blocks are start to end - 1; low: paths to remove."""
     html = html or ""
-    root = Node("", 0, False, False, False, False, 0)
-    nodes, stack, blocks, held, tags = [root], [root], [], [], _Tags(html)
+    root = Node("", 0, False, False, False, None, 0)
+    nodes, stack, blocks, tops, held, tags = [root], [root], [], [], [], _Tags(html)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+    scopes = [0]
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -133,26 +157,35 @@ def parse(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[No
             text = " ".join(references.unescape("".join(held)).split())
             held.clear()
             if text:
-                top = next(x for x in reversed(stack) if x.tag in BLOCKS or x is root)
-                blocks.append(Block(text, top.dropped, top.low, top.article, top.main))
+                top = stack[-1].block
+                tops.append(top)
+                blocks.append(Block(text, top.dropped, False, top.article, top.main))
 
     def hold(text: str) -> None:
-        """Text of a dropped element inside of a block that isn't is left out of the block."""
-        top = stack[-1]
-        if top.tag not in BLOCKS and top is not root and (top.dropped or top.low):
-            around = next(x for x in reversed(stack) if x.tag in BLOCKS or x is root)
-            if (top.dropped and not around.dropped) or (top.low and not around.low):
-                text = " "
+        """Text of an element that goes, inside of a block that doesn't, is left out of the block."""
+        top, around = stack[-1], stack[-1].block
+        if top is not around and (top.dropped and not around.dropped or top.named is not around.named or top.lowly is not around.lowly):
+            text = " "
         held.append(text)
 
     def close(k: int) -> None:
         """End all open elements from number k on."""
         if any(x.tag in BLOCKS for x in stack[k:]):
             flush()
-        for x in stack[k:]:
+        for x in reversed(stack[k:]):
             x.end = len(blocks)
+            if x is not root:
+                places[x.tag].pop()
+                if x.tag in SCOPES:
+                    scopes.pop()
         del stack[k:]
 
+    def close_nearest(ends) -> None:
+        """End the innermost open element of these tags, if it isn't outside of the innermost scope."""
+        k = max((places[t][-1] for t in ends if places[t]), default=0)
+        if k and k >= scopes[-1]:
+            close(k)
+
     while at < n:
         start = html.find("<", at)
         if start < 0:
@@ -178,15 +211,11 @@ def parse(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[No
             continue
         tag = m[1].lower()
         if html[start + 1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in SCOPES and tag not in BLOCKS:
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            k = places[tag][-1] if places[tag] else 0
+            if k and (tag in BLOCKS or k >= scopes[-1]):
+                close(k)
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag == "br" or tag == "wbr":
             hold(" " if tag == "br" else "")
@@ -204,56 +233,80 @@ def parse(html: str | None, low: frozenset | set = frozenset()) -> tuple[list[No
         if tag in BLOCKS:
             while stack[-1].dropped and stack[-1].tag not in BLOCKS and not stack[-2].dropped and not (stack[-1].tag in FOREIGN and tags.closed_after(stack[-1].tag, start)):
                 close(len(stack) - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" and tag not in ("html", "body", "head"):
-                    close(k)
-                    break
-                if stack[k].tag in SCOPES:
-                    break
-            ends = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    close(k)
-                    break
-                if stack[k].tag in SCOPES:
-                    break
+            if tag not in ("html", "body", "head"):
+                close_nearest(("p",))
+            close_nearest(CLOSES.get(tag, ()))
             flush()
-        if len(stack) >= DEEPEST:
-            close(len(stack) - 1)
         above = stack[-1]
-        names, role = "", ""
+        names, role, hidden = "", "", False
         for a in _ATTRIBUTE.finditer(html, m.end(), end):
+            key = a[1].lower()
             value = (a[2] or a[3] or a[4] or "").lower()
-            if a[1].lower() == "role":
+            if key == "role":
                 role = value
-            else:
+            elif key in ("class", "id"):
                 names += " " + value
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
+                hidden = True
         article, main = above.article or tag == "article", above.main or tag == "main"
-        dropped = above.dropped
+        dropped, named = above.dropped, False
         if not dropped and (tag not in ("html", "body", "article", "main") or tag == "article" and above.article):
             own_heading = article and "header" in (tag, *_WORDS.findall(names))
-            dropped = role in ROLES or (tag in DROPPED or _named(names)) and not own_heading
+            dropped = hidden or role in ROLES or tag in DROPPED and not own_heading
+            named = not own_heading and _named(names)
         above.children.append(tag)
         path = zlib.crc32(f"{above.path}/{tag}.{names}".encode("utf-8", "surrogatepass"))
-        plain = tag in PLAIN and not names
-        node = Node(tag, path, dropped, above.low or path in low and not (article and plain), article, main, len(blocks))
+        node = Node(tag, path, dropped, article, main, above, len(blocks))
+        if named:
+            node.mark("named")
+        if path in low and not (article and tag in PLAIN and not names):
+            node.mark("lowly")
         nodes.append(node)
+        places[tag].append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
         stack.append(node)
     flush()
     close(0)
+    _judge(nodes, blocks, tops)
     return nodes, blocks
 
 
+def _judge(nodes: list[Node], blocks: list[Block], tops: list[Node]) -> None:
+    """Decide which of the marked elements go, outer ones first, and with them their blocks (of the nodes tops)."""
+    level = next((x for x in ("article", "main") if any(getattr(b, x) and not b.dropped for b in blocks)), None)
+    before = [0, *accumulate(0 if b.dropped or level and not getattr(b, level) else len(b.text) for b in blocks)]
+    for x in nodes:
+        for kind, outer in x.outer:
+            inside = before[x.end] - before[x.start]
+            holds = level is None or not getattr(x, level)
+            if kind == "lowly":
+                holds = holds and level is not None
+            spared = holds and inside > 0 and before[-1] - inside < LEAST_REST * before[-1]
+            x.gone[kind] = outer is not None and outer.gone[kind] or not spared
+    for b, top in zip(blocks, tops, strict=True):
+        b.dropped = b.dropped or top.named is not None and top.named.gone["named"]
+        b.low = top.lowly is not None and top.lowly.gone["lowly"]
+
+
+PRIME = (1 << 61) - 1
+BASE = 0x1F3D5B79A2C4E687 % PRIME
+
+
 def features(html: str | None) -> dict[int, tuple[int, int]]:
     """Of a page: node -> hashes of its presentation and of the text below it; equal paths are taken together."""
     nodes, blocks = parse(html)
     style: dict[int, int] = {}
     content: dict[int, int] = {}
-    sums = [zlib.crc32(b.text.encode("utf-8", "surrogatepass")) for b in blocks]
+    before, power = [0], [1]  # hashes of the first blocks, so that any run of blocks has its hash at once
+    for b in blocks:
+        before.append((before[-1] * BASE + zlib.crc32(b.text.encode("utf-8", "surrogatepass")) + 1) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
     for x in nodes:
         runs = [t for t, before in zip(x.children, ["", *x.children], strict=False) if t != before]
         style[x.path] = zlib.crc32(" ".join(runs).encode("utf-8", "surrogatepass"), style.get(x.path, 0))
-        content[x.path] = hash((content.get(x.path, 0), *sums[x.start : x.end])) & 0x7FFFFFFFFFFFFFFF
+        below = (before[x.end] - before[x.start] * power[x.end - x.start]) % PRIME
+        content[x.path] = hash((content.get(x.path, 0), below)) & 0x7FFFFFFFFFFFFFFF
     return {p: (style[p], content[p]) for p in style}
 
 
