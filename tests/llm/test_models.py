@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veldspar.llm import bradleyterry as bt
@@ -41,14 +43,68 @@ def test_ordinal(spark, docs_of):
     assert ordinal.score(df.limit(0), model).count() == 0
 
 
-def test_ordinal_gradient(spark):
-    """The fit reaches a point at which the brute-force likelihood doesn't improve much in any direction."""
+def minus_likelihood(x, rows, y, size):
+    """Row by row, from the definition of the model."""
+    theta, total = [x[size]], 0.0
+    for gap in x[size + 1 :]:
+        theta.append(theta[-1] + math.exp(gap))
+    below = lambda k, eta: 0.0 if k < 0 else 1.0 if k == len(theta) else 1 / (1 + math.exp(eta - theta[k]))
+    for cols, grade in zip(rows, y, strict=True):
+        eta = sum(x[c] for c in cols)
+        total -= math.log(below(grade, eta) - below(grade - 1, eta))
+    return total
+
+
+@pytest.mark.parametrize(("grades", "seed"), [(2, 1), (3, 2), (4, 3), (4, 4)])
+def test_ordinal_gradient_by_finite_differences(grades, seed):
+    rng, size = np.random.default_rng(seed), 6
+    rows = [sorted(rng.choice(size, rng.integers(0, size), replace=False).tolist()) for _ in range(40)]
+    y = rng.integers(0, grades, 40)
+    x = rng.normal(size=size + grades - 1)
+    got = ordinal.loss_gradient(x, np.repeat(np.arange(40), [len(r) for r in rows]), np.array([c for r in rows for c in r], np.int64), y, size)
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = 1e-5
+        assert abs((minus_likelihood(x + step, rows, y, size) - minus_likelihood(x - step, rows, y, size)) / 2e-5 - got[i]) < 1e-4
+
+
+def test_ordinal_fit_maximises_the_likelihood(spark):
+    """No step along any parameter improves the brute-force penalised likelihood of the sample noticeably."""
     docs, labels = corpus(n=120)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    model = ordinal.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ordinal.Settings(steps=80))
-    top = model.grade_probabilities(np.array([0.0, 10.0]))
-    assert np.all(top[0] >= top[0][::-1] - 1e-9) or np.all(np.diff(top[0]) <= 0)
-    assert np.all(top[1] >= top[0])
+    s = ordinal.Settings(steps=90)
+    model = ordinal.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), s)
+    place, bad = ordinal._Features(s.buckets, model.words), ("zzgrok", "zzblam", "zzfump", "zzdrat")
+    rows = [place.of(t) for _, t in docs]
+    y = [min(len({w for w in t.split() if w.startswith(bad)}), 3) for _, t in docs]  # here the marker words are those planted
+    assert {i for i, g in enumerate(y) if g} == {i for i, _, toxic in labels if toxic}
+    size = len(model.words)
+    x = np.concatenate((model.weights, model.thresholds[:1], np.log(np.diff(model.thresholds))))
+    value = lambda v: minus_likelihood(v, rows, y, size) / len(rows) + 3e-4 / 2 * float((v[:size] ** 2).sum())
+    best = value(x)
+    for i in range(len(x)):
+        for step in (-0.3, 0.3):
+            moved = x.copy()
+            moved[i] += step
+            assert value(moved) > best - 5e-3
+
+
+def test_toxic_documents_of_the_other_half(spark):
+    """At the query's settings: fitted on half of the labels, at least 0.9 of the other half's toxic documents go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    s = ordinal.Settings()
+    scored = ordinal.score(docs.join(labels.filter(~half), "doc_id").select("doc_id", "text", "toxic"), ordinal.fit(docs, labels.filter(half), s))
+    counts = {(r.toxic, r.gone): r["count"] for r in scored.groupBy("toxic", (F.col("p_toxic") >= s.reject_at).alias("gone")).count().collect()}
+    assert counts[1, True] >= 0.9 * (counts[1, True] + counts[1, False])
+    assert counts[0, True] <= 0.01 * (counts[0, True] + counts[0, False])
+
+
+def test_toxicity_of_a_very_long_text(spark, docs_of):
+    docs, labels = corpus(n=120)
+    model = ordinal.fit(docs_of(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    long = "bado " * 400_000
+    got = {r.doc_id: r.p_toxic for r in ordinal.score(docs_of([(1, long), (2, long + "zzgrok zzblam zzfump"), (3, "x" * 2_000_000)]), model).collect()}
+    assert got[1] < 0.5 < got[2] and got[3] < 0.5  # the last words count like the first
 
 
 def quality_docs(n=300):
@@ -76,7 +132,7 @@ def test_bradley_terry(spark, docs_of):
     again = bt.fit(df, crossed)  # labels of held-out rows aren't read
     assert np.allclose(again.weights, model.weights)
     assert bt.score(df.limit(0), model).count() == 0
-    assert {r.score for r in bt.score(df, bt.fit(df, known.limit(0))).collect()} == {bt.Settings().cut} or True
+    assert len({r.score for r in bt.score(df, bt.fit(df, known.limit(0))).collect()}) == 1  # nothing was learnt
 
 
 def test_newton_matches_a_closed_form(spark):

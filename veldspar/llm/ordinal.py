@@ -58,10 +58,13 @@ class Model:
         return sigmoid(np.asarray(eta)[:, None] - self.thresholds[None, :])
 
 
+BEGINNINGS = range(4, 9)
+
+
 def _ids(word: str, buckets: int) -> tuple[int, ...]:
-    """Buckets of a word without punctuation and of its first 4 and 5 letters (inflected forms share them)."""
+    """Buckets of a word without punctuation and of its beginnings of 4 to 8 letters (forms of a word share them)."""
     bare = word.strip(WordIds.EDGES)
-    names = [bare, *(f"{k}:{bare[:k]}" for k in (4, 5) if len(bare) > k)] if bare else []
+    names = [bare, *(f"{k}:{bare[:k]}" for k in BEGINNINGS if len(bare) > k)] if bare else []
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in names)
 
 
@@ -99,6 +102,28 @@ def _word_table(sample: DataFrame, s: Settings) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(run, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def thresholds(parameters: np.ndarray) -> np.ndarray:
+    """The first threshold and the logarithms of the gaps -> all thresholds."""
+    return parameters[0] + np.concatenate(([0.0], np.cumsum(np.exp(parameters[1:]))))
+
+
+def loss_gradient(x: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The gradient of minus the log likelihood of the grades y (from 0). x: a weight for each of size features, then the
+    parameters of the thresholds; row, col: the places of the ones in the feature matrix."""
+    w, theta, k = x[:size], thresholds(x[size:]), len(x) - size
+    eta = np.bincount(row, weights=w[col], minlength=len(y))
+    padded = np.concatenate(([-np.inf], theta, [np.inf]))
+    hi, lo = sigmoid(padded[y + 1] - eta), sigmoid(padded[y] - eta)
+    p = np.maximum(hi - lo, 1e-12)
+    out = np.zeros(len(x))
+    out[:size] = np.bincount(col, weights=(1 - hi - lo)[row], minlength=size)
+    d_theta = np.bincount(y, weights=-hi * (1 - hi) / p, minlength=k + 1)[:k] + np.bincount(y, weights=lo * (1 - lo) / p, minlength=k + 1)[1:]
+    after = np.cumsum(d_theta[::-1])[::-1]  # a gap moves all later thresholds
+    out[size] = after[0]
+    out[size + 1 :] = after[1:] * np.exp(x[size + 1 :])
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Model:
     """Learn from at most Settings.sample_rows labelled documents."""
     spark = docs.sparkSession
@@ -135,26 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text_col:
     l2 = np.concatenate((np.full(len(words), 3e-4), np.zeros(k)))
 
     def gradient(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        w, gaps = x[: len(words)], np.exp(x[len(words) + 1 :])
-        theta = x[len(words)] + np.concatenate(([0.0], np.cumsum(gaps)))
         flat, lengths = batch.column(0).flatten().to_numpy(zero_copy_only=False), np.array([len(c) for c in batch.column(0)])
-        row = np.repeat(np.arange(batch.num_rows), lengths)
-        eta = np.bincount(row, weights=w[flat], minlength=batch.num_rows)
-        y = np.array([order[g] for g in batch.column(1).to_pylist()])
-        padded = np.concatenate(([-np.inf], theta, [np.inf]))
-        hi, lo = sigmoid(padded[y + 1] - eta), sigmoid(padded[y] - eta)
-        p = np.maximum(hi - lo, 1e-12)
-        out = np.zeros(len(x))
-        out[: len(words)] = np.bincount(flat, weights=(1 - hi - lo)[row], minlength=len(words))
-        d_theta = np.bincount(y, weights=-hi * (1 - hi) / p, minlength=k + 1)[:k] + np.bincount(y, weights=lo * (1 - lo) / p, minlength=k + 1)[1:]
-        after = np.cumsum(d_theta[::-1])[::-1]  # a gap moves all later thresholds
-        out[len(words)] = after[0]
-        out[len(words) + 1 :] = after[1:] * gaps
-        return out
+        return loss_gradient(x, np.repeat(np.arange(batch.num_rows), lengths), flat, np.array([order[g] for g in batch.column(1).to_pylist()]), len(words))
 
     x = minimise(rows, gradient, start, s.steps, 0.3, l2)
-    theta = x[len(words)] + np.concatenate(([0.0], np.cumsum(np.exp(x[len(words) + 1 :]))))
-    return Model(s.buckets, words, x[: len(words)], theta)
+    return Model(s.buckets, words, x[: len(words)], thresholds(x[len(words) :]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", severity_col: str = "severity", toxic_col: str = "p_toxic") -> DataFrame:
