@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.functions import calc
 from veldspar.operators.windows import bands
@@ -13,6 +14,9 @@ from veldspar.sources.scratch import shared_folder
 # Fixed value: squared colour distance beyond which a pixel isn't background.
 FAR = 60 * 60
 
+# Fixed value: squared colour distance up to which a pixel is background for certain.
+NEAR = 30 * 30
+
 
 def _written(df: DataFrame, tag: str) -> DataFrame:
     path = shared_folder(df.sparkSession, tag)
@@ -85,25 +89,44 @@ def absorbed(marked: DataFrame, passes: int = 2) -> DataFrame:
     return marked
 
 
-def components(marked: DataFrame, reach: int = 1, width: int = 1 << 20, most_rounds: int = 200) -> DataFrame:
-    """marked (image, x, y, cluster) with component: the smallest position (y * width + x) of the pixels of one cluster
-    that touch each other. Minimum labels go to the neighbours and then along their own label, until none changes."""
-    keys = ["image", "cluster", "x", "y"]
-    at = F.col("y").cast("long") * width + F.col("x")
-    label = _written(marked.select(*keys, at.alias("label")), "labels")
-    edges = _written(_neighbours(marked.select(*keys, at.alias("to")), reach).join(marked.select(*keys), keys).select("image", "cluster", at.alias("p"), F.col("to").alias("q")), "touching")
-    now = _written(label.select("image", "cluster", F.col("label").alias("p"), "label"), "labels")
+def faint(pixels: DataFrame, bg: DataFrame, least_saturation: float = 0.25) -> DataFrame:
+    """(image, x, y): pixels without colour that differ from the background, but too little for the foreground."""
+    d = _distance("", "bg_")
+    grey = F.coalesce(calc.saturation(F.col("r"), F.col("g"), F.col("b")), F.lit(0.0)) < least_saturation
+    return pixels.join(bg, "image").filter((d > NEAR) & (d <= FAR) & grey).select("image", "x", "y")
+
+
+def absorbed_faint(marked: DataFrame, pale: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """marked (image, x, y, cluster) and the faint pixels (image, x, y) whose group touches a neutral one (cluster 0), as
+    neutral. Groups are taken whole, so the order in which pixels are looked at doesn't matter."""
+    groups = _written(components(pale.withColumn("cluster", F.lit(0)), 1, width), "faint")
+    touched = groups.join(_neighbours(marked.filter("cluster = 0").select("image", "x", "y")), ["image", "x", "y"], "left_semi").select("image", "component").distinct()
+    return marked.unionByName(groups.join(touched, ["image", "component"], "left_semi").select("image", "x", "y", "cluster"), allowMissingColumns=True)
+
+
+def _smallest_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], most_rounds: int) -> DataFrame:
+    """(keys, p, component): the smallest p among the nodes (keys, p) that edges (keys, p, q; both ways) connect. Minimum
+    labels go to the neighbours and then along their own label, until none changes."""
+    now = _written(nodes.select(*keys, "p", F.col("p").alias("label")), "labels")
     for _ in range(most_rounds):
-        spread = edges.join(now.select("image", "cluster", F.col("p").alias("q"), "label"), ["image", "cluster", "q"]).groupBy("image", "cluster", "p").agg(F.min("label").alias("m"))
-        step = now.join(spread, ["image", "cluster", "p"], "left").select("image", "cluster", "p", "label", F.least("label", "m").alias("m"))
-        jump = step.join(step.select("image", "cluster", F.col("p").alias("m"), F.col("m").alias("mm")), ["image", "cluster", "m"], "left").select("image", "cluster", "p", F.least("m", "mm").alias("label"), (F.least("m", "mm") < F.col("label")).alias("changed"))
+        spread = edges.join(now.select(*keys, F.col("p").alias("q"), "label"), [*keys, "q"]).groupBy(*keys, "p").agg(F.min("label").alias("m"))
+        step = now.join(spread, [*keys, "p"], "left").select(*keys, "p", "label", F.least("label", "m").alias("m"))
+        jump = step.join(step.select(*keys, F.col("p").alias("m"), F.col("m").alias("mm")), [*keys, "m"], "left").select(*keys, "p", F.least("m", "mm").alias("label"), (F.least("m", "mm") < F.col("label")).alias("changed"))
         after = _written(jump, "labels")
         now = after.drop("changed")
         if not after.filter("changed").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return marked.withColumn("p", at).join(now.withColumnRenamed("label", "component"), ["image", "cluster", "p"]).drop("p")
+            return now.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def components(marked: DataFrame, reach: int = 1, width: int = 1 << 20, most_rounds: int = 200) -> DataFrame:
+    """marked (image, x, y, cluster) with component: the smallest position (y * width + x) of the pixels of one cluster
+    that touch each other."""
+    keys = ["image", "cluster", "x", "y"]
+    at = F.col("y").cast("long") * width + F.col("x")
+    marked = marked.withColumn("p", at)
+    edges = _written(_neighbours(marked.select(*keys, F.col("p").alias("to")), reach).join(marked.select(*keys), keys).select("image", "cluster", at.alias("p"), F.col("to").alias("q")), "touching")
+    return marked.join(_smallest_labels(marked, edges, ["image", "cluster"], most_rounds), ["image", "cluster", "p"]).drop("p")
 
 
 def geometry(parts: DataFrame) -> DataFrame:
@@ -113,11 +136,12 @@ def geometry(parts: DataFrame) -> DataFrame:
     return g.withColumns({"fill": F.col("area") / (w * h), "aspect": w / h})
 
 
-def line_bands(marked: DataFrame, least: int = 8, share: float = 0.4, gap: int = 2, thickest: int = 6) -> DataFrame:
-    """(image, first, last): horizontal bands of rows that are covered enough, thin ones only."""
-    width = marked.groupBy("image").agg((F.max("x") - F.min("x") + 1).alias("w"))
-    rows = marked.groupBy("image", "y").agg(F.countDistinct("x").alias("n")).join(width, "image").filter(F.col("n") >= F.greatest(F.lit(least), share * F.col("w")))
-    return bands(rows, ["image"], "y", gap).filter(F.col("last") - F.col("first") + 1 <= thickest)
+def line_bands(marked: DataFrame, least: int = 8, share: float = 0.4, gap: int = 2, thickest: int = 6, vertical: bool = False) -> DataFrame:
+    """(image, first, last): bands of rows (columns, if vertical) that are covered enough, thin ones only."""
+    along, across = ("y", "x") if vertical else ("x", "y")
+    width = marked.groupBy("image").agg((F.max(along) - F.min(along) + 1).alias("w"))
+    rows = marked.groupBy("image", across).agg(F.countDistinct(along).alias("n")).join(width, "image").filter(F.col("n") >= F.greatest(F.lit(least), share * F.col("w")))
+    return bands(rows, ["image"], across, gap).filter(F.col("last") - F.col("first") + 1 <= thickest)
 
 
 def line_extent(marked: DataFrame, least: int = 8) -> DataFrame:
@@ -141,13 +165,39 @@ def round_parts(parts: DataFrame) -> DataFrame:
     return g.join(inside, ["image", "cluster", "component"]).select("image", "cluster", "component", "area", (F.col("aspect").between(0.7, 1.43) & F.col("fill").between(0.6, 0.95)).alias("is_round"), (F.col("inside") >= 0.9 * F.col("area")).alias("is_disc"))
 
 
-def rings(parts: DataFrame, least_share: float = 0.6) -> DataFrame:
-    """(image, component, covered): square, large, hollow components that fill enough of 72 angle bins."""
-    g = geometry(parts)
-    hollow = g.filter(F.col("aspect").between(0.85, 1.18) & (F.col("fill") < 0.5))
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    angle = F.floor(F.pmod(F.degrees(F.atan2(F.col("y") - cy, F.col("x") - cx)), F.lit(360.0)) / 5)
-    return parts.join(hollow, ["image", "cluster", "component"]).groupBy("image", "component").agg((F.countDistinct(angle) / 72).alias("covered")).filter(F.col("covered") >= least_share)
+def rings(parts: DataFrame, sizes: DataFrame, least_share: float = 0.6, least_size: float = 0.3, square: float = 0.12, most_fill: float = 0.25, stroke: tuple[float, float] = (3.0, 0.05)) -> DataFrame:
+    """(image, cluster, component, cx, cy, radius, tolerance, covered): of each image (sizes: image, w, h) the component with
+    the largest box (ties: the smallest) among those that are large, square and hollow. Its outline is what the pixels of
+    its cluster leave within the tolerance of the radius; that has to be in ``least_share`` of 72 angle bins."""
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    fits = (F.least(w, h) >= least_size * F.least("image_w", "image_h")) & (F.abs(w - h) <= square * F.greatest(w, h)) & (F.col("fill") <= most_fill)
+    sized = geometry(parts).join(sizes.select("image", F.col("w").alias("image_w"), F.col("h").alias("image_h")), "image").filter(fits)
+    best = sized.groupBy("image").agg(F.max_by(F.struct("cluster", "component", "x0", "x1", "y0", "y1"), F.struct(w * h, -F.col("component"), -F.col("cluster"))).alias("b")).select("image", "b.*")
+    radius = (w + h) / 4
+    ring = best.select("image", "cluster", "component", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), radius.alias("radius"), F.greatest(F.lit(stroke[0]), stroke[1] * radius).alias("tolerance"))
+    on = _polar(parts.select("image", "cluster", "x", "y").join(ring, ["image", "cluster"])).filter(F.abs(F.col("_d") - F.col("radius")) <= F.col("tolerance"))
+    covered = on.groupBy("image").agg((F.countDistinct(F.floor(F.col("_a") / 5)) / 72).alias("covered")).filter(F.col("covered") >= least_share)
+    return ring.join(covered, "image")
+
+
+def _polar(df: DataFrame) -> DataFrame:
+    """Distance (_d) and angle in degrees (_a; rounded, so that 45 is 45 everywhere) of x, y from cx, cy."""
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    return df.withColumns({"_d": F.hypot(dx, dy), "_a": F.pmod(F.round(F.degrees(F.atan2(dy, dx)), 9), F.lit(360.0))})
+
+
+def ring_notches(parts: DataFrame, found: DataFrame, inner: float = 0.8, clear: int = 2, least: int = 4) -> DataFrame:
+    """(image, angle, n): where the ring's own pixels reach inwards, between ``inner`` of the radius and its stroke, with no
+    pixel of another cluster within ``clear``. The densest three neighbouring bins of 5 degrees (ties: the smallest) give
+    the circular mean of their pixels, if there are ``least`` of them."""
+    own = _polar(parts.select("image", "cluster", "component", "x", "y").join(found.drop("covered"), ["image", "cluster", "component"]))
+    dents = own.filter((F.col("_d") >= inner * F.col("radius")) & (F.col("_d") < F.col("radius") - F.col("tolerance")))
+    near = _neighbours(dents.select("image", "cluster", "x", "y", F.col("x").alias("_x"), F.col("y").alias("_y")), clear)
+    others = near.join(parts.select("image", "x", "y", F.col("cluster").alias("_other")), ["image", "x", "y"]).filter("_other <> cluster").select("image", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    free = dents.join(others, ["image", "x", "y"], "left_anti").select("image", F.floor(F.col("_a") / 5).cast("int").alias("own"), F.radians("_a").alias("a"))
+    three = free.select("image", "own", "a", F.explode(F.array(*[F.pmod(F.col("own") + k, F.lit(72)) for k in (-1, 0, 1)])).alias("slot"))
+    sums = three.groupBy("image", "slot").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("slot")).alias("held"), F.sum(F.sin("a")).alias("s"), F.sum(F.cos("a")).alias("c")).filter((F.col("held") > 0) & (F.col("n") >= least))
+    return sums.groupBy("image").agg(F.max_by(F.struct("s", "c", "n"), F.struct(F.col("n"), -F.col("slot"))).alias("b")).select("image", F.pmod(F.degrees(F.atan2("b.s", "b.c")), F.lit(360.0)).alias("angle"), "b.n")
 
 
 def notch(angles: DataFrame) -> DataFrame:
@@ -170,6 +220,70 @@ def text_rows(g: DataFrame, least: int = 3, gap: float = 2.0) -> DataFrame:
     return runs.groupBy("image", "row", "_g").agg(F.min("x0").alias("first"), F.max("x1").alias("last"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("_g")
 
 
+def _turned(g: DataFrame) -> DataFrame:
+    """Boxes with rows and columns exchanged."""
+    return g.withColumns({"x0": F.col("y0"), "y0": F.col("x0"), "x1": F.col("y1"), "y1": F.col("x1")})
+
+
+def near_pairs(g: DataFrame, gap: float = 1.3, shift: float = 0.4, ratio: float = 1.67) -> DataFrame:
+    """(image, p, q): boxes (image, p, x0, x1, y0, y1) of like heights that stand beside each other, p being the left one.
+    Heights differ by ``ratio`` at most, the gap and the shift of the centres are at most that share of the larger one.
+
+    A box meets others in square cells whose side follows the height: the right one is in the cell of its left end and
+    centre alone, the left one in all cells where such an end can be, so a pair meets once. Pixels belong to one
+    component, so a cell holds a bounded number of boxes."""
+    h, centre = (F.col("y1") - F.col("y0") + 1).cast("double"), (F.col("y0") + F.col("y1")) / 2
+    level = F.floor(F.log2("h"))
+    b = g.select("image", "p", "x0", "x1", h.alias("h"), centre.alias("centre"))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level") + 1))
+    right = b.withColumn("level", level).select("image", "level", cell(F.col("x0")).alias("cx"), cell(F.col("centre")).alias("cy"), *[F.col(c).alias(f"r_{c}") for c in ("p", "x0", "h", "centre")])
+    left = b.withColumn("level", F.explode(F.sequence(F.floor(F.log2(F.col("h") / ratio)), F.floor(F.log2(F.col("h") * ratio)))))
+    left = left.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1") + gap * ratio * F.col("h")))))
+    left = left.withColumn("cy", F.explode(F.sequence(cell(F.col("centre") - shift * ratio * F.col("h")), cell(F.col("centre") + shift * ratio * F.col("h")))))
+    larger = F.greatest("h", "r_h")
+    fits = (F.struct("x0", "p") < F.struct(F.col("r_x0").alias("x0"), F.col("r_p").alias("p"))) & (F.col("r_x0") - F.col("x1") <= gap * larger)
+    fits &= (F.abs(F.col("centre") - F.col("r_centre")) <= shift * larger) & (larger <= ratio * F.least("h", "r_h"))
+    return left.join(right, ["image", "level", "cx", "cy"]).filter(fits).select("image", "p", F.col("r_p").alias("q"))
+
+
+def text_runs(g: DataFrame, vertical: bool = False, least: int = 2, most_rounds: int = 200) -> DataFrame:
+    """(image, component, run): boxes (image, component, x0, x1, y0, y1, is_round) that chains of near pairs connect, ``least``
+    in a run and not all of them round. run is the smallest component in it. g's components are unique in an image."""
+    b = (_turned(g) if vertical else g).withColumn("p", F.col("component").cast("long"))
+    pairs = _written(near_pairs(b), "pairs")
+    labels = _smallest_labels(b, pairs.union(pairs.select("image", F.col("q").alias("p"), F.col("p").alias("q"))), ["image"], most_rounds).withColumnRenamed("component", "run")
+    runs = b.select("image", "component", "is_round", "p").join(labels, ["image", "p"])
+    kept = runs.groupBy("image", "run").agg(F.count("*").alias("n"), F.bool_and("is_round").alias("dots")).filter((F.col("n") >= least) & ~F.col("dots")).select("image", "run")
+    return runs.join(kept, ["image", "run"], "left_semi").select("image", "component", "run")
+
+
+def aligned_boxes(g: DataFrame, vertical: bool = False, least: int = 3, slack: tuple[float, float] = (2.5, 0.25), ratio: float = 1.43) -> DataFrame:
+    """(image, component, row): boxes on one line, however far apart: in the order of their centres a box joins the row
+    before it if its centre follows the last one's within the slack (pixels, or share of the first one's height) and its
+    height is like the first one's. Rows of ``least`` boxes stay, if not all of them are round.
+
+    An image's boxes pass through a task in order; only the row's first and last box are held."""
+    b = _turned(g) if vertical else g
+    ordered = b.select("image", "component", "is_round", ((F.col("y0") + F.col("y1")) / 2).alias("centre"), (F.col("y1") - F.col("y0") + 1).cast("double").alias("h")).repartition("image").sortWithinPartitions("image", "centre", "component")
+
+    def numbered(chunks):  # noqa: ANN001, ANN202
+        image, first, last, row = object(), 0.0, 0.0, 0
+        for chunk in chunks:
+            rows = []
+            for i, centre, h in zip(chunk["image"], chunk["centre"], chunk["h"], strict=True):
+                if i != image:
+                    image, first, row = i, h, 0
+                elif centre - last > max(slack[0], slack[1] * first) or max(h, first) > ratio * min(h, first):
+                    first, row = h, row + 1
+                last = centre
+                rows.append(row)
+            yield chunk.assign(row=rows)
+
+    rows = ordered.mapInPandas(numbered, T.StructType([*ordered.schema.fields, T.StructField("row", T.LongType())]))
+    kept = rows.groupBy("image", "row").agg(F.count("*").alias("n"), F.bool_and("is_round").alias("dots")).filter((F.col("n") >= least) & ~F.col("dots")).select("image", "row")
+    return rows.join(kept, ["image", "row"], "left_semi").select("image", "component", "row")
+
+
 def unit_areas(g: DataFrame) -> DataFrame:
     """(image, unit): the median area of round components, then the median of those up to three times it."""
     med = g.groupBy("image").agg(F.median("area").alias("m"))
@@ -203,6 +317,45 @@ def depth(parts: DataFrame, rounds: int = 4) -> DataFrame:
     return parts.join(deep, keys, "left").fillna(0, ["depth"])
 
 
+def chamfer(parts: DataFrame, most_rounds: int = 256) -> DataFrame:
+    """parts with distance: 3 for each straight and 4 for each diagonal step to the nearest position outside of the pixel's
+    component. Borders start; distances go from pixels that have changed to their neighbours until none changes, which
+    takes as many rounds as the thickest part is deep, and raises beyond ``most_rounds``."""
+    keys = ["image", "cluster", "component", "x", "y"]
+    own = _written(parts.select(*keys), "parts")
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(4 if dx and dy else 3).alias("cost")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
+    to = lambda df: df.withColumn("_s", F.explode(steps)).withColumns({"x": F.col("x") + F.col("_s.dx"), "y": F.col("y") + F.col("_s.dy")})
+    held = to(own).groupBy(*keys).agg(F.count_if(F.col("_s.cost") == 3).alias("straight"), F.count("*").alias("n"))
+    start = F.when(F.coalesce("straight", F.lit(0)) < 4, 3).when(F.col("n") < 8, 4)
+    now = _written(own.join(held, keys, "left").select(*keys, start.cast("int").alias("distance"), start.isNotNull().alias("changed")), "distances")
+    for _ in range(most_rounds):
+        if not now.filter("changed").limit(1).count():
+            return parts.join(now.drop("changed"), keys)
+        offers = to(now.filter("changed").select(*keys, "distance")).groupBy(*keys).agg(F.min(F.col("distance") + F.col("_s.cost")).alias("_m"))
+        better = F.coalesce(F.col("_m") < F.col("distance"), F.col("_m").isNotNull() & F.col("distance").isNull())
+        now = _written(now.join(offers, keys, "left").select(*keys, F.least("distance", "_m").alias("distance"), better.alias("changed")), "distances")
+    raise RuntimeError(f"distances did not settle in {most_rounds} rounds")
+
+
+def markers(deep: DataFrame, thickness: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """(image, cluster, component, marker, cx, cy, core, reach): markers on a curve. deep are its pixels with their chamfer
+    distance, thickness (image, thickness) is that of the curves. Pixels that lie deeper than a curve and a pixel are a
+    marker's core; touching ones are one marker, named by its smallest position, and reach is how far its body goes."""
+    cut = F.rint((F.col("thickness") + 1) * 3)
+    core = deep.join(thickness, "image").filter(F.col("distance") >= cut).select("image", "cluster", "x", "y", F.col("component").alias("_part"), "distance")
+    found = components(core, 1, width)
+    return found.groupBy("image", "cluster", F.col("_part").alias("part"), F.col("component").alias("marker")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("core"), (F.max("distance") / 3 + 0.5).alias("reach")).withColumnRenamed("part", "component")
+
+
+def marker_bodies(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """(image, cluster, component, marker, x, y): the pixels of the part within a marker's reach. A marker lists the
+    positions it reaches, so work grows with the markers' areas, not with pixels times markers."""
+    r = F.col("reach")
+    at = lambda c, n: F.explode(F.sequence(F.ceil(F.col(c) - r).cast("int"), F.floor(F.col(c) + r).cast("int"))).alias(n)
+    reached = found.select("*", at("cx", "x")).select("*", at("cy", "y")).filter(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= r)
+    return reached.select("image", "cluster", "component", "marker", "x", "y").join(parts.select("image", "cluster", "component", "x", "y"), ["image", "cluster", "component", "x", "y"])
+
+
 def curves(parts: DataFrame, least_span: float = 0.4, least_filled: float = 0.9) -> DataFrame:
     """(image, component, columns, thickness): components that span enough of the image, in most of its columns; the
     thickness is the 20th percentile of their vertical runs."""
