@@ -10,7 +10,7 @@ from veldspar.sources import files
 from veldspar.sources.scratch import shared_folder
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice, o_orderpriority FROM orders")
 def io1_delimited_load(spark, d):
     path = shared_folder(spark, "io1")
     o = table(spark, d, "orders").select("o_orderkey", F.translate(F.col("o_totalprice").cast("string"), ".", ",").alias("o_totalprice"), "o_orderpriority")
@@ -18,6 +18,22 @@ def io1_delimited_load(spark, d):
     return files.load_delimited(spark, path, sep=";", encoding="UTF-16LE", null="NA", decimal=",", schema="o_orderkey long, o_totalprice double, o_orderpriority string")
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def io1_quoted_load(spark, d):
+    path = shared_folder(spark, "io1q")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = table(spark, d, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce(quoted(F.col("text")), F.lit("NA")), F.coalesce(quoted(F.col("lang")), F.lit("NA"))).alias("line"))
+    cells.mapInPandas(_with_header, "line string").write.option("lineSep", "\n").text(path)
+    return files.load_delimited(spark, path, null="NA", schema="doc_id long, text string, lang string", multiline=True)
+
+
+def _with_header(chunks):
+    import pandas as pd
+
+    yield pd.DataFrame({"line": ["doc_id,text,lang"]})
+    yield from chunks
+
+
 @query("SELECT * FROM (SELECT 'o_orderpriority' AS column_name, count(*) FILTER (o_orderpriority IS NOT NULL AND try_cast(o_orderpriority AS DOUBLE) IS NULL)::BIGINT AS n_lost FROM orders UNION ALL SELECT 'o_totalprice', count(*) FILTER (try_cast(o_totalprice::VARCHAR AS DOUBLE) IS NULL) FROM orders) t, LATERAL (SELECT n_lost > 0 AS stays_text)")
 def io2_demotion(spark, d):
     o = table(spark, d, "orders").select("o_orderpriority", F.col("o_totalprice").cast("string").alias("o_totalprice"))
