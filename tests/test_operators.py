@@ -149,3 +149,14 @@ def test_deep_trees_raise(spark):
     assert sorted((r.id, r.depth) for r in windows.session_tree(nodes).collect()) == [(i, i) for i in range(5)]
     with pytest.raises(RuntimeError):
         windows.session_tree(nodes, most_depth=3)
+
+
+def test_colours_in_all_forms(spark):
+    text = "#fff; #0A0b0C rgb(1, 20,300) rgba(0,0,0,.5) &#123; x#abc #12345 ##123456 #abcd"
+    assert one(spark, evidence.colours(F.lit(text))) == ["ffffff", "0a0b0c", "0114ff", "000000"]
+
+
+def test_cross_joins_check_the_small_side(spark):
+    assert joins.cross_join(spark.range(50), spark.range(3).toDF("k"), 3).count() == 150
+    with pytest.raises(ValueError):
+        joins.cross_join(spark.range(50), spark.range(4).toDF("k"), 3)

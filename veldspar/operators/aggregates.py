@@ -162,9 +162,10 @@ def fleet(sessions: DataFrame) -> DataFrame:
 
 
 def run_summary(calls: DataFrame) -> DataFrame:
-    """Per call site: total time, calls, last rows, whether one failed, and time relative to the slowest. calls: tag, t,
-    ms, rows, ok."""
-    sums = calls.groupBy("tag").agg(F.sum("ms").alias("total_ms"), F.count("*").alias("n"), F.max_by("rows", "t").alias("last_rows"), F.bool_or(~F.col("ok")).alias("failed"))
+    """Per call site: total time, calls, last rows (and last columns, if calls has columns), whether one failed, and time
+    relative to the slowest. calls: tag, t, ms, rows, ok, columns."""
+    last = [F.max_by(c, "t").alias(f"last_{c}") for c in ("rows", "columns") if c in calls.columns]
+    sums = calls.groupBy("tag").agg(F.sum("ms").alias("total_ms"), F.count("*").alias("n"), *last, F.bool_or(~F.col("ok")).alias("failed"))
     return sums.join(F.broadcast(sums.agg(F.max("total_ms").alias("most")))).select("*", (F.col("total_ms") / F.col("most")).alias("ratio")).drop("most")
 
 

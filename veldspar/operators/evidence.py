@@ -225,9 +225,22 @@ def first_lines(texts: DataFrame, patterns: dict[str, str], key: str = "doc_id")
     return texts.filter(anywhere).select(key, F.explode(F.array(*cols)).alias("r")).select(key, "r.*").filter("line > 0")
 
 
+# How colours are written.
+HEX_COLOUR = r"(?<![\w&#])#([0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})(?![0-9A-Za-z])"
+RGB_COLOUR = r"rgba?\(\s*(\d{1,3}\s*,\s*\d{1,3}\s*,\s*\d{1,3})"
+
+
+def colours(text: Column) -> Column:
+    """The distinct colours of a text as six hexadecimal digits: #rrggbb, #rgb, rgb() and rgba(), parts above 255 as 255."""
+    digits = F.transform(F.regexp_extract_all(text, F.lit(HEX_COLOUR), F.lit(1)), lambda c: F.lower(F.when(F.length(c) == 3, F.regexp_replace(c, "(.)", "$1$1")).otherwise(c)))
+    part = lambda n: F.lower(F.lpad(F.hex(F.least(F.trim(n).cast("int"), F.lit(255))), 2, "0"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(RGB_COLOUR), F.lit(1)), lambda c: F.array_join(F.transform(F.split(c, ","), part), ""))
+    return F.array_distinct(F.concat(digits, numbers))
+
+
 def off_palette(texts: DataFrame, bands: list[tuple[float, float]], key: str = "page_id") -> DataFrame:
-    """(key, colour): hex colours whose hue lies in none of the bands; greys always pass."""
-    found = texts.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"#([0-9A-Fa-f]{6})\b"), F.lit(1)), F.lower))).alias("colour"))
+    """(key, colour): colours whose hue lies in none of the bands; greys always pass."""
+    found = texts.select(key, F.explode(colours(F.col("text"))).alias("colour"))
     part = lambda i: F.conv(F.substring("colour", i, 2), 16, 10).cast("int")
     h = calc.hue(part(1), part(3), part(5))
     inside = F.lit(False)

@@ -32,6 +32,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def cross_join(left: DataFrame, small: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row of left with every row of small, which travels to the tasks and may have ``most`` rows; more raise an error."""
+    n = small.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"the small side of a cross join has more than {most} rows")
+    return left.crossJoin(F.broadcast(small))
+
+
 def union_rows(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

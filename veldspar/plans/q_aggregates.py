@@ -149,6 +149,12 @@ def ag23_run_summary(spark, d):
     return rounded(rounded(a.run_summary(calls), 6, "ratio"), 2, "total_ms")
 
 
+@query("SELECT 'f' || l_partkey % 50 AS tag, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber)) AS last_rows, arg_max(l_quantity::INT, (l_shipdate, l_orderkey, l_linenumber)) AS last_columns, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def ag23_run_shapes(spark, d):
+    calls = table(spark, d, "lineitem").selectExpr("concat('f', l_partkey % 50) tag", "struct(l_shipdate, l_orderkey, l_linenumber) t", "l_extendedprice ms", "l_suppkey rows", "cast(l_quantity as int) columns", "true ok")
+    return a.run_summary(calls).select("tag", "last_rows", "last_columns", "n")
+
+
 @query("WITH u AS (SELECT date_trunc('week', ts)::TIMESTAMP AS week, user_id, sum(round(value)::BIGINT)::BIGINT AS damage FROM events GROUP BY 1, 2) SELECT *, greatest(0.0, 30000 - total) AS remaining, total >= 30000 AS cleared FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY damage DESC, user_id)::INT AS rank, (sum(damage) OVER (PARTITION BY week))::BIGINT AS total FROM u)")
 def ag25_leaderboard(spark, d):
     s = table(spark, d, "events").select(F.date_trunc("week", "ts").alias("week"), "user_id", F.round("value").cast("long").alias("damage"))

@@ -132,6 +132,14 @@ def dc17_off_palette(spark, d):
     return e.off_palette(p, [(180.5, 260.5), (20.5, 60.5)])
 
 
+@query("WITH f AS (SELECT p_partkey AS page_id, p_partkey * 37 % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 11 % 256 AS b FROM part), c AS (SELECT DISTINCT *, lower(printf('%02x%02x%02x', r, g, b)) AS colour FROM (SELECT * FROM f UNION ALL SELECT page_id, r // 16 * 17, g // 16 * 17, b // 16 * 17 FROM f)), h AS (SELECT *, CASE WHEN greatest(r, g, b) > least(r, g, b) THEN CASE WHEN greatest(r, g, b) = r THEN (60.0 * (g - b) / (r - least(g, b)) + 360) % 360 WHEN greatest(r, g, b) = g THEN 60.0 * (b - r) / (g - least(r, b)) + 120 ELSE 60.0 * (r - g) / (b - least(r, g)) + 240 END END AS hue FROM c) SELECT page_id, colour FROM h WHERE hue IS NOT NULL AND NOT (hue BETWEEN 180.5 AND 260.5 OR hue BETWEEN 20.5 AND 60.5)")
+def dc17_colour_forms(spark, d):
+    r, g, b = F.col("p_partkey") * 37 % 256, (F.col("p_size") * 5 % 256).cast("long"), F.col("p_partkey") * 11 % 256
+    digit = lambda c: F.lower(F.hex(F.floor(c / 16)))
+    text = F.concat(F.format_string("a { color: rgba( %d ,%d, %d, 0.5) } &#123; b { color: #", r, g, b), digit(r), digit(g), digit(b), F.lit("; } #12345 x#abc"))
+    return e.off_palette(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text")), [(180.5, 260.5), (20.5, 60.5)])
+
+
 @query("SELECT DISTINCT page_id, regexp_replace(t, '[?#].*$', '') AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]+)\"', 1)) AS t FROM pages) WHERE NOT regexp_matches(t, '^[a-z]+:|^//|^#')")
 def dc18_links(spark, d):
     return e.links(table(spark, d, "pages").select("page_id", F.col("html").alias("text")))

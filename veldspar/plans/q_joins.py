@@ -23,6 +23,13 @@ def jn2_join_kinds(spark, d):
     return j.union_rows(*parts)
 
 
+@query("SELECT c_custkey, r_regionkey, c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = r_regionkey) AS home FROM customer CROSS JOIN region")
+def jn2_cross(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    pairs = j.cross_join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "region").select("r_regionkey"), 100)
+    return pairs.join(nations, "c_nationkey", "left").select("c_custkey", "r_regionkey", F.col("n_regionkey").eqNullSafe(F.col("r_regionkey")).alias("home"))
+
+
 @query("SELECT l_orderkey, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) AS first_price, arg_max(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) AS last_price, round(avg(l_extendedprice), 7) AS mean_price FROM lineitem GROUP BY 1")
 def jn3_duplicate_policy(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("o"))

@@ -40,6 +40,12 @@ def px2_foreground(spark, d):
     return p.foreground(c, p.background(c)).select("image", "x", "y")
 
 
+@query(f"WITH {_G}, {_BG}, k AS (SELECT co.*, pow(r - p.r, 2) + pow(g - p.g, 2) + pow(b - p.b, 2) > 3600 AS fg FROM co JOIN bg USING (image)) SELECT image, x, y FROM k WHERE fg AND image IN (SELECT image FROM k GROUP BY 1 HAVING count(*) FILTER (fg) / count(*) <= 0.95)")
+def px2_foreground_lenient(spark, d):
+    c = colours(spark, d)
+    return p.foreground(c, p.background(c), most=0.95).select("image", "x", "y")
+
+
 @query()
 def px3_hue_clusters(spark, d):
     return p.hue_clusters(colours(spark, d))
@@ -125,10 +131,10 @@ def px12_rings(spark, d):
     return rounded(found_rings(spark, d, parts(spark, d)).select("image", "cluster", "component", "radius", "covered"), 6)
 
 
-@query(f"{_R}, {_GEO}, {_RINGS}, de AS (SELECT c.image, radians(({_POLAR})) AS a, floor(({_POLAR}) / 5)::INT AS slot FROM cc c JOIN ho USING (image, cluster, component) JOIN ri USING (image, cluster, component) WHERE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) >= 0.3 * ho.radius AND sqrt(pow(x - cx, 2) + pow(y - cy, 2)) < ho.radius - tolerance AND NOT EXISTS (SELECT 1 FROM mk o WHERE o.image = c.image AND o.cluster <> c.cluster AND abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1)), th AS (SELECT b.image, b.slot, count(*)::BIGINT AS n, sum(sin(a)) AS s, sum(cos(a)) AS c FROM (SELECT DISTINCT image, slot FROM de) b JOIN de ON de.image = b.image AND (de.slot - b.slot + 72) % 72 IN (0, 1, 71) GROUP BY 1, 2) SELECT image, round((degrees(atan2(s, c)) + 360) % 360, 4) AS angle, n FROM th WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY image ORDER BY n DESC, slot) = 1")
+@query(f"{_R}, {_GEO}, {_RINGS}, de AS (SELECT c.image, radians(({_POLAR})) AS a, floor(({_POLAR}) / 5)::INT AS slot FROM cc c JOIN ho USING (image, cluster, component) JOIN ri USING (image, cluster, component) WHERE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) >= 0.2 * ho.radius AND sqrt(pow(x - cx, 2) + pow(y - cy, 2)) < ho.radius - tolerance AND NOT EXISTS (SELECT 1 FROM mk o WHERE o.image = c.image AND o.cluster <> c.cluster AND abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1)), th AS (SELECT b.image, b.slot, count(*)::BIGINT AS n, sum(sin(a)) AS s, sum(cos(a)) AS c FROM (SELECT DISTINCT image, slot FROM de) b JOIN de ON de.image = b.image AND (de.slot - b.slot + 72) % 72 IN (0, 1, 71) GROUP BY 1, 2) SELECT image, round((degrees(atan2(s, c)) + 360) % 360, 4) AS angle, n FROM th WHERE n >= 1 QUALIFY row_number() OVER (PARTITION BY image ORDER BY n DESC, slot) = 1")
 def px13_ring_notch(spark, d):
     found = parts(spark, d)
-    return rounded(p.ring_notches(found, found_rings(spark, d, found), inner=0.3, clear=1, least=2), 4)
+    return rounded(p.ring_notches(found, found_rings(spark, d, found), inner=0.2, clear=1, least=1), 4)
 
 
 @query()
