@@ -160,3 +160,20 @@ def test_cross_joins_check_the_small_side(spark):
     assert joins.cross_join(spark.range(50), spark.range(3).toDF("k"), 3).count() == 150
     with pytest.raises(ValueError):
         joins.cross_join(spark.range(50), spark.range(4).toDF("k"), 3)
+
+
+def test_first_lines_of_secrets(spark):
+    keys = ["sk-" + "a1B_" * 6, "ghp_" + "Ab1" * 12, "AKIA" + "A1B2" * 4, "xoxb-" + "12345-abcde", "-----BEGIN EC " + "PRIVATE KEY-----"]
+    df = spark.createDataFrame([(i, "first\n" * i + k + "\n" + k) for i, k in enumerate(keys)] + [(9, "AKIA" + "a1b2" * 4), (10, ""), (11, None)], "doc_id long, text string")
+    assert {tuple(r) for r in evidence.first_lines(df, evidence.SECRETS).select("doc_id", "rule", "line").collect()} == {(i, n, i + 1) for i, n in enumerate(evidence.SECRETS)}
+
+
+def test_text_corpus_reads_cells(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1\n\n# 가\n")
+    (tmp_path / "b.ipynb").write_text('{"cells": [{"cell_type": "markdown", "source": ["no"]}, {"cell_type": "code", "source": ["a = 1\\n", "b"]}, {"cell_type": "code", "source": []}, {"cell_type": "code", "source": ["c"]}]}')
+    got = {r.path.rsplit("/", 1)[-1]: r.text for r in files.load_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": "x = 1\n\n# 가\n", "b.ipynb": "a = 1\nb\n\nc"}
+
+
+def test_report_lines_survive_fences_and_aliases(spark):
+    assert catalog.queries()["sc19_report_lines"](spark, SF).limit(1).count() == 1

@@ -126,6 +126,14 @@ def dc16_secret_lines(spark, d):
     return e.first_lines(table(spark, d, "documents"), {"aws": e.SECRETS["aws"]} | e.SECRETS)
 
 
+_FIRST = {"mail": "[a-z0-9.]+@[a-z0-9]+[.][a-z]+", "number": "[0-9]{5,}", "license": "[Ll]icense"}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '{r}')), true)::BIGINT AS line FROM documents WHERE regexp_matches(text, '{r}')" for n, r in _FIRST.items()))
+def dc16_first_lines(spark, d):
+    return e.first_lines(table(spark, d, "documents"), _FIRST)
+
+
 @query("WITH c AS (SELECT p_partkey AS page_id, lower(printf('%02x%02x%02x', p_partkey * 37 % 256, p_size * 5 % 256, p_partkey * 11 % 256)) AS colour, p_partkey * 37 % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 11 % 256 AS b FROM part), h AS (SELECT *, CASE WHEN greatest(r, g, b) > least(r, g, b) THEN CASE WHEN greatest(r, g, b) = r THEN (60.0 * (g - b) / (r - least(g, b)) + 360) % 360 WHEN greatest(r, g, b) = g THEN 60.0 * (b - r) / (g - least(r, b)) + 120 ELSE 60.0 * (r - g) / (b - least(r, g)) + 240 END END AS hue FROM c) SELECT page_id, colour FROM h WHERE hue IS NOT NULL AND NOT (hue BETWEEN 180.5 AND 260.5 OR hue BETWEEN 20.5 AND 60.5)")
 def dc17_off_palette(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.format_string("color: #%02X%02X%02X;", F.col("p_partkey") * 37 % 256, (F.col("p_size") * 5 % 256).cast("long"), F.col("p_partkey") * 11 % 256).alias("text"))

@@ -57,11 +57,11 @@ def io7_export_days(spark, d):
     return files.export_days(table(spark, d, "events"), "2024-01-02", "2024-01-05", ["event_id", "ts", "event_type"])
 
 
-@query()
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def io8_csv_export(spark, d):
     path = shared_folder(spark, "io8")
     files.export_csv(table(spark, d, "nation"), path)
-    return spark.read.csv(path, header=True)
+    return spark.read.csv(path, header=True).select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) n FROM orders) WHERE n <= 3")
