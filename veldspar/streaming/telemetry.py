@@ -83,7 +83,7 @@ def _wait_stream(events: DataFrame, expiry_minutes: int, late: str) -> DataFrame
     span = pd.Timedelta(minutes=expiry_minutes)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        held = {r: pd.Timestamp(t) for r, t in zip(*state.get, strict=True)} if state.exists else {}  # the state gives datetimes
         out: list[tuple] = []
 
         def expire(now: pd.Timestamp) -> None:
