@@ -175,3 +175,33 @@ def test_vertical_bands_are_turned_horizontal_ones(spark):
     assert {tuple(r) for r in pixels.line_bands(m, vertical=True).collect()} == {(1, 10, 11), (1, 40, 40)}
     turned = m.withColumns({"x": F.col("y"), "y": F.col("x")})
     assert {tuple(r) for r in pixels.line_bands(turned).collect()} == {(1, 10, 11), (1, 40, 40)}
+
+
+def test_components_across_tiles(spark):
+    """A snake through many tiles, a diagonal over their corners, separate blobs and repeated rows, against a walk."""
+    snake = {(x, 100 * k) for k in range(8) for x in range(-300, 700)} | {(699 if k % 2 == 0 else -300, y) for k in range(7) for y in range(100 * k, 100 * k + 100)}
+    diagonal = {(k, 511 - k) for k in range(512)} - {(256, 255)}
+    shapes = [(1, 1, snake), (1, 2, {(x, y + 50) for x, y in disc(256, 256, 9)}), (2, 1, diagonal), (3, 1, {(255, 255), (256, 256), (256, 900), (257, 901), (0, -1), (0, 0)})]
+    pixel = marked(spark, shapes)
+    rows = pixels.components(pixel.union(pixel.filter("image = 3"))).collect()
+    got = {(r.image, r.cluster, r.x, r.y): r.component for r in rows}
+    left, want = set(got), {}
+    while left:
+        first = left.pop()
+        todo, group = [first], [first]
+        while todo:
+            i, c, x, y = todo.pop()
+            for near in [(i, c, x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]:
+                if near in left:
+                    left.remove(near)
+                    todo.append(near)
+                    group.append(near)
+        want |= dict.fromkeys(group, min(y * (1 << 20) + x for _, _, x, y in group))
+    assert got == want
+    assert len(rows) == pixel.count() + 6
+
+
+def test_pixels_are_not_broadcast(spark):
+    """Tables of pixels are small as files; none may be collected for a broadcast."""
+    found = pixels.chamfer(pixels.components(marked(spark, [(1, 1, disc(10, 10, 8))])).withColumn("more", F.lit(1)))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,11 @@ images at once, so every step groups or joins by image."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +24,8 @@ NEAR = 30 * 30
 
 
 def _written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of files. These are far smaller than their rows, so Spark would broadcast too much by their size: joins of
+    as many rows as there are pixels are hinted to merge."""
     path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -85,7 +92,7 @@ def absorbed(marked: DataFrame, passes: int = 2) -> DataFrame:
     """Fringe pixels (cluster -1) take the most frequent cluster around them, in a bounded number of passes."""
     for _ in range(passes):
         near = _neighbours(marked.filter("cluster > 0").select("image", "x", "y", F.col("cluster").alias("_c"))).groupBy("image", "x", "y", "_c").agg(F.count("*").alias("n")).groupBy("image", "x", "y").agg(F.max_by("_c", F.struct(F.col("n"), -F.col("_c"))).alias("_c"))
-        marked = _written(marked.join(near, ["image", "x", "y"], "left").withColumn("cluster", F.when((F.col("cluster") == -1) & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("cluster"))).drop("_c"), "absorbed")
+        marked = _written(marked.join(near.hint("merge"), ["image", "x", "y"], "left").withColumn("cluster", F.when((F.col("cluster") == -1) & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("cluster"))).drop("_c"), "absorbed")
     return marked
 
 
@@ -109,9 +116,9 @@ def _smallest_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], most_r
     labels go to the neighbours and then along their own label, until none changes."""
     now = _written(nodes.select(*keys, "p", F.col("p").alias("label")), "labels")
     for _ in range(most_rounds):
-        spread = edges.join(now.select(*keys, F.col("p").alias("q"), "label"), [*keys, "q"]).groupBy(*keys, "p").agg(F.min("label").alias("m"))
-        step = now.join(spread, [*keys, "p"], "left").select(*keys, "p", "label", F.least("label", "m").alias("m"))
-        jump = step.join(step.select(*keys, F.col("p").alias("m"), F.col("m").alias("mm")), [*keys, "m"], "left").select(*keys, "p", F.least("m", "mm").alias("label"), (F.least("m", "mm") < F.col("label")).alias("changed"))
+        spread = edges.join(now.select(*keys, F.col("p").alias("q"), "label").hint("merge"), [*keys, "q"]).groupBy(*keys, "p").agg(F.min("label").alias("m"))
+        step = now.join(spread.hint("merge"), [*keys, "p"], "left").select(*keys, "p", "label", F.least("label", "m").alias("m"))
+        jump = step.join(step.select(*keys, F.col("p").alias("m"), F.col("m").alias("mm")).hint("merge"), [*keys, "m"], "left").select(*keys, "p", F.least("m", "mm").alias("label"), (F.least("m", "mm") < F.col("label")).alias("changed"))
         after = _written(jump, "labels")
         now = after.drop("changed")
         if not after.filter("changed").limit(1).count():
@@ -119,14 +126,91 @@ def _smallest_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], most_r
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+# Fixed value: side of the square tiles in which touching pixels are found at once.
+TILE = 256
+
+
+def _half(reach: int) -> list[tuple[int, int]]:
+    """The steps to positions around one, of each opposite pair one."""
+    return [(dx, dy) for dy in range(reach + 1) for dx in range(-reach, reach + 1) if dy or dx > 0]
+
+
+def _tile_labels(group: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, reach: int) -> np.ndarray:
+    """For pixels at x, y of a tile (both from 0) the smallest p that they touch, over others of their group."""
+    wide = TILE + 2 * reach
+    codes, place = np.unique((group * wide + y + reach) * wide + x + reach, return_inverse=True)
+    label, pairs = np.arange(len(codes)), []
+    for dx, dy in _half(reach):
+        to = codes + dy * wide + dx
+        at = np.minimum(np.searchsorted(codes, to), len(codes) - 1)
+        hit = np.flatnonzero(codes[at] == to)
+        pairs.append((hit, at[hit]))
+    a, b = (np.concatenate(side) for side in zip(*pairs, strict=True))
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    least = np.full(len(codes), np.iinfo(np.int64).max)
+    np.minimum.at(least, label[place], p)
+    return least[label[place]]
+
+
 def components(marked: DataFrame, reach: int = 1, width: int = 1 << 20, most_rounds: int = 200) -> DataFrame:
     """marked (image, x, y, cluster) with component: the smallest position (y * width + x) of the pixels of one cluster
-    that touch each other."""
-    keys = ["image", "cluster", "x", "y"]
-    at = F.col("y").cast("long") * width + F.col("x")
-    marked = marked.withColumn("p", at)
-    edges = _written(_neighbours(marked.select(*keys, F.col("p").alias("to")), reach).join(marked.select(*keys), keys).select("image", "cluster", at.alias("p"), F.col("to").alias("q")), "touching")
-    return marked.join(_smallest_labels(marked, edges, ["image", "cluster"], most_rounds), ["image", "cluster", "p"]).drop("p")
+    that touch each other. Tiles of a fixed size label their own pixels, as many at a time as a batch holds; labels that
+    touch across the sides of tiles are then connected. Pixels without an image, cluster or position are left out."""
+    tile = {"_tx": F.floor(F.col("x") / TILE).cast("long"), "_ty": F.floor(F.col("y") / TILE).cast("long")}
+    keys = ["image", "cluster", "_tx", "_ty"]
+    known = marked.dropna(subset=["image", "cluster", "x", "y"]).withColumns({**tile, "_p": F.col("y").cast("long") * width + F.col("x")})
+    dealt = known.repartition(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_l", T.LongType())])
+
+    def labelled(rows: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        x, y, tx, ty, p = (rows[c].to_numpy().astype(np.int64) for c in ("x", "y", "_tx", "_ty", "_p"))
+        label = _tile_labels(np.cumsum(new), x - tx * TILE, y - ty * TILE, p, reach)
+        (out,) = rows.append_column("_l", pa.array(label)).combine_chunks().to_batches()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            new = _changes(held, keys)
+            last = int(np.flatnonzero(new)[-1])  # the last tile may go on in the next batch
+            if last:
+                yield labelled(held.slice(0, last), new[:last])
+                held = held.slice(last)
+        if held is not None:
+            yield labelled(held, _changes(held, keys))
+
+    own = _written(dealt.mapInArrow(run, schema), "tiles")
+    lx, ly = F.col("x") - F.col("_tx") * TILE, F.col("y") - F.col("_ty") * TILE
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _half(reach)])
+    across = F.filter(steps, lambda s: (lx + s["dx"] < 0) | (lx + s["dx"] >= TILE) | (ly + s["dy"] >= TILE))
+    out = own.select("image", "cluster", "x", "y", F.col("_l").alias("p"), F.explode(across).alias("_s")).select("image", "cluster", (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"), "p")
+    rim = own.filter((lx < reach) | (lx >= TILE - reach) | (ly < reach)).select("image", "cluster", "x", "y", F.col("_l").alias("q"))
+    pairs = _written(out.join(rim.hint("merge"), ["image", "cluster", "x", "y"]).select("image", "cluster", "p", "q").distinct(), "touching")
+    columns = marked.columns
+    if not pairs.limit(1).count():
+        return own.select(*columns, F.col("_l").alias("component"))
+    edges = pairs.union(pairs.select("image", "cluster", F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
+    joined = _smallest_labels(edges.select("image", "cluster", "p").distinct(), edges, ["image", "cluster"], most_rounds)
+    return own.join(joined.withColumnRenamed("p", "_l").hint("merge"), ["image", "cluster", "_l"], "left").select(*columns, F.coalesce("component", "_l").alias("component"))
+
+
+def _changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the keys are others than in the row before; true for the first row."""
+    new = np.ones(rows.num_rows, bool)
+    if rows.num_rows > 1:
+        new[1:] = np.logical_or.reduce([pc.not_equal(rows[k].slice(1), rows[k].slice(0, rows.num_rows - 1)).to_numpy() for k in keys])
+    return new
 
 
 def geometry(parts: DataFrame) -> DataFrame:
@@ -299,7 +383,7 @@ def without_halos(parts: DataFrame, share: float = 0.5) -> DataFrame:
     """Components without the neutral ones (cluster 0) of whose pixels this share touches coloured pixels."""
     near = _neighbours(parts.filter("cluster > 0").select("image", "x", "y")).distinct()
     neutral = parts.filter("cluster = 0")
-    touched = neutral.join(near, ["image", "x", "y"], "left_semi").groupBy("image", "component").agg(F.count("*").alias("t"))
+    touched = neutral.join(near.hint("merge"), ["image", "x", "y"], "left_semi").groupBy("image", "component").agg(F.count("*").alias("t"))
     halos = neutral.groupBy("image", "component").agg(F.count("*").alias("n")).join(touched, ["image", "component"]).filter(F.col("t") >= share * F.col("n")).select("image", "component", F.lit(0).alias("cluster"))
     return parts.join(halos, ["image", "component", "cluster"], "left_anti")
 
@@ -309,12 +393,13 @@ def depth(parts: DataFrame, rounds: int = 4) -> DataFrame:
     keys = ["image", "component", "x", "y"]
     left, out = parts.select(*keys), None
     for k in range(1, rounds + 1):
-        inner = _neighbours(left).join(left, keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n = 8").select(*keys)
+        both = left.withColumn("_own", F.lit(1)).union(_neighbours(left).select(*keys, F.lit(0).alias("_own")))
+        inner = both.groupBy(*keys).agg(F.count_if(F.col("_own") == 0).alias("n"), F.max("_own").alias("_own")).filter("n = 8 and _own = 1").select(*keys)
         inner = _written(inner, "depth")
         out = inner.withColumn("depth", F.lit(k)) if out is None else out.union(inner.withColumn("depth", F.lit(k)))
         left = inner
     deep = out.groupBy(*keys).agg(F.max("depth").alias("depth"))
-    return parts.join(deep, keys, "left").fillna(0, ["depth"])
+    return parts.join(deep.hint("merge"), keys, "left").fillna(0, ["depth"])
 
 
 def chamfer(parts: DataFrame, most_rounds: int = 256) -> DataFrame:
@@ -322,18 +407,20 @@ def chamfer(parts: DataFrame, most_rounds: int = 256) -> DataFrame:
     component. Borders start; distances go from pixels that have changed to their neighbours until none changes, which
     takes as many rounds as the thickest part is deep, and raises beyond ``most_rounds``."""
     keys = ["image", "cluster", "component", "x", "y"]
-    own = _written(parts.select(*keys), "parts")
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(4 if dx and dy else 3).alias("cost")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     to = lambda df: df.withColumn("_s", F.explode(steps)).withColumns({"x": F.col("x") + F.col("_s.dx"), "y": F.col("y") + F.col("_s.dy")})
-    held = to(own).groupBy(*keys).agg(F.count_if(F.col("_s.cost") == 3).alias("straight"), F.count("*").alias("n"))
-    start = F.when(F.coalesce("straight", F.lit(0)) < 4, 3).when(F.col("n") < 8, 4)
-    now = _written(own.join(held, keys, "left").select(*keys, start.cast("int").alias("distance"), start.isNotNull().alias("changed")), "distances")
+    pixel = _written(parts.select(*keys).dropna(), "parts")
+    around = pixel.withColumn("_cost", F.lit(0)).union(to(pixel).select(*keys, F.col("_s.cost").alias("_cost")))
+    held = around.groupBy(*keys).agg(F.count_if(F.col("_cost") == 3).alias("straight"), F.count_if(F.col("_cost") > 0).alias("n"), F.min("_cost").alias("_own")).filter("_own = 0")
+    start = F.when(F.col("straight") < 4, 3).when(F.col("n") < 8, 4)
+    now = _written(held.select(*keys, start.cast("int").alias("distance"), start.isNotNull().alias("changed")), "distances")
     for _ in range(most_rounds):
         if not now.filter("changed").limit(1).count():
-            return parts.join(now.drop("changed"), keys)
-        offers = to(now.filter("changed").select(*keys, "distance")).groupBy(*keys).agg(F.min(F.col("distance") + F.col("_s.cost")).alias("_m"))
-        better = F.coalesce(F.col("_m") < F.col("distance"), F.col("_m").isNotNull() & F.col("distance").isNull())
-        now = _written(now.join(offers, keys, "left").select(*keys, F.least("distance", "_m").alias("distance"), better.alias("changed")), "distances")
+            return now.select(*keys, "distance") if set(parts.columns) == set(keys) else parts.join(now.drop("changed").hint("merge"), keys)
+        offers = to(now.filter("changed").select(*keys, "distance")).select(*keys, F.lit(False).alias("_own"), (F.col("distance") + F.col("_s.cost")).alias("distance"))
+        both = now.select(*keys, F.lit(True).alias("_own"), "distance").union(offers).groupBy(*keys).agg(F.bool_or("_own").alias("_own"), F.min(F.when(F.col("_own"), F.col("distance"))).alias("_was"), F.min("distance").alias("distance"))
+        better = F.coalesce(F.col("distance") < F.col("_was"), F.col("distance").isNotNull() & F.col("_was").isNull())
+        now = _written(both.filter("_own").select(*keys, "distance", better.alias("changed")), "distances")
     raise RuntimeError(f"distances did not settle in {most_rounds} rounds")
 
 
