@@ -177,3 +177,25 @@ def test_text_corpus_reads_cells(spark, tmp_path):
 
 def test_report_lines_survive_fences_and_aliases(spark):
     assert catalog.queries()["sc19_report_lines"](spark, SF).limit(1).count() == 1
+
+
+def test_call_nodes_of_a_crowded_place(spark):
+    """Against the window over all nodes of a call's place; the plan has none, so that a place may hold any number."""
+    from pyspark.sql import Window
+
+    nodes = spark.range(400).selectExpr("id node_id", "'f' file", "cast(id % 2 as int) line", "0 col", "if(id % 5 = 0, null, id % 11) call_line")
+    calls = spark.range(60).selectExpr("id call_id", "'f' file", "cast(id % 3 as int) line", "0 col", "case id % 4 when 0 then null when 1 then array(id % 13, null) when 2 then array(id % 13, id % 7) else array() end stack")
+    w = Window.partitionBy("call_id").orderBy(F.array_contains("stack", F.col("call_line")).desc(), "node_id")
+    want = calls.join(nodes, ["file", "line", "col"]).withColumn("n", F.row_number().over(w)).filter("n = 1").select("call_id", "node_id")
+    found = joins.call_nodes(calls, nodes)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_fit_holds_no_source_in_a_task(spark):
+    from veldspar.operators import process
+
+    df = spark.createDataFrame([("a", 3, 5), ("a", 7, 9), (None, 2, 2), (None, 4, 3)], "source string, die_x int, die_y int")
+    found = process.grid_fit(df, "source", 1)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.select("die_x", "grid_x", "grid_y").collect())) == [(2, 1, 0), (3, 4, 0), (4, 0, 2), (7, 0, 4)]
