@@ -26,12 +26,14 @@ def radial_zones(df: DataFrame, centre: tuple[float, float], radius: float, edge
 
 
 def grid_fit(df: DataFrame, source: str, quarter_turns: int = 0) -> DataFrame:
-    """Coordinates from 0 within each source, turned so that the notch points down."""
-    w = Window.partitionBy(source)
-    x, y = F.col("die_x") - F.min("die_x").over(w), F.col("die_y") - F.min("die_y").over(w)
-    wide, high = F.max("die_x").over(w) - F.min("die_x").over(w), F.max("die_y").over(w) - F.min("die_y").over(w)
+    """Coordinates from 0 within each source, turned so that the notch points down. The ends of each source come from a
+    grouping, so that no task holds a source."""
+    ends = df.groupBy(F.col(source).alias("_source")).agg(*[f(c).alias(f"_{n}_{c}") for c in ("die_x", "die_y") for n, f in (("min", F.min), ("max", F.max))])
+    fit = df.join(ends, F.col(source).eqNullSafe(F.col("_source")), "left")
+    x, y = F.col("die_x") - F.col("_min_die_x"), F.col("die_y") - F.col("_min_die_y")
+    wide, high = F.col("_max_die_x") - F.col("_min_die_x"), F.col("_max_die_y") - F.col("_min_die_y")
     turned = [(x, y), (high - y, x), (wide - x, high - y), (y, wide - x)][quarter_turns % 4]
-    return df.withColumn("grid_x", turned[0]).withColumn("grid_y", turned[1])
+    return fit.select(*[F.col(c) for c in df.columns], turned[0].alias("grid_x"), turned[1].alias("grid_y"))
 
 
 def capability(df: DataFrame, by: list[str], lot: str, value: str, low: float, high: float) -> DataFrame:
