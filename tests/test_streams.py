@@ -22,3 +22,19 @@ def test_waits_are_held_over_many_batches(spark):
     got = plain(streamed(spark, events, "seq", 9, lambda s: telemetry.waits(s, 60)))
     assert got == plain(telemetry.waits(events, 60, "2024-01-01 05:00:00"))
     assert [(r[0], r[1], r[3]) for r in got] == [(1, 1, "answered"), (1, 2, "expired"), (1, 3, "answered"), (2, 1, "cleared"), (3, 9, "answered")]
+
+
+def test_token_deltas_of_sessions_that_share_a_state(spark):
+    """Over several micro-batches, with falling totals, a null session and sessions from before the start."""
+    old, new = datetime.datetime(2023, 12, 1), datetime.datetime(2024, 1, 2)
+    rows = [(None if s == 4 else s, 10 * k + s, (k * (7 + s)) % 23, old if s % 2 else new) for k in range(1, 7) for s in range(5)]
+    calls = spark.createDataFrame(rows, "session long, seq long, total long, created timestamp")
+    got = streamed(spark, calls, "seq", 3, lambda s: telemetry.stream_token_deltas(s, "2024-01-01", buckets=2))
+    want, last = [], {}
+    for session, seq, total, created in sorted(rows, key=lambda r: r[1]):
+        before = last.get(session, 0 if created == new else total)
+        want.append((session, seq, max(0, total - before)))
+        last[session] = total
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    plan = telemetry.stream_token_deltas(telemetry.as_stream(calls, shared_folder(spark, "plans"), "seq"), "2024-01-01")
+    assert "_bucket" in plan._jdf.queryExecution().analyzed().toString()

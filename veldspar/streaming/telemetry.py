@@ -210,22 +210,31 @@ def stale(events: DataFrame, key: str, as_of: str, seconds: int) -> DataFrame:
     return last.withColumn("stale", F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("beat") > seconds * 1_000_000)
 
 
-def stream_token_deltas(events: DataFrame, started: str, slack_seconds: int = 5) -> DataFrame:
-    """The token delta of windows.token_deltas as keyed state on a stream: (session, seq, delta)."""
+def stream_token_deltas(events: DataFrame, started: str, slack_seconds: int = 5, buckets: int = 1024) -> DataFrame:
+    """The token delta of windows.token_deltas as keyed state on a stream: (session, seq, delta). Sessions share ``buckets``
+    states of last totals by session, as a call for each session would cost more than its rows; null is a session."""
     since = pd.Timestamp(started) - pd.Timedelta(seconds=slack_seconds)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        some = pd.concat([f for f in frames if len(f)]).sort_values("seq")
+        some = pd.concat([f for f in frames if len(f)])
         some = some[some["created"].notna()]
         if len(some):
-            base = some["total"].shift()
-            first = state.get[0] if state.exists else 0 if some["created"].iloc[0] >= since else some["total"].iloc[0]
-            base.iloc[0] = first
-            some["delta"] = (some["total"] - base).clip(lower=0).astype("int64")
-            state.update((int(some["total"].iloc[-1]),))
+            last = dict(zip(*state.get, strict=True)) if state.exists else {}
+            some["_s"] = 0 if key[0] < 0 else some["session"].astype("int64")
+            some = some.sort_values(["_s", "seq"])
+            by = some.groupby("_s")
+            heads = ~some["_s"].duplicated()
+            starts = zip(some.loc[heads, "_s"], some.loc[heads, "created"], some.loc[heads, "total"], strict=True)
+            firsts = [last[s] if s in last else 0 if created >= since else total for s, created, total in starts]
+            prior = some["total"].shift(fill_value=0).to_numpy().copy()
+            prior[heads.to_numpy()] = firsts
+            some["delta"] = (some["total"] - prior).clip(lower=0).astype("int64")
+            last.update(by["total"].last().items())
+            state.update(([int(s) for s in last], [int(t) for t in last.values()]))
             yield some[["session", "seq", "delta"]]
 
-    return events.groupBy("session").applyInPandasWithState(run, "session long, seq long, delta long", "last long", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.when(F.col("session").isNull(), -1).otherwise(F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int"))
+    return events.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(run, "session long, seq long, delta long", "sessions array<long>, last array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(fragments: DataFrame, late: str = "1 hour") -> DataFrame:
