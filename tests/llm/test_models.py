@@ -135,6 +135,32 @@ def test_bradley_terry(spark, docs_of):
     assert len({r.score for r in bt.score(df, bt.fit(df, known.limit(0))).collect()}) == 1  # nothing was learnt
 
 
+def test_quality_learns_from_every_label(spark):
+    """16,000 labels: the threshold is the quantile of all documents that aren't held out, and each of them is in a pair."""
+    docs, labels = quality_docs(500)
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    copies = spark.range(32).select((F.col("id") * 500).alias("shift"))
+    spread = lambda t: t.crossJoin(F.broadcast(copies)).withColumn("doc_id", F.col("doc_id") + F.col("shift")).drop("shift")
+    df = spread(df).withColumn("text", F.concat("text", F.lit(" "), F.sha2(F.col("doc_id").cast("string"), 256)))
+    model = bt.fit(df, spread(known))
+    rows = df.join(spread(known), "doc_id").filter(~bt.held_out(F.col("doc_id"))).select("text", "quality").toArrow()
+    scores, bad = np.sort(bt.features(rows.column("text").combine_chunks()).astype(np.float32).astype(float) @ model.weights), rows.column("quality").to_pylist().count(0)
+    assert len(scores) > 12_500 and abs(model.threshold - (scores[bad - 1] + scores[bad]) / 2) < 1e-9
+
+
+@pytest.mark.parametrize(("good", "bad"), [(300, 20), (20, 300), (1, 200), (130, 129), (1, 1)])
+def test_every_labelled_document_is_in_a_pair(spark, good, bad):
+    n = good + bad
+    unit = [np.eye(1, bt.DIMS, i % bt.DIMS, dtype=np.float32)[0] * (1 + i // bt.DIMS) for i in range(n)]
+    ranked = spark.createDataFrame([(i, int(i < good), bytearray(unit[i].tobytes())) for i in range(n)], "doc_id long, y int, x binary")
+    met = np.array([np.frombuffer(r.d, np.float32) for r in bt.pairs(ranked, {0: bad, 1: good}, bt.Settings()).collect()])
+    assert len(met) >= min(3, min(good, bad)) * max(good, bad)
+    held = {(int(c), float(v)) for row in met for c, v in zip(np.nonzero(row)[0], row[np.nonzero(row)[0]], strict=True)}
+    sign = [1 if i < good else -1 for i in range(n)]
+    seen = sum((i % bt.DIMS, float(sign[i] * (1 + i // bt.DIMS))) in held for i in range(n))
+    assert seen >= n - 1  # a pair's common column may hide one of the two
+
+
 def test_newton_matches_a_closed_form(spark):
     import pyarrow as pa
 

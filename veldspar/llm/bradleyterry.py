@@ -1,9 +1,9 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
-P(a is preferred to b) = sigmoid(w . (x_a - x_b)). Preference pairs are formed within a bounded sample of labelled
-documents (each good one against several bad ones), and w minimises the logistic loss on the feature differences by
-Newton steps whose sums Spark takes over partitions. The threshold is a quantile of the sample's scores: as large a share lies
-below it as bears label 0. Published scores are sigmoid(w . x - threshold), moved so that the threshold is at ``cut``.
+P(a is preferred to b) = sigmoid(w . (x_a - x_b)). Preference pairs are formed of all labelled documents that aren't held
+out (each against several of the other label), and w minimises the logistic loss on the feature differences by
+Newton steps whose sums Spark takes over partitions. The threshold is an exact quantile of these documents' scores: as large a
+share lies below it as bears label 0. Published scores are sigmoid(w . x - threshold), moved so that the threshold is at ``cut``.
 
 Features come from the text's UTF-8 bytes alone: the square roots of the shares of all pairs of neighbouring byte
 classes (letters by case, digits, white space, single marks, symbols, bytes beyond ASCII), of the share of repeated
@@ -21,15 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import hash_sample, newton, pieces, sigmoid, written
+from veldspar.llm.common import bounded_broadcast, newton, pieces, sigmoid, written
+from veldspar.operators.scans import exact_quantiles
 
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 12_000
     pairs_each: int = 3
     steps: int = 15
     cut: float = 0.3
@@ -39,6 +39,8 @@ class Settings:
 
 CLASSES = 16
 DIMS = CLASSES * CLASSES + 6
+BLOCK = 64  # documents of the more frequent label that meet the same others
+SUMS = 24  # tasks that sum derivatives
 
 
 def _class_table() -> np.ndarray:
@@ -92,48 +94,82 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMS).astype(np.float64)
+
+
+def _numbered(ids: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, i): distinct ids numbered from 0 in the order of a hash. Only counts of hash ranges meet in one task."""
+    hashed = ids.select("doc_id").distinct().withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftright("h", 52))
+    sizes = hashed.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).select("range", "before")  # 4,096 rows at most
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "doc_id")) - 1
+    return hashed.withColumn("at", inside).join(F.broadcast(before), "range").select("doc_id", (F.col("before") + F.col("at")).alias("i"))
+
+
+def pairs(ranked: DataFrame, counts: dict[int, int], s: Settings) -> DataFrame:
+    """(d binary): features of a good less those of a bad document, float32. ranked: doc_id, y, x; counts: its rows of each label.
+
+    Documents of the more frequent label are dealt to blocks by a hash. Those of the other are dealt to the blocks in turn,
+    again and again until every block has pairs_each of them. In its block each document meets pairs_each of the other
+    label (all, if fewer): every document is in a pair."""
+    few = 0 if counts[0] <= counts[1] else 1
+    blocks = -(-counts[1 - few] // BLOCK)
+    many = ranked.filter(F.col("y") != few).withColumn("block", F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(blocks)))
+    dealt = _numbered(ranked.filter(F.col("y") == few), s.seed)
+    distinct = dealt.count()
+    slots = F.sequence(F.col("i"), F.lit(max(distinct, s.pairs_each * blocks) - 1), F.lit(distinct))
+    turns = dealt.select("doc_id", F.explode(slots).alias("slot")).select("doc_id", F.pmod("slot", F.lit(blocks)).alias("block"))
+    both = many.union(ranked.filter(F.col("y") == few).join(turns, "doc_id").select(*many.columns))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("x", "ascending")])
+        y, x = table.column("y").to_numpy(), _matrix(table.column("x"))
+        good, bad = x[y == 1], x[y == 0]
+        if not len(good) or not len(bad):
+            return pa.table({"d": pa.array([], pa.binary())})
+        a = np.arange(max(len(good), len(bad)))
+        k = np.arange(min(s.pairs_each, len(bad) if few == 0 else len(good)))
+        fixed, turning = np.repeat(a, len(k)), (a[:, None] + k[None, :]).ravel()
+        i, j = (fixed, turning) if few == 0 else (turning, fixed)
+        return pa.table({"d": pa.array([r.tobytes() for r in (good[i % len(good)] - bad[j % len(bad)]).astype(np.float32)], pa.binary())})
+
+    return both.select("block", "doc_id", "y", "x").groupBy("block").applyInArrow(meet, "d binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label_col: str = "quality") -> Model:
-    """Learn from at most Settings.sample_rows labelled documents that aren't held out."""
+    """Learn from all labelled documents that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
-    n, numbered = {0: 0, 1: 0}, []
-    for r in hash_sample(known, "doc_id", s.sample_rows, s.seed).toLocalIterator():  # ids and labels of the bounded sample
-        numbered.append((r.doc_id, r.y, n[r.y]))
-        n[r.y] += 1
-    if not min(n.values()):
-        return Model(np.zeros(DIMS), 0.0, s.cut)
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(numbered, "doc_id long, y int, i long"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    texts = written(texts.select("text", "y", "i"), "quality-texts").coalesce(8)  # all tasks scan, few read the sample again
+    known = bounded_broadcast(written(known, "quality-labels"), 16)  # up to 2 M labels; beyond, texts are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             x = features(part.column(0))
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["y", "i", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["doc_id", "y", "x"])
 
-    ranked = written(texts.mapInArrow(run, "y int, i long, x binary"), "quality-sample").coalesce(8)
-    good = ranked.filter("y = 1").select(F.col("x").alias("a"), "i", F.explode(F.sequence(F.lit(0), F.lit(s.pairs_each - 1))).alias("k"))
-    bad = ranked.filter("y = 0").select(F.col("x").alias("b"), F.col("i").alias("j"))
-    pairs = written(good.withColumn("j", F.pmod(F.col("i") * s.pairs_each + F.col("k") * 7919, F.lit(n[0]))).join(bad, "j").select("a", "b"), "quality-pairs").coalesce(4)
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMS).astype(np.float64)
+    ranked = written(texts.select("text", "doc_id", "y").mapInArrow(run, "doc_id long, y int, x binary"), "quality-features")
+    n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in ranked.groupBy("y").count().collect()}
+    if not min(n.values()):
+        return Model(np.zeros(DIMS), 0.0, s.cut)
+    met = written(pairs(ranked, n, s), "quality-pairs").coalesce(SUMS)
 
     def derivatives(w: np.ndarray, batch: pa.RecordBatch) -> tuple[float, np.ndarray, np.ndarray]:
-        x = matrix(batch.column(0)) - matrix(batch.column(1))
+        x = _matrix(batch.column(0))
         margin = x @ w
         p = sigmoid(-margin)
         return float(np.logaddexp(0, -margin).sum()), -(p @ x), (x * (p * (1 - p))[:, None]).T @ x
 
-    w = newton(pairs, derivatives, DIMS, s.steps, s.l2)
+    w = newton(met, derivatives, DIMS, s.steps, s.l2)
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix(batch.column(1)) @ shared.value)], ["y", "s"])
+        for part in pieces(batches, "x"):
+            yield pa.RecordBatch.from_arrays([pa.array(_matrix(part.column(0)) @ shared.value)], ["s"])
 
-    scored = np.sort(np.array([(r.s, r.y) for r in ranked.select("y", "x").mapInArrow(scores, "y int, s double").toLocalIterator()], [("s", float), ("y", int)]), order="s")
-    below = min(max(int((scored["y"] == 0).sum()), 1), len(scored) - 1) if len(scored) > 1 else 0
-    return Model(w, float((scored["s"][max(below - 1, 0)] + scored["s"][below]) / 2) if len(scored) else 0.0, s.cut)
+    below, rows = min(n[0], n[0] + n[1] - 1), n[0] + n[1]
+    middle = (below - 0.5) / (rows - 1)  # between the scores numbered below - 1 and below, from 0
+    return Model(w, float(exact_quantiles(ranked.select("x").mapInArrow(scores, "s double"), [], "s", [middle]).first()["q"][0]), s.cut)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

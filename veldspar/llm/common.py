@@ -182,7 +182,7 @@ def minimise(rows: DataFrame, gradient, start: np.ndarray, steps: int = 80, rate
 
 def newton(rows: DataFrame, derivatives, size: int, steps: int = 15, l2: float = 1e-3) -> np.ndarray:
     """Newton's method from zero for a convex loss: every step is a Spark job that sums derivatives(parameters, batch) =
-    (loss, gradient, Hessian) over the partitions of rows, a written table of bounded size in few partitions. The mean
+    (loss, gradient, Hessian) over the partitions of rows, a written table in few partitions. The mean
     loss gets l2 / 2 * |parameters| ** 2 added. A step that doesn't lower the loss is halved."""
     spark, n = rows.sparkSession, rows.count()
 
@@ -196,7 +196,7 @@ def newton(rows: DataFrame, derivatives, size: int, steps: int = 15, l2: float =
                 total += np.concatenate(([loss], g, h.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["d"])
 
-        d = sum(np.frombuffer(r.d) for r in rows.mapInArrow(run, "d binary").toLocalIterator()) / n
+        d = sum(np.frombuffer(r.d) for r in rows.mapInArrow(run, "d binary").collect()) / n  # a row a partition
         shared.unpersist()
         return d[0] + l2 / 2 * float(x @ x), d[1 : 1 + size] + l2 * x, d[1 + size :].reshape(size, size) + l2 * np.eye(size)
 
