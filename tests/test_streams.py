@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from veldspar.sources.scratch import shared_folder
@@ -38,3 +39,27 @@ def test_token_deltas_of_sessions_that_share_a_state(spark):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
     plan = telemetry.stream_token_deltas(telemetry.as_stream(calls, shared_folder(spark, "plans"), "seq"), "2024-01-01")
     assert "_bucket" in plan._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_micro_batches_of_many_files_stay_in_order(spark, monkeypatch, rows):
+    """However many files a micro-batch has, it holds its stretch of the order and nothing else; ties stay together."""
+    monkeypatch.setattr(telemetry, "ROWS_PER_FILE", rows)
+    df = spark.range(60).select(F.when(F.col("id") < 50, F.col("id")).otherwise(90).alias("o"), "id").repartition(4)
+    folder, seen = shared_folder(spark, "order"), []
+    stream = telemetry.as_stream(df, folder, "o")
+    keep = lambda batch, _: seen.append([r.o for r in batch.collect()])
+    stream.writeStream.option("checkpointLocation", shared_folder(spark, "order-check")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    assert len(seen) == 3 and sorted(o for b in seen for o in b) == sorted(r.o for r in df.collect())
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:], strict=False))
+    files = spark.read.parquet(folder).inputFiles()
+    assert len(files) == 3 * -(-max(map(len, seen)) // rows)
+    assert max(r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()) < max(6 * rows, 61 if rows == 1000 else 0)
+    assert telemetry.as_stream(df.limit(0), shared_folder(spark, "order"), "o").isStreaming
+
+
+def test_todo_progress_aggregates_counts_instead_of_lists(spark):
+    lists = spark.createDataFrame([(1, 1, [("a", "completed")]), (1, 2, [("c", "in_progress"), ("b", "in_progress"), ("d", "cancelled")]), (2, 1, None), (3, None, [("a", "completed")])], "session long, seq long, items array<struct<content string, status string>>")
+    got = telemetry.todo_progress(lists)
+    assert {r.session: (r.done, r.total, r.current) for r in got.collect()} == {1: (0, 2, "b"), 2: (None, None, None), 3: (None, None, None)}
+    assert "max_by(items" not in got._jdf.queryExecution().optimizedPlan().toString()

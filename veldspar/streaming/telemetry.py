@@ -16,6 +16,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "30 seconds"
+ROWS_PER_FILE = 1 << 17
 
 
 def _marked(events: DataFrame, time: str, late: str = LATE) -> DataFrame:
@@ -162,10 +163,11 @@ def tool_calls(running: DataFrame, ended: DataFrame, within: str = "1 hour") ->
 
 def todo_progress(lists: DataFrame) -> DataFrame:
     """Of each session's latest list, on streams too (update or complete mode): items done, all but the cancelled ones, and the current item. lists: session, seq,
-    items array<struct<content, status>>."""
-    last = lists.groupBy("session").agg(F.max_by("items", "seq").alias("items"))
+    items array<struct<content, status>>. Lists are counted before they are sorted by session: what is sorted is small."""
     of = lambda s: F.filter("items", lambda i: i["status"] == s)
-    return last.select("session", F.size(of("completed")).alias("done"), F.size(F.filter("items", lambda i: i["status"] != "cancelled")).alias("total"), F.get(F.array_sort(F.transform(of("in_progress"), lambda i: i["content"])), F.lit(0)).alias("current"))
+    counted = F.struct(F.size(of("completed")).alias("done"), F.size(F.filter("items", lambda i: i["status"] != "cancelled")).alias("total"), F.get(F.array_sort(F.transform(of("in_progress"), lambda i: i["content"])), F.lit(0)).alias("current"))
+    last = lists.select("session", "seq", counted.alias("_c")).groupBy("session").agg(F.max_by("_c", "seq").alias("_c"))
+    return last.select("session", "_c.done", "_c.total", "_c.current")
 
 
 def event_counts(events: DataFrame, every: str = "1 hour", late: str = LATE) -> DataFrame:
@@ -249,14 +251,21 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def as_stream(df: DataFrame, folder: str, order: str, files: int = 3) -> DataFrame:
-    """A batch as a stream of a few files in order of a column, one a micro-batch: for tests and replays. The files are written
-    one after the other, as a stream takes them by age."""
+    """A batch as a stream of a few micro-batches in order of a column: for tests and replays. They are written one after the
+    other, as a stream takes files by age, and each as the same number of files (of about ROWS_PER_FILE rows), so that tasks
+    stay small however large a micro-batch is."""
     spark: SparkSession = df.sparkSession
     df.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id()).write.parquet(f"{folder}-parts")
     parts = spark.read.schema(df.withColumn("_file", F.lit(0)).schema).parquet(f"{folder}-parts")
-    for k in range(files):
-        parts.filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    counts = {r["_file"]: r["count"] for r in parts.groupBy("_file").count().collect()}
+    each = max(1, -(-max(counts.values(), default=0) // ROWS_PER_FILE))
+    for done, k in enumerate(sorted(counts) or [0], 1):
+        part = parts.filter(F.col("_file") == k).drop("_file")
+        dealt = part.withColumn("_row", F.monotonically_increasing_id()).repartition(each, "_row").drop("_row") if each > 1 else part.coalesce(1)
+        dealt.write.mode("append").parquet(folder)
+        for _ in range(done * each - len(spark.read.schema(df.schema).parquet(folder).inputFiles())):  # tasks without rows write none
+            part.filter(F.lit(False)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 def latest_table(df: DataFrame, path: str, checkpoint: str) -> None:
