@@ -65,6 +65,28 @@ def test_recursions_by_blocks(rows, size, monkeypatch):
         assert np.allclose([got_e[k]["last"], got_s[k], *got_c[k]], [z, s, *most])
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double", "timestamp"])
+def test_recursions_of_many_keys_are_streams(spark, kind, monkeypatch):
+    """Keys of any type, a few rows each: a task folds all of its keys in one call."""
+    monkeypatch.setattr(scans, "block_size", lambda keep, most=1024: 2)
+    df = spark.range(900).select((F.col("id") % 300).cast("double" if kind == "double" else "long").cast(kind).alias("k"), F.col("id").alias("o"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+    e, c, s = process.ewma(df, "k", "o", "v"), process.cusum(df, "k", "o", "v"), windows.smoothed(df, "k", "o", "v")
+    assert e.schema["k"].dataType == df.schema["k"].dataType
+    want_e, want_s, want_c = [], [], []
+    for k in range(300):
+        v = [i * 37 % 101 for i in range(k, 900, 300)]
+        z, s1, up = np.mean(v), v[0], [0.0]
+        for x in v:
+            z, s1 = 0.2 * x + 0.8 * z, 0.7 * s1 + 0.3 * x
+            up.append(max(0.0, up[-1] + (x - np.mean(v)) / np.std(v, ddof=1) - 0.5))
+        want_e.append(z), want_s.append(s1), want_c.append(max(up))
+    assert np.allclose([r["last"] for r in e.orderBy(F.col("k").cast("double")).collect()], want_e)
+    assert np.allclose([r.smoothed for r in s.orderBy(F.col("k").cast("double")).collect()], want_s)
+    assert np.allclose([r.up for r in c.orderBy(F.col("k").cast("double")).collect()], want_c)
+    for d in (e, c, s):
+        assert "FlatMapGroupsInPandas" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_overlaps_of_all_kinds(spark):
     rng = random.Random(3)
     spans = [(i, rng.randint(0, 5000), rng.choice([0, 1, 10, 300, 4000])) for i in range(150)] + [(200, 5, 3), (201, 5, 3), (202, 8, 2)]

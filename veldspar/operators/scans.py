@@ -6,12 +6,15 @@ what went before. The ranges are written once into the shared folder, as their b
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from veldspar.sources.scratch import shared_folder
@@ -61,6 +64,25 @@ def in_blocks(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
     return dealt.select(*df.columns, (F.col("_part").cast("long") * (1 << 40) + F.floor(F.col("_at") / size)).alias("_block"), (F.col("_at") % size + 1).alias("_r"))
 
 
+_NONE = object()
+
+
+def _same(a: object, b: object) -> bool:
+    return a == b or (a != a and b != b)  # NaN is a key, too
+
+
+def _by_blocks(sums: DataFrame, key: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], kinds: StructType) -> DataFrame:
+    """fold over the rows of sums by key and block, a stream a task: a call for each key would cost far more than its few blocks. Null
+    keys don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = fold(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        while some := list(islice(out, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], kinds.names)
+
+    return sums.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "_block").mapInArrow(run, kinds)
+
+
 def block_size(keep: float, most: int = 1024) -> int:
     """Rows of a block in which keep ** -rows stays far from overflow."""
     return most if keep <= 0 or keep >= 1 else max(1, min(most, int(230 / -np.log(keep))))
@@ -75,16 +97,16 @@ def decayed(df: DataFrame, key: str, order: str, value: str, start: str, keep: f
     own = blocks.withColumn("_own", weight(F.col("_r")) * F.sum((1 - keep) * F.col(value) / weight(F.col("_r"))).over(rows)) if keep > 0 else blocks.withColumn("_own", F.col(value).cast("double"))
     sums = own.groupBy(key, "_block").agg(F.max("_r").alias("rows"), F.max_by("_own", "_r").alias("own"), F.min_by(start, "_r").cast("double").alias("start"))
 
-    def carry(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_block")
-        z, n, before = part["start"].iloc[0], 0, []
-        for rows, own in zip(part["rows"], part["own"], strict=True):
-            before.append((z, n))
-            z, n = keep**rows * z + own, n + rows
-        return pd.DataFrame({key: part[key].to_numpy(), "_block": part["_block"].to_numpy(), "_in": [x for x, _ in before], "_before": [x for _, x in before]})
+    def carry(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, z, n = _NONE, 0.0, 0
+        for k, block, size, own, first in rows:
+            if not _same(k, last):
+                last, z, n = k, first, 0
+            yield k, block, z, n
+            z, n = keep**size * z + own, n + size
 
     kinds = StructType([df.schema[key], StructField("_block", LongType()), StructField("_in", DoubleType()), StructField("_before", LongType())])
-    into = sums.filter(F.col(key).isNotNull()).groupBy(key).applyInPandas(carry, kinds)  # one row a block
+    into = _by_blocks(sums, key, carry, kinds)  # one row a block
     return own.join(into, [key, "_block"]).select(*df.columns, (weight(F.col("_r")) * F.col("_in") + F.col("_own")).alias("_z"), (F.col("_before") + F.col("_r")).alias("_n"))
 
 
@@ -100,15 +122,16 @@ def clamped_sums(df: DataFrame, key: str, order: str, steps: dict[str, Column],
     four = [f.alias(f"{name}_{n}") for n in steps for name, f in (("sum", F.max_by(f"_s_{n}", "_r")), ("end", F.max_by(f"_d_{n}", "_r")), ("top", F.max(f"_s_{n}")), ("own", F.max(f"_d_{n}")))]
     summed = own.groupBy(key, "_block").agg(*four)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_block")
-        out = {key: [part[key].iloc[0]]}
-        for n in names:
-            c = best = 0.0
-            for total, end, top, own in zip(*(part[f"{x}_{n}"] for x in ("sum", "end", "top", "own")), strict=True):
-                best, c = max(best, c + top, own), max(c + total, end)
-            out[n] = [best]
-        return pd.DataFrame(out)
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, now = _NONE, []
+        for k, _, *values in rows:
+            if not _same(k, last):
+                if last is not _NONE:
+                    yield (last, *(best for best, _ in now))
+                last, now = k, [(0.0, 0.0)] * len(names)
+            now = [(max(best, c + top, own), max(c + total, end)) for (best, c), (total, end, top, own) in zip(now, zip(*[iter(values)] * 4, strict=True), strict=True)]
+        if last is not _NONE:
+            yield (last, *(best for best, _ in now))
 
     kinds = StructType([df.schema[key], *[StructField(n, DoubleType()) for n in steps]])
-    return summed.filter(F.col(key).isNotNull()).groupBy(key).applyInPandas(fold, kinds)  # one row a block
+    return _by_blocks(summed, key, fold, kinds)  # one row a block
