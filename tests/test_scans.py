@@ -96,6 +96,21 @@ def test_overlaps_of_all_kinds(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [2, 16, 1024])
+def test_overlaps_with_outliers_take_few_rows(spark, monkeypatch, most):
+    """Very long and very short intervals, before 1970 too; an event is shuffled a few times, not once for every power of two."""
+    monkeypatch.setattr(joins, "SLICES", most)
+    rng = random.Random(5)
+    spans = [(i, rng.randint(-9000, 9000), rng.choice([0, 1, 40, 60, 900]) if i % 40 else 10**7) for i in range(200)]
+    df = spark.createDataFrame(spans, "id long, s long, n long").select("id", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds(F.col("s") + F.col("n")).alias("end"))
+    got = joins.overlaps(df, df.filter("id % 2 = 0"))
+    want = sorted((p[0], e[0]) for p in spans if p[0] % 2 == 0 for e in spans if p[2] and e[2] and p[1] < e[1] + e[2] and e[1] < p[1] + p[2])
+    assert sorted(map(tuple, got.collect())) == want
+    even = df.withColumn("end", F.timestamp_seconds(F.unix_seconds("start") + 3000))
+    plan = joins.overlaps(even, even.filter("id % 20 = 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" not in plan and "shiftleft" not in plan
+
+
 def test_statistics_leave_incomplete_rows_out(spark):
     full = [("a", float(i), "x" if i % 2 else "y") for i in range(6)] + [("b", float(i) + 2, "x") for i in range(5)]
     holes = [*full, *[("a", None, "x"), (None, 3.0, "y"), ("c", None, None), ("b", None, None)] * 4]
