@@ -205,3 +205,13 @@ def test_pixels_are_not_broadcast(spark):
     """Tables of pixels are small as files; none may be collected for a broadcast."""
     found = pixels.chamfer(pixels.components(marked(spark, [(1, 1, disc(10, 10, 8))])).withColumn("more", F.lit(1)))
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def broadcasts(df):
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_and_notches_are_not_broadcast(spark):
+    parts = pixels.components(marked(spark, [(1, 1, ring_cells(60, 60, 50)), (1, 2, disc(60, 60, 3))]))
+    found = pixels.rings(parts, spark.createDataFrame([(1, 120, 120)], "image long, w int, h int"))
+    assert not broadcasts(found) and not broadcasts(pixels.ring_notches(parts, found))

@@ -31,6 +31,12 @@ def _written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side, for tables that grow with the images. What is grouped from written pixels is also
+    taken for small before it is counted, and a broadcast that was planned once stays."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _distance(a: str, b: str) -> Column:
     return sum((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in ("r", "g", "b"))
 
@@ -255,13 +261,13 @@ def rings(parts: DataFrame, sizes: DataFrame, least_share: float = 0.6, least_si
     its cluster leave within the tolerance of the radius; that has to be in ``least_share`` of 72 angle bins."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     fits = (F.least(w, h) >= least_size * F.least("image_w", "image_h")) & (F.abs(w - h) <= square * F.greatest(w, h)) & (F.col("fill") <= most_fill)
-    sized = geometry(parts).join(sizes.select("image", F.col("w").alias("image_w"), F.col("h").alias("image_h")), "image").filter(fits)
+    sized = _merged(geometry(parts), sizes.select("image", F.col("w").alias("image_w"), F.col("h").alias("image_h")), ["image"]).filter(fits)
     best = sized.groupBy("image").agg(F.max_by(F.struct("cluster", "component", "x0", "x1", "y0", "y1"), F.struct(w * h, -F.col("component"), -F.col("cluster"))).alias("b")).select("image", "b.*")
     radius = (w + h) / 4
     ring = best.select("image", "cluster", "component", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), radius.alias("radius"), F.greatest(F.lit(stroke[0]), stroke[1] * radius).alias("tolerance"))
-    on = _polar(parts.select("image", "cluster", "x", "y").join(ring, ["image", "cluster"])).filter(F.abs(F.col("_d") - F.col("radius")) <= F.col("tolerance"))
+    on = _polar(_merged(parts.select("image", "cluster", "x", "y"), ring, ["image", "cluster"])).filter(F.abs(F.col("_d") - F.col("radius")) <= F.col("tolerance"))
     covered = on.groupBy("image").agg((F.countDistinct(F.floor(F.col("_a") / 5)) / 72).alias("covered")).filter(F.col("covered") >= least_share)
-    return ring.join(covered, "image")
+    return _merged(ring, covered, ["image"])
 
 
 def _polar(df: DataFrame) -> DataFrame:
@@ -274,11 +280,11 @@ def ring_notches(parts: DataFrame, found: DataFrame, inner: float = 0.8, clear:
     """(image, angle, n): where the ring's own pixels reach inwards, between ``inner`` of the radius and its stroke, with no
     pixel of another cluster within ``clear``. The densest three neighbouring bins of 5 degrees (ties: the smallest) give
     the circular mean of their pixels, if there are ``least`` of them."""
-    own = _polar(parts.select("image", "cluster", "component", "x", "y").join(found.drop("covered"), ["image", "cluster", "component"]))
+    own = _polar(_merged(parts.select("image", "cluster", "component", "x", "y"), found.drop("covered"), ["image", "cluster", "component"]))
     dents = own.filter((F.col("_d") >= inner * F.col("radius")) & (F.col("_d") < F.col("radius") - F.col("tolerance")))
     near = _neighbours(dents.select("image", "cluster", "x", "y", F.col("x").alias("_x"), F.col("y").alias("_y")), clear)
-    others = near.join(parts.select("image", "x", "y", F.col("cluster").alias("_other")), ["image", "x", "y"]).filter("_other <> cluster").select("image", F.col("_x").alias("x"), F.col("_y").alias("y"))
-    free = dents.join(others, ["image", "x", "y"], "left_anti").select("image", F.floor(F.col("_a") / 5).cast("int").alias("own"), F.radians("_a").alias("a"))
+    others = _merged(near, parts.select("image", "x", "y", F.col("cluster").alias("_other")), ["image", "x", "y"]).filter("_other <> cluster").select("image", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    free = _merged(dents, others, ["image", "x", "y"], "left_anti").select("image", F.floor(F.col("_a") / 5).cast("int").alias("own"), F.radians("_a").alias("a"))
     three = free.select("image", "own", "a", F.explode(F.array(*[F.pmod(F.col("own") + k, F.lit(72)) for k in (-1, 0, 1)])).alias("slot"))
     sums = three.groupBy("image", "slot").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("slot")).alias("held"), F.sum(F.sin("a")).alias("s"), F.sum(F.cos("a")).alias("c")).filter((F.col("held") > 0) & (F.col("n") >= least))
     return sums.groupBy("image").agg(F.max_by(F.struct("s", "c", "n"), F.struct(F.col("n"), -F.col("slot"))).alias("b")).select("image", F.pmod(F.degrees(F.atan2("b.s", "b.c")), F.lit(360.0)).alias("angle"), "b.n")
