@@ -215,3 +215,8 @@ def test_rings_and_notches_are_not_broadcast(spark):
     parts = pixels.components(marked(spark, [(1, 1, ring_cells(60, 60, 50)), (1, 2, disc(60, 60, 3))]))
     found = pixels.rings(parts, spark.createDataFrame([(1, 120, 120)], "image long, w int, h int"))
     assert not broadcasts(found) and not broadcasts(pixels.ring_notches(parts, found))
+
+
+def test_text_runs_are_not_broadcast(spark):
+    written = pixels._written(boxes_of(spark, random_boxes()), "boxes")
+    assert not broadcasts(pixels.near_pairs(written.withColumnRenamed("component", "p"))) and not broadcasts(pixels.text_runs(written))

@@ -333,7 +333,7 @@ def near_pairs(g: DataFrame, gap: float = 1.3, shift: float = 0.4, ratio: float
     larger = F.greatest("h", "r_h")
     fits = (F.struct("x0", "p") < F.struct(F.col("r_x0").alias("x0"), F.col("r_p").alias("p"))) & (F.col("r_x0") - F.col("x1") <= gap * larger)
     fits &= (F.abs(F.col("centre") - F.col("r_centre")) <= shift * larger) & (larger <= ratio * F.least("h", "r_h"))
-    return left.join(right, ["image", "level", "cx", "cy"]).filter(fits).select("image", "p", F.col("r_p").alias("q"))
+    return _merged(left, right, ["image", "level", "cx", "cy"]).filter(fits).select("image", "p", F.col("r_p").alias("q"))
 
 
 def text_runs(g: DataFrame, vertical: bool = False, least: int = 2, most_rounds: int = 200) -> DataFrame:
@@ -342,9 +342,9 @@ def text_runs(g: DataFrame, vertical: bool = False, least: int = 2, most_rounds:
     b = (_turned(g) if vertical else g).withColumn("p", F.col("component").cast("long"))
     pairs = _written(near_pairs(b), "pairs")
     labels = _smallest_labels(b, pairs.union(pairs.select("image", F.col("q").alias("p"), F.col("p").alias("q"))), ["image"], most_rounds).withColumnRenamed("component", "run")
-    runs = b.select("image", "component", "is_round", "p").join(labels, ["image", "p"])
+    runs = _merged(b.select("image", "component", "is_round", "p"), labels, ["image", "p"])
     kept = runs.groupBy("image", "run").agg(F.count("*").alias("n"), F.bool_and("is_round").alias("dots")).filter((F.col("n") >= least) & ~F.col("dots")).select("image", "run")
-    return runs.join(kept, ["image", "run"], "left_semi").select("image", "component", "run")
+    return _merged(runs, kept, ["image", "run"], "left_semi").select("image", "component", "run")
 
 
 def aligned_boxes(g: DataFrame, vertical: bool = False, least: int = 3, slack: tuple[float, float] = (2.5, 0.25), ratio: float = 1.43) -> DataFrame:
