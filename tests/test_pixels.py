@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.operators import pixels
+from veldspar.plans import catalog
 
 
 def disc(cx, cy, r):
@@ -220,3 +221,11 @@ def test_rings_and_notches_are_not_broadcast(spark):
 def test_text_runs_are_not_broadcast(spark):
     written = pixels._written(boxes_of(spark, random_boxes()), "boxes")
     assert not broadcasts(pixels.near_pairs(written.withColumnRenamed("component", "p"))) and not broadcasts(pixels.text_runs(written))
+
+
+def test_markers_and_bodies_are_not_broadcast(spark):
+    parts = pixels.components(marked(spark, [(7, 1, thick_curve() | disc(55, 34, 6)), (8, 1, thick_curve())]))
+    found = pixels.markers(pixels.chamfer(parts), parts.select("image").distinct().withColumn("thickness", F.lit(3.0)))
+    assert found.count() == 1
+    assert not broadcasts(found) and not broadcasts(pixels.marker_bodies(parts, found))
+    assert not broadcasts(catalog.queries()["px18_markers"](spark, "/root/testdata/sf0.001"))

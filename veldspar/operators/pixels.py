@@ -435,7 +435,7 @@ def markers(deep: DataFrame, thickness: DataFrame, width: int = 1 << 20) -> Data
     distance, thickness (image, thickness) is that of the curves. Pixels that lie deeper than a curve and a pixel are a
     marker's core; touching ones are one marker, named by its smallest position, and reach is how far its body goes."""
     cut = F.rint((F.col("thickness") + 1) * 3)
-    core = deep.join(thickness, "image").filter(F.col("distance") >= cut).select("image", "cluster", "x", "y", F.col("component").alias("_part"), "distance")
+    core = _merged(deep, thickness, ["image"]).filter(F.col("distance") >= cut).select("image", "cluster", "x", "y", F.col("component").alias("_part"), "distance")
     found = components(core, 1, width)
     return found.groupBy("image", "cluster", F.col("_part").alias("part"), F.col("component").alias("marker")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("core"), (F.max("distance") / 3 + 0.5).alias("reach")).withColumnRenamed("part", "component")
 
@@ -446,7 +446,7 @@ def marker_bodies(parts: DataFrame, found: DataFrame) -> DataFrame:
     r = F.col("reach")
     at = lambda c, n: F.explode(F.sequence(F.ceil(F.col(c) - r).cast("int"), F.floor(F.col(c) + r).cast("int"))).alias(n)
     reached = found.select("*", at("cx", "x")).select("*", at("cy", "y")).filter(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= r)
-    return reached.select("image", "cluster", "component", "marker", "x", "y").join(parts.select("image", "cluster", "component", "x", "y"), ["image", "cluster", "component", "x", "y"])
+    return _merged(reached.select("image", "cluster", "component", "marker", "x", "y"), parts.select("image", "cluster", "component", "x", "y"), ["image", "cluster", "component", "x", "y"])
 
 
 def curves(parts: DataFrame, least_span: float = 0.4, least_filled: float = 0.9) -> DataFrame:

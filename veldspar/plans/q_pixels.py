@@ -208,7 +208,7 @@ def px18_markers(spark, d):
     found = dense(spark, d)
     marks = p.markers(p.chamfer(found), found.select("image").distinct().withColumn("thickness", F.lit(1.0)), width=8)
     body = p.marker_bodies(found, marks).groupBy("image", "component", "marker").agg(F.count("*").alias("body"))
-    return rounded(marks.join(body, ["image", "component", "marker"]).select("image", "component", "marker", "cx", "cy", "core", "reach", "body"), 6)
+    return rounded(marks.join(body.hint("merge"), ["image", "component", "marker"]).select("image", "component", "marker", "cx", "cy", "core", "reach", "body"), 6)
 
 
 @query(f"{_R}, cl AS (SELECT image, component, x, count(*) AS run FROM cc WHERE cluster = 1 GROUP BY ALL), im AS (SELECT image, max(x) - min(x) + 1 AS w FROM cc WHERE cluster = 1 GROUP BY 1), c AS (SELECT image, component, count(*)::BIGINT AS columns, max(x) - min(x) + 1 AS span, quantile_cont(run, 0.2) AS thickness FROM cl GROUP BY 1, 2) SELECT image, component, columns, round(thickness::DOUBLE, 6) AS thickness FROM c JOIN im USING (image) WHERE span >= 0.4 * w AND columns >= 0.9 * span")
