@@ -111,6 +111,19 @@ def test_overlaps_with_outliers_take_few_rows(spark, monkeypatch, most):
     assert "sequence(0" not in plan and "shiftleft" not in plan
 
 
+def test_overlaps_are_not_broadcast_and_keep_an_events_pairs_together(spark, tmp_path):
+    """Pairs are nearly all that is written; the runs of equal events and repeating proposed ones are what files compress."""
+    rng = random.Random(8)
+    spans = [(i, rng.randint(0, 1000)) for i in range(400)]
+    spark.createDataFrame(spans, "id long, s long").select("id", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds(F.col("s") + 500).alias("end")).write.parquet(f"{tmp_path}/spans")
+    df = spark.read.parquet(f"{tmp_path}/spans")
+    found = joins.overlaps(df, df.filter("id % 2 = 0"))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    parts = found.select("event_id").rdd.glom().collect()
+    assert sum(map(len, parts)) == sum(abs(p[1] - e[1]) < 500 for p in spans if p[0] % 2 == 0 for e in spans)
+    assert sum(sum(a != b for a, b in zip([None, *p], p)) for p in parts) <= 5 * len(spans)
+
+
 def test_statistics_leave_incomplete_rows_out(spark):
     full = [("a", float(i), "x" if i % 2 else "y") for i in range(6)] + [("b", float(i) + 2, "x") for i in range(5)]
     holes = [*full, *[("a", None, "x"), (None, 3.0, "y"), ("c", None, None), ("b", None, None)] * 4]
